@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .decontaminate import find_contamination
+from .language import identify_language
+from .quality import score_quality
 from .simhash import near_duplicate_groups
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,23 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by positive-unlabelled learning; predicted at 0.7."""
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over its passages; predicted at 0.5."""
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; nothing is rejected but texts without letters."""
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -77,7 +97,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op9_bpe": op9_bpe}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_decontaminate": op2_decontaminate,
+        "op5_toxicity": op5_toxicity,
+        "op6_quality": op6_quality,
+        "op8_language": op8_language,
+        "op9_bpe": op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
