@@ -8,6 +8,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 _SPACE = regex.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 #: str.split() splits at these as well.
 _NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
-#: Distinct chunks that a task remembers before it starts afresh.
-CACHE = 200_000
+#: Distinct chunks that a worker remembers of late; up to twice as many in all.
+CACHE = 250_000
+_NEVER = 1 << 60
 
 
 def _byte_letters() -> list[str]:
@@ -42,7 +44,6 @@ class Vocabulary:
         self.tokens = [""] * size
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.longest = max(map(len, self.ids))
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -51,10 +52,10 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([self.ids[a] for a, _ in merges], dtype=np.int64)
         right = np.array([self.ids[b] for _, b in merges], dtype=np.int64)
-        made = np.array([self.ids[a + b[: len(b)]] for a, b in merges], dtype=np.int64)
-        self.rank = {(a, b): (k, c) for k, (a, b, c) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))}
-        # merges by key, for vectorised lookups
+        made = np.array([self.ids[a + b] for a, b in merges], dtype=np.int64)
+        self.made = made.tolist()
         keys = left * size + right
+        self.rank = {k: i for i, k in reversed(list(enumerate(keys.tolist())))}
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_rank = keys[order], order.astype(np.int64)
         # the merge that makes each token; single letters have none and rank -1
@@ -68,26 +69,23 @@ class Vocabulary:
                 continue
             self.made_at[c] = k
             self.half[:, c] = left[k], right[k]
+        self.size = np.zeros(size, dtype=np.int64)  # letters of a token, its word end counted as one
+        self.matcher = ahocorasick.Automaton()
         for token, i in self.ids.items():
-            if self.made_at[i] < 0 and len(token.removesuffix(self.end)) > 1:
+            letters = token.removesuffix(self.end)
+            if self.made_at[i] < 0 and len(letters) > 1:
                 self.odd[i] = True  # in the vocabulary, but no merge makes it
-
-    def propose(self, word: str) -> list[int] | None:
-        """Greedy longest-match tokens of a word in byte letters."""
-        out, at, n = [], 0, len(word)
-        ids, end = self.ids, self.end
-        while at < n:
-            to = min(n, at + self.longest)
-            while to > at:
-                piece = word[at:to] + end if to == n else word[at:to]
-                if piece in ids:
-                    break
-                to -= 1
-            else:
-                return None
-            out.append(ids[piece])
-            at = to
-        return out
+            marked = letters + "\n" if letters != token else token
+            self.size[i] = len(marked)
+            self.matcher.add_word(marked, i)
+        self.matcher.make_automaton()
+
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest-match tokens of words in byte letters, all in one scan, and the word of each token."""
+        text = "\n".join([*words, ""])
+        found = np.array([(at, token) for at, token in self.matcher.iter_long(text)], dtype=np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.array([len(w) + 1 for w in words], dtype=np.int64))
+        return found[:, 1], np.searchsorted(ends, found[:, 0], side="right")
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the letters of tokens a and b ends with just these two tokens.
@@ -122,56 +120,95 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Exact merging: the earliest merge, leftmost first, until none applies."""
-        units = [*word[:-1], word[-1] + self.end]
-        parts = [self.ids[u] for u in units if u in self.ids]
-        while len(parts) > 1:
-            best = min(((self.rank.get(p, (1 << 60, 0)), i) for i, p in enumerate(zip(parts, parts[1:]))), default=None)
-            (rank, made), i = best
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [made]
+        parts = [self.ids[u] for u in (*word[:-1], word[-1] + self.end)]
+        rank, base = self.rank.get, self.base
+        ranks = [rank(a * base + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < _NEVER:
+            i = ranks.index(best)
+            made = parts[i] = self.made[best]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] * base + made, _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(made * base + parts[i + 1], _NEVER)
         return parts
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of words in byte letters: proposals whose every adjacent pair is compatible hold."""
-        proposals = [self.propose(w) for w in words]
-        flat = np.array([t for p in proposals if p for t in p], dtype=np.int64)
-        sizes = np.array([len(p) if p else 0 for p in proposals], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        failed = np.array([p is None for p in proposals])
-        if len(flat):
-            owner = np.repeat(np.arange(len(words)), sizes)
-            seam = np.flatnonzero(owner[1:] == owner[:-1])
-            pair, back = np.unique(flat[seam] * self.base + flat[seam + 1], return_inverse=True)
-            fits = self.compatible(pair // self.base, pair % self.base)[back]
-            failed[owner[seam[~fits]]] = True
-            single = sizes == 1
-            failed[np.flatnonzero(single)[self.odd[flat[ends[single] - 1]]]] = True
-        return [self.merge(w) if bad else p for w, p, bad in zip(words, proposals, failed.tolist(), strict=True)]
+        """Token ids of words in byte letters.
+
+        A proposal holds if its tokens tile the word and every adjacent pair is compatible.
+        """
+        flat, owner = self.propose(words)
+        tiled = np.bincount(owner, self.size[flat], minlength=len(words))
+        failed = tiled != np.array([len(w) + 1 for w in words])
+        failed[owner[self.odd[flat]]] = True
+        seam = np.flatnonzero(owner[1:] == owner[:-1])
+        pair, back = np.unique(flat[seam] * self.base + flat[seam + 1], return_inverse=True)
+        fits = self.compatible(pair // self.base, pair % self.base)[back]
+        failed[owner[seam[~fits]]] = True
+        ends = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        tokens = flat.tolist()
+        return [
+            self.merge(w) if bad else tokens[a:b]
+            for w, bad, a, b in zip(words, failed.tolist(), ends, ends[1:])
+        ]
 
 
 class Encoder:
-    """Encodes texts chunk by chunk; a chunk is a run without white space, and is encoded once."""
+    """Encodes texts chunk by chunk; a chunk is a run without white space.
+
+    What is learnt about chunks and words is kept in two generations: when the newer one is full
+    it becomes the older, which is let go, but for what is asked for again.
+    """
 
     def __init__(self, vocabulary: Vocabulary, cache: int = CACHE):
         self.vocabulary, self.limit = vocabulary, cache
         #: chunk -> (its ids as text, its tokens as text, how many), both led by a blank
         self.known: dict[str, tuple[str, str, int]] = {}
-        for token, i in vocabulary.special.items():
-            self.known[token] = (f" {i}", f" {token}", 1)
+        self.before: dict[str, tuple[str, str, int]] = {}
+        #: word -> the same
+        self.words: dict[str, tuple[str, str, int]] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        v = self.vocabulary
-        split, words = [], {}
+        v, words = self.vocabulary, self.words
+        if len(words) > self.limit:
+            words.clear()
+        split = []
         for chunk in chunks:
-            text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            own = ["".join(map(v.letters.__getitem__, w.encode())) for w in v.words.findall(text)]
-            split.append(own)
-            words.update(dict.fromkeys(own))
-        ids = dict(zip(words, v.encode_words(list(words)), strict=True))
+            if chunk.isalpha() and chunk.isascii():
+                split.append([chunk.lower()])
+            elif chunk[:-1].isalpha() and chunk.isascii():  # a word and one sign: a digit or a mark
+                split.append([chunk[:-1].lower(), chunk[-1]])
+            else:
+                split.append(v.words.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()))
+        new = list(dict.fromkeys(w for own in split for w in own if w not in words))
+        if new:
+            plain = [w if w.isascii() and w.isprintable() else "".join(map(v.letters.__getitem__, w.encode())) for w in new]
+            for word, found in zip(new, v.encode_words(plain), strict=True):
+                words[word] = ("".join([f" {t}" for t in found]), "".join([f" {v.tokens[t]}" for t in found]), len(found))
         for chunk, own in zip(chunks, split, strict=True):
-            found = [t for w in own for t in ids[w]]
-            self.known[chunk] = ("".join(f" {t}" for t in found), "".join(f" {v.tokens[t]}" for t in found), len(found))
+            if len(own) == 1:
+                self.known[chunk] = words[own[0]]
+            else:
+                found = [words[w] for w in own]
+                self.known[chunk] = ("".join([x[0] for x in found]), "".join([x[1] for x in found]), sum([x[2] for x in found]))
+
+    def _meet(self, chunks: set[str]) -> None:
+        """Make sure that all these chunks are known."""
+        if len(self.known) > self.limit:
+            self.known, self.before = {}, self.known
+        new = []
+        for chunk in chunks:
+            if chunk in self.known:
+                continue
+            if chunk in self.before:
+                self.known[chunk] = self.before[chunk]
+            elif chunk in self.vocabulary.special:
+                self.known[chunk] = (f" {self.vocabulary.special[chunk]}", f" {chunk}", 1)
+            else:
+                new.append(chunk)
+        if new:
+            self._learn(new)
 
     def split(self, text: str) -> list[str]:
         """Chunks of a text, special tokens apart."""
@@ -190,15 +227,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
         """(ids joined by blanks, tokens joined by blanks, number of tokens) of each text."""
-        known = self.known
         parts = [self.split(t) for t in texts]
-        new = {c for p in parts for c in p if c not in known}
-        if len(known) + len(new) > self.limit and len(known) > len(self.vocabulary.special):
-            self.__init__(self.vocabulary, self.limit)
-            known = self.known
-            new = {c for p in parts for c in p if c not in known}
-        if new:
-            self._learn(sorted(new))
+        self._meet({c for p in parts for c in p})
+        known = self.known
         for own in parts:
             found = [known[c] for c in own]
             yield (

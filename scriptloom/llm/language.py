@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import byte_table, chunks, sums_by_row
-from .training import bounded_sample, featurised, fold, ngram_buckets, ngram_counts, sparse_rows
+from .training import bounded_sample, featurised, fold, ngram_buckets, ngram_counts, sampled_texts, sparse_rows
 
 SIZES = (2, 3, 4)
 BITS = 15
@@ -148,7 +148,8 @@ def identify_language(
     training = docs if training is None else training
     pool = training.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y")).where(fold("id", parts) != held_part)
     sample = bounded_sample(pool, per_language)
-    model = train(featurised(training, sample, id_col, text_col, lambda c: ngram_counts(c, SIZES, BITS)))
+    texts = sampled_texts(training, sample, id_col, text_col)
+    model = train(featurised(texts, lambda c: ngram_counts(c, SIZES, BITS)))
     if model:
         model.embedding = model.embedding[:0]  # the folded table is all that a prediction needs
     sent = docs.sparkSession.sparkContext.broadcast(model)

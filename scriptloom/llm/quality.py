@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import chunks
-from .training import PER_CLASS, bounded_sample, featurised, fold, sigmoid
+from .training import PER_CLASS, bounded_sample, featurised, fold, sampled_texts, sigmoid
 
 #: Bytes of a passage; a text is cut into passages of this size, the last is shorter.
 PASSAGE = 600
@@ -177,7 +177,7 @@ def score_quality(
     """
     learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     learn = learn.where(fold("id", parts) != held_part).groupBy("id").agg(F.min("y").alias("y"))
-    model = train(featurised(docs, bounded_sample(learn, per_class), id_col, text_col, bag))
+    model = train(featurised(sampled_texts(docs, bounded_sample(learn, per_class), id_col, text_col), bag))
     sent = docs.sparkSession.sparkContext.broadcast(Model({k: np.asarray(x, dtype=np.float32) for k, x in model.p.items()}))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import chunks, sums_by_row
-from .training import PER_CLASS, bounded_sample, featurised, fold, ngram_buckets, ngram_counts, sigmoid, sparse_rows
+from .training import (
+    PER_CLASS,
+    bounded_sample,
+    bucket_counts,
+    featurised,
+    fold,
+    ngram_buckets,
+    ngram_counts,
+    sampled_texts,
+    sigmoid,
+    sparse_rows,
+)
 
 SIZES = (4, 5, 6)
 BITS = 18
@@ -28,13 +39,13 @@ SEED = 7
 
 @dataclass
 class Model:
-    """Weights by n-gram bucket (one more, zero, for none); slope and shift map asinh(raw score) to log-odds."""
+    """Weights by n-gram bucket (one more, zero, for none); probabilities ``odds`` at raw scores ``knots``."""
 
     weights: np.ndarray
     bias: float
     length: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
+    knots: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
 
 def _risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
@@ -54,24 +65,30 @@ def _risk_slopes(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarra
     return np.where(p, -prior * (1 - s) / np_, 0.0) + d_negative
 
 
-def _evidence(bounds: np.ndarray, index: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+def _z(buckets: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Standard errors between an n-gram's share among positives and that among negatives."""
+    _, in_p, in_u = buckets.T
+    p, q = in_p / n_p, in_u / n_u
+    n = np.maximum(0, (q - prior * p) / (1 - prior))
+    pooled = (in_p + in_u + 1) / (n_p + n_u + 1)
+    return (p - n) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n_p + 1 / n_u))
+
+
+def _evidence(buckets: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
     """The log ratio of each n-gram's document shares, class-prior corrected; 0 for one that is no feature.
 
-    Among unlabelled texts a share q mixes positives and negatives, q = prior * p + (1 - prior) * n,
-    so the negatives' share is n = max(0, (q - prior * p) / (1 - prior)).
+    buckets: rows (bucket, positives with it, unlabelled texts with it). Among unlabelled texts a
+    share q mixes positives and negatives, q = prior * p + (1 - prior) * n, so the negatives'
+    share is n = max(0, (q - prior * p) / (1 - prior)).
     """
-    owner = np.repeat(y, np.diff(bounds))
-    width = (1 << BITS) + 1
-    n_p, n_u = y.sum(), (~y).sum()
-    in_p = np.bincount(index[owner], minlength=width)
-    in_u = np.bincount(index[~owner], minlength=width)
+    at, in_p, in_u = buckets.T
     p, q = in_p / n_p, in_u / n_u
     n = np.maximum(0, (q - prior * p) / (1 - prior))
-    pooled = (in_p + in_u + 1) / (n_p + n_u + 1)
-    z = (p - n) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n_p + 1 / n_u))
-    chosen = (z > LEAST_Z) & (in_p >= LEAST_POSITIVES)
+    chosen = (_z(buckets, n_p, n_u, prior) > LEAST_Z) & (in_p >= LEAST_POSITIVES)
     floor = 0.5 / n_u
-    return np.where(chosen, np.log((p + floor) / (n + floor)), 0.0)
+    out = np.zeros((1 << BITS) + 1)
+    out[at[chosen]] = np.log((p[chosen] + floor) / (n[chosen] + floor))
+    return out
 
 
 def _affine(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -95,15 +112,35 @@ def _affine(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def _fit(bounds: np.ndarray, index: np.ndarray, x: np.ndarray, root: np.ndarray, y: np.ndarray, prior: float) -> Model:
-    """Weights from evidence, then AdaGrad over mini-batches of the non-negative PU risk."""
+def _posterior(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rising probabilities prior * f_P(z) / f_U(z), from the shares of positives and unlabelled rows.
+
+    Pools adjacent violators over rows sorted by score, where a positive weighs prior / n_P and an
+    unlabelled row 1 / n_U; even within a pool, linear from one to the next.
+    """
+    order = np.argsort(z, kind="stable")
+    # No prior is above U(> t) / P(> t) at any t. Where the least of these lies a little above the
+    # labels' share, the sample of unlabelled rows has so many more positives.
+    above_p, above_u = (np.cumsum(c[order][::-1]) / c.sum() for c in (y, ~y))
+    bound = (above_u[above_p > 0.5] / above_p[above_p > 0.5]).min()
+    prior = min(max(prior, bound), 1.3 * prior)
+    pools: list[tuple] = []  # positives' mass, unlabelled mass, least and most score
+    for at, positive in zip(z[order].tolist(), y[order].tolist(), strict=True):
+        pools.append((prior / y.sum(), 0.0, at, at) if positive else (0.0, 1.0 / (~y).sum(), at, at))
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            (p, u, _, most), (p0, u0, least, _) = pools.pop(), pools.pop()
+            pools.append((p0 + p, u0 + u, least, most))
+    knots = np.array([at for p in pools for at in p[2:]])
+    odds = np.array([min(1.0, p[0] / p[1]) if p[1] else 1.0 for p in pools])
+    return knots, np.clip(np.repeat(odds, 2), 1e-3, 1 - 1e-3)
+
+
+def _fit(bounds: np.ndarray, index: np.ndarray, x: np.ndarray, root: np.ndarray, y: np.ndarray, prior: float, start: np.ndarray) -> Model:
+    """Weights from the evidence ``start``, then AdaGrad over mini-batches of the non-negative PU risk."""
     width = (1 << BITS) + 1
     rng = np.random.default_rng(SEED)
-    weights = _evidence(bounds, index, y, prior)
-    use = weights[index] != 0
-    owner = np.repeat(np.arange(len(y)), np.diff(bounds))[use]
-    index, x = index[use], x[use]
-    bounds = np.searchsorted(owner, np.arange(len(y) + 1))
+    weights = start.copy()
+    owner = np.repeat(np.arange(len(y)), np.diff(bounds))
     slope, bias = _affine(np.bincount(owner, weights[index] * x, minlength=len(y)), y, prior)
     weights *= slope
     length, start, size = 0.0, weights.copy(), np.abs(weights).max(initial=1e-9)
@@ -133,17 +170,28 @@ def _raw(model: Model, bounds: np.ndarray, index: np.ndarray, x: np.ndarray, roo
     return model.bias + model.length * root + np.bincount(owner, model.weights[index] * x, minlength=len(root))
 
 
-def train(rows: list[tuple[int, bytes]], prior: float) -> Model:
-    """Fit from (1 for confirmed toxic or 0 for unlabelled, features).
+def _level(model: Model, data: tuple, y: np.ndarray) -> np.ndarray:
+    """Scale a model so that unlabelled rows have median 0 and spread 1, and return all rows' scores."""
+    z = _raw(model, *data)
+    centre = np.median(z[~y])
+    spread = 1.48 * np.median(np.abs(z[~y] - centre)) + 1e-9
+    model.weights /= spread
+    model.length /= spread
+    model.bias = (model.bias - centre) / spread
+    return (z - centre) / spread
+
+
+def train(rows: list[tuple[int, bytes]], buckets: np.ndarray, prior: float) -> Model:
+    """Fit from (1 for confirmed toxic or 0 for unlabelled, features) and bucket counts by class.
 
     Features are counts of the chosen n-grams over the root of the text's length, and that root.
-    The map to log-odds is fitted to scores of rows by models that were trained without them.
-    Without positives or without unlabelled rows the score is the prior everywhere.
+    The map to probabilities is fitted to scores of rows by models that were trained without them: each
+    fold's evidence is the whole sample's less its own rows'.
+    Without enough positives or unlabelled rows the score is the prior everywhere.
     """
-    prior = min(max(prior, 1e-3), 0.9)
     y = np.array([r[0] for r in rows], dtype=bool)
-    if y.sum() < FOLDS or (~y).sum() < FOLDS:
-        return Model(np.zeros((1 << BITS) + 1), float(np.log(prior / (1 - prior))))
+    if y.sum() < FOLDS or (~y).sum() < FOLDS or not len(buckets):
+        return Model(np.zeros((1 << BITS) + 1), 0.0, odds=np.full(1, prior))
     data = rows_of([r[1] for r in rows])
     part = np.zeros(len(y), dtype=int)
     for c in (False, True):
@@ -151,9 +199,15 @@ def train(rows: list[tuple[int, bytes]], prior: float) -> Model:
     unseen = np.zeros(len(y))
     for k in range(FOLDS):
         away = part == k
-        unseen[away] = _raw(_fit(*_rows(data, ~away), y[~away], prior), *_rows(data, away))
-    model = _fit(*data, y, prior)
-    model.slope, model.shift = _affine(np.arcsinh(unseen), y, prior)
+        less = buckets.copy()
+        for column, c in ((1, True), (2, False)):
+            own = np.bincount(_rows(data, away & (y == c))[1], minlength=(1 << BITS) + 1)
+            less[:, column] -= own[less[:, 0]]
+        start = _evidence(less, int((y & ~away).sum()), int((~y & ~away).sum()), prior)
+        unseen[away] = _level(_fit(*_rows(data, ~away), y[~away], prior, start), data, y)[away]
+    model = _fit(*data, y, prior, _evidence(buckets, int(y.sum()), int((~y).sum()), prior))
+    _level(model, data, y)
+    model.knots, model.odds = _posterior(unseen, y, prior)
     return model
 
 
@@ -166,11 +220,16 @@ def _rows(data: tuple, keep: np.ndarray) -> tuple:
 
 
 def rows_of(features: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds, buckets, counts over the root of the length, that root) of featurised rows."""
+    """(bounds, buckets, counts over the root of the length, that root) of featurised rows.
+
+    Each row's last pair is no feature but its length.
+    """
     bounds, index, count = sparse_rows(features)
-    total = np.maximum(sums_by_row(count, bounds), 1.0)
-    root = np.sqrt(total)
-    return bounds, index, count / np.repeat(root, np.diff(bounds)), root / 100.0
+    root = np.sqrt(np.maximum(count[bounds[1:] - 1], 1.0))
+    plain = np.ones(len(index), dtype=bool)
+    plain[bounds[1:] - 1] = False
+    bounds = bounds - np.arange(len(bounds))
+    return bounds, index[plain], count[plain] / np.repeat(root, np.diff(bounds)), root / 100.0
 
 
 def scores(chunk, model: Model) -> np.ndarray:
@@ -183,7 +242,7 @@ def scores(chunk, model: Model) -> np.ndarray:
         grams += np.maximum(lengths - n + 1, 0)
     root = np.sqrt(np.maximum(grams, 1.0))
     z = model.bias + model.length * root / 100.0 + total / root
-    return sigmoid(model.slope * np.arcsinh(z) + model.shift)
+    return np.interp(z, model.knots, model.odds)
 
 
 def score_toxicity(
@@ -209,11 +268,18 @@ def score_toxicity(
     learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)")
     learn = learn.where(fold("id", parts) != held_part).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     n, positives = learn.agg(F.count("*"), F.sum("y")).first()
-    prior = (positives or 0) / n if n else 0.0
+    prior = min(max((positives or 0) / n if n else 0.0, 1e-3), 0.9)
     ids = docs.select(F.col(id_col).alias("id")).where(fold("id", parts) != held_part)
     pool = ids.select("id", F.lit(0).alias("y")).union(learn.where("y = 1"))
-    rows = featurised(docs, bounded_sample(pool, per_class), id_col, text_col, lambda c: ngram_counts(c, SIZES, BITS))
-    model = train(rows, prior)
+    texts = sampled_texts(docs, bounded_sample(pool, per_class), id_col, text_col)
+    buckets = bucket_counts(texts, SIZES, BITS, LEAST_POSITIVES)
+    chosen = np.zeros(1 << BITS, dtype=bool)
+    if len(buckets):
+        n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+        # a feature of any fold is among the n-grams that pass a weaker test on the whole sample
+        buckets = buckets[_z(buckets, n.get(1, 1), n.get(0, 1), prior) > LEAST_Z / 2]
+        chosen[buckets[:, 0]] = True
+    model = train(featurised(texts, lambda c: ngram_counts(c, SIZES, BITS, chosen)), buckets, prior)
     model.weights = model.weights.astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import durable
 from .textbatch import ASCII_LOWER, chunks
 
 #: Rows of each class that a model is trained from, at most.
@@ -45,8 +46,14 @@ def bounded_sample(rows: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
 Features = Callable[[object], list[bytes]]
 
 
-def featurised(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, features: Features) -> list[tuple]:
-    """``(y, feature bytes)`` of the sampled documents, in the order of id, y and features.
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, y, text)``: whole texts of the sampled documents, as a written table."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return durable(texts.join(F.broadcast(sample), "id").select("id", "y", "text"), "sample")
+
+
+def featurised(rows: DataFrame, features: Features) -> list[tuple]:
+    """``(y, feature bytes)`` of sampled texts, in the order of id, y and features.
 
     Tasks compute ``features(chunk)`` (bytes for each of its rows) from whole texts; only the
     sample's features reach the driver.
@@ -57,13 +64,32 @@ def featurised(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, f
             out = [x for chunk in chunks(batch.column(2)) for x in features(chunk)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "f"])
 
-    kind = {f.name: f.dataType.simpleString() for f in sample.schema}
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(sample), "id").select("id", "y", "text")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     found = rows.mapInArrow(one, f"id {kind['id']}, y {kind['y']}, f binary").collect()
     return [(r.y, bytes(r.f)) for r in sorted(found, key=lambda r: (r.id, r.y, bytes(r.f)))]
 
 
+def bucket_counts(rows: DataFrame, sizes: tuple[int, ...], bits: int, least: int) -> np.ndarray:
+    """Rows (bucket, n with y = 1, n with y = 0) of n-gram buckets that ``least`` texts with y = 1 have."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, 1 << bits), dtype=np.int64)
+        for batch in batches:
+            y = np.asarray(batch.column(1))
+            for chunk in chunks(batch.column(2)):
+                buckets = [ngram_buckets(chunk.data, chunk.offsets, n, bits) for n in sizes]
+                for i in range(len(chunk)):
+                    own = np.unique(np.concatenate([b[chunk.offsets[i] : chunk.offsets[i + 1]] for b in buckets]))
+                    totals[int(y[chunk.first + i]), own[own < 1 << bits]] += 1
+        at = np.flatnonzero(totals.any(axis=0))
+        columns = [pa.array(at), pa.array(totals[1, at]), pa.array(totals[0, at])]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "p", "u"])
+
+    each = rows.select("id", "y", "text").mapInArrow(one, "bucket bigint, p bigint, u bigint")
+    total = each.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least)
+    return np.array([tuple(r) for r in total.toLocalIterator()], dtype=np.int64).reshape(-1, 3)
+
+
 #: Bytes as n-grams see them: A-Z in lower case, other ASCII characters than letters as blanks.
 _LETTERS = ASCII_LOWER.copy()
 _LETTERS[[b for b in range(128) if not 97 <= ASCII_LOWER[b] <= 122]] = 32
@@ -85,13 +111,22 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> n
     return out
 
 
-def ngram_counts(chunk, sizes: tuple[int, ...], bits: int) -> list[bytes]:
-    """For each row, its n-gram buckets (int32) and how often each occurs (float32), as bytes."""
+def ngram_counts(chunk, sizes: tuple[int, ...], bits: int, chosen: np.ndarray | None = None) -> list[bytes]:
+    """For each row, its n-gram buckets (int32) and how often each occurs (float32), as bytes.
+
+    chosen: keep these buckets only; a last pair then holds ``1 << bits`` and the count of all.
+    """
     buckets = [ngram_buckets(chunk.data, chunk.offsets, n, bits) for n in sizes]
     out = []
     for i in range(len(chunk)):
         own = np.concatenate([b[chunk.offsets[i] : chunk.offsets[i + 1]] for b in buckets])
-        found, counts = np.unique(own[own < 1 << bits], return_counts=True)
+        own = own[own < 1 << bits]
+        total = len(own)
+        if chosen is not None:
+            own = own[chosen[own]]
+        found, counts = np.unique(own, return_counts=True)
+        if chosen is not None:
+            found, counts = np.append(found, 1 << bits), np.append(counts, total)
         out.append(found.astype(np.int32).tobytes() + counts.astype(np.float32).tobytes())
     return out
 
