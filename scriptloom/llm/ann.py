@@ -6,42 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import durable
 
-TABLES = 24
+TABLES = 16
 PROBES = 12
 SEED = 3
-#: Rows of a table's bucket that are compared as one block.
-BLOCK = 2048
-
-
-def _width(dim: int) -> int:
-    return max(2, 1 << (dim - 1).bit_length())
+#: Candidates, and queries, of a bucket that one task compares at a time.
+BLOCK = 4096
+#: Scores nearer than this are told apart by the exact sum over the original vectors.
+_CLOSE = 1e-9
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
-    n, h = x.shape[1], 1
-    x = x.copy()
-    while h < n:
-        x = x.reshape(len(x), -1, 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(len(x), n)
-        h *= 2
-    return x / np.sqrt(n)
+    rows, width = x.shape
+    half = 1
+    while half < width:
+        x = x.reshape(rows, -1, 2, half)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(rows, width)
+        half *= 2
+    return x / np.sqrt(width)
 
 
 def rotate(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     """Pseudo-rotation of a table: three rounds of random signs and a Hadamard transform."""
-    width = _width(x.shape[1])
+    width = max(2, 1 << (x.shape[1] - 1).bit_length())
     out = np.zeros((len(x), width))
     out[:, : x.shape[1]] = x
-    signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, width))
-    for s in signs:
-        out = _hadamard(out * s)
+    for signs in np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, width)):
+        out = _hadamard(out * signs)
     return out
 
 
@@ -50,3 +46,138 @@ def nearest_axes(rotated: np.ndarray, probes: int) -> np.ndarray:
     probes = min(probes, rotated.shape[1])
     order = np.argsort(-np.abs(rotated), axis=1, kind="stable")[:, :probes]
     return order * 2 + (np.take_along_axis(rotated, order, axis=1) < 0)
+
+
+def _hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
+    """``(id, v)`` -> ``(id, v, bucket)``: a row for each table and probe; v holds doubles as bytes."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                raw = batch.column(1).to_pylist()
+                sizes = np.array([len(b) // 8 for b in raw])
+                for dim in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == dim)
+                    x = np.frombuffer(b"".join(raw[i] for i in rows), dtype=np.float64).reshape(-1, dim)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    for table in range(tables):
+                        axes = nearest_axes(rotate(x, table, seed), probes)
+                        take = pa.array(np.repeat(rows, axes.shape[1]))
+                        keys = [f"{dim}.{table}.{a}" for a in axes.ravel().tolist()]
+                        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "v", "bucket"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(one, f"id {kind}, v binary, bucket string")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Vectors (arrays of doubles) as bytes, for fast reading by tasks."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            flat = np.asarray(vectors.flatten(), dtype=np.float64)
+            ends = np.cumsum(np.asarray([len(v) for v in vectors], dtype=np.int64))
+            packed = [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "v"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(one, f"id {kind}, v binary")
+
+
+def _block(rows: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """Deal the rows of a bucket to blocks; each meets every block of the other side."""
+    mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+    return (
+        rows.join(F.broadcast(sizes), "bucket")
+        .withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    )
+
+
+def _compare(k: int):
+    """Of one block of candidates and one of queries, each query's k nearest."""
+
+    def one(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", queries.schema.field("id").type), ("vec_id", candidates.schema.field("id").type), ("score", pa.float64())])
+        if not candidates.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        unpack = lambda t: np.frombuffer(b"".join(t["v"].to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
+        c, q = unpack(candidates), unpack(queries)
+        ids, asked = np.asarray(candidates["id"]), np.asarray(queries["id"])
+        order = np.argsort(ids, kind="stable")
+        ids, c = ids[order], c[order]
+        cn, qn = (np.sqrt((x * x).sum(axis=1)) for x in (c, q))
+        found: list[tuple] = []
+        for at in range(0, len(q), 256):
+            near = (q[at : at + 256] @ c.T) / qn[at : at + 256, None] / cn
+            near[asked[at : at + 256, None] == ids] = -np.inf
+            for i, row in enumerate(near, start=at):
+                # the k best and all that come close to the last of them, in the order of ids
+                edge = np.partition(row, -k)[-k] if len(row) > k else -2.0
+                some = np.flatnonzero(row >= max(edge - _CLOSE, -2.0))
+                exact = (c[some] * q[i]).sum(axis=1) / (cn[some] * qn[i])
+                best = some[np.argsort(-exact, kind="stable")[:k]]
+                found += zip([asked[i]] * k, ids[best], np.sort(exact)[::-1][:k], strict=False)
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return one
+
+
+def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Both sides (id, v, bucket) -> each query's k nearest in every block of its buckets."""
+    blocks = lambda df, to: df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(to))
+    # a few numbers for each bucket: tables times signed axes, however many rows there are
+    sizes = durable(blocks(candidates, "c_block").join(blocks(queries, "q_block"), "bucket"), "buckets")
+    kind = candidates.schema["id"].dataType.simpleString()
+    key = ["bucket", "c_block", "q_block"]
+    left = _block(candidates, "c_block", "q_block", sizes).groupBy(*key)
+    right = _block(queries, "q_block", "c_block", sizes).groupBy(*key)
+    return left.cogroup(right).applyInArrow(_compare(k), f"query_id {kind}, vec_id {kind}, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_neighbours(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    tables: int = TABLES,
+    probes: int = PROBES,
+    seed: int = SEED,
+) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k nearest rows found for each row where ``is_query``.
+
+    Nearness is the cosine of the original vectors in doubles; ties go to the smaller id, and rows
+    with the query's own id are no candidates. Every row is in each table under the nearest signed
+    axis after the table's pseudo-rotation; a query asks for its ``probes`` nearest axes in each.
+    All rows of those buckets are compared exactly, in blocks, so a bucket of any size is whole
+    and no task holds more than a block of each side. A query that met fewer than k candidates is
+    compared with all rows, in blocks too.
+    Vectors null, empty, zero or with a null or non-finite component, and rows with a null id, take
+    no part; vectors of different lengths are never compared. Of rows with the same id and equal
+    vectors one is returned. No queries give an empty result; other columns are ignored.
+    """
+    vector = F.col(vector_col).cast("array<double>")
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+    rows = vectors.select(F.col(id_col).alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("id").isNotNull() & sound)
+    candidates = durable(_packed(rows.select("id", "v")), "vectors")
+    queries = durable(_packed(rows.where("asks").select("id", "v")), "queries")
+    found = _search(_hashed(candidates, tables, 1, seed), _hashed(queries, tables, probes, seed), k)
+    ranked = durable(_ranked(found, k), "neighbours")
+    few = queries.join(ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    few = durable(few.withColumn("bucket", F.octet_length("v").cast("string")), "few")
+    if few.limit(1).count():
+        every = candidates.withColumn("bucket", F.octet_length("v").cast("string"))
+        met = few.select(F.col("id").alias("query_id"))
+        ranked = ranked.join(met, "query_id", "left_anti").unionByName(_ranked(_search(every, few, k), k))
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import encode_texts
 from .decontaminate import find_contamination
 from .language import identify_language
 from .quality import score_quality
+from .repeats import spans_by_document
 from .simhash import near_duplicate_groups
 from .toxicity import score_toxicity
+from .urls import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,53 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines and sentences of 8 words or more that repeat an earlier one."""
+    found = spans_by_document(_table(spark, sf_dir, "documents"))
+    text = F.transform("spans", lambda s: F.concat(s["level"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.lit("="), s["first_id"], F.lit("@"), s["first_start"]))
+    chars = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + F.when(s["level"] == "line", s["end"] - s["start"]).otherwise(0))
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("bigint").alias("n_removed"),
+        chars.alias("line_chars"),
+        F.sha2(F.array_join(F.array_sort(text), ","), 256).alias("spans_sha256"),
+    )
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''
+), cut AS (
+  SELECT doc_id, 'line' AS level, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS p FROM t
+  UNION ALL
+  SELECT doc_id, 'sentence', regexp_extract_all(text, '[^.!?\n]+[.!?]*[ \t]*\n?|[.!?\n]+[ \t]*') FROM t
+), pieces AS (
+  SELECT doc_id, level, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM cut
+), placed AS (
+  SELECT doc_id, level, piece,
+         CAST(sum(length(piece)) OVER (PARTITION BY doc_id, level ORDER BY i) AS BIGINT) AS e
+  FROM pieces
+), units AS (
+  SELECT doc_id, level, e - length(piece) AS s, e,
+         trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM placed
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS first_id, first_value(s) OVER w AS first_s
+  FROM units WHERE len(string_split(norm, ' ')) >= 8
+  WINDOW w AS (PARTITION BY level, norm ORDER BY doc_id, s)
+), spans AS (
+  SELECT DISTINCT doc_id, level, e - s AS n, level || ':' || s || '-' || e || '=' || first_id || '@' || first_s AS x
+  FROM ranked WHERE doc_id <> first_id OR s <> first_s
+), own AS (
+  SELECT doc_id, count(*) AS n, sum(CASE WHEN level = 'line' THEN n ELSE 0 END) AS chars, string_agg(x, ',' ORDER BY x) AS x
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS line_chars,
+       sha256(coalesce(x, '')) AS spans_sha256
+FROM documents LEFT JOIN own USING (doc_id)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by positive-unlabelled learning; predicted at 0.7."""
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -85,6 +135,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all embeddings for each whose vec_id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; nothing is rejected but texts without letters."""
     return identify_language(_table(spark, sf_dir, "documents"))
@@ -96,16 +152,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), path, keep_ids=False)
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rule or by the model."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
+        "op3_repeats": op3_repeats,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
+        "op7_neighbours": op7_neighbours,
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
+        "op10_urls": op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL}
