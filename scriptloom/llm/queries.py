@@ -12,6 +12,7 @@ from .decontaminate import find_contamination
 from .language import identify_language
 from .quality import score_quality
 from .repeats import spans_by_document
+from .secrets import find_secrets
 from .simhash import near_duplicate_groups
 from .toxicity import score_toxicity
 from .urls import judge_urls
@@ -123,6 +124,20 @@ FROM documents LEFT JOIN own USING (doc_id)
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's candidates for secrets, and the spans that the forest takes for secrets."""
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    secrets = F.filter("findings", lambda f: f["secret"])
+    spans = F.transform(secrets, lambda f: F.concat(f["start"], F.lit("-"), f["end"]))
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("bigint").alias("n_candidates"),
+        F.size(secrets).cast("bigint").alias("n_secrets"),
+        F.array_join(spans, ",").alias("secret_spans"),
+        F.array_max(F.transform("findings", lambda f: f["score"])).alias("top_score"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by positive-unlabelled learning; predicted at 0.7."""
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -162,6 +177,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_decontaminate": op2_decontaminate,
         "op3_repeats": op3_repeats,
+        "op4_secrets": op4_secrets,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
         "op7_neighbours": op7_neighbours,

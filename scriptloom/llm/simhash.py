@@ -126,6 +126,7 @@ def near_duplicate_groups(
     )
     linked = labels.join(named, "label").select(F.col("node").alias("fp"), "component_id")
     groups = by_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    groups = durable(groups, "groups")  # both sides are dealt afresh, so that AQE can split a hot fingerprint
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -277,7 +277,7 @@ def score_toxicity(
     if len(buckets):
         n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
         # a feature of any fold is among the n-grams that pass a weaker test on the whole sample
-        buckets = buckets[_z(buckets, n.get(1, 1), n.get(0, 1), prior) > LEAST_Z / 2]
+        buckets = buckets[_z(buckets, n.get(1, 1), n.get(0, 1), prior) > 0.7 * LEAST_Z]
         chosen[buckets[:, 0]] = True
     model = train(featurised(texts, lambda c: ngram_counts(c, SIZES, BITS, chosen)), buckets, prior)
     model.weights = model.weights.astype(np.float32)

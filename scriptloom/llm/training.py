@@ -65,8 +65,9 @@ def featurised(rows: DataFrame, features: Features) -> list[tuple]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "f"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = rows.mapInArrow(one, f"id {kind['id']}, y {kind['y']}, f binary").collect()
-    return [(r.y, bytes(r.f)) for r in sorted(found, key=lambda r: (r.id, r.y, bytes(r.f)))]
+    found = rows.mapInArrow(one, f"id {kind['id']}, y {kind['y']}, f binary").toArrow()
+    found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("f", "ascending")])
+    return list(zip(found["y"].to_pylist(), found["f"].to_pylist(), strict=True))
 
 
 def bucket_counts(rows: DataFrame, sizes: tuple[int, ...], bits: int, least: int) -> np.ndarray:
@@ -87,7 +88,8 @@ def bucket_counts(rows: DataFrame, sizes: tuple[int, ...], bits: int, least: int
 
     each = rows.select("id", "y", "text").mapInArrow(one, "bucket bigint, p bigint, u bigint")
     total = each.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least)
-    return np.array([tuple(r) for r in total.toLocalIterator()], dtype=np.int64).reshape(-1, 3)
+    found = total.toArrow().sort_by("bucket")
+    return np.stack([np.asarray(found[c], dtype=np.int64) for c in ("bucket", "p", "u")], axis=1)
 
 
 #: Bytes as n-grams see them: A-Z in lower case, other ASCII characters than letters as blanks.
