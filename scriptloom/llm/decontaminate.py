@@ -302,8 +302,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], ["row", "doc_id", "n_words"])
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id has a text with a benchmark window; null ids stay."""
-    hit = find_contamination(docs, benchmark, id_col, **options).where("n_hit > 0")
-    gone = hit.select(F.col("doc_id").alias(id_col)).distinct()
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options
+) -> DataFrame:
+    """``docs`` without the rows whose id has a text with a benchmark window; null ids stay.
+
+    Only ids of contaminated documents are joined. See ``find_contamination`` for what counts.
+    """
+    found = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text, **options)
+    gone = durable(found.where("n_hit > 0").select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

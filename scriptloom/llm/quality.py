@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textbatch import chunks
 from .training import PER_CLASS, bounded_sample, featurised, fold, sampled_texts, sigmoid
@@ -156,6 +157,28 @@ def train(rows: list[tuple[int, bytes]]) -> Model:
     return model
 
 
+def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, held_part: int, per_class: int) -> Model:
+    learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    learn = learn.where(fold("id", parts) != held_part).groupBy("id").agg(F.min("y").alias("y"))
+    model = train(featurised(sampled_texts(docs, bounded_sample(learn, per_class), id_col, text_col), bag))
+    return Model({k: np.asarray(x, dtype=np.float32) for k, x in model.p.items()})
+
+
+def _scored(docs: DataFrame, text_col: str, model: Model, name: str) -> DataFrame:
+    """All columns of ``docs`` and the score of each row's text, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [sent.value.score(*passages(c)) for c in chunks(batch.column(at))]
+            out = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, name])
+
+    return docs.mapInArrow(one, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -175,17 +198,25 @@ def score_quality(
     passage. Null ids aren't held out (held_out is null). Labels other than 0 and 1 are ignored;
     of contradicting labels of an id 0 counts. Without both classes the score is a constant.
     """
-    learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    learn = learn.where(fold("id", parts) != held_part).groupBy("id").agg(F.min("y").alias("y"))
-    model = train(featurised(sampled_texts(docs, bounded_sample(learn, per_class), id_col, text_col), bag))
-    sent = docs.sparkSession.sparkContext.broadcast(Model({k: np.asarray(x, dtype=np.float32) for k, x in model.p.items()}))
+    model = _learn(docs, labels, id_col, text_col, label_col, parts, held_part, per_class)
+    scored = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", model, "score")
+    return scored.select("doc_id", (fold("doc_id", parts) == held_part).alias("held_out"), "score")
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [sent.value.score(*passages(c)) for c in chunks(batch.column(1))]
-            out = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(one, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (fold("doc_id", parts) == held_part).alias("held_out"), "score")
+def good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    parts: int = 3,
+    held_part: int = 1,
+    per_class: int = PER_CLASS,
+) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, judged where they are read: no join.
+
+    See ``score_quality`` for the score and its cases.
+    """
+    model = _learn(docs, labels, id_col, text_col, label_col, parts, held_part, per_class)
+    return _scored(docs, text_col, model, "__score").where(F.col("__score") >= threshold).drop("__score")

@@ -137,4 +137,5 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     groups = near_duplicate_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = durable(gone, "copies")
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
