@@ -20,7 +20,7 @@ _SPACE = regex.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2
 #: str.split() splits at these as well.
 _NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
 #: Distinct chunks that a worker remembers of late; up to twice as many in all.
-CACHE = 250_000
+CACHE = 120_000
 _NEVER = 1 << 60
 
 
@@ -296,7 +296,7 @@ def encode_texts(
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [f"doc_id {kind}", "n_tokens bigint", *["token_ids array<int>"] * keep_ids, "ids_sha256 string", "decoded_sha256 string"]
     names = [f.split()[0] for f in fields]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(one, ", ".join(fields))
+    return bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(one, ", ".join(fields))
 
 
 def decode_ids(rows: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import durable
-from .textbatch import ASCII_LOWER, byte_table, chunks, mix, runs, span_hashes
+from .textbatch import ASCII_LOWER, bounded_batches, byte_table, chunks, mix, runs, span_hashes
 
 WINDOW = 10
 #: Words of a gram. A window of ten words has WINDOW - GRAM + 1 of them and winnowing keeps its least.
@@ -256,7 +256,7 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     if size <= broadcast_bytes:
         index = Index([(r[0], r[1].encode()) for r in items.collect()])
-        return docs.mapInArrow(_scan(index), f"doc_id {kind}, {HITS}")
+        return bounded_batches(docs).mapInArrow(_scan(index), f"doc_id {kind}, {HITS}")
     return _by_shuffle(docs, items, kind)
 
 
@@ -268,13 +268,13 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     mine = items.select("item_row", "item_text").mapInArrow(_emit(list(range(1, WINDOW + 1)), True), schema)
     mine = durable(mine.distinct(), "item_fingerprints")
     spans = sorted(r[0] for r in mine.select("span").distinct().collect())  # ten at most
-    theirs = docs.select("row", "text").mapInArrow(_emit(spans, False), schema).distinct()
+    theirs = bounded_batches(docs.select("row", "text")).mapInArrow(_emit(spans, False), schema).distinct()
     pairs = (
         theirs.withColumnRenamed("id", "row").join(mine.withColumnRenamed("id", "item_row"), ["span", "key"])
         .select("row", "item_row").distinct()
     )
     joined = pairs.join(docs.select("row", "text"), "row").join(items, "item_row")
-    checked = joined.select("row", "item_id", "text", "item_text").mapInArrow(
+    checked = bounded_batches(joined.select("row", "item_id", "text", "item_text")).mapInArrow(
         _verify, "row bigint, item_id bigint, spans array<array<bigint>>"
     )
     # words inside any span: the union of intervals, by a running maximum of the ends
@@ -286,7 +286,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     )
     named = checked.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     none = F.array().cast("array<bigint>")
-    counted = docs.select("row", "doc_id", "text").mapInArrow(_count, f"row bigint, doc_id {kind}, n_words bigint")
+    counted = bounded_batches(docs.select("row", "doc_id", "text")).mapInArrow(_count, f"row bigint, doc_id {kind}, n_words bigint")
     return (
         counted.join(words, "row", "left").join(named, "row", "left")
         .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))

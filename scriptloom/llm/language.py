@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import byte_table, chunks, sums_by_row
+from .textbatch import bounded_batches, byte_table, chunks, sums_by_row
 from .training import bounded_sample, featurised, fold, ngram_buckets, ngram_counts, sampled_texts, sparse_rows
 
 SIZES = (2, 3, 4)
@@ -168,5 +168,5 @@ def identify_language(
             yield pa.RecordBatch.from_arrays([batch.column(0), lang, pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(one, f"doc_id {kind}, lang_pred string, score double")
+    found = bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(one, f"doc_id {kind}, lang_pred string, score double")
     return found.select("doc_id", (fold("doc_id", parts) == held_part).alias("held_out"), "lang_pred", "score")

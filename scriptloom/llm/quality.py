@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textbatch import chunks
+from .textbatch import bounded_batches, chunks
 from .training import PER_CLASS, bounded_sample, featurised, fold, sampled_texts, sigmoid
 
 #: Bytes of a passage; a text is cut into passages of this size, the last is shorter.
@@ -176,7 +176,7 @@ def _scored(docs: DataFrame, text_col: str, model: Model, name: str) -> DataFram
             out = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, name])
 
-    return docs.mapInArrow(one, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return bounded_batches(docs).mapInArrow(one, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_quality(

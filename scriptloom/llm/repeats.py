@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import durable
+from .textbatch import bounded_batches
 
 #: A unit of fewer words is never removed: short ones repeat by chance.
 MIN_WORDS = 8
@@ -73,7 +74,7 @@ def repeated_spans(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0))
-    units = rows.mapInArrow(_units(list(levels), min_words), f"doc_id {kind}, level int, start bigint, end bigint, digest binary")
+    units = bounded_batches(rows).mapInArrow(_units(list(levels), min_words), f"doc_id {kind}, level int, start bigint, end bigint, digest binary")
     units = durable(units, "units")
     first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
     first = durable(first.where("n > 1").select("digest", "first"), "repeated")

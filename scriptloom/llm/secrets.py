@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Chunk, byte_table, chunks, runs
+from .textbatch import bounded_batches, byte_table, Chunk, chunks, runs
 
 #: A candidate is a run of these bytes, SHORTEST or more, with a digit, or with LONGEST_PLAIN or more.
 _PART = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.~")
@@ -267,7 +267,7 @@ def find_secrets(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item))], ["doc_id", "findings"])
 
     schema = f"doc_id {kind}, findings array<struct<start: bigint, end: bigint, score: double, secret: boolean>>"
-    return docs.select(F.col(id_col), F.col(text_col), path.alias("path")).mapInArrow(one, schema)
+    return bounded_batches(docs.select(F.col(id_col), F.col(text_col), path.alias("path"))).mapInArrow(one, schema)
 
 
 def redact_secrets(
@@ -293,4 +293,4 @@ def redact_secrets(
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(one, docs.schema)
+    return bounded_batches(rows).mapInArrow(one, docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import durable
-from .textbatch import ASCII_LOWER, byte_table, chunks, runs
+from .textbatch import ASCII_LOWER, bounded_batches, byte_table, chunks, mix, runs
 
 SEED = 42
 #: The white space between words: blank and the control characters 9 to 13.
@@ -20,26 +20,54 @@ _SPACE = byte_table([32, *range(9, 14)])
 _SLICE = 1 << 16
 
 
-def fingerprint(words: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int = 3) -> int:
-    """SimHash of one text: ``words`` is space-joined, ``starts`` and ``ends`` bound its words."""
+def _shingles(starts: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of runs of ``shingle`` words; of all words where there are fewer."""
     n = len(starts)
-    if not n:
-        return 0
     if n > shingle:
-        starts, ends = starts[: n - shingle + 1], ends[shingle - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
+        return starts[: n - shingle + 1], ends[shingle - 1 :]
+    return starts[:1], ends[-1:]
+
+
+def fingerprint(words: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int = 3, size: int = 1) -> list[int]:
+    """SimHash of one text in ``size`` words of 64 bits, as signed integers.
+
+    words is space-joined, starts and ends bound its words. The first word is of the shingles'
+    XXH64, each other one of those hashes mixed anew.
+    """
+    if not len(starts):
+        return [0] * size
+    starts, ends = _shingles(starts, ends, shingle)
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((size, 64), dtype=np.int64)
     for at in range(0, len(starts), _SLICE):  # bounds the memory that a very long text takes
         spans = zip(starts[at : at + _SLICE].tolist(), ends[at : at + _SLICE].tolist(), strict=True)
-        hashes = np.array([digest(words[a:b], SEED) for a, b in spans], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big", signed=True)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with one row per row of ``docs``; fp is the 64-bit SimHash as a long.
+        hashes = np.array([digest(words[a:b], SEED) for a, b in spans], dtype=np.uint64)
+        for k in range(size):
+            own = hashes if not k else mix((hashes + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93))
+            ones[k] += np.unpackbits(own.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * x > len(starts)).tobytes(), "big", signed=True) for x in ones]
+
+
+def _joined(chunk) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(row, its words joined by blanks, their starts and ends) for each row of a chunk."""
+    space = _SPACE[chunk.data]
+    starts, ends, first = runs(~space, chunk.offsets)
+    keep = ~space
+    keep[ends[ends < len(keep)]] = True
+    joined = ASCII_LOWER[chunk.data]
+    joined[space] = 32
+    lengths = ends - starts
+    for i in range(len(chunk)):
+        lo, hi = first[i], first[i + 1]
+        a, b = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
+        to = np.cumsum(lengths[lo:hi] + 1) - 1
+        yield i, joined[a:b][keep[a:b]].tobytes().lstrip(b" "), to - lengths[lo:hi], to
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, size: int = 1) -> DataFrame:
+    """``(doc_id, fp, more)`` with one row per row of ``docs``.
+
+    fp is the 64-bit SimHash as a long, more an array of ``size`` - 1 further words of it.
 
     Lower-cases A-Z, takes runs of anything but ASCII white space as words and hashes each run of
     ``shingle`` words (repeats count; a shorter text is one shingle). A null, empty or blank text
@@ -48,29 +76,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows, dtype=np.int64)
+            out = np.zeros((batch.num_rows, size), dtype=np.int64)
             for chunk in chunks(batch.column(1)):
-                inside = ~_SPACE[chunk.data]
-                starts, ends, first = runs(inside, chunk.offsets)
-                lengths = ends - starts
-                # words joined by single blanks, for all rows of the chunk at once
-                keep = inside.copy()
-                blanks = ends[ends < len(keep)]
-                keep[blanks] = True
-                joined = ASCII_LOWER[chunk.data]
-                joined[_SPACE[chunk.data]] = 32
-                for i in range(len(chunk)):
-                    lo, hi = first[i], first[i + 1]
-                    if lo == hi:
-                        continue
-                    a, b = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
-                    text = joined[a:b][keep[a:b]].tobytes().lstrip(b" ")
-                    to = np.cumsum(lengths[lo:hi] + 1) - 1
-                    out[chunk.first + i] = fingerprint(text, to - lengths[lo:hi], to, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "fp"])
+                for i, words, starts, ends in _joined(chunk):
+                    out[chunk.first + i] = fingerprint(words, starts, ends, shingle, size)
+            more = pa.FixedSizeListArray.from_arrays(pa.array(out[:, 1:].ravel()), size - 1) if size > 1 else pa.nulls(len(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), more.cast(pa.list_(pa.int64()))], ["doc_id", "fp", "more"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(one, f"doc_id {kind}, fp bigint")
+    return bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(one, f"doc_id {kind}, fp bigint, more array<bigint>")
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -116,26 +130,109 @@ def near_duplicate_groups(
     A null id takes part but never names a group (component_id is null if the group has no id).
     An empty table gives an empty result.
     """
-    fps = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return _grouped(durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), radius)
+
+
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     by_fp = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "by_fp")
     labels = durable(connected_components(links(by_fp, radius)), "labels")
     # the smallest id of each linked component; fingerprints without links keep their own
-    named = (
-        labels.join(by_fp, labels.node == by_fp.fp)
-        .groupBy("label").agg(F.min("first_id").alias("component_id"))
-    )
+    named = labels.join(by_fp, labels.node == by_fp.fp).groupBy("label").agg(F.min("first_id").alias("component_id"))
     linked = labels.join(named, "label").select(F.col("node").alias("fp"), "component_id")
     groups = by_fp.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     groups = durable(groups, "groups")  # both sides are dealt afresh, so that AQE can split a hot fingerprint
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of pairs of texts as alike as asked for, the share that the segments must bring together.
+RECALL = 0.97
+#: Bits of 128 that may differ before texts are compared: over four standard errors above what is asked for.
+NEAR = 40
+
+
+def segment_plan(n: int, similarity: float) -> tuple[int, int]:
+    """(width, number) of segments for n fingerprints.
+
+    A bit of two SimHashes differs with probability acos(c) / pi, c the shingles' cosine, about
+    2 s / (1 + s) for a similarity s. The width is that of n, so that a random pair seldom shares a
+    value; so many segments are taken that one is within one bit for ``RECALL`` of the pairs.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    width = int(np.clip(np.ceil(np.log2(max(n, 2))), 16, 32))
+    hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return width, int(np.ceil(np.log(1 - RECALL) / np.log(1 - hit)))
+
+
+def _wide_pairs(signatures: DataFrame, width: int, number: int) -> DataFrame:
+    """Multi-index hashing on long fingerprints: pairs ``(u, v)`` of ids, u below v.
+
+    Each segment has a table of its values. A probe asks for its value and those with one 0 bit
+    set; ids and the first two words meet, and pairs within ``NEAR`` of 128 bits leave the join.
+    """
+    each = 64 // width
+    words = F.concat(F.array("fp"), F.col("more"))
+    mask = F.lit((1 << width) - 1)
+    value = [
+        F.shiftrightunsigned(F.get(words, F.lit(k // each)), (k % each) * width).bitwiseAND(mask) + F.lit(k << 33) for k in range(number)
+    ]
+    rows = signatures.select("doc_id", "fp", F.get("more", F.lit(0)).alias("fp2"), F.explode(F.array(*value)).alias("key"))
+    zeros = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("key"), i).bitwiseAND(F.lit(1)) == 0)
+    ball = F.concat(F.array("key"), F.transform(zeros, lambda i: F.col("key") + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
+    probes = rows.select(F.col("doc_id").alias("a"), F.col("fp").alias("a1"), F.col("fp2").alias("a2"), F.explode(ball).alias("key"))
+    table = rows.select(F.col("doc_id").alias("b"), F.col("fp").alias("b1"), F.col("fp2").alias("b2"), "key")
+    bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    near = probes.join(table, "key").where((F.col("a") != F.col("b")) & (bits <= NEAR))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _jaccard(shingle: int, similarity: float):
+    """Rows (u, v, text, other) -> (u, v) where the sets of shingles are alike enough."""
+
+    def sets(column: pa.Array) -> Iterator[set[bytes]]:
+        for chunk in chunks(column):
+            for _, words, starts, ends in _joined(chunk):
+                yield {words[a:b] for a, b in zip(*(x.tolist() for x in _shingles(starts, ends, shingle)), strict=True)}
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [len(a & b) >= similarity * max(1, len(a | b)) for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
+            keep = pa.array(alike, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+
+    return one
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: groups of texts whose sets of word shingles are alike (Jaccard).
+
+    First fingerprints of 64 bits link at three or fewer, which makes one node of each dense group
+    of copies, however large. Of each group the document of the smallest id then stands for it:
+    long fingerprints of these bring pairs together by multi-index hashing, the pairs' whole texts
+    are compared, and those with a similarity of ``similarity`` or more link. component_id is the
+    smallest id that can be reached. Ids must be integers; rows with a null id are left out. Texts
+    without words are one group. An empty table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    width, number = segment_plan(docs.count(), similarity)
+    size = max(2, -(-number // (64 // width)))
+    fps = durable(fingerprints(docs, shingle=shingle, size=size), "fingerprints")
+    dense = durable(_grouped(fps, 3), "dense").distinct()
+    heads = fps.join(dense.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pairs = durable(_wide_pairs(heads, width, number), "pairs")
+    ids = durable(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "paired")
+    texts = durable(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "paired_texts")
+    both = pairs.join(texts.toDF("u", "text"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "text", "other")
+    alike = bounded_batches(both).mapInArrow(_jaccard(shingle, similarity), "u bigint, v bigint")
+    labels = durable(connected_components(alike), "labels").select(F.col("node").alias("component_id"), "label")
+    named = dense.join(labels, "component_id", "left")
+    return named.select("doc_id", F.coalesce("label", "component_id").alias("component_id"))
+
+
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest id.
+    """``docs`` with one document of each group of ``similar_groups``: that of the smallest id.
 
-    Rows with a null id are kept as they are; of rows that repeat the id of a kept document, all stay.
+    Rows with a null id stay as they are; of rows that repeat the id of a kept document, all stay.
     """
-    groups = near_duplicate_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = durable(gone, "copies")
+    groups = similar_groups(docs, id_col, text_col, **options)
+    gone = durable(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -12,8 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 500
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -29,6 +31,18 @@ def byte_table(inside) -> np.ndarray:
     return table
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, for mapInArrow: its session is set to hand over at most ``BATCH_ROWS`` rows at a time.
+
+    Texts may be long, so Spark's 10,000 rows could fill a worker. A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 @dataclass
 class Chunk:
     """Rows ``first`` to ``first + len(self)`` of a batch; row i is ``data[offsets[i]:offsets[i + 1]]``."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import chunks, sums_by_row
+from .textbatch import bounded_batches, chunks, sums_by_row
 from .training import (
     PER_CLASS,
     bounded_sample,
@@ -290,5 +290,5 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(one, f"doc_id {kind}, score double")
+    scored = bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(one, f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold("doc_id", parts) == held_part).alias("held_out"), "score")

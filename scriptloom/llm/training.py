@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import durable
-from .textbatch import ASCII_LOWER, chunks
+from .textbatch import ASCII_LOWER, bounded_batches, chunks
 
 #: Rows of each class that a model is trained from, at most.
 PER_CLASS = 2000
@@ -65,7 +65,7 @@ def featurised(rows: DataFrame, features: Features) -> list[tuple]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "f"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = rows.mapInArrow(one, f"id {kind['id']}, y {kind['y']}, f binary").toArrow()
+    found = bounded_batches(rows).mapInArrow(one, f"id {kind['id']}, y {kind['y']}, f binary").toArrow()
     found = found.sort_by([("id", "ascending"), ("y", "ascending"), ("f", "ascending")])
     return list(zip(found["y"].to_pylist(), found["f"].to_pylist(), strict=True))
 
@@ -86,7 +86,7 @@ def bucket_counts(rows: DataFrame, sizes: tuple[int, ...], bits: int, least: int
         columns = [pa.array(at), pa.array(totals[1, at]), pa.array(totals[0, at])]
         yield pa.RecordBatch.from_arrays(columns, ["bucket", "p", "u"])
 
-    each = rows.select("id", "y", "text").mapInArrow(one, "bucket bigint, p bigint, u bigint")
+    each = bounded_batches(rows.select("id", "y", "text")).mapInArrow(one, "bucket bigint, p bigint, u bigint")
     total = each.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least)
     found = total.toArrow().sort_by("bucket")
     return np.stack([np.asarray(found[c], dtype=np.int64) for c in ("bucket", "p", "u")], axis=1)

@@ -86,11 +86,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def buckets(host: Column, path: Column) -> Column:
     """Buckets of the character n-grams of host and path, repeats included; each part has marked ends."""
     text = F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$"))
-    parts = []
-    for n in SIZES:
+
+    def of_size(n: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.lit(n - 1)))
-        parts.append(F.transform(at, lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(WIDTH)).cast("int")))
-    return F.concat(*parts)
+        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(WIDTH)).cast("int"))
+
+    return F.concat(*[of_size(n) for n in SIZES])
 
 
 def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
