@@ -42,9 +42,10 @@ def decide(scored: DataFrame, threshold: float = 0.92) -> DataFrame:
     return scored.withColumn("decision", decision)
 
 
-def _grams(text: Column, step: int) -> Column:
-    last = F.greatest(F.length(text) - F.lit(GRAM - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.xxhash64(F.substring(text, i, F.lit(GRAM))))
+def _pieces(text: Column, n: int) -> Column:
+    """All substrings of n characters."""
+    last = F.greatest(F.length(text) - F.lit(n - 1), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
 
 
 def find_passages(scripts: DataFrame, quotes: DataFrame, broadcast_rows: int = 2000) -> DataFrame:
@@ -60,7 +61,7 @@ def find_passages(scripts: DataFrame, quotes: DataFrame, broadcast_rows: int = 2
         found = scripts.join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote")))
         return found.select("script_id", "quote_id")
     long_ones = quotes.where(F.length("quote") >= GRAM).withColumn("gram", F.xxhash64(F.substring("quote", 1, GRAM)))
-    grams = scripts.where(F.length("text") >= GRAM).select("script_id", F.explode(F.array_distinct(_grams(F.col("text"), 1))).alias("gram"))
+    grams = scripts.where(F.length("text") >= GRAM).select("script_id", F.explode(F.array_distinct(F.transform(_pieces(F.col("text"), GRAM), lambda x: F.xxhash64(x)))).alias("gram"))
     pairs = grams.join(long_ones.select("quote_id", "gram"), "gram").select("script_id", "quote_id").distinct()
     checked = pairs.join(scripts, "script_id").join(long_ones, "quote_id").where(F.contains("text", "quote"))
     # every quote of n < 16 characters is a whole n-gram of the texts that hold it
@@ -68,8 +69,7 @@ def find_passages(scripts: DataFrame, quotes: DataFrame, broadcast_rows: int = 2
     sizes = [r[0] for r in short.select("n").distinct().collect()]  # fifteen at most
     out = checked.select("script_id", "quote_id")
     for n in sizes:
-        at = F.sequence(F.lit(1), F.greatest(F.length("text") - F.lit(n - 1), F.lit(1)))
-        pieces = F.array_distinct(F.transform(at, lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))))
+        pieces = F.array_distinct(_pieces(F.col("text"), n))
         own = scripts.select("script_id", F.explode(pieces).alias("quote"))
         out = out.unionByName(own.join(short.where(F.col("n") == n), "quote").select("script_id", "quote_id"))
     return out.distinct()
