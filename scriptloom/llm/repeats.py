@@ -127,5 +127,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
     )
     return rows.select(
-        *[F.array_join(pieces, "").alias(c) if c == text_col else F.col(c) for c in docs.columns], spans.alias("removed")
+        *[F.when(F.col(c).isNotNull(), F.array_join(pieces, "")).alias(c) if c == text_col else F.col(c) for c in docs.columns], spans.alias("removed")
     )
