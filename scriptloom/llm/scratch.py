@@ -1,29 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables of the corpus operators: those of the library."""
 
-A table written here cuts the lineage: a lost executor costs a re-read, not a recomputation.
-"""
+from ..scratch import durable, shared_folder
 
-from __future__ import annotations
-
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-scratch-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}").rstrip("/")
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return a reader of it."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["durable", "shared_folder"]
