@@ -170,11 +170,12 @@ class Encoder:
         self.before: dict[str, tuple[str, str, int]] = {}
         #: word -> the same
         self.words: dict[str, tuple[str, str, int]] = {}
+        self.words_before: dict[str, tuple[str, str, int]] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        v, words = self.vocabulary, self.words
-        if len(words) > self.limit:
-            words.clear()
+        if len(self.words) > self.limit:
+            self.words, self.words_before = {}, self.words
+        v, words, before = self.vocabulary, self.words, self.words_before
         split = []
         for chunk in chunks:
             if chunk.isalpha() and chunk.isascii():
@@ -183,7 +184,12 @@ class Encoder:
                 split.append([chunk[:-1].lower(), chunk[-1]])
             else:
                 split.append(v.words.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()))
-        new = list(dict.fromkeys(w for own in split for w in own if w not in words))
+        new = []
+        for word in dict.fromkeys(w for own in split for w in own if w not in words):
+            if word in before:
+                words[word] = before[word]
+            else:
+                new.append(word)
         if new:
             plain = [w if w.isascii() and w.isprintable() else "".join(map(v.letters.__getitem__, w.encode())) for w in new]
             for word, found in zip(new, v.encode_words(plain), strict=True):
