@@ -144,45 +144,121 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of pairs of texts as alike as asked for, the share that the segments must bring together.
-RECALL = 0.97
-#: Bits of 128 that may differ before texts are compared: over four standard errors above what is asked for.
-NEAR = 40
+#: One document in so many is looked at for frequent shingles, this many documents at least.
+SAMPLE, SAMPLE_LEAST = 16, 20_000
+#: Frequent shingles that the order of shingles knows.
+FREQUENT = 100_000
+#: Rounds in which texts with a run of so many shingles in common are compared with one of them only.
+STARS = (12, 6, 6, 5)
 
 
-def segment_plan(n: int, similarity: float) -> tuple[int, int]:
-    """(width, number) of segments for n fingerprints.
+def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
+    """``(doc_id, node, n, keys, text)`` of ``(doc_id, text)``, one row per row.
 
-    A bit of two SimHashes differs with probability acos(c) / pi, c the shingles' cosine, about
-    2 s / (1 + s) for a similarity s. The width is that of n, so that a random pair seldom shares a
-    value; so many segments are taken that one is within one bit for ``RECALL`` of the pairs.
+    A text's set are the XXH64 of its distinct shingles: node is a digest of the whole set, n its
+    size and keys what ``take`` returns of it (all of it as a sorted array of unsigned integers).
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    width = int(np.clip(np.ceil(np.log2(max(n, 2))), 16, 32))
-    hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    return width, int(np.ceil(np.log(1 - RECALL) / np.log(1 - hit)))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for chunk in chunks(batch.column(1)):
+                for _, words, starts, ends in _joined(chunk):
+                    spans = zip(*(x.tolist() for x in _shingles(starts, ends, shingle)), strict=True)
+                    own = np.unique(np.fromiter((digest(words[a:b], SEED) for a, b in spans), dtype=np.uint64))
+                    nodes.append(digest(own.tobytes(), SEED))
+                    sizes.append(len(own))
+                    keys.append(take(own).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
+            columns = [
+                batch.column(0),
+                pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                pa.array(np.array(sizes, dtype=np.int64)),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                batch.column(1),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys", "text"])
+
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, n bigint, keys array<bigint>, text string")
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that many documents of a sample have, and in how many they are.
+
+    They only order the shingles; which pairs are found doesn't depend on them.
+    """
+    share = max(1, min(SAMPLE, docs.count() // SAMPLE_LEAST))
+    some = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), shingle, lambda own: own)
+    found = some.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key")).groupBy("key").count()
+    table = found.where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table.column("count").to_numpy()[order].astype(np.int64)
+
+
+def rare_prefix(similarity: float, frequent: np.ndarray, counts: np.ndarray):
+    """Of a set of n its n - ceil(similarity n) + 1 first shingles, rare ones before frequent ones.
+
+    Two sets as alike as asked for share ``similarity`` of the larger at least, so in any common
+    order their prefixes share a shingle.
+    """
+
+    def take(own: np.ndarray) -> np.ndarray:
+        n = len(own)
+        size = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+            own = own[np.argsort(np.where(frequent[at] == own, counts[at], 0), kind="stable")]
+        return own[:size]
+
+    return take
+
+
+def _alike_sizes(similarity: float, a: str, b: str):
+    """Whether sets of these sizes may be alike enough."""
+    return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
+
+
+def _run_rows(rows: DataFrame, length: int) -> DataFrame:
+    """``rows`` with digests of runs of ``length`` shared shingles of a text, by their order, as keys.
+
+    The longer the run, the more alike are the texts that have it in common.
+    """
+    if length == 1:
+        return rows
+    lists = rows.groupBy("node", "n").agg(F.sort_array(F.collect_list("key")).alias("own"))
+    at = F.sequence(F.lit(0), F.greatest(F.size("own") - length, F.lit(0)))
+    return lists.select("node", "n", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("own", i + 1, length)))).alias("key"))
+
+
+def _star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs of each shingle's first text (in an order by ``turn``) with those of other components."""
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "c"))
+    per = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first.alias("f")).where("lo <> hi")
+    per = per.select("key", F.col("f.node").alias("first"), F.col("f.n").alias("first_n"), F.col("f.c").alias("first_c"))
+    near = rows.join(per, "key").where((F.col("c") != F.col("first_c")) & _alike_sizes(similarity, "n", "first_n"))
+    return near.select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v")).distinct()
 
 
-def _wide_pairs(signatures: DataFrame, width: int, number: int) -> DataFrame:
-    """Multi-index hashing on long fingerprints: pairs ``(u, v)`` of ids, u below v.
+def _other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of texts that share a shingle and aren't in one component.
 
-    Each segment has a table of its values. A probe asks for its value and those with one 0 bit
-    set; ids and the first two words meet, and pairs within ``NEAR`` of 128 bits leave the join.
+    One side has only the texts outside of a shingle's largest component, so that a large group
+    that is one component by now isn't paired with itself. A pair shares what it has in common
+    in its prefixes, and beyond them no more than what follows one of the prefixes; a pair for
+    which that can't be enough is left out.
     """
-    each = 64 // width
-    words = F.concat(F.array("fp"), F.col("more"))
-    mask = F.lit((1 << width) - 1)
-    value = [
-        F.shiftrightunsigned(F.get(words, F.lit(k // each)), (k % each) * width).bitwiseAND(mask) + F.lit(k << 33) for k in range(number)
-    ]
-    rows = signatures.select("doc_id", "fp", F.get("more", F.lit(0)).alias("fp2"), F.explode(F.array(*value)).alias("key"))
-    zeros = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("key"), i).bitwiseAND(F.lit(1)) == 0)
-    ball = F.concat(F.array("key"), F.transform(zeros, lambda i: F.col("key") + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
-    probes = rows.select(F.col("doc_id").alias("a"), F.col("fp").alias("a1"), F.col("fp2").alias("a2"), F.explode(ball).alias("key"))
-    table = rows.select(F.col("doc_id").alias("b"), F.col("fp").alias("b1"), F.col("fp2").alias("b2"), "key")
-    bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    near = probes.join(table, "key").where((F.col("a") != F.col("b")) & (bits <= NEAR))
-    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    most = rows.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("most"), F.count("*").alias("k"))
+    rows = rows.join(most.where("k > 1").select("key", "most"), "key")
+    a = rows.where("c <> most").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), (F.col("c") == F.col("most")).alias("large"))
+    apart = (F.col("ac") != F.col("bc")) & (F.col("large") | (F.col("a") < F.col("b"))) & _alike_sizes(similarity, "an", "bn")
+    near = a.join(b, "key").where(apart).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), (F.col("an") + F.col("bn")).alias("both"), F.greatest("an", "bn").alias("larger"))
+    counted = near.groupBy("u", "v", "both", "larger").agg(F.count("*").alias("common"))
+    beyond = F.ceil(F.lit(similarity) * F.col("larger") - 1e-9) - 1
+    return counted.where(F.col("common") + beyond >= F.lit(similarity / (1 + similarity)) * F.col("both") - 1e-6).select("u", "v")
 
 
 def _jaccard(shingle: int, similarity: float):
@@ -205,27 +281,48 @@ def _jaccard(shingle: int, similarity: float):
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose sets of word shingles are alike (Jaccard).
 
-    First fingerprints of 64 bits link at three or fewer, which makes one node of each dense group
-    of copies, however large. Of each group the document of the smallest id then stands for it:
-    long fingerprints of these bring pairs together by multi-index hashing, the pairs' whole texts
-    are compared, and those with a similarity of ``similarity`` or more link. component_id is the
-    smallest id that can be reached. Ids must be integers; rows with a null id are left out. Texts
-    without words are one group. An empty table gives an empty result.
+    Texts with one set are one node, however many. A pair of different sets with a similarity of
+    ``similarity`` or more has a common shingle in their rare prefixes (exact at any length);
+    pairs that share one are compared by their whole texts, and only these comparisons link.
+    Pairs whose ends are in one component already are left out: in the first rounds a shingle's
+    texts are compared with one of them, in the last all that are still apart are compared.
+    component_id is the smallest id that can be reached. Ids must be integers; rows with a null id
+    are left out. Texts without words are one group. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    width, number = segment_plan(docs.count(), similarity)
-    size = max(2, -(-number // (64 // width)))
-    fps = durable(fingerprints(docs, shingle=shingle, size=size), "fingerprints")
-    dense = durable(_grouped(fps, 3), "dense").distinct()
-    heads = fps.join(dense.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = durable(_wide_pairs(heads, width, number), "pairs")
-    ids = durable(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "paired")
-    texts = durable(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "paired_texts")
-    both = pairs.join(texts.toDF("u", "text"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "text", "other")
-    alike = bounded_batches(both).mapInArrow(_jaccard(shingle, similarity), "u bigint, v bigint")
-    labels = durable(connected_components(alike), "labels").select(F.col("node").alias("component_id"), "label")
-    named = dense.join(labels, "component_id", "left")
-    return named.select("doc_id", F.coalesce("label", "component_id").alias("component_id"))
+    take = rare_prefix(similarity, *frequent_shingles(docs, shingle))
+    sets = durable(shingle_sets(docs, shingle, take), "sets")
+    keys = sets.select("node", "n", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = durable(shared.select("key"), "shared")
+    rows = durable(keys.join(shared, "key").select("key", "node", "n").distinct(), "rows")
+
+    links = compared = labels = None
+    for turn, length in enumerate((*STARS, None)):
+        named = rows if length is None else _run_rows(rows, length)
+        if labels is None:
+            named = named.withColumn("c", F.col("node"))
+        else:
+            named = named.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("c"))
+        named = durable(named, "named")
+        pairs = _other_pairs(named, similarity) if length is None else _star_pairs(named, similarity, turn)
+        if compared is not None:
+            pairs = pairs.join(compared, ["u", "v"], "left_anti")
+        pairs = durable(pairs, "pairs")
+        nodes = durable(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired")
+        texts = durable(sets.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "paired_texts")
+        both = pairs.join(texts.toDF("u", "text"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "text", "other")
+        alike = durable(bounded_batches(both).mapInArrow(_jaccard(shingle, similarity), "u bigint, v bigint"), "alike")
+        links = alike if links is None else links.union(alike)
+        compared = pairs if compared is None else compared.union(pairs)
+        labels = durable(connected_components(links), "labels").toDF("node", "label")
+
+    ids = sets.select("doc_id", "node")
+    named = durable(ids.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left"), "nodes")
+    label = F.coalesce("label", "node")
+    groups = durable(named.groupBy(label.alias("label")).agg(F.min("first_id").alias("component_id")), "groups")
+    named = durable(named.select("node", label.alias("label")).join(groups, "label").select("node", "component_id"), "components")
+    return ids.join(named, "node").select("doc_id", "component_id").distinct()
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
