@@ -20,3 +20,31 @@ def words(seed, n):
 def test_a_repeated_line_does_not_join_unrelated_texts(spark):
     texts = [" ".join(words(k, 400)) + f"\n{LINE}" * 50 for k in range(2)]
     assert grouped(spark, texts) == {0: 0, 1: 1}
+
+
+def test_a_link_to_any_text_of_a_dense_group_counts(spark):
+    head = words(1, 400)
+    near = [*head]
+    near[20:200:26] = words(2, 7)
+    far = [*near]
+    far[220:400:26] = words(3, 7)
+    texts = [" ".join(head) + f"\n{LINE}" * 50, " ".join(near) + f"\n{LINE}" * 50, " ".join(far) + f"\n{LINE}"]
+    assert grouped(spark, texts) == {0: 0, 1: 0, 2: 0}
+
+
+def test_groups_of_drifting_copies_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    texts = [words(5, 120)]
+    for _ in range(150):
+        own = [*rng.choice(texts[-20:])]
+        for _ in range(rng.randrange(1, 6)):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(116)} for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert grouped(spark, [" ".join(t) for t in texts]) == dict(enumerate(label))
