@@ -32,6 +32,11 @@ def test_a_link_to_any_text_of_a_dense_group_counts(spark):
     assert grouped(spark, texts) == {0: 0, 1: 0, 2: 0}
 
 
+def test_repeat_counts_do_not_matter(spark):
+    base = " ".join(words(4, 400))
+    assert grouped(spark, [base + f"\n{LINE}" * n for n in (2, 20, 50)]) == {0: 0, 1: 0, 2: 0}
+
+
 def test_groups_of_drifting_copies_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     texts = [words(5, 120)]
