@@ -37,6 +37,11 @@ def test_repeat_counts_do_not_matter(spark):
     assert grouped(spark, [base + f"\n{LINE}" * n for n in (2, 20, 50)]) == {0: 0, 1: 0, 2: 0}
 
 
+def test_short_texts_are_found(spark):
+    texts = [" ".join(w[:n]) for k in range(300) for w in [words(100 + k, 9)] for n in (8, 9)]
+    assert grouped(spark, texts) == {i: i - i % 2 for i in range(600)}
+
+
 def test_groups_of_drifting_copies_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     texts = [words(5, 120)]
