@@ -58,7 +58,7 @@ VIEWS["fx_scenes"] = """SELECT script_id, scene_id, scene_order,
 FROM fx_scene_rows"""
 VIEWS["fx_elements"] = """SELECT conv_id AS script_id, CAST(turn * 2 + part AS INT) AS element_idx,
   CASE WHEN role = 'system' THEN 'Scene Heading' WHEN part = 0 THEN 'Character' ELSE 'Dialogue' END AS element,
-  CASE WHEN role = 'system' THEN 'INT. ' || upper(substr(coalesce(text, ''), 1, 12)) WHEN part = 0 THEN upper(role) ELSE substr(coalesce(text, ''), 1, 40) END AS text
+  CASE WHEN role = 'system' THEN 'INT. ' || upper(substr(coalesce(text, ''), 1, 12)) WHEN part = 0 THEN upper(role) ELSE coalesce(text, '') END AS text
 FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL) c
 CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1) p WHERE NOT (role = 'system' AND part = 1)"""
 VIEWS["fx_candidates"] = """SELECT s.script_id, s.scene_id, s.scene_order, e.engine,
