@@ -18,8 +18,17 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}").rstrip("/")
+    """The folder of ``spark.checkpoint.dir``; where that is unset one of our own, on a local master only.
+
+    On a cluster each executor would write to its own disk, so there a missing setting is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{_own_folder()}"
+    return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
