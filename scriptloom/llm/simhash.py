@@ -148,26 +148,25 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
 SAMPLE, SAMPLE_LEAST = 16, 20_000
 #: Frequent shingles that the order of shingles knows.
 FREQUENT = 100_000
-#: Rounds in which texts with a run of so many shingles in common are compared with one of them only.
-STARS = (12, 6, 6, 5)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
-    """``(doc_id, node, n, keys, text)`` of ``(doc_id, text)``, one row per row.
+    """``(doc_id, node, fp, n, keys)`` of ``(doc_id, text)``, one row per row.
 
-    A text's set are the XXH64 of its distinct shingles: node is a digest of the whole set, n its
-    size and keys what ``take`` returns of it (all of it as a sorted array of unsigned integers).
+    A text's set are the XXH64 of its distinct shingles: node is a digest of the whole set, fp its
+    SimHash, n its size and keys what ``take`` returns of it (all of it as unsigned integers).
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, fps, sizes, keys = [], [], [], []
             for chunk in chunks(batch.column(1)):
                 for _, words, starts, ends in _joined(chunk):
                     spans = zip(*(x.tolist() for x in _shingles(starts, ends, shingle)), strict=True)
                     own = np.unique(np.fromiter((digest(words[a:b], SEED) for a, b in spans), dtype=np.uint64))
                     nodes.append(digest(own.tobytes(), SEED))
+                    fps.append(_majority(own))
                     sizes.append(len(own))
                     keys.append(take(own).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
@@ -175,13 +174,21 @@ def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
             columns = [
                 batch.column(0),
                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                pa.array(fps, pa.int64()),
                 pa.array(np.array(sizes, dtype=np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                batch.column(1),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys", "text"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", "keys"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, n bigint, keys array<bigint>, text string")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, fp bigint, n bigint, keys array<bigint>")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have set, as a signed integer."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _SLICE):
+        ones += np.unpackbits(hashes[at : at + _SLICE].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
 def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,113 +223,112 @@ def rare_prefix(similarity: float, frequent: np.ndarray, counts: np.ndarray):
     return take
 
 
-def _alike_sizes(similarity: float, a: str, b: str):
-    """Whether sets of these sizes may be alike enough."""
-    return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
+def _may_be_alike(similarity: float, a: str, b: str):
+    """Whether two sets whose first common shingle is this one may be alike enough.
 
+    Of sets of n and m, alike ones share s / (1 + s) (n + m); from the first common shingle on
+    both must have as many left. This is exact: every alike pair passes at its first common one.
+    """
+    needed = F.lit(similarity / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) - 1e-6
+    return (F.col(f"{a}n") - F.col(f"{a}at") >= needed) & (F.col(f"{b}n") - F.col(f"{b}at") >= needed)
 
-def _run_rows(rows: DataFrame, length: int) -> DataFrame:
-    """``rows`` with digests of runs of ``length`` shared shingles of a text, by their order, as keys.
 
-    The longer the run, the more alike are the texts that have it in common.
-    """
-    if length == 1:
-        return rows
-    lists = rows.groupBy("node", "n").agg(F.sort_array(F.collect_list("key")).alias("own"))
-    at = F.sequence(F.lit(0), F.greatest(F.size("own") - length, F.lit(0)))
-    return lists.select("node", "n", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("own", i + 1, length)))).alias("key"))
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of sets whose SimHash differs in 3 bits at most: one set of each SimHash stands for it."""
+    nodes = sets.select("node", "fp").distinct()
+    first = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")), "by_fp")
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    u, v = first.toDF("u", "first_u"), first.toDF("v", "first_v")
+    near = links(first).join(u, "u").join(v, "v").select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+    return same.union(near).distinct()
 
 
 def _star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs of each shingle's first text (in an order by ``turn``) with those of other components."""
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "c"))
+    """Pairs of each shingle's first text with those of other components.
+
+    In the first turn it is the text with the fewest rarer shingles, the least edited one of a
+    group of near copies; in later ones any.
+    """
+    order = [F.col("at")] * (not turn) + [F.xxhash64("node", F.lit(turn))]
+    first = F.min(F.struct(*order, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc")))
     per = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first.alias("f")).where("lo <> hi")
-    per = per.select("key", F.col("f.node").alias("first"), F.col("f.n").alias("first_n"), F.col("f.c").alias("first_c"))
-    near = rows.join(per, "key").where((F.col("c") != F.col("first_c")) & _alike_sizes(similarity, "n", "first_n"))
-    return near.select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v")).distinct()
+    a = rows.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"))
+    near = a.join(per.select("key", "f.b", "f.bn", "f.bat", "f.bc"), "key").where((F.col("ac") != F.col("bc")) & _may_be_alike(similarity, "a", "b"))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def _other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of texts that share a shingle and aren't in one component.
+    """All pairs of texts that share a shingle, may be alike and aren't in one component.
 
     One side has only the texts outside of a shingle's largest component, so that a large group
-    that is one component by now isn't paired with itself. A pair shares what it has in common
-    in its prefixes, and beyond them no more than what follows one of the prefixes; a pair for
-    which that can't be enough is left out.
+    that is one component by now isn't paired with itself.
     """
     most = rows.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("most"), F.count("*").alias("k"))
     rows = rows.join(most.where("k > 1").select("key", "most"), "key")
-    a = rows.where("c <> most").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), (F.col("c") == F.col("most")).alias("large"))
-    apart = (F.col("ac") != F.col("bc")) & (F.col("large") | (F.col("a") < F.col("b"))) & _alike_sizes(similarity, "an", "bn")
-    near = a.join(b, "key").where(apart).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), (F.col("an") + F.col("bn")).alias("both"), F.greatest("an", "bn").alias("larger"))
-    counted = near.groupBy("u", "v", "both", "larger").agg(F.count("*").alias("common"))
-    beyond = F.ceil(F.lit(similarity) * F.col("larger") - 1e-9) - 1
-    return counted.where(F.col("common") + beyond >= F.lit(similarity / (1 + similarity)) * F.col("both") - 1e-6).select("u", "v")
+    side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("at").alias(f"{x}at"), F.col("c").alias(f"{x}c")]
+    a = rows.where("c <> most").select("key", *side("a"))
+    b = rows.select("key", *side("b"), (F.col("c") == F.col("most")).alias("large"))
+    apart = (F.col("ac") != F.col("bc")) & (F.col("large") | (F.col("a") < F.col("b"))) & _may_be_alike(similarity, "a", "b")
+    return a.join(b, "key").where(apart).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def _jaccard(shingle: int, similarity: float):
-    """Rows (u, v, text, other) -> (u, v) where the sets of shingles are alike enough."""
+def _alike(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose whole sets of shingles are alike enough (Jaccard).
 
-    def sets(column: pa.Array) -> Iterator[set[bytes]]:
-        for chunk in chunks(column):
-            for _, words, starts, ends in _joined(chunk):
-                yield {words[a:b] for a, b in zip(*(x.tolist() for x in _shingles(starts, ends, shingle)), strict=True)}
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [len(a & b) >= similarity * max(1, len(a | b)) for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
-            keep = pa.array(alike, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
-
-    return one
+    ``firsts`` has a doc_id of each node; the sets of paired nodes are made anew from their texts.
+    """
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    ids = firsts.join(nodes, "node").select("doc_id").distinct()
+    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle, lambda own: own)
+    sets = durable(sets.select("node", "n", "keys"), "whole_sets").dropDuplicates(["node"])
+    both = pairs.join(sets.toDF("u", "un", "us"), "u").join(sets.toDF("v", "vn", "vs"), "v")
+    both = both.select("u", "v", (F.col("un") + F.col("vn")).alias("both"), F.size(F.array_intersect("us", "vs")).alias("common"))
+    return both.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common")) - 1e-9).select("u", "v")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose sets of word shingles are alike (Jaccard).
 
-    Texts with one set are one node, however many. A pair of different sets with a similarity of
-    ``similarity`` or more has a common shingle in their rare prefixes (exact at any length);
-    pairs that share one are compared by their whole texts, and only these comparisons link.
-    Pairs whose ends are in one component already are left out: in the first rounds a shingle's
-    texts are compared with one of them, in the last all that are still apart are compared.
-    component_id is the smallest id that can be reached. Ids must be integers; rows with a null id
-    are left out. Texts without words are one group. An empty table gives an empty result.
+    Texts with one set are one node, however many. First, nodes whose SimHash (of the distinct
+    shingles) is within 3 bits are found by multi-index hashing. SimHash can't find every pair that
+    is alike, so an exact way follows for the rest: a pair with a similarity of ``similarity`` or
+    more has a common shingle in its rare prefixes, at any length. All candidates are compared by
+    their whole sets, and only these comparisons link. Pairs whose ends are in one component
+    already are left out: two rounds compare a shingle's texts with one of them, the last compares
+    all that are still apart. component_id is the smallest id that can be reached. Ids must be
+    integers; rows with a null id are left out. Texts without words are one group, null texts
+    among them. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     take = rare_prefix(similarity, *frequent_shingles(docs, shingle))
     sets = durable(shingle_sets(docs, shingle, take), "sets")
-    keys = sets.select("node", "n", F.explode("keys").alias("key"))
+    firsts = durable(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    keys = sets.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = durable(shared.select("key"), "shared")
-    rows = durable(keys.join(shared, "key").select("key", "node", "n").distinct(), "rows")
+    rows = durable(keys.join(shared, "key").select("key", "node", "n", "at").distinct(), "rows")
 
-    links = compared = labels = None
-    for turn, length in enumerate((*STARS, None)):
-        named = rows if length is None else _run_rows(rows, length)
-        if labels is None:
-            named = named.withColumn("c", F.col("node"))
+    linked = labels = compared = None
+    for turn in range(4):
+        if not turn:
+            pairs = _simhash_pairs(sets)
         else:
-            named = named.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("c"))
-        named = durable(named, "named")
-        pairs = _other_pairs(named, similarity) if length is None else _star_pairs(named, similarity, turn)
+            named = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("c"))
+            named = durable(named, "named")
+            pairs = _other_pairs(named, similarity) if turn == 3 else _star_pairs(named, similarity, turn - 1)
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         pairs = durable(pairs, "pairs")
-        nodes = durable(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired")
-        texts = durable(sets.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "paired_texts")
-        both = pairs.join(texts.toDF("u", "text"), "u").join(texts.toDF("v", "other"), "v").select("u", "v", "text", "other")
-        alike = durable(bounded_batches(both).mapInArrow(_jaccard(shingle, similarity), "u bigint, v bigint"), "alike")
-        links = alike if links is None else links.union(alike)
         compared = pairs if compared is None else compared.union(pairs)
-        labels = durable(connected_components(links), "labels").toDF("node", "label")
+        alike = durable(_alike(pairs, docs, firsts, shingle, similarity), "alike")
+        linked = alike if linked is None else linked.union(alike)
+        labels = durable(connected_components(linked), "labels").toDF("node", "label")
 
-    ids = sets.select("doc_id", "node")
-    named = durable(ids.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left"), "nodes")
     label = F.coalesce("label", "node")
+    named = durable(firsts.select("node", F.col("doc_id").alias("first_id")).join(labels, "node", "left"), "nodes")
     groups = durable(named.groupBy(label.alias("label")).agg(F.min("first_id").alias("component_id")), "groups")
     named = durable(named.select("node", label.alias("label")).join(groups, "label").select("node", "component_id"), "components")
-    return ids.join(named, "node").select("doc_id", "component_id").distinct()
+    return sets.select("doc_id", "node").join(named, "node").select("doc_id", "component_id").distinct()
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
