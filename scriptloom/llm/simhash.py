@@ -223,6 +223,24 @@ def rare_prefix(similarity: float, frequent: np.ndarray, counts: np.ndarray):
     return take
 
 
+def _shared_places(sets: DataFrame) -> DataFrame:
+    """``(key, node, n, at)``: the places of the prefix shingles that a node has in common with another.
+
+    Shingles that the same nodes have are one key, at the place of the first of them: the order of
+    shingles is the same in every node, so a pair's first common shingle is still there. That
+    leaves one row for a passage instead of one for each of its shingles.
+    """
+    place = F.shiftleft(F.col("n"), 32) + F.col("at")
+    keys = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", place.alias("place"))
+    often = keys.groupBy("key").count().where("count > 1").select("key")
+    rows = durable(keys.join(often, "key").distinct(), "shared")
+    digest = F.xxhash64("node")
+    nodes = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod(digest, F.lit(1 << 40))).alias("s"), F.bit_xor(digest).alias("x"))
+    nodes = nodes.where("k > 1").select("key", F.xxhash64("k", "s", "x").alias("nodes"))
+    first = rows.join(nodes, "key").groupBy(F.col("nodes").alias("key"), "node").agg(F.min("place").alias("place"))
+    return first.select("key", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
+
+
 def _may_be_alike(similarity: float, a: str, b: str):
     """Whether two sets whose first common shingle is this one may be alike enough.
 
@@ -303,10 +321,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     take = rare_prefix(similarity, *frequent_shingles(docs, shingle))
     sets = durable(shingle_sets(docs, shingle, take), "sets")
     firsts = durable(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    keys = sets.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = durable(shared.select("key"), "shared")
-    rows = durable(keys.join(shared, "key").select("key", "node", "n", "at").distinct(), "rows")
+    rows = durable(_shared_places(sets), "rows")
 
     linked = labels = compared = None
     for turn in range(4):
