@@ -148,25 +148,32 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
 SAMPLE, SAMPLE_LEAST = 16, 20_000
 #: Frequent shingles that the order of shingles knows.
 FREQUENT = 100_000
+#: Buckets of a set's sketch.
+BUCKETS = 1024
+#: Bits of the table of document ids that is sent to all tasks: 2^24, 262,144 rows at most.
+ID_BITS = 24
 
 
 def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
-    """``(doc_id, node, fp, n, keys)`` of ``(doc_id, text)``, one row per row.
+    """``(doc_id, node, fp, sketch, n, keys)`` of ``(doc_id, text)``, one row per row.
 
     A text's set are the XXH64 of its distinct shingles: node is a digest of the whole set, fp its
-    SimHash, n its size and keys what ``take`` returns of it (all of it as unsigned integers).
+    SimHash, sketch has for each of ``BUCKETS`` hash buckets whether an odd number of shingles is in
+    it (as longs), n is the size and keys what ``take`` returns (all of it as unsigned integers).
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            nodes, fps, sizes, keys = [], [], [], []
+            nodes, fps, sketches, sizes, keys = [], [], [], [], []
             for chunk in chunks(batch.column(1)):
                 for _, words, starts, ends in _joined(chunk):
                     spans = zip(*(x.tolist() for x in _shingles(starts, ends, shingle)), strict=True)
                     own = np.unique(np.fromiter((digest(words[a:b], SEED) for a, b in spans), dtype=np.uint64))
                     nodes.append(digest(own.tobytes(), SEED))
                     fps.append(_majority(own))
+                    odd = np.bincount((own & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     sizes.append(len(own))
                     keys.append(take(own).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
@@ -175,12 +182,13 @@ def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
                 batch.column(0),
                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                 pa.array(fps, pa.int64()),
+                pa.array(sketches, pa.list_(pa.int64())),
                 pa.array(np.array(sizes, dtype=np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "sketch", "n", "keys"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, fp bigint, n bigint, keys array<bigint>")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, fp bigint, sketch array<bigint>, n bigint, keys array<bigint>")
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -261,18 +269,16 @@ def _simhash_pairs(sets: DataFrame) -> DataFrame:
     return same.union(near).distinct()
 
 
-def _star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs of each shingle's first text with those of other components.
+def _star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the texts of each shingle with the one of them that has the fewest rarer shingles.
 
-    In the first turn it is the text with the fewest rarer shingles, the least edited one of a
-    group of near copies; in later ones any.
+    In a group of near copies that is the least edited one.
     """
-    order = [F.col("at")] * (not turn) + [F.xxhash64("node", F.lit(turn))]
-    first = F.min(F.struct(*order, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc")))
-    per = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), first.alias("f")).where("lo <> hi")
-    a = rows.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"))
-    near = a.join(per.select("key", "f.b", "f.bn", "f.bat", "f.bc"), "key").where((F.col("ac") != F.col("bc")) & _may_be_alike(similarity, "a", "b"))
-    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    first = F.min(F.struct(F.col("at").alias("bat"), F.col("node").alias("b"), F.col("n").alias("bn")))
+    per = rows.groupBy("key").agg(first.alias("f")).select("key", "f.*")
+    a = rows.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"))
+    near = a.join(per, "key").where((F.col("a") != F.col("b")) & _may_be_alike(similarity, "a", "b"))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -290,15 +296,39 @@ def _other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "key").where(apart).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
+def _near(pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sketches differ in no more bits than alike sets may differ in shingles.
+
+    Each shingle that only one of two sets has changes one bit, so no alike pair is lost.
+    """
+    of = lambda x: firsts.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    apart = F.aggregate(F.zip_with("us", "vs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("un") + F.col("vn")) + 1e-6).select("u", "v")
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of these ids.
+
+    A table of ``2 ** ID_BITS`` bits, whatever the number of ids, is broadcast and spares most other
+    rows the shuffle; the join decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    table = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    maybe = docs.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("mask").bitwiseAND(bit) != 0)
+    return maybe.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose whole sets of shingles are alike enough (Jaccard).
 
     ``firsts`` has a doc_id of each node; the sets of paired nodes are made anew from their texts.
     """
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    ids = firsts.join(nodes, "node").select("doc_id").distinct()
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle, lambda own: own)
-    sets = durable(sets.select("node", "n", "keys"), "whole_sets").dropDuplicates(["node"])
+    ids = durable(firsts.join(nodes, "node").select("doc_id").distinct(), "ids")
+    sets = shingle_sets(_of_ids(docs, ids), shingle, lambda own: own).select("node", "n", "keys")
+    sets = durable(sets, "whole_sets").dropDuplicates(["node"])
     both = pairs.join(sets.toDF("u", "un", "us"), "u").join(sets.toDF("v", "vn", "vs"), "v")
     both = both.select("u", "v", (F.col("un") + F.col("vn")).alias("both"), F.size(F.array_intersect("us", "vs")).alias("common"))
     return both.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common")) - 1e-9).select("u", "v")
@@ -307,37 +337,31 @@ def _alike(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, s
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose sets of word shingles are alike (Jaccard).
 
-    Texts with one set are one node, however many. First, nodes whose SimHash (of the distinct
+    Texts with one set are one node, however many. First the nodes whose SimHash (of the distinct
     shingles) is within 3 bits are found by multi-index hashing. SimHash can't find every pair that
     is alike, so an exact way follows for the rest: a pair with a similarity of ``similarity`` or
-    more has a common shingle in its rare prefixes, at any length. All candidates are compared by
-    their whole sets, and only these comparisons link. Pairs whose ends are in one component
-    already are left out: two rounds compare a shingle's texts with one of them, the last compares
-    all that are still apart. component_id is the smallest id that can be reached. Ids must be
-    integers; rows with a null id are left out. Texts without words are one group, null texts
-    among them. An empty table gives an empty result.
+    more has a common shingle in its rare prefixes, at any length. In the first round a shingle's
+    texts meet one of them, in the second all that aren't in one component yet. Only comparisons of
+    whole sets link. component_id is the smallest id that can be reached. Ids must be integers; rows
+    with a null id are left out. Texts without words are one group, null texts among them. An
+    empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     take = rare_prefix(similarity, *frequent_shingles(docs, shingle))
     sets = durable(shingle_sets(docs, shingle, take), "sets")
-    firsts = durable(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    firsts = F.min(F.struct("doc_id", "n", "sketch")).alias("f")
+    firsts = durable(sets.groupBy("node").agg(firsts).select("node", "f.*"), "firsts")
     rows = durable(_shared_places(sets), "rows")
 
-    linked = labels = compared = None
-    for turn in range(4):
-        if not turn:
-            pairs = _simhash_pairs(sets)
-        else:
-            named = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("c"))
-            named = durable(named, "named")
-            pairs = _other_pairs(named, similarity) if turn == 3 else _star_pairs(named, similarity, turn - 1)
-        if compared is not None:
-            pairs = pairs.join(compared, ["u", "v"], "left_anti")
-        pairs = durable(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        alike = durable(_alike(pairs, docs, firsts, shingle, similarity), "alike")
-        linked = alike if linked is None else linked.union(alike)
-        labels = durable(connected_components(linked), "labels").toDF("node", "label")
+    pairs = _simhash_pairs(sets).union(_star_pairs(rows, similarity)).distinct()
+    pairs = durable(_near(pairs, firsts, similarity), "pairs")
+    linked = durable(_alike(pairs, docs, firsts, shingle, similarity), "alike")
+    labels = durable(connected_components(linked), "labels").toDF("node", "label")
+    named = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("c"))
+    others = _other_pairs(durable(named, "named"), similarity).join(pairs, ["u", "v"], "left_anti")
+    others = durable(_near(others, firsts, similarity), "others")
+    linked = linked.union(durable(_alike(others, docs, firsts, shingle, similarity), "alike"))
+    labels = durable(connected_components(linked), "labels").toDF("node", "label")
 
     label = F.coalesce("label", "node")
     named = durable(firsts.select("node", F.col("doc_id").alias("first_id")).join(labels, "node", "left"), "nodes")
