@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ _SPACE = regex.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2
 _NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
 #: Distinct chunks that a worker remembers of late; up to twice as many in all.
 CACHE = 120_000
+#: Words of more letters are merged by a heap, and aren't remembered after their texts.
+LONG = 100
 _NEVER = 1 << 60
 
 
@@ -123,6 +126,8 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """Exact merging: the earliest merge, leftmost first, until none applies."""
         parts = [self.ids[u] for u in (*word[:-1], word[-1] + self.end)]
+        if len(parts) > LONG:
+            return self._merge_long(parts)
         rank, base = self.rank.get, self.base
         ranks = [rank(a * base + b, _NEVER) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < _NEVER:
@@ -135,6 +140,27 @@ class Vocabulary:
                 ranks[i] = rank(made * base + parts[i + 1], _NEVER)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same for long words: a heap of the merges that apply, over parts linked to their neighbours."""
+        rank, base, n = self.rank.get, self.base, len(parts)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a * base + b, _NEVER)) < _NEVER]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j < 0 or rank(parts[i] * base + parts[j]) != best:
+                continue  # one of the two has been merged meanwhile
+            parts[i], parts[j] = self.made[best], -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank(parts[i] * base + parts[k], _NEVER)) < _NEVER:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank(parts[h] * base + parts[i], _NEVER)) < _NEVER:
+                heapq.heappush(heap, (r, h))
+        return [p for p in parts if p >= 0]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of words in byte letters.
 
@@ -245,6 +271,12 @@ class Encoder:
                 "".join([x[1] for x in found])[1:],
                 sum([x[2] for x in found]),
             )
+        for own in parts:
+            for c in own:
+                if len(c) > LONG:
+                    known.pop(c, None)
+        for w in [w for w in self.words if len(w) > LONG]:
+            del self.words[w]
 
 
 @functools.lru_cache(maxsize=1)
@@ -279,7 +311,8 @@ def encode_texts(
     by its pattern, bytes as letters, merges with word ends; no special tokens added, those in a
     text are kept) and decodes them by joining the tokens with blanks. ids_sha256 is of the ids
     joined by blanks, decoded_sha256 of the decoded text. A null text is an empty one. Ids may be
-    null or repeated; other columns are ignored. The file is read once by the driver and sent to
+    null or repeated; other columns are ignored; an empty table gives an empty result. A word of any
+    length takes time in proportion, but for a logarithm. The file is read once by the driver and sent to
     the tasks as a broadcast (a vocabulary, so its size doesn't follow the data).
     """
     with open(tokenizer_path, encoding="utf-8") as file:
