@@ -14,7 +14,7 @@ from .scratch import durable
 TABLES = 16
 PROBES = 12
 SEED = 3
-#: Candidates, and queries, of a bucket that one task compares at a time.
+#: Candidates, and queries, that one task compares at a time.
 BLOCK = 4096
 #: Scores nearer than this are told apart by the exact sum over the original vectors.
 _CLOSE = 1e-9
@@ -48,71 +48,76 @@ def nearest_axes(rotated: np.ndarray, probes: int) -> np.ndarray:
     return order * 2 + (np.take_along_axis(rotated, order, axis=1) < 0)
 
 
-def _hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
-    """``(id, v)`` -> ``(id, v, bucket)``: a row for each table and probe; v holds doubles as bytes."""
+def _unpacked(packed: list[bytes], dtype: str) -> np.ndarray:
+    """Rows of vectors of one length as doubles, each scaled by a power of two so that its largest component is near 1."""
+    x = np.frombuffer(b"".join(packed), dtype=dtype).reshape(len(packed), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _packed(rows: DataFrame, dtype: str, tables: int, probes: int, seed: int) -> DataFrame:
+    """``(id, v)`` -> ``(id, v, axes)``: vectors as bytes, and for each table the ``probes`` nearest axes."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                raw = batch.column(1).to_pylist()
-                sizes = np.array([len(b) // 8 for b in raw])
-                for dim in np.unique(sizes):
-                    rows = np.flatnonzero(sizes == dim)
-                    x = np.frombuffer(b"".join(raw[i] for i in rows), dtype=np.float64).reshape(-1, dim)
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    for table in range(tables):
-                        axes = nearest_axes(rotate(x, table, seed), probes)
-                        take = pa.array(np.repeat(rows, axes.shape[1]))
-                        keys = [f"{dim}.{table}.{a}" for a in axes.ravel().tolist()]
-                        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.string())]
-                        yield pa.RecordBatch.from_arrays(columns, ["id", "v", "bucket"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(one, f"id {kind}, v binary, bucket string")
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """Vectors (arrays of doubles) as bytes, for fast reading by tasks."""
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(1)
-            flat = np.asarray(vectors.flatten(), dtype=np.float64)
-            ends = np.cumsum(np.asarray([len(v) for v in vectors], dtype=np.int64))
-            packed = [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "v"])
+                flat = np.asarray(batch.column(1).flatten(), dtype=dtype)
+                ends = np.cumsum(np.asarray([len(v) for v in batch.column(1)], dtype=np.int64))
+                packed = [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
+                axes: list[bytes] = [b""] * len(packed)
+                sizes = np.array([len(p) for p in packed])
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    x = _unpacked([packed[i] for i in own], dtype)
+                    codes = np.stack([nearest_axes(rotate(x, table, seed), probes) for table in range(tables)], axis=1).astype(np.int32)
+                    for i, code in zip(own, codes, strict=True):
+                        axes[i] = code.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(axes, pa.binary())], ["id", "v", "axes"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(one, f"id {kind}, v binary")
+    return rows.mapInArrow(one, f"id {kind}, v binary, axes binary")
 
 
 def _block(rows: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
-    """Deal the rows of a bucket to blocks; each meets every block of the other side."""
+    """Deal the rows of a length to blocks; each meets every block of the other side."""
     mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
     return (
-        rows.join(F.broadcast(sizes), "bucket")
+        rows.withColumn("bucket", F.octet_length("v")).join(F.broadcast(sizes), "bucket")
         .withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     )
 
 
-def _compare(k: int):
-    """Of one block of candidates and one of queries, each query's k nearest."""
+def _met(queries: np.ndarray, candidates: np.ndarray, width: int) -> np.ndarray:
+    """Whether a query asks for the axis of a candidate in one of the tables: (rows, tables, probes), (rows, tables)."""
+    met = np.zeros((len(queries), len(candidates)), dtype=bool)
+    for table in range(candidates.shape[1]):
+        asked = np.zeros((len(queries), width), dtype=bool)
+        asked[np.arange(len(queries))[:, None], queries[:, table]] = True
+        met |= asked[:, candidates[:, table]]
+    return met
+
+
+def _compare(k: int, dtype: str, tables: int, hashed: bool):
+    """Of one block of candidates and one of queries, each query's k nearest of those that it meets (of all, unless hashed)."""
 
     def one(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", queries.schema.field("id").type), ("vec_id", candidates.schema.field("id").type), ("score", pa.float64())])
         if not candidates.num_rows or not queries.num_rows:
             return schema.empty_table()
-        unpack = lambda t: np.frombuffer(b"".join(t["v"].to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
-        c, q = unpack(candidates), unpack(queries)
+        c, q = (_unpacked(t["v"].to_pylist(), dtype) for t in (candidates, queries))
+        axes = lambda t: np.frombuffer(b"".join(t["axes"].to_pylist()), dtype=np.int32).reshape(t.num_rows, tables, -1)
+        mine, theirs = axes(candidates)[:, :, 0], axes(queries)
         ids, asked = np.asarray(candidates["id"]), np.asarray(queries["id"])
         order = np.argsort(ids, kind="stable")
-        ids, c = ids[order], c[order]
+        ids, c, mine = ids[order], c[order], mine[order]
         cn, qn = (np.sqrt((x * x).sum(axis=1)) for x in (c, q))
+        width = int(max(mine.max(), theirs.max())) + 1
         found: list[tuple] = []
         for at in range(0, len(q), 256):
             near = (q[at : at + 256] @ c.T) / qn[at : at + 256, None] / cn
             near[asked[at : at + 256, None] == ids] = -np.inf
+            if hashed:
+                near[~_met(theirs[at : at + 256], mine, width)] = -np.inf
             for i, row in enumerate(near, start=at):
                 # the k best and all that come close to the last of them, in the order of ids
                 edge = np.partition(row, -k)[-k] if len(row) > k else -2.0
@@ -126,16 +131,15 @@ def _compare(k: int):
     return one
 
 
-def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Both sides (id, v, bucket) -> each query's k nearest in every block of its buckets."""
-    blocks = lambda df, to: df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(to))
-    # a few numbers for each bucket: tables times signed axes, however many rows there are
-    sizes = durable(blocks(candidates, "c_block").join(blocks(queries, "q_block"), "bucket"), "buckets")
+def _search(candidates: DataFrame, queries: DataFrame, k: int, dtype: str, tables: int, hashed: bool) -> DataFrame:
+    """Both sides (id, v, axes) -> each query's k nearest in every block."""
+    blocks = lambda df, to: df.groupBy(F.octet_length("v").alias("bucket")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(to))
+    sizes = durable(blocks(candidates, "c_block").join(blocks(queries, "q_block"), "bucket"), "lengths")  # a row for each length of vectors
     kind = candidates.schema["id"].dataType.simpleString()
     key = ["bucket", "c_block", "q_block"]
     left = _block(candidates, "c_block", "q_block", sizes).groupBy(*key)
     right = _block(queries, "q_block", "c_block", sizes).groupBy(*key)
-    return left.cogroup(right).applyInArrow(_compare(k), f"query_id {kind}, vec_id {kind}, score double")
+    return left.cogroup(right).applyInArrow(_compare(k, dtype, tables, hashed), f"query_id {kind}, vec_id {kind}, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -159,9 +163,10 @@ def nearest_neighbours(
     Nearness is the cosine of the original vectors in doubles; ties go to the smaller id, and rows
     with the query's own id are no candidates. Every row is in each table under the nearest signed
     axis after the table's pseudo-rotation; a query asks for its ``probes`` nearest axes in each.
-    All rows of those buckets are compared exactly, in blocks, so a bucket of any size is whole
-    and no task holds more than a block of each side. A query that met fewer than k candidates is
-    compared with all rows, in blocks too.
+    Axes are found where vectors are read and travel with them; a row is sent once for each block
+    of queries, a query once for each block of rows, and what a query asks for is compared exactly
+    there. So no task holds more than a block of each side, however many rows an axis has. A query
+    that met fewer than k candidates is compared with all rows, in blocks too.
     Vectors null, empty, zero or with a null or non-finite component, and rows with a null id, take
     no part; vectors of different lengths are never compared. Of rows with the same id and equal
     vectors one is returned. No queries give an empty result; other columns are ignored.
@@ -170,14 +175,13 @@ def nearest_neighbours(
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & sound)
-    candidates = durable(_packed(rows.select("id", "v")), "vectors")
-    queries = durable(_packed(rows.where("asks").select("id", "v")), "queries")
-    found = _search(_hashed(candidates, tables, 1, seed), _hashed(queries, tables, probes, seed), k)
-    ranked = durable(_ranked(found, k), "neighbours")
+    dtype = "f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
+    candidates = durable(_packed(rows.select("id", "v"), dtype, tables, 1, seed), "vectors")
+    queries = durable(_packed(rows.where("asks").select("id", "v"), dtype, tables, probes, seed), "queries")
+    ranked = durable(_ranked(_search(candidates, queries, k, dtype, tables, True), k), "neighbours")
     few = queries.join(ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-    few = durable(few.withColumn("bucket", F.octet_length("v").cast("string")), "few")
+    few = durable(few, "few")
     if few.limit(1).count():
-        every = candidates.withColumn("bucket", F.octet_length("v").cast("string"))
         met = few.select(F.col("id").alias("query_id"))
-        ranked = ranked.join(met, "query_id", "left_anti").unionByName(_ranked(_search(every, few, k), k))
+        ranked = ranked.join(met, "query_id", "left_anti").unionByName(_ranked(_search(candidates, few, k, dtype, tables, False), k))
     return ranked.select("query_id", "rank", "vec_id", "score")
