@@ -20,9 +20,12 @@ GRAM = 5
 #: Words are runs of digits, letters and bytes of non-ASCII characters.
 _WORD = byte_table([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: Above so much benchmark text the fingerprints are joined by a shuffle instead of sent to each task.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
 
-HITS = "n_words bigint, n_hit bigint, item_ids array<bigint>"
+
+def _item_type(kind: str) -> tuple[str, pa.DataType]:
+    """Integers are handed on as bigint, other ids as text."""
+    return ("bigint", pa.int64()) if kind in ("tinyint", "smallint", "int", "bigint") else ("string", pa.string())
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -145,8 +148,11 @@ def _inside(n: int, spans: list[tuple[int, int, int]]) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
-def _scan(index: Index):
+def _scan(sent, item_type: pa.DataType):
+    """sent: the broadcast index; a worker reads it once."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = sent.value
         for batch in batches:
             n_words = np.zeros(batch.num_rows, dtype=np.int64)
             n_hit = np.zeros(batch.num_rows, dtype=np.int64)
@@ -170,7 +176,7 @@ def _scan(index: Index):
                     found = {index.items[k][0] for _, _, k in spans}
                     ids[chunk.first + row] = sorted(found - {None})
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(ids, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(ids, pa.list_(item_type))],
                 ["doc_id", "n_words", "n_hit", "item_ids"],
             )
 
@@ -210,22 +216,26 @@ def _emit(lengths: list[int], own_length: bool):
     return emit
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(item_type: pa.DataType):
     """Rows (row, item_id, text, item text) -> (row, item_id, spans): the verified spans of one item."""
-    for batch in batches:
-        rows, ids, spans = [], [], []
-        for row, item_id, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, index = _words(text.encode()), Index([(item_id, item.encode())])
-            n = index.lengths[0]
-            at, keys = Index.fingerprints(words, n)
-            if own := _spans(words, index.lookup(n, at, keys), index.items):
-                rows.append(row)
-                ids.append(item_id)
-                spans.append([[a, b] for a, b, _ in own])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-            ["row", "item_id", "spans"],
-        )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, spans = [], [], []
+            for row, item_id, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, index = _words(text.encode()), Index([(item_id, item.encode())])
+                n = index.lengths[0]
+                at, keys = Index.fingerprints(words, n)
+                if own := _spans(words, index.lookup(n, at, keys), index.items):
+                    rows.append(row)
+                    ids.append(item_id)
+                    spans.append([[a, b] for a, b, _ in own])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(ids, item_type), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+                ["row", "item_id", "spans"],
+            )
+
+    return verify
 
 
 def find_contamination(
@@ -247,20 +257,24 @@ def find_contamination(
     The benchmark's text is measured first: up to ``broadcast_bytes`` its index goes to every task
     and documents are never shuffled; beyond that fingerprints are joined by a shuffle.
     Null or empty texts have no words; items without words match nothing; an item with a null id
-    hits but isn't named; rows may repeat. Null document ids are kept. Other columns are ignored.
+    hits but isn't named; rows may repeat. Null document ids are kept. Item ids that aren't integers
+    are handed on as text. Empty tables are allowed: without items nothing is hit. Other columns
+    are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("item_text"))
+    item_kind, item_type = _item_type(benchmark.schema[item_col].dataType.simpleString())
+    items = benchmark.select(F.col(item_col).cast(item_kind).alias("item_id"), F.col(item_text).alias("item_text"))
     items = items.where("item_text is not null")
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     if size <= broadcast_bytes:
         index = Index([(r[0], r[1].encode()) for r in items.collect()])
-        return bounded_batches(docs).mapInArrow(_scan(index), f"doc_id {kind}, {HITS}")
-    return _by_shuffle(docs, items, kind)
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        return bounded_batches(docs).mapInArrow(_scan(sent, item_type), f"doc_id {kind}, n_words bigint, n_hit bigint, item_ids array<{item_kind}>")
+    return _by_shuffle(docs, items, kind, item_kind, item_type)
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
+def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str, item_kind: str, item_type: pa.DataType) -> DataFrame:
     docs = durable(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
     items = items.withColumn("item_row", F.monotonically_increasing_id())
     items = durable(items, "items")
@@ -275,7 +289,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     )
     joined = pairs.join(docs.select("row", "text"), "row").join(items, "item_row")
     checked = bounded_batches(joined.select("row", "item_id", "text", "item_text")).mapInArrow(
-        _verify, "row bigint, item_id bigint, spans array<array<bigint>>"
+        _verify(item_type), f"row bigint, item_id {item_kind}, spans array<array<bigint>>"
     )
     # words inside any span: the union of intervals, by a running maximum of the ends
     each = checked.select("row", F.explode("spans").alias("s")).select("row", F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
@@ -285,7 +299,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         .groupBy("row").agg(F.sum(F.greatest(F.col("b") - F.col("from"), F.lit(0))).alias("n_hit"))
     )
     named = checked.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast(f"array<{item_kind}>")
     counted = bounded_batches(docs.select("row", "doc_id", "text")).mapInArrow(_count, f"row bigint, doc_id {kind}, n_words bigint")
     return (
         counted.join(words, "row", "left").join(named, "row", "left")
