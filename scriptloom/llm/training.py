@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .scratch import durable
 from .textbatch import ASCII_LOWER, bounded_batches, chunks
 
-#: Rows of each class that a model is trained from, at most.
+#: Rows of each class that a model is trained from, and bytes of their texts in all, at most.
 PER_CLASS = 2000
+SAMPLE_BYTES = 64 << 20
 
 
 def fold(id_col: str, parts: int):
@@ -30,26 +31,41 @@ def bounded_sample(rows: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
 
     Classes are counted over all rows; a class of n rows keeps those whose hash is below
     per_class / n. The result is cut at ``per_class`` times the number of classes, so it is safe
-    to broadcast. Rows with a null id or y are left out. Repeated ids count once for each y.
+    to broadcast. Rows with a null id or y are left out. Repeated rows are kept once; only their
+    counts see all of them. The hash is applied before anything is shuffled.
     """
-    rows = rows.where("id is not null and y is not null").distinct()
+    rows = rows.where("id is not null and y is not null")
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not counts:
         return rows.limit(0)
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == F.lit(y), F.lit(min(1.0, per_class / n))).otherwise(share)
-    kept = rows.where(_rank("id") < share * float(1 << 40))
+    kept = rows.where(_rank("id") < share * float(1 << 40)).distinct()
     return kept.orderBy(_rank("id"), "id", "y").limit(int(1.1 * per_class) * len(counts))
 
 
 Features = Callable[[object], list[bytes]]
 
 
-def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, y, text)``: whole texts of the sampled documents, as a written table."""
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``(id, y, text)``: whole texts of the sampled documents, as a written table.
+
+    At most about ``most_bytes`` of text are taken, in the order of the ids' hash; a text that would
+    go beyond that is left out of the sample, never cut.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return durable(texts.join(F.broadcast(sample), "id").select("id", "y", "text"), "sample")
+    rows = durable(texts.join(F.broadcast(sample), "id").select("id", "y", "text"), "sample")
+    sizes = rows.select("id", _rank("id").alias("r"), F.octet_length("text").alias("n"))
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= most_bytes:
+        return rows
+    taken, used = [], 0
+    for r in sizes.groupBy("id", "r").agg(F.sum("n").alias("n")).orderBy("r", "id").toLocalIterator():  # the sample's ids only
+        if used + r["n"] <= most_bytes:
+            taken.append((r["id"],))
+            used += r["n"]
+    kept = docs.sparkSession.createDataFrame(taken, f"id {rows.schema['id'].dataType.simpleString()}")
+    return rows.join(F.broadcast(kept), "id", "left_semi")
 
 
 def featurised(rows: DataFrame, features: Features) -> list[tuple]:
