@@ -221,6 +221,8 @@ def _judged(batch: pa.RecordBatch, threshold: float) -> list[list[tuple[int, int
     out: list[list] = [[] for _ in range(batch.num_rows)]
     rows, x, spans = [], [], []
     for chunk in chunks(batch.column(1)):
+        # bytes that begin a character, all but 10xxxxxx, counted up to each byte
+        heads = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
         text, last = b"", -1
         for row, a, b in candidates(chunk):
             if row != last:
@@ -233,9 +235,8 @@ def _judged(batch: pa.RecordBatch, threshold: float) -> list[list[tuple[int, int
             path = batch.column(2)[chunk.first + row].as_py() or ""
             rows.append(chunk.first + row)
             x.append(features(text[a:b].decode(), before, after, path))
-            # bytes that begin a character: all but 10xxxxxx
-            head = np.frombuffer(text[:a], dtype=np.uint8)
-            start = int(((head & 0xC0) != 0x80).sum())
+            at = int(chunk.offsets[row])
+            start = int(heads[at + a] - heads[at])
             spans.append((start, start + b - a))
     if rows:
         scores = trained_forest().predict(np.array(x))
@@ -255,7 +256,7 @@ def find_secrets(
     The forest judges length, character transitions, dictionary coverage, the path (``path_col``,
     may be None) and neighbouring words; each worker trains it once from labelled findings that a
     rule makes. Null and empty texts have no findings; a null path has no words. Ids may be null or
-    repeated; other columns are ignored. No shuffle.
+    repeated; other columns are ignored; an empty table gives an empty result. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     path = F.col(path_col).cast("string") if path_col else F.lit("")
@@ -287,9 +288,13 @@ def redact_secrets(
             view = pa.RecordBatch.from_arrays([batch.column(0), batch.column(at), batch.column(len(names))], ["i", "t", "p"])
             texts = batch.column(at).to_pylist()
             for i, found in enumerate(_judged(view, threshold)):
-                for start, end, _, secret in reversed(found):
+                pieces, at_char = [], 0
+                for start, end, _, secret in found:
                     if secret:
-                        texts[i] = texts[i][:start] + mark + texts[i][end:]
+                        pieces += [texts[i][at_char:start], mark]
+                        at_char = end
+                if pieces:
+                    texts[i] = "".join([*pieces, texts[i][at_char:]])
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
