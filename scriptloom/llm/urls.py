@@ -22,45 +22,29 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 
-#: Labelled URLs (label, host, path), written by hand; 1 is for blocking.
-LABELLED = [
-    (1, "casino-win.example.com", "/en/1299/"),
-    (1, "m.casino-win.example.com", "/en/8691"),
-    (1, "www.best-casino.example.net", "/bonus/200"),
-    (1, "free-slots.example.net", "/spin/now"),
-    (1, "poker-jackpot.example.com", "/play/55"),
-    (1, "bet-win.example.com", "/odds/today"),
-    (1, "lottery-prize.example.net", "/claim/9"),
-    (1, "cheap-pills.example.com", "/buy/viagra"),
-    (1, "adult-cams.example.net", "/live/xxx"),
-    (1, "xxx-videos.example.com", "/porn/12"),
-    (1, "get-rich-quick.example.com", "/money/now"),
-    (1, "free-crack.example.net", "/download/keygen.exe"),
-    (1, "login-verify.example.com", "/account/password"),
-    (1, "replica-watches.example.net", "/sale/70-off"),
-    (1, "spam-offers.example.com", "/click/track"),
-    (1, "jackpot-casino.example.org", "/en/77"),
-    (0, "www.example.com", "/en/1299/"),
-    (0, "m.example.net", "/en/8691"),
-    (0, "news.example.com", "/2024/05/article"),
-    (0, "blog.example.net", "/en/669"),
-    (0, "docs.example.com", "/guide/install.html"),
-    (0, "library.example.net", "/catalogue/55"),
-    (0, "www.university.example.com", "/research/today"),
-    (0, "museum.example.net", "/visit/9"),
-    (0, "health.example.com", "/advice/sleep"),
-    (0, "www.weather.example.net", "/live/map"),
-    (0, "recipes.example.com", "/soup/12"),
-    (0, "science.example.com", "/physics/now"),
-    (0, "code.example.net", "/download/source.zip"),
-    (0, "www.bank.example.com", "/branches/list"),
-    (0, "shop.example.net", "/books/new"),
-    (0, "travel.example.com", "/trains/timetable"),
-    (0, "tionble.example.net", "/en/4205"),
-    (0, "www.therre.example.net", "/en/9623"),
-    (0, "blog.tionsh.example.com", "/en/3265"),
-    (0, "m.ththnd.example.net", "/de/7913"),
-]
+#: Words of unwanted and of plain sites, from which the labelled URLs are made. Our configuration.
+UNWANTED = "casino jackpot slots poker betting pills viagra webcams xxx porn replica crack keygen lottery payday".split()
+PLAIN = (
+    "news docs library university museum health weather recipes science code bank bookshop travel school garden music sports radio city "
+    "archive photos forum maps history theatre cinema parish council letters journal market harbour station festival "
+    "heron nature thread gathering others"
+).split()
+
+
+def labelled_urls() -> list[tuple[int, str, str]]:
+    """Labelled URLs (1 for blocking, host, path) by rule: all words in the same shapes, so that only words tell.
+
+    Their domains are reserved for tests, so no page that is judged is among them.
+    """
+    extra, domains = "the my top new best our free".split(), "site.test web.invalid pages.test".split()
+    out = []
+    for k, (label, word) in enumerate([*((1, w) for w in UNWANTED), *((0, w) for w in PLAIN)]):
+        x, domain, n = extra[k % len(extra)], domains[k % len(domains)], 37 * k + 11
+        out += [
+            (label, f"{word}.{domain}", "/"), (label, f"www.{word}-{x}.{domain}", f"/en/{n}/"), (label, f"m.{x}-{word}.{domain}", f"/de/{n}"),
+            (label, f"{x}{word}.{domain}", f"/{word}/index.html"), (label, f"blog.{word}s.{domain}", f"/{n}/today"),
+        ]
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -94,8 +78,9 @@ def buckets(host: Column, path: Column) -> Column:
     return F.concat(*[of_size(n) for n in SIZES])
 
 
-def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
+def train(spark: SparkSession, labelled=None) -> tuple[list[float], float]:
     """Weights by bucket and intercept from the labelled URLs."""
+    labelled = labelled or labelled_urls()
     values = ", ".join(f"({label}, '{host}', '{path}')" for label, host, path in labelled)
     rows = spark.sql(f"SELECT CAST(l AS DOUBLE) AS label, h, p FROM VALUES {values} AS t(l, h, p)")
     # the share of n-grams in each bucket, as a vector
@@ -116,7 +101,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     verdict is block if the model's score is ``threshold`` or more. The score is the logistic
     regression's probability of a block; it is given for every row. A null url or one without
     ``://`` has an empty host and path and is judged by the model like any other. Ids may be null or
-    repeated; other columns are ignored. No shuffle: each row is judged where it is read, by
+    repeated; other columns are ignored; an empty table gives an empty result. No shuffle: each row is judged where it is read, by
     functions of the JVM.
     """
     weights, intercept = train(pages.sparkSession)
