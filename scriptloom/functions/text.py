@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 #: White space: Java's \\s misses the ideographic space, so separators are added by property.
 BLANK = r"[\s\p{Z}]"
+#: Numerals and the spellings of episode markers: fixed values.
 CHINESE_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 CHINESE_UNITS = {"十": 10, "百": 100, "千": 1000}
 _NUMERAL = "0-9０-９一二三四五六七八九十百千两〇零"
 _TITLE = rf"(?:{BLANK}*[-—:：]{BLANK}*(.*))?{BLANK}*$"
-#: Tried in this order; a later one is used only where the earlier gives no number above zero.
+#: Fixed values, tried in this order; a later one is used only where the earlier gives no number above zero.
 EPISODE_PATTERNS = [
     rf"^第{BLANK}*([{_NUMERAL}]+){BLANK}*(?:集|话|回|章|期){_TITLE}",
     rf"(?i)^(?:EPISODE|EP|E){BLANK}*[-_:#.]?{BLANK}*([0-9０-９]{{1,4}}){_TITLE}",
     rf"^([0-9０-９]{{1,4}}){BLANK}*(?:集|话|回|章|期){_TITLE}",
 ]
+#: How every line that one of the patterns fits begins.
+MAY_BE_MARKER = rf"^{BLANK}*(?:第|[eE]|[0-9０-９])"
 
 
 def trim_unicode(c: Column) -> Column:
@@ -69,14 +72,17 @@ def chinese_number(c: Column) -> Column:
 
 
 def episode_marker(c: Column) -> Column:
-    """struct(number, title) of a line that is an episode marker, else null; title may be empty."""
+    """struct(number, title) of a line that is an episode marker, else null; title may be empty.
+
+    Most lines aren't: a test of how a line begins spares them the patterns.
+    """
     text = trim_unicode(c)
     found = []
     for pattern in EPISODE_PATTERNS:
         number = chinese_number(F.regexp_extract(text, pattern, 1))
         title = trim_unicode(F.regexp_extract(text, pattern, 2))
         found.append(F.when(number.isNotNull(), F.struct(number.alias("number"), title.alias("title"))))
-    return F.coalesce(*found)
+    return F.when(c.rlike(MAY_BE_MARKER), F.coalesce(*found))
 
 
 def utf16_length(c: Column) -> Column:
@@ -106,10 +112,16 @@ def identity_keys(script_id: Column, kind: Column, name: Column, continuity: Col
 
 
 def unique_text(values: Column) -> Column:
-    """Trimmed non-blank texts, the first spelling of each canonical key, in order."""
+    """Trimmed non-blank texts, the first spelling of each canonical key, in order.
+
+    Texts are sorted by key and place, so that a key's first text is the one that follows another
+    key; these are put back in order.
+    """
     clean = F.filter(F.transform(values, trim_unicode), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(clean, canonical_key)
-    return F.filter(clean, lambda x, i: F.array_position(keys, canonical_key(x)) == i + 1)
+    placed = F.array_sort(F.transform(clean, lambda x, i: F.struct(canonical_key(x).alias("key"), i.alias("at"), x.alias("text"))))
+    none = F.array(F.lit(None).cast("struct<key:string,at:int,text:string>"))
+    first = F.zip_with(F.concat(none, placed), placed, lambda before, x: F.when(x.isNotNull() & ~before["key"].eqNullSafe(x["key"]), F.struct(x["at"].alias("at"), x["text"].alias("text"))))
+    return F.transform(F.array_sort(F.filter(first, lambda x: x.isNotNull())), lambda x: x["text"])
 
 
 def consolidate_summaries(*summaries: Column) -> Column:

@@ -174,12 +174,12 @@ def usable(assets: DataFrame) -> DataFrame:
 
 
 def automation_summary(assets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per script: assets by kind and decision, engines used."""
+    """Per script: assets by kind and decision, the engines used and the time that they took."""
     counts = assets.groupBy("script_id").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("scene", "character", "prop")],
         *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("accepted", "conflict", "rejected")],
     )
-    engines = candidates.groupBy("script_id").agg(F.count_distinct("engine").alias("n_engines"))
+    engines = candidates.groupBy("script_id").agg(F.sort_array(F.collect_set("engine")).alias("engines"), F.sum("elapsed_ms").alias("elapsed_ms"))
     return counts.join(engines, "script_id", "left")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ def style_faults(cards: DataFrame) -> DataFrame:
     return twice.unionByName(empty).unionByName(source)
 
 
-def isolation_faults(exported: DataFrame, assets: DataFrame) -> DataFrame:
-    """Exported assets that aren't accepted."""
-    return assets.where(F.col("decision") != "accepted").join(exported.select("asset_id"), "asset_id", "left_semi").select("asset_id", "decision")
+def isolation_faults(outputs: dict[str, DataFrame], assets: DataFrame) -> DataFrame:
+    """``(asset_id, found_in)``: assets that aren't accepted, in exports, plans or whatever is named here."""
+    quarantined = assets.where(~F.col("decision").eqNullSafe("accepted")).select("asset_id")
+    rows = [df.select("asset_id").distinct().withColumn("found_in", F.lit(name)) for name, df in outputs.items()]
+    return functools.reduce(DataFrame.unionByName, rows).join(quarantined, "asset_id", "left_semi")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,48 +69,74 @@ def stability(candidates: DataFrame) -> DataFrame:
     return spelt.join(states, key)
 
 
+#: What tells states of one asset apart, besides its continuity state: fixed values.
+SCENE_VARIANTS = ["place", "time", "weather", "season", "era", "type"]
+OTHER_VARIANTS = ["age", "disguise", "injury", "damage"]
+
+
+def _variant_key(columns: list[str]) -> Column:
+    """Canonical keys of the continuity state and of those variants of the row's kind that the table has."""
+    key = lambda c: canonical_key(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    of = lambda names: F.concat_ws("|", key("continuity_state"), *[key(c) for c in names if c in columns])
+    return F.when(F.col("kind") == "scene", of(SCENE_VARIANTS)).otherwise(of(OTHER_VARIANTS))
+
+
 def merge_assets(candidates: DataFrame) -> DataFrame:
-    """One asset per script, kind, canonical key and continuity state; nothing else is merged on.
+    """One asset per script, kind, canonical key and state; nothing else is merged on.
 
-    Spellings become aliases in order of appearance, quotes are united, the first scene is kept.
+    A state is the continuity state with, for scenes, place, time, weather, season, era and type,
+    for others age, disguise, injury and damage, as far as the table has these columns. Spellings
+    become aliases and quotes are united, in order of appearance; summaries keep every line once;
+    the first scene is kept.
     """
-    keyed = candidates.withColumn("name_key", canonical_key(F.col("name"))).withColumn("state_key", canonical_key(F.coalesce("continuity_state", F.lit(""))))
+    keyed = candidates.withColumn("name_key", canonical_key(F.col("name"))).withColumn("state_key", _variant_key(candidates.columns))
+    summary = F.col("summary") if "summary" in candidates.columns else F.lit(None).cast("string")
     rows = keyed.where("name_key <> ''").groupBy("script_id", "kind", "name_key", "state_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("scene_order", "engine", "name", "evidence"))), lambda x: x).alias("seen"),
+        F.array_sort(F.collect_list(F.struct("scene_order", "engine", "name", "evidence", summary.alias("summary")))).alias("seen"),
         F.min("scene_order").alias("first_scene_order"),
     )
     ids = identity_keys(F.col("script_id"), F.col("kind"), F.col("name_key"), F.col("state_key"))
-    spelt = unique_text(F.transform("seen", lambda x: x["name"]))
+    spelt = F.transform("seen", lambda x: x["name"])
+    lines = F.flatten(F.transform("seen", lambda x: F.split(F.coalesce(x["summary"], F.lit("")), "\n")))
     return rows.select(
         ids["variant"].alias("asset_id"), ids["identity"].alias("identity_fingerprint"), "script_id", "kind", "name_key", "state_key",
-        F.array_distinct(F.transform("seen", lambda x: x["name"])).alias("aliases"), F.element_at(spelt, 1).alias("canonical_name"),
-        F.size(unique_text(F.transform("seen", lambda x: x["evidence"]))).alias("n_quotes"), "first_scene_order",
+        F.array_distinct(spelt).alias("aliases"), F.element_at(unique_text(spelt), 1).alias("canonical_name"),
+        unique_text(F.transform("seen", lambda x: x["evidence"])).alias("quotes"), F.array_join(unique_text(lines), "\n").alias("summary"), "first_scene_order",
     )
 
 
+def union_engines(outputs: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """The outputs of several engines as one table of these columns and ``engine``; what one lacks is null."""
+    named = [df.select(*[c for c in columns if c in df.columns]).withColumn("engine", F.lit(engine)) for engine, df in outputs.items()]
+    every = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return every.select(*columns, "engine")
+
+
 def pack_batches(candidates: DataFrame, items: int = 6, chars: int = 1800) -> DataFrame:
     """Greedy batches in order: ``(script_id, pos, batch_no)``, at most ``items`` rows and ``chars`` characters.
 
-    A row of more characters than that is a batch of its own. Each script is packed by one fold
-    over its rows, which are numbers only.
+    A row of more characters than that is a batch of its own. Where a batch ends depends on all
+    before it, so each task goes through its scripts' rows in order, once, and keeps the state of
+    one script only.
     """
-    rows = candidates.groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n_chars"))).alias("rows"))
-    start = F.struct(
-        F.lit(-1).alias("batch"), F.lit(items).alias("n"), F.lit(0).cast("bigint").alias("used"),
-        F.array().cast("array<struct<pos:int,batch_no:int>>").alias("out"),
-    )
 
-    def step(s: Column, r: Column) -> Column:
-        new = (s["n"] >= items) | (s["used"] + r["n_chars"] > chars)
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"),
-            F.when(new, r["n_chars"].cast("bigint")).otherwise(s["used"] + r["n_chars"]).alias("used"),
-            F.concat(s["out"], F.array(F.struct(r["pos"].cast("int").alias("pos"), batch.alias("batch_no")))).alias("out"),
-        )
-
-    packed = F.aggregate("rows", start, step)["out"]
-    return rows.select("script_id", F.inline(packed))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        script, batch, n, used = None, -1, 0, 0
+        for rows in batches:
+            numbers = []
+            for own, size in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if batch < 0 or own != script:
+                    script, batch, n, used = own, 0, 0, 0
+                elif n >= items or used + size > chars:
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + size
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(numbers, pa.int32())], ["script_id", "pos", "batch_no"])
+
+    kind = candidates.schema["script_id"].dataType.simpleString()
+    rows = candidates.select("script_id", F.col("pos").cast("int").alias("pos"), F.coalesce("n_chars", F.lit(0)).cast("bigint").alias("n_chars"))
+    ordered = rows.repartition("script_id").sortWithinPartitions("script_id", "pos")
+    return ordered.mapInArrow(pack, f"script_id {kind}, pos int, batch_no int")
 
 
 def authoritative(values: DataFrame) -> DataFrame:

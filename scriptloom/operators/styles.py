@@ -7,24 +7,54 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, stable_id, trim_unicode
 
-#: Clauses with one of these speak of a subject, not of a style. Our configuration.
-SUBJECT_WORDS = "人物 男 女 孩 手持 奔跑 站 坐 房间 街道 桌 椅 车 person man woman child holding running standing room street table chair car dog cat".split()
+#: Words of a style clause: medium, rendering, palette, light, composition, lens, line, texture, mood. Our configuration.
+STYLE_WORDS = {
+    "medium": "watercolor watercolour oil gouache ink pencil charcoal pastel acrylic print engraving etching woodcut collage photograph photography photographic film digital 3d comic cartoon anime illustration 水彩 油画 水墨 素描 版画 胶片 摄影 插画 漫画 动画",
+    "rendering": "render rendering rendered realistic photorealistic hyperrealistic stylized stylised painterly impressionism impressionist expressionism expressionist cubism minimalism minimalist abstract flat cel shading shaded 渲染 写实 写意 印象派 表现主义 极简 抽象 平涂",
+    "palette": "palette color colors colour colours tone tones toned monochrome saturated desaturated saturation hue pastel contrast sepia 色 饱和 对比度",
+    "light": "light lit lighting backlit backlight rim glow shadow shadows chiaroscuro diffuse diffused ambient volumetric exposure 光 阴影 明暗 曝光",
+    "composition": "composition symmetrical symmetry asymmetrical framing negative space layout rule of thirds 构图 对称 留白",
+    "lens": "lens bokeh wide telephoto macro fisheye focal depth aperture anamorphic close-up panorama 镜头 景深 焦距 广角 特写 俯拍",
+    "line": "line lines linework lineart outline outlines contour stroke strokes brushwork hatching 线条 轮廓 笔触 勾线",
+    "texture": "texture textured grain grainy matte glossy rough smooth metallic noise 质感 颗粒 纹理 哑光",
+    "mood": "mood moody atmosphere atmospheric dreamy romantic melancholic serene gloomy dramatic cinematic nostalgic whimsical 氛围 情绪 意境 梦幻",
+}
+#: Words of a subject: a clause with one is never a style. Our configuration.
+SUBJECT_WORDS = (
+    "人物 男 女 孩 手持 奔跑 站立 坐着 房间 街道 桌子 椅子 汽车 建筑 person people man men woman women child children boy girl holding running standing sitting "
+    "room street house building table chair car dog cat"
+).split()
+
+
+def _any_of(words) -> str:
+    """A pattern for one of these words, Latin ones as whole words."""
+    words = sorted(set(words))
+    latin = [w for w in words if w.isascii()]
+    return "(?:" + "|".join(["\\b(?:" + "|".join(latin) + ")\\b", *[w for w in words if not w.isascii()]]) + ")"
+
+
+STYLE_PATTERN = _any_of(w for group in STYLE_WORDS.values() for w in group.split() if w not in ("of", "space", "rule", "thirds"))
+SUBJECT_PATTERN = _any_of(SUBJECT_WORDS)
 DEEPEST = 1000
 
 
+def card_id() -> Column:
+    """The id of an imported card: repository, commit, path and original id."""
+    return stable_id(F.col("repository"), F.col("source_commit"), F.col("source_path"), F.col("original_id"))
+
+
 def style_pack_topk(cards: DataFrame, k: int = 7) -> DataFrame:
     """The first k unique non-empty prompts of each source file: ``(source_path, nth, card_id, prompt)``."""
-    clean = cards.withColumn("key", canonical_key(F.col("prompt"))).where("key <> ''")
-    first = clean.groupBy("source_path", "key").agg(F.min_by("prompt", "ord").alias("prompt"), F.min("ord").alias("ord"))
-    order = Window.partitionBy("source_path").orderBy("ord")
-    ranked = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-    return ranked.select("source_path", "nth", stable_id(F.col("source_path"), F.col("ord")).alias("card_id"), "prompt")
+    clean = cards.withColumn("key", canonical_key(F.col("prompt"))).where("key <> ''").withColumn("card_id", card_id())
+    first = clean.groupBy("source_path", "key").agg(F.min(F.struct("ord", "card_id", "prompt")).alias("first")).select("source_path", "first.*")
+    ranked = first.withColumn("nth", F.row_number().over(Window.partitionBy("source_path").orderBy("ord"))).where(F.col("nth") <= k)
+    return ranked.select("source_path", "nth", "card_id", "prompt")
 
 
 def style_only(c: Column) -> Column:
-    """A style prompt without the clauses that name a subject, in order."""
-    clauses = F.filter(F.transform(F.split(c, "[，,；;。]"), trim_unicode), lambda x: (x != "") & ~F.lower(x).rlike("|".join(SUBJECT_WORDS)))
-    return F.array_join(clauses, "，")
+    """The clauses of a prompt that name a style and no subject, in order; all else goes."""
+    speaks = lambda x: F.lower(x).rlike(STYLE_PATTERN) & ~F.lower(x).rlike(SUBJECT_PATTERN)
+    return F.array_join(F.filter(F.transform(F.split(c, "[，,；;。]"), trim_unicode), speaks), "，")
 
 
 def selectable_styles(cards: DataFrame) -> DataFrame:
@@ -56,8 +86,21 @@ def style_paths(cards: DataFrame) -> DataFrame:
 
 
 def subtree(cards: DataFrame, roots: DataFrame) -> DataFrame:
-    """All cards at or below the given ones: ``(card_id)``."""
-    return style_ancestors(cards).join(roots.select(F.col("card_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("card_id").distinct()
+    """Cards at or below the given ones that may be archived, restored or deleted: ``(card_id)``.
+
+    Built-in cards (``built_in``, where the table has it) are protected: as roots they don't count,
+    below a root they are left out.
+    """
+    if "built_in" in cards.columns:
+        roots = roots.join(cards.where("built_in").select("card_id"), "card_id", "left_anti")
+    below = style_ancestors(cards).join(roots.select(F.col("card_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("card_id").distinct()
+    return below.join(cards.where("built_in").select("card_id"), "card_id", "left_anti") if "built_in" in cards.columns else below
+
+
+def library_faults(cards: DataFrame) -> DataFrame:
+    """Library cards without a sample of their own or an inherited one: ``(card_id)``."""
+    bare = inherited_sample(cards).where("sample_url is null")
+    return cards.where(F.col("lifecycle") == "library").join(bare.select("card_id"), "card_id", "left_semi").select("card_id")
 
 
 def inherited_sample(cards: DataFrame) -> DataFrame:

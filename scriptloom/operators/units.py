@@ -15,7 +15,7 @@ HEADING = r"^(?:(?i:INT|EXT|EST|I/E|INT\./EXT)[. ]|内景|外景|内[.．、 ]|
 
 
 def source_units(scripts: DataFrame) -> DataFrame:
-    """``(script_id, text)`` -> units ``(script_id, unit_id, unit_idx, start_utf16, len_utf16, text)``.
+    """``(script_id, text)`` -> units ``(script_id, unit_id, unit_idx, line_no, start_utf16, len_utf16, text)``.
 
     A unit is a line with a character that isn't white space. Offsets count UTF-16 units of the
     original text. Null texts have no units.
@@ -28,7 +28,7 @@ def source_units(scripts: DataFrame) -> DataFrame:
     kept = placed.where(F.regexp_replace("text", f"{BLANK}+", "") != "")
     numbered = kept.withColumn("unit_idx", F.row_number().over(order))
     unit_id = F.concat(F.lit("U"), F.lpad(F.col("unit_idx").cast("string"), 6, "0"))
-    return numbered.select("script_id", unit_id.alias("unit_id"), "unit_idx", "start_utf16", "len_utf16", "text")
+    return numbered.select("script_id", unit_id.alias("unit_id"), "unit_idx", "line_no", "start_utf16", "len_utf16", "text")
 
 
 def fixed_slices(scripts: DataFrame, segment: int = 6000, piece: int = 750) -> DataFrame:
@@ -110,23 +110,29 @@ def episode_index(scenes: DataFrame, units: DataFrame) -> DataFrame:
 def classify_elements(units: DataFrame) -> DataFrame:
     """Fountain lines as Scene Heading, Transition, Character, Parenthetical, Dialogue or Action.
 
-    A Character is a line in capitals, or a ``@`` line, whose next unit is neither of these.
-    What follows a Character up to the next heading or cue is Dialogue if it is the next unit.
+    A Character is a line in capitals, or a ``@`` line, that another line follows without a blank
+    one between, neither heading, transition nor cue. All lines after it up to a blank line, a
+    heading, a transition or the next cue are Dialogue, those in brackets Parentheticals.
+    units: script_id, unit_idx, text and line_no, by which blank lines show; without line_no there
+    are none.
     """
     text = trim_unicode(F.col("text"))
     order = Window.partitionBy("script_id").orderBy("unit_idx")
+    line = F.col("line_no" if "line_no" in units.columns else "unit_idx")
     heading = text.rlike(HEADING) | (text.rlike(r"^\.[^.]"))
     transition = text.rlike(r"^[A-Z ]+TO:$") | text.rlike(r"^>.*[^<]$")
-    aside = text.rlike(r"^\(.*\)$")
     cue = ~heading & ~transition & (text.rlike(r"^@.+") | (text.rlike(r"^[A-Z][A-Z0-9 .'-]*$") & (F.length(text) <= 40)))
-    rows = units.withColumn("heading_", heading).withColumn("cue_", cue).withColumn("aside_", aside).withColumn("cut_", transition)
-    rows = rows.withColumn("cue_", F.col("cue_") & F.coalesce(~F.lead("cue_").over(order) & ~F.lead("heading_").over(order), F.lit(False)))
-    before = F.coalesce(F.lag("cue_").over(order), F.lit(False)) | (
-        F.coalesce(F.lag("aside_").over(order), F.lit(False)) & F.coalesce(F.lag("cue_", 2).over(order), F.lit(False))
-    )
+    rows = units.select(
+        "script_id", "unit_idx", "text", heading.alias("heading_"), transition.alias("cut_"), cue.alias("cue_"), text.rlike(r"^\(.*\)$").alias("aside_"),
+        F.coalesce(line - F.lag(line).over(order) > 1, F.lit(True)).alias("gap_"),
+    )
+    opens = F.col("gap_") | F.col("heading_") | F.col("cut_") | F.col("cue_")
+    rows = rows.withColumn("cue_", F.col("cue_") & F.coalesce(~F.lead(opens).over(order), F.lit(False)))
+    opens = F.col("gap_") | F.col("heading_") | F.col("cut_") | F.col("cue_")
+    spoken = F.last(F.when(opens, F.col("cue_")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     element = (
         F.when(F.col("heading_"), "Scene Heading").when(F.col("cut_"), "Transition").when(F.col("cue_"), "Character")
-        .when(F.col("aside_") & before, "Parenthetical").when(before, "Dialogue").otherwise("Action")
+        .when(F.col("aside_") & spoken, "Parenthetical").when(spoken, "Dialogue").otherwise("Action")
     )
     return rows.select("script_id", "unit_idx", element.alias("element"), "text")
 

@@ -42,37 +42,61 @@ def decide(scored: DataFrame, threshold: float = 0.92) -> DataFrame:
     return scored.withColumn("decision", decision)
 
 
+#: Words of a gram, and grams of a window of which the least hash is kept.
+WORDS, WINDOW = 4, 4
+
+
 def _pieces(text: Column, n: int) -> Column:
     """All substrings of n characters."""
     last = F.greatest(F.length(text) - F.lit(n - 1), F.lit(1))
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
 
 
-def find_passages(scripts: DataFrame, quotes: DataFrame, broadcast_rows: int = 2000) -> DataFrame:
+def _steps(size: Column, n: int) -> Column:
+    """1 to size - n + 1, or nothing."""
+    return F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def _grams(words: Column) -> Column:
+    """Hashes of all runs of ``WORDS`` words."""
+    return F.transform(_steps(F.size(words), WORDS), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
+
+
+def find_passages(scripts: DataFrame, quotes: DataFrame) -> DataFrame:
     """``(script_id, quote_id)``: which texts hold a quote verbatim.
 
-    The quotes are counted first. A few are broadcast and every text is tested against each. More
-    meet the texts by a hash of their first 16 characters, which any text with the quote has at
-    some place; only such pairs are tested. Quotes under 16 characters are always broadcast in
-    blocks of ``broadcast_rows``. Null or empty quotes match nothing.
+    A quote's inner words, those between its first and its last blank, are whole words of every
+    text that holds it. Texts keep the least hash of each window of word grams (winnowing), a
+    quote that of its first window, so both have it in common. Quotes with fewer inner words meet
+    the texts by the longest of them, those without any by their first 16 characters or, if
+    shorter, as a whole. Only texts that meet a quote are searched for it; there is always an
+    equi key. Null or empty quotes match nothing, null texts hold none.
     """
     quotes = quotes.where(F.length("quote") > 0).select("quote_id", "quote")
-    if quotes.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        found = scripts.join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote")))
-        return found.select("script_id", "quote_id")
-    long_ones = quotes.where(F.length("quote") >= GRAM).withColumn("gram", F.xxhash64(F.substring("quote", 1, GRAM)))
-    grams = scripts.where(F.length("text") >= GRAM).select("script_id", F.explode(F.array_distinct(F.transform(_pieces(F.col("text"), GRAM), lambda x: F.xxhash64(x)))).alias("gram"))
-    pairs = grams.join(long_ones.select("quote_id", "gram"), "gram").select("script_id", "quote_id").distinct()
-    checked = pairs.join(scripts, "script_id").join(long_ones, "quote_id").where(F.contains("text", "quote"))
-    # every quote of n < 16 characters is a whole n-gram of the texts that hold it
-    short = quotes.where(F.length("quote") < GRAM).withColumn("n", F.length("quote"))
-    sizes = [r[0] for r in short.select("n").distinct().collect()]  # fifteen at most
-    out = checked.select("script_id", "quote_id")
-    for n in sizes:
-        pieces = F.array_distinct(_pieces(F.col("text"), n))
-        own = scripts.select("script_id", F.explode(pieces).alias("quote"))
-        out = out.unionByName(own.join(short.where(F.col("n") == n), "quote").select("script_id", "quote_id"))
-    return out.distinct()
+    words = F.split("quote", r"\s+")
+    quotes = quotes.withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+    least = WORDS + WINDOW - 1
+    long_ones = quotes.where(F.size("inner") >= least).select("quote_id", F.array_min(_grams(F.slice("inner", 1, least))).alias("key"))
+    longest = F.element_at(F.array_sort(F.transform("inner", lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
+    some = quotes.where((F.size("inner") > 0) & (F.size("inner") < least)).select("quote_id", longest.alias("key"))
+    texts = scripts.where("text is not null").select("script_id", "text")
+    tokens = texts.select("script_id", F.split("text", r"\s+").alias("words"))
+    hashed = tokens.select("script_id", _grams(F.col("words")).alias("grams"))
+    kept = F.array_distinct(F.transform(_steps(F.size("grams"), WINDOW), lambda i: F.array_min(F.slice("grams", i, WINDOW))))
+    met = hashed.select("script_id", F.explode(kept).alias("key")).join(long_ones, "key").select("script_id", "quote_id")
+    bare = quotes.where(F.size("inner") == 0).withColumn("n", F.least(F.length("quote"), F.lit(GRAM)))
+    found = [met]
+    kinds = quotes.agg(F.count_if((F.size("inner") > 0) & (F.size("inner") < least)), F.collect_set(F.when(F.size("inner") == 0, F.least(F.length("quote"), F.lit(GRAM))))).first()
+    if kinds[0]:
+        found.append(tokens.select("script_id", F.explode(F.array_distinct("words")).alias("key")).join(some, "key").select("script_id", "quote_id"))
+    for n in kinds[1]:  # sixteen lengths at most
+        own = texts.where(F.length("text") >= n).select("script_id", F.explode(F.array_distinct(_pieces(F.col("text"), n))).alias("key"))
+        found.append(own.join(bare.where(F.col("n") == n).select("quote_id", F.substring("quote", 1, n).alias("key")), "key").select("script_id", "quote_id"))
+    pairs = found[0]
+    for other in found[1:]:
+        pairs = pairs.unionByName(other)
+    checked = pairs.distinct().join(texts, "script_id").join(quotes.select("quote_id", "quote"), "quote_id")
+    return checked.where(F.contains("text", "quote")).select("script_id", "quote_id").distinct()
 
 
 def coverage_gaps(expected: DataFrame, covered: DataFrame) -> DataFrame:
@@ -161,15 +185,32 @@ def load_checkpoints(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classify_receipts(receipts: DataFrame) -> DataFrame:
-    """Receipts with ``outcome``; only ``accepted`` ones, stopped by the model with a body, go on."""
+    """Receipts with ``outcome``; only ``accepted`` ones, stopped by the model with a body, go on.
+
+    A receipt without a status or a finish reason is a bad envelope.
+    """
     outcome = (
-        F.when(F.col("status") != 200, "resources").when(F.col("finish_reason") == "length", "length")
-        .when(F.col("finish_reason") == "content_filter", "content_filter").when(F.col("finish_reason") != "stop", "bad_envelope")
+        F.when(F.col("status").isNull(), "bad_envelope").when(F.col("status") != 200, "resources")
+        .when(F.col("finish_reason") == "length", "length").when(F.col("finish_reason") == "content_filter", "content_filter")
+        .when(~F.col("finish_reason").eqNullSafe("stop"), "bad_envelope")
         .when(trim_unicode(F.coalesce("content", F.lit(""))) == "", "empty").otherwise("accepted")
     )
     return receipts.withColumn("outcome", outcome)
 
 
+def committable(receipts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Accepted receipts whose reply parses, names its own segment and covers each expected unit exactly once.
+
+    expected: ``(segment_id, unit_id)``. A segment that nothing is expected of can't be committed.
+    """
+    accepted = classify_receipts(receipts).where("outcome = 'accepted'").drop("outcome")
+    parsed, _ = parse_receipts(accepted, "segment string, covered array<string>")
+    wanted = expected.groupBy("segment_id").agg(F.sort_array(F.collect_set("unit_id")).alias("wanted"))
+    rows = parsed.join(wanted, "segment_id")
+    right = (F.col("parsed.segment") == F.col("segment_id")) & (F.sort_array("parsed.covered") == F.col("wanted"))
+    return rows.where(right).select(*receipts.columns)
+
+
 def reusable(checkpoints: DataFrame, plan: DataFrame) -> DataFrame:
     """Planned segments that a checkpoint of the same text already covers."""
     return plan.join(checkpoints.select("fingerprint", "segment_id"), ["fingerprint", "segment_id"], "left_semi")
@@ -181,11 +222,9 @@ def pending(checkpoints: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def usage_rollup(receipts: DataFrame) -> DataFrame:
-    """Requests, tokens, attempts and reused replies per model."""
-    return receipts.groupBy("model").agg(
-        F.count("*").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.max("attempts").alias("most_attempts"), F.count_if(F.col("attempts") == 1).alias("cache_hits"),
-    )
+    """Requests, tokens, cached and uncached prompt tokens and attempts per model and script."""
+    totals = ["prompt_tokens", "completion_tokens", "cache_hit_tokens", "cache_miss_tokens"]
+    return receipts.groupBy("model", "script_id").agg(F.count("*").alias("requests"), *[F.sum(t).alias(t) for t in totals], F.max("attempts").alias("most_attempts"))
 
 
 def dedupe_receipts(receipts: DataFrame) -> DataFrame:
@@ -210,9 +249,10 @@ def pick_normalization(quality: DataFrame) -> DataFrame:
 
 
 def episode_state(segments: DataFrame) -> DataFrame:
-    """completed if all are, failed if any failed, else completedWithWarnings."""
+    """completed if all are; pending until all have ended; then failed if any failed, else completedWithWarnings."""
     done, failed = F.bool_and(F.col("state") == "completed"), F.bool_or(F.col("state") == "failed")
-    state = F.when(done, "completed").when(failed, "failed").otherwise("completedWithWarnings")
+    ended = F.bool_and(F.coalesce(F.col("state").isin("completed", "completedWithWarnings", "failed"), F.lit(False)))
+    state = F.when(~ended, "pending").when(done, "completed").when(failed, "failed").otherwise("completedWithWarnings")
     return segments.groupBy("script_id").agg(state.alias("episode_state"), F.count("*").alias("n"))
 
 

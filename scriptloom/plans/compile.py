@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import operation_text, trim_unicode, unique_text
+from ..operators.profile import locked_facts
 from ..operators.styles import style_only
 from ..sources.catalogs import NEGATIVE_FALLBACK, NEGATIVE_STRICT
 
@@ -29,14 +30,24 @@ def chosen_styles(selected: DataFrame, cards: DataFrame) -> DataFrame:
     return grouped.select("asset_id", F.transform("rows", lambda r: r["card_id"]).alias("card_ids"), F.array_join(fragments, "；").alias("style"))
 
 
+def plan_details(assets: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(asset_id, lighting, locked_facts)``: the values of lighting facts in order, and what a plan must not change."""
+    lights = F.array_sort(F.collect_list(F.when(F.col("fact_kind") == "lighting", F.struct("pos", "value"))))
+    light = facts.groupBy("asset_id").agg(F.array_join(F.transform(lights, lambda x: x["value"]), "；").alias("lighting"))
+    locked = locked_facts(assets, facts, evidence).withColumnRenamed("locked", "locked_facts")
+    return locked.join(light, "asset_id", "left").select("asset_id", F.coalesce("lighting", F.lit("")).alias("lighting"), "locked_facts")
+
+
 def compile_plans(
-    assets: DataFrame, texts: DataFrame, ready: DataFrame, styles: DataFrame, templates: DataFrame, modes: DataFrame, strict: bool = True
+    assets: DataFrame, texts: DataFrame, ready: DataFrame, styles: DataFrame, templates: DataFrame, modes: DataFrame, strict: bool = True,
+    details: DataFrame | None = None,
 ) -> DataFrame:
     """One row per asset: the three layers, the operation, both prompts, and ``error``.
 
     assets: asset_id, kind, mode, direction. Layers come in the order of their authority: basic
     information, style, format, operation. Strict plans of assets that aren't ready have the error
     notReady, those without a style noSelectedStyle, and no prompt; the fallback has no such guard.
+    details (of ``plan_details``) adds lighting and locked_facts.
     """
     rows = (
         assets.join(texts.select("asset_id", F.col("text").alias("basic")), "asset_id").join(ready.select("asset_id", "ready"), "asset_id")
@@ -50,10 +61,12 @@ def compile_plans(
     stock = NEGATIVE_STRICT if strict else NEGATIVE_FALLBACK
     negative = F.array_join(unique_text(F.array(F.lit(stock), F.col("negative"))), "；")
     error = F.when(~F.col("ready"), "notReady").when(style == "", "noSelectedStyle") if strict else F.lit(None).cast("string")
+    more = ["lighting", "locked_facts"] if details is not None else []
+    rows = rows.join(details, "asset_id", "left") if details is not None else rows
     return rows.select(
         "asset_id", "kind", "mode", "template_id", F.coalesce("card_ids", F.array().cast("array<string>")).alias("card_ids"), "basic",
         style.alias("style"), F.col("positive").alias("format"), F.when(error.isNull(), positive).alias("positive_prompt"),
-        F.when(error.isNull(), negative).alias("negative_prompt"), error.alias("error"),
+        F.when(error.isNull(), negative).alias("negative_prompt"), error.alias("error"), *more,
     )
 
 

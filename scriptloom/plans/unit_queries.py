@@ -36,14 +36,14 @@ marked AS (SELECT *, CAST(CASE WHEN num = '' OR num IS NULL THEN NULL WHEN strpo
 """
 
 
-def scenes(spark, sf_dir) -> DataFrame:
+def scenes(spark, sf_dir, stored=None) -> DataFrame:
     """The scene view with its unit ids as an array."""
     ids = F.when(F.col("unit_list") == "", F.array().cast("array<string>")).otherwise(F.split("unit_list", ","))
-    return view(spark, sf_dir, "fx_scenes").withColumn("unit_ids", ids)
+    return view(spark, sf_dir, "fx_scenes", stored).withColumn("unit_ids", ids)
 
 
-def units(spark, sf_dir) -> DataFrame:
-    rows = view(spark, sf_dir, "fx_marked")
+def units(spark, sf_dir, stored=None) -> DataFrame:
+    rows = view(spark, sf_dir, "fx_marked", stored)
     return rows.withColumn("unit_id", F.concat(F.lit("U"), F.lpad(F.col("unit_idx").cast("string"), 6, "0")))
 
 
@@ -203,20 +203,21 @@ def episode_summary(spark, sf_dir):
     return each.groupBy("script_id").agg(T.episode_summary(F.collect_list("episode_number")).alias("episodes"), F.min(label).alias("first_label"))
 
 
-CLASSIFY = r"""WITH t AS (SELECT script_id, unit_idx, text, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS x FROM lines),
+CLASSIFY = r"""WITH t AS (SELECT script_id, unit_idx, line_no, text, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS x FROM lines),
 f AS (SELECT *, regexp_matches(x, '^(?:(?i:INT|EXT|EST|I/E|INT\./EXT)[. ]|内景|外景|内[.．、 ]|外[.．、 ])') OR regexp_matches(x, '^\.[^.]') AS h,
   regexp_matches(x, '^[A-Z ]+TO:$') OR regexp_matches(x, '^>.*[^<]$') AS tr, regexp_matches(x, '^\(.*\)$') AS par,
   regexp_matches(x, '^@.+') OR (regexp_matches(x, '^[A-Z][A-Z0-9 .''-]*$') AND length(x) <= 40) AS c FROM t),
 g AS (SELECT *, NOT h AND NOT tr AND c AS c0 FROM f),
-q AS (SELECT *, c0 AND coalesce(NOT lead(c0) OVER w AND NOT lead(h) OVER w, false) AS cue FROM g WINDOW w AS (PARTITION BY script_id ORDER BY unit_idx)),
-z AS (SELECT *, coalesce(lag(cue) OVER w, false) OR (coalesce(lag(par) OVER w, false) AND coalesce(lag(cue, 2) OVER w, false)) AS b FROM q WINDOW w AS (PARTITION BY script_id ORDER BY unit_idx))
+o AS (SELECT *, coalesce(line_no - lag(line_no) OVER (PARTITION BY script_id ORDER BY unit_idx) > 1, true) AS gap FROM g),
+q AS (SELECT *, c0 AND coalesce(NOT lead(gap) OVER w AND NOT lead(c0) OVER w AND NOT lead(h) OVER w AND NOT lead(tr) OVER w, false) AS cue FROM o WINDOW w AS (PARTITION BY script_id ORDER BY unit_idx)),
+z AS (SELECT *, last_value(CASE WHEN gap OR h OR tr OR cue THEN cue END IGNORE NULLS) OVER (PARTITION BY script_id ORDER BY unit_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM q)
 SELECT script_id, unit_idx, CASE WHEN h THEN 'Scene Heading' WHEN tr THEN 'Transition' WHEN cue THEN 'Character' WHEN par AND b THEN 'Parenthetical' WHEN b THEN 'Dialogue' ELSE 'Action' END AS element FROM z"""
-LINES = "SELECT script_id, element_idx AS unit_idx, text FROM fx_elements WHERE text <> ''"
+LINES = "SELECT script_id, unit_idx, line_no, text FROM fx_lines"
 
 
 @query("classify_elements", CLASSIFY.replace("FROM lines", f"FROM ({LINES})"))
 def classify_elements(spark, sf_dir):
-    """Elements of conversations rendered as lines and classified again."""
+    """Elements of conversations rendered as lines, a blank one before each turn, and classified again."""
     return U.classify_elements(view(spark, sf_dir, LINES)).select("script_id", "unit_idx", "element")
 
 
@@ -271,3 +272,25 @@ SELECT n.script_id, n.scene_order, z.scene_id, z.pass FROM n LEFT JOIN z USING (
 def relink_scenes(spark, sf_dir):
     """Scenes with some neighbours swapped and some headings changed, linked to the scenes before."""
     return U.relink_scenes(view(spark, sf_dir, RELINK_NEW), view(spark, sf_dir, RELINK_OLD))
+
+
+#: Texts that importers like to spoil: 72 marked episodes, the first with the whole document between edge blanks, CRLF, NUL, a zero-width character and an emoji.
+CONSERVED = """SELECT doc_id AS script_id, '  ' || chr(65279) || '第1集：a' || chr(13) || chr(10) || chr(10) || coalesce(text, '') || chr(8203) || chr(128512) || 'x' || chr(1) || chr(13) || chr(10) || '```{"a": 1}```  ' || {tail} AS text FROM documents"""
+_TAIL = " || ".join(f"chr(10) || '第{n}集' || chr(13) || chr(10) || ' # {n} '" for n in range(2, 73))
+_CONSERVED = CONSERVED.replace("{tail}", _TAIL)
+
+
+@query("dq_conservation", f"""SELECT script_id, CAST(len(regexp_extract_all(chr(10) || text, '\\n第[0-9]+集\\r')) AS BIGINT) AS n_numbers, true AS same, sha256(text) AS fingerprint, 72 AS n_parts FROM ({_CONSERVED})""")
+def dq_conservation(spark, sf_dir):
+    """Hard texts of 72 episodes, split at their markers: every part once, joined again the same to the byte."""
+    source = view(spark, sf_dir, _CONSERVED.replace("chr(65279)", "'\ufeff'").replace("chr(8203)", "'\u200b'").replace("chr(128512)", "'\U0001f600'"))
+    lines = source.select("script_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    before = Window.partitionBy("script_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("bigint")
+    marks = lines.withColumn("start", start).withColumn("bare", F.regexp_extract("text", "^第([0-9]+)集\r$", 1))
+    marks = marks.where("bare <> ''").select("script_id", "start", F.struct(F.col("bare").cast("int").alias("number"), F.lit("").alias("title")).alias("marker"))
+    parts = U.split_episodes(source, marks)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "part"))), lambda p: p["part"])
+    whole = parts.groupBy("script_id").agg(F.sha2(F.array_join(pieces, ""), 256).alias("fingerprint"), F.count_distinct("number").alias("n_numbers"))
+    checked = U.reversible(parts, source).select("script_id", "same", F.col("n_parts").cast("int").alias("n_parts"))
+    return whole.join(checked, "script_id").select("script_id", "n_numbers", "same", "fingerprint", "n_parts")

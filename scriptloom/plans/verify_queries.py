@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import score as S
 from ..operators import verify as V
 from .registry import query
-from .unit_queries import key_sql, scripts
+from .unit_queries import key_sql, scripts, trim_sql
 from .views import spark_view as view
 
 
@@ -143,8 +143,8 @@ SELECT scene_id, kind, nk AS name_key, count(DISTINCT engine) AS n_engines, roun
 def consensus(spark, sf_dir):
     """The engines' outputs, united in one schema and counted."""
     rows = view(spark, sf_dir, "fx_candidates")
-    one, two, three = (rows.where(F.col("engine") == e) for e in ("general", "tagging", "remote"))
-    return S.consensus(one.unionByName(two).unionByName(three))
+    outputs = {e: rows.where(F.col("engine") == e).drop("engine", *["age"] * (e == "tagging")) for e in ("general", "tagging", "remote")}
+    return S.consensus(S.union_engines(outputs, ["scene_id", "kind", "name", "age"]))
 
 
 @query("scene_support", "SELECT asset_id, count(DISTINCT scene_id) AS n_scenes, count(*) AS n_quotes FROM fx_evidence GROUP BY asset_id")
@@ -170,12 +170,19 @@ def stability(spark, sf_dir):
     return S.stability(view(spark, sf_dir, "fx_candidates"))
 
 
-@query("merge_assets", f"""WITH k AS (SELECT *, {key_sql('name')} AS nk, {key_sql('continuity_state')} AS sk FROM fx_candidates)
-SELECT sha256(script_id || chr(31) || kind || chr(31) || nk || chr(31) || sk) AS asset_id, sha256(script_id || chr(31) || kind || chr(31) || nk) AS identity_fingerprint, script_id, kind, nk AS name_key, sk AS state_key,
-CAST(count(DISTINCT name) AS INT) AS n_aliases, arg_min(name, scene_order || '') AS any_name, CAST(count(DISTINCT {key_sql('evidence')}) AS INT) AS n_quotes, min(scene_order) AS first_scene_order FROM k WHERE nk <> '' GROUP BY script_id, kind, nk, sk""".replace("arg_min(name, scene_order || '') AS any_name, ", ""))
+MERGED_LINES = f"""ln AS (SELECT script_id, kind, nk, sk, string_agg(v, chr(10) ORDER BY o, e, i) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY script_id, kind, nk, sk, {key_sql('v')} ORDER BY o, e, i) AS r FROM
+  (SELECT script_id, kind, nk, sk, scene_order AS o, engine AS e, unnest(string_split(summary, chr(10))) AS v, generate_subscripts(string_split(summary, chr(10)), 1) AS i FROM k)) WHERE r = 1 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("merge_assets", f"""WITH k AS (SELECT *, {key_sql('name')} AS nk, {key_sql('continuity_state')} || '|' || {key_sql("coalesce(CASE WHEN kind = 'scene' THEN weather ELSE age END, '')")} AS sk FROM fx_candidates),
+qt AS (SELECT script_id, kind, nk, sk, string_agg(q, '|' ORDER BY scene_order, engine) AS quotes FROM (SELECT *, {trim_sql('evidence')} AS q, row_number() OVER (PARTITION BY script_id, kind, nk, sk, {key_sql('evidence')} ORDER BY scene_order, engine) AS r FROM k) WHERE r = 1 AND q <> '' GROUP BY 1, 2, 3, 4), {MERGED_LINES},
+mg AS (SELECT
+sha256(script_id || chr(31) || kind || chr(31) || nk || chr(31) || sk) AS asset_id, sha256(script_id || chr(31) || kind || chr(31) || nk) AS identity_fingerprint, script_id, kind, nk AS name_key, sk AS state_key,
+CAST(count(DISTINCT name) AS INT) AS n_aliases, min(scene_order) AS first_scene_order FROM k WHERE nk <> '' GROUP BY script_id, kind, nk, sk)
+SELECT mg.*, coalesce(quotes, '') AS quotes, summary FROM mg LEFT JOIN qt ON qt.script_id = mg.script_id AND qt.kind = mg.kind AND nk = name_key AND sk = state_key LEFT JOIN ln ON ln.script_id = mg.script_id AND ln.kind = mg.kind AND ln.nk = name_key AND ln.sk = state_key""")
 def merge_assets(spark, sf_dir):
     merged = S.merge_assets(view(spark, sf_dir, "fx_candidates"))
-    return merged.select("asset_id", "identity_fingerprint", "script_id", "kind", "name_key", "state_key", F.size("aliases").alias("n_aliases"), "n_quotes", "first_scene_order")
+    return merged.select("asset_id", "identity_fingerprint", "script_id", "kind", "name_key", "state_key", F.size("aliases").alias("n_aliases"), "first_scene_order", F.array_join("quotes", "|").alias("quotes"), "summary")
 
 
 PACK = "SELECT script_id, CAST(unit_idx AS INT) AS pos, CAST(length(plain) AS INT) AS n_chars FROM fx_marked"
@@ -230,7 +237,10 @@ def load_checkpoints(spark, sf_dir):
     return ok.unionByName(warnings, allowMissingColumns=True)
 
 
-@query("classify_receipts", "SELECT event_id, CASE event_type WHEN 'error' THEN 'resources' WHEN 'view' THEN 'length' WHEN 'signup' THEN 'content_filter' WHEN 'click' THEN 'empty' WHEN 'purchase' THEN 'accepted' ELSE 'bad_envelope' END AS outcome FROM events")
+OUTCOME = "CASE WHEN event_id % 43 = 5 THEN 'bad_envelope' WHEN event_type = 'error' THEN 'resources' WHEN event_id % 41 = 3 THEN 'bad_envelope' ELSE CASE event_type WHEN 'view' THEN 'length' WHEN 'signup' THEN 'content_filter' WHEN 'click' THEN 'empty' WHEN 'purchase' THEN 'accepted' ELSE 'bad_envelope' END END"
+
+
+@query("classify_receipts", f"SELECT event_id, {OUTCOME} AS outcome FROM events")
 def classify_receipts(spark, sf_dir):
     return V.classify_receipts(view(spark, sf_dir, "fx_receipts")).select("event_id", "outcome")
 
@@ -243,7 +253,7 @@ def checkpoint_reuse(spark, sf_dir):
     return V.reusable(saved, plan).withColumn("reused", F.lit(True)).unionByName(V.pending(saved, plan).withColumn("reused", F.lit(False)))
 
 
-@query("usage_rollup", "SELECT model, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, max(attempts) AS most_attempts, count(*) FILTER (attempts = 1) AS cache_hits FROM fx_receipts GROUP BY model")
+@query("usage_rollup", "SELECT model, script_id, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(cache_hit_tokens) AS BIGINT) AS cache_hit_tokens, CAST(sum(cache_miss_tokens) AS BIGINT) AS cache_miss_tokens, max(attempts) AS most_attempts FROM fx_receipts GROUP BY model, script_id")
 def usage_rollup(spark, sf_dir):
     return V.usage_rollup(view(spark, sf_dir, "fx_receipts"))
 
@@ -262,7 +272,7 @@ def pick_normalization(spark, sf_dir):
     return V.pick_normalization(V.normalization_quality(view(spark, sf_dir, NORMALIZED)))
 
 
-@query("episode_state", "SELECT script_id, CASE WHEN bool_and(state = 'completed') THEN 'completed' WHEN bool_or(state = 'failed') THEN 'failed' ELSE 'completedWithWarnings' END AS episode_state, count(*) AS n FROM fx_progress GROUP BY script_id")
+@query("episode_state", "SELECT script_id, CASE WHEN count(*) FILTER (state IS NULL OR state = 'pending') > 0 THEN 'pending' WHEN count(*) FILTER (state = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (state = 'completedWithWarnings') > 0 THEN 'completedWithWarnings' ELSE 'completed' END AS episode_state, count(*) AS n FROM fx_progress GROUP BY script_id")
 def episode_state(spark, sf_dir):
     return V.episode_state(view(spark, sf_dir, "fx_progress"))
 
@@ -270,10 +280,10 @@ def episode_state(spark, sf_dir):
 ROUNDS = "SELECT segment_id, CAST(row_number() OVER (PARTITION BY segment_id ORDER BY ts, event_id) AS INT) AS round, CAST(event_id % 3 AS INT) AS missing FROM fx_receipts"
 
 
-@query("audit_rounds", f"""WITH r AS (SELECT * FROM ({ROUNDS}) WHERE round <= 2), l AS (SELECT segment_id, max(round) AS rounds, arg_max(missing, round) AS missing FROM r GROUP BY 1)
+@query("audit_rounds", f"""WITH r AS (SELECT * FROM ({ROUNDS})), l AS (SELECT segment_id, max(round) AS rounds, arg_max(missing, round) AS missing FROM r GROUP BY 1)
 SELECT segment_id, rounds, missing, CASE WHEN missing = 0 THEN 'done' WHEN rounds >= 2 THEN 'failed' ELSE 'pending' END AS state FROM l""")
 def audit_rounds(spark, sf_dir):
-    return V.audit_rounds(view(spark, sf_dir, ROUNDS).where("round <= 2"))
+    return V.audit_rounds(view(spark, sf_dir, ROUNDS))
 
 
 @query("retain_latest", "SELECT o_custkey AS workspace, o_orderkey AS snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 20")

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import new_path
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: name -> Spark SQL, or (Spark SQL, DuckDB SQL)
@@ -58,16 +60,26 @@ VIEWS["fx_scenes"] = """SELECT script_id, scene_id, scene_order,
 FROM fx_scene_rows"""
 VIEWS["fx_elements"] = """SELECT conv_id AS script_id, CAST(turn * 2 + part AS INT) AS element_idx,
   CASE WHEN role = 'system' THEN 'Scene Heading' WHEN part = 0 THEN 'Character' ELSE 'Dialogue' END AS element,
-  CASE WHEN role = 'system' THEN 'INT. ' || upper(substr(coalesce(text, ''), 1, 12)) WHEN part = 0 THEN upper(role) ELSE coalesce(text, '') END AS text
+  CASE WHEN role = 'system' THEN 'INT. ' || translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz' || chr(10), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ') WHEN part = 0 THEN upper(role) ELSE coalesce(text, '') END AS text
 FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL) c
 CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1) p WHERE NOT (role = 'system' AND part = 1)"""
+VIEWS["fx_lines"] = (
+    r"""SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY line_no, text) AS INT) AS unit_idx, line_no, text
+FROM (SELECT script_id, CAST(floor(element_idx / 2.0) AS BIGINT) * 1000000 + element_idx % 2 + k AS line_no, line AS text FROM fx_elements LATERAL VIEW posexplode(split(text, '\n')) u AS k, line)
+WHERE regexp_replace(text, '[\\s\\p{Z}]+', '') <> ''""",
+    r"""SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY line_no, text) AS INT) AS unit_idx, line_no, text
+FROM (SELECT script_id, CAST(floor(element_idx / 2.0) AS BIGINT) * 1000000 + element_idx % 2 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS text FROM fx_elements)
+WHERE regexp_replace(text, '[\s\p{Z}]+', '', 'g') <> ''""",
+)
 VIEWS["fx_candidates"] = """SELECT s.script_id, s.scene_id, s.scene_order, e.engine,
   CASE s.scene_order % 3 WHEN 0 THEN 'scene' WHEN 1 THEN 'character' ELSE 'prop' END AS kind,
   split_part(s.first_text, ' ', CASE WHEN (s.scene_order * 3 + 1) % 5 < 3 THEN 1 ELSE 1 + e.n END) AS name,
   CASE WHEN (s.script_id + s.scene_order * 3 + 1) % 7 = 0 THEN '§' ELSE '' END || substr(s.first_text, 1, 12) AS evidence,
   ((s.scene_order * 3 + 1 + s.script_id * 13 + e.n) % 100) / 100.0E0 AS model_confidence,
   CAST((s.scene_order + e.n) % 5 + 1 AS INT) AS schema_fields_present, 5 AS schema_fields_total,
-  CASE WHEN s.scene_order % 4 = 3 THEN 'injured' ELSE '' END AS continuity_state
+  CASE WHEN s.scene_order % 4 = 3 THEN 'injured' ELSE '' END AS continuity_state,
+  CASE s.scene_order % 5 WHEN 0 THEN ' Rain' WHEN 1 THEN 'rain' ELSE '' END AS weather, CASE WHEN s.scene_order % 6 = 4 THEN 'old' END AS age,
+  'seen by ' || e.engine || chr(10) || 'scene ' || s.scene_order AS summary, CAST(s.scene_order * 7 + e.n * 3 + 1 AS BIGINT) AS elapsed_ms
 FROM fx_scene_rows s CROSS JOIN (SELECT 'general' AS engine, 0 AS n UNION ALL SELECT 'tagging', 1 UNION ALL SELECT 'remote', 2) e"""
 VIEWS["fx_assets"] = """SELECT script_id || '|' || kind || '|' || lower(name) AS asset_id, script_id, kind, min(name) AS canonical_name,
   min(name) || ',' || max(name) || ',' || translate(min(name), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS alias_list,
@@ -86,22 +98,23 @@ VIEWS["fx_facts"] = """SELECT e.asset_id, e.script_id, e.kind, CAST(e.pos * 2 +
        ELSE CASE (e.pos + f.n) % 3 WHEN 0 THEN 'objectType' WHEN 1 THEN 'condition' ELSE 'material' END END AS fact_kind,
   CASE e.pos % 3 WHEN 0 THEN ' ' || translate(e.name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '  ' WHEN 1 THEN e.name ELSE CASE WHEN f.n = 0 THEN ' ' ELSE e.name || ' x' END END AS value,
   e.quote AS evidence, e.scene_id, e.model_confidence AS confidence
-FROM fx_evidence e CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) f WHERE e.pos <= 4"""
+FROM fx_evidence e CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) f"""
 VIEWS["fx_receipts"] = """SELECT 'S' || user_id AS segment_id, event_id, user_id, ts, event_type,
-  CASE event_type WHEN 'purchase' THEN 'stop' WHEN 'view' THEN 'length' WHEN 'signup' THEN 'content_filter' WHEN 'click' THEN 'stop' ELSE 'error' END AS finish_reason,
-  CASE event_type WHEN 'error' THEN 429 ELSE 200 END AS status,
+  CASE WHEN event_id % 41 = 3 THEN NULL ELSE CASE event_type WHEN 'purchase' THEN 'stop' WHEN 'view' THEN 'length' WHEN 'signup' THEN 'content_filter' WHEN 'click' THEN 'stop' ELSE 'error' END END AS finish_reason,
+  CASE WHEN event_id % 43 = 5 THEN NULL WHEN event_type = 'error' THEN 429 ELSE 200 END AS status,
   CASE event_type WHEN 'click' THEN '' ELSE 'body ' || event_id END AS content,
   CAST(floor(coalesce(value, 0)) AS BIGINT) AS prompt_tokens, CAST(event_id % 50 AS BIGINT) AS completion_tokens,
+  CAST(floor(coalesce(value, 0) / 4.0) AS BIGINT) AS cache_hit_tokens, CAST(floor(coalesce(value, 0)) - floor(coalesce(value, 0) / 4.0) AS BIGINT) AS cache_miss_tokens, 'P' || (user_id % 50) AS script_id,
   CAST(event_id % 3 + 1 AS INT) AS attempts, 'model-' || (event_id % 4) AS model, 'fp' || (user_id % 20) AS fingerprint,
-  CASE WHEN event_id % 11 = 0 THEN '{"k": "' ELSE '{"segment": "S' || user_id || '", "score": ' || (event_id % 10) || '}' END AS reply
+  CASE WHEN event_id % 11 = 0 THEN '{"k": "' ELSE '{"segment": "S' || user_id || '", "score": ' || (event_id % 10) || ', "covered": ' || CASE event_id % 13 WHEN 0 THEN '["U1"]' WHEN 1 THEN '["U1", "U1"]' WHEN 2 THEN '["U2", "U3"]' ELSE '["U2", "U1"]' END || '}' END AS reply
 FROM events"""
-VIEWS["fx_styles"] = """SELECT 'r' || r_regionkey AS card_id, CAST(NULL AS STRING) AS parent_id, r_name AS title, 'library' AS lifecycle, 'sample-' || r_name AS sample_url FROM region
-UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, CASE n_nationkey % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'experiment' ELSE 'library' END, CAST(NULL AS STRING) FROM nation
+VIEWS["fx_styles"] = """SELECT 'r' || r_regionkey AS card_id, CAST(NULL AS STRING) AS parent_id, r_name AS title, 'library' AS lifecycle, CASE WHEN r_regionkey % 4 <> 2 THEN 'sample-' || r_name END AS sample_url, true AS built_in FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, CASE n_nationkey % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'experiment' ELSE 'library' END, CAST(NULL AS STRING), n_nationkey % 6 = 0 FROM nation
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name, CASE s_suppkey % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'experiment' ELSE 'library' END,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'sample-' || s_name END FROM supplier"""
-VIEWS["fx_pack"] = """SELECT p_brand AS source_path, p_partkey AS ord, p_name AS prompt, p_type AS category, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE 'MIT' END AS license FROM part"""
+  CASE WHEN s_suppkey % 2 = 0 THEN 'sample-' || s_name END, false FROM supplier"""
+VIEWS["fx_pack"] = """SELECT p_brand AS source_path, p_partkey AS ord, p_name AS prompt, p_type AS category, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE 'MIT' END AS license, 'cards' AS repository, 'commit-' || (p_partkey % 3) AS source_commit, 'id-' || p_partkey AS original_id FROM part"""
 VIEWS["fx_progress"] = """SELECT o_custkey AS script_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS episode,
-  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS state, o_orderkey AS order_id, o_orderdate AS created_at FROM orders"""
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 9 = 0 THEN 'completedWithWarnings' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 5 > 0 THEN 'failed' WHEN o_orderstatus = 'O' THEN 'pending' END AS state, o_orderkey AS order_id, o_orderdate AS created_at FROM orders"""
 VIEWS["fx_selections"] = """SELECT 'A' || o_orderkey AS asset_id, CASE o_orderkey % 3 WHEN 0 THEN 'scene' WHEN 1 THEN 'character' ELSE 'prop' END AS kind,
   CASE o_orderkey % 4 WHEN 0 THEN 'outputPurpose' WHEN 1 THEN 'lightQuality' WHEN 2 THEN 'aspectRatio' ELSE 'backgroundTreatment' END AS parameter,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'soft' WHEN '2-HIGH' THEN 'turnaround' WHEN '3-MEDIUM' THEN '16:9' WHEN '5-LOW' THEN 'neutral-gray' ELSE 'no-such-option' END AS option_id
@@ -115,27 +128,42 @@ def _both(name: str) -> tuple[str, str]:
     return spark, duck.replace("AS STRING", "AS VARCHAR") if spark is duck else duck
 
 
-def needed(sql: str) -> list[str]:
-    """The views that a text names, itself or through others, in the order of definition."""
+def needed(sql: str, stored=()) -> list[str]:
+    """The views that a text names, itself or through others that aren't stored, in the order of definition."""
     found: set[str] = set()
     todo = [sql]
     while todo:
         for name in set(re.findall(r"\bfx_\w+", todo.pop())) - found:
             found.add(name)
-            todo.append(_both(name)[0])
+            if name not in stored:
+                todo.append(_both(name)[0])
     return [n for n in VIEWS if n in found]
 
 
-def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view by name, or any Spark SQL over views and base tables, of the tables in ``sf_dir``."""
+def spark_view(spark: SparkSession, sf_dir: str, sql: str, stored: dict[str, str] | None = None) -> DataFrame:
+    """A view by name, or any Spark SQL over views and base tables, of the tables in ``sf_dir``.
+
+    stored: paths of views that have been written before and are read instead.
+    """
+    stored = stored or {}
     sql = sql if " " in sql else f"SELECT * FROM {sql}"
-    names = needed(sql)
-    texts = " ".join([sql, *(_both(n)[0] for n in names)])
+    names = needed(sql, stored)
+    texts = " ".join([sql, *(_both(n)[0] for n in names if n not in stored)])
     base = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", texts)]
-    parts = [*base, *(f"{n} AS ({_both(n)[0]})" for n in names)]
+    parts = [*base, *(f"{n} AS (SELECT * FROM parquet.`{stored[n]}`)" if n in stored else f"{n} AS ({_both(n)[0]})" for n in names)]
     return spark.sql(f"WITH {', '.join(parts)} {sql}" if parts else sql)
 
 
+def store_views(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, str]:
+    """Write views that a query reads more than once, each from those before it: name -> path."""
+    stored: dict[str, str] = {}
+    for name in names:
+        path = new_path(spark, name)
+        spark_view(spark, sf_dir, name, stored).write.parquet(path)
+        stored[name] = path
+    return stored
+
+
 def duck_sql(sql: str) -> str:
     """DuckDB SQL with the views it names in front; a text that begins with WITH is continued."""
     parts = ", ".join(f"{n} AS ({_both(n)[1]})" for n in needed(sql))

@@ -2,40 +2,87 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 128 << 20
-FDX = "_ScriptID string, Content struct<Paragraph: array<struct<_Type: string, Text: string>>>"
+FDX = "_ScriptID string, Content struct<Paragraph: array<struct<_Type: string, Text: array<string>>>>"
 STYLE_CARD = "id string, prompt string, category string, title string"
 
+#: Byte order marks, longer ones first. Fixed values.
+MARKS = [
+    (b"\xef\xbb\xbf", "UTF-8", "utf-8"), (b"\xff\xfe\x00\x00", "UTF-32", "utf-32-le"), (b"\x00\x00\xfe\xff", "UTF-32", "utf-32-be"),
+    (b"\xff\xfe", "UTF-16", "utf-16-le"), (b"\xfe\xff", "UTF-16", "utf-16-be"),
+]
+#: Encodings that compete for a file without a mark that isn't UTF-8.
+UNMARKED = [("GB18030", "gb18030"), ("Big5", "big5"), ("UTF-16", "utf-16-le"), ("UTF-16", "utf-16-be")]
+WIDE = UNMARKED[2:]
+#: Share of common characters that a decoding must have, and its lead over the next one.
+PLAUSIBLE, MARGIN = 0.7, 0.1
+
+
+def _of(codec: str, leads, trails) -> frozenset[str]:
+    """The characters of a two-byte encoding with these first and second bytes."""
+    pairs = (bytes([a, b]).decode(codec, "ignore") for a in leads for b in trails)
+    return frozenset(x for x in pairs if len(x) == 1)
+
+
+#: Signs and the commoner level of characters in each of the two encodings.
+_GB = _of("gb2312", [0xA1, 0xA3, *range(0xB0, 0xD8)], range(0xA1, 0xFF))
+_BIG5 = _of("big5", [0xA1, 0xA2, *range(0xA4, 0xC7)], [*range(0x40, 0x7F), *range(0xA1, 0xFF)])
+_COMMON = {"gb18030": _GB, "big5": _BIG5, "utf-16-le": _GB | _BIG5, "utf-16-be": _GB | _BIG5}
+
+
+def _plausibility(text: str, codec: str) -> float:
+    """The share of common characters among those that aren't printable ASCII or line ends; 1 without such."""
+    odd = [c for c in text if not (" " <= c <= "~" or c in "\t\r\n")]
+    return sum(c in _COMMON[codec] for c in odd) / len(odd) if odd else 1.0
+
+
+def _exact(body: bytes, codec: str) -> str | None:
+    """The text, if it gives back the same bytes."""
+    try:
+        text = body.decode(codec)
+        return text if text.encode(codec) == body else None
+    except UnicodeError:
+        return None
+
 
-def _decode(content: bytes | None) -> tuple[str | None, str | None]:
-    """(charset, text) of a file if one of the known charsets gives back the same bytes, else nulls."""
+def _is_wide(content: bytes) -> bool:
+    """Whether every other byte, and a quarter of all at least, is zero: UTF-16 of mostly Latin text."""
+    zeros = content.count(0)
+    return len(content) % 2 == 0 and zeros * 4 >= len(content) > 0 and zeros in (content[::2].count(0), content[1::2].count(0))
+
+
+def _decode(content: bytes | None) -> tuple[str | None, str | None, str | None]:
+    """(charset, text, None) of a file, or (None, None, reason).
+
+    A mark decides. Without one it is UTF-8 if that fits; else the decoding that round-trips and
+    has clearly the most common characters.
+    """
     if content is None:
-        return None, None
-    marks = [("UTF-8", b"\xef\xbb\xbf", "utf-8"), ("UTF-32", b"\xff\xfe\x00\x00", "utf-32-le"), ("UTF-32", b"\x00\x00\xfe\xff", "utf-32-be"),
-             ("UTF-16", b"\xff\xfe", "utf-16-le"), ("UTF-16", b"\xfe\xff", "utf-16-be")]
-    for name, mark, codec in marks:
-        if content.startswith(mark):
-            body = content[len(mark) :]  # the leading mark goes, later ones stay
-            tries = [(name, codec)]
-            break
-    else:
-        body, tries = content, [("UTF-8", "utf-8"), ("GB18030", "gb18030"), ("Big5", "big5")]
-    for name, codec in tries:
-        try:
-            text = body.decode(codec)
-            if text.encode(codec) == body:
-                return name, text
-        except UnicodeError:
-            continue
-    return None, None
+        return None, None, "not decodable"
+    for mark, name, codec in MARKS:
+        if content.startswith(mark):  # the leading mark goes, later ones stay
+            text = _exact(content[len(mark) :], codec)
+            return (None, None, "not decodable") if text is None else (name, text, None)
+    wide = _is_wide(content)
+    if not wide and (text := _exact(content, "utf-8")) is not None:
+        return "UTF-8", text, None
+    tries = [(name, codec, text) for name, codec in (WIDE if wide else UNMARKED) if (text := _exact(content, codec)) is not None]
+    ranked = sorted(((_plausibility(text, codec), name, text) for name, codec, text in tries), key=lambda x: -x[0])
+    if not ranked or ranked[0][0] < PLAUSIBLE:
+        return None, None, "not decodable"
+    if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < MARGIN:
+        return None, None, "ambiguous encoding"
+    return ranked[0][1], ranked[0][2], None
 
 
 def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_decode(c) for c in content], columns=["charset", "text"])
+    return pd.DataFrame([_decode(c) for c in content], columns=["charset", "text", "reason"])
 
 
 def _fits() -> Column:
@@ -45,48 +92,75 @@ def _fits() -> Column:
 def decode_scripts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path, length, content)`` -> (scripts, rejects).
 
-    A file is accepted if it round-trips in UTF-8, UTF-16 or UTF-32 with a mark, GB18030 or Big5;
-    only a leading mark is dropped. Files over 128 MB and all others are refused with a reason,
-    never repaired. An empty file is an empty script.
+    A file is accepted if it round-trips in UTF-8, UTF-16 or UTF-32 with a mark, or, without one,
+    in UTF-8 or the one of GB18030, Big5 and UTF-16 whose characters are clearly the most common.
+    Only a leading mark is dropped. Files over 128 MB and all others are refused with a reason
+    (not decodable, ambiguous encoding), never repaired. An empty file is an empty script. Plain
+    UTF-8 is read by the JVM; Python sees only the rest.
     """
     large = files.where(~_fits()).select("path", F.lit("too large").alias("reason"), "length")
-    decoder = F.pandas_udf(_decoded, "charset string, text string")
-    decoded = files.where(_fits()).withColumn("d", decoder("content"))
-    scripts = decoded.where("d.charset is not null").select(
-        F.sha2("path", 256).alias("script_id"), "path", F.col("d.text").alias("text"), F.col("d.charset").alias("charset"), F.sha2(F.col("d.text"), 256).alias("fingerprint")
-    )
-    bad = decoded.where("d.charset is null").select("path", F.lit("not decodable").alias("reason"), "length")
+    small = files.where(_fits())
+    text = F.col("content").cast("string")
+    plain = F.coalesce(F.is_valid_utf8("content") & ~F.contains(text, F.lit("\x00")), F.lit(False))
+    unmarked = F.when(F.startswith(text, F.lit("﻿")), F.call_function("substring", text, F.lit(2))).otherwise(text)
+    easy = small.where(plain).select("path", unmarked.alias("text"), F.lit("UTF-8").alias("charset"))
+    decoder = F.pandas_udf(_decoded, "charset string, text string, reason string")
+    hard = small.where(~plain).withColumn("d", decoder("content"))
+    scripts = easy.unionByName(hard.where("d.charset is not null").select("path", "d.text", "d.charset"))
+    scripts = scripts.select(F.sha2("path", 256).alias("script_id"), "path", "text", "charset", F.sha2("text", 256).alias("fingerprint"))
+    bad = hard.where("d.charset is null").select("path", "d.reason", "length")
     return scripts, large.unionByName(bad)
 
 
+def _listed(files: DataFrame) -> DataFrame:
+    """``(path)`` of all files of a reader, also of those without bytes, which Spark lists but doesn't read."""
+    names = [(unquote(name).replace("file:///", "file:/", 1),) for name in files.inputFiles()]
+    return files.sparkSession.createDataFrame(names, "path string")
+
+
 def read_scripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Text scripts under a path; the size test is pushed down, so large files aren't read."""
-    return decode_scripts(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    empty = _listed(files).join(files.select("path"), "path", "left_anti")
+    empty = empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+    return decode_scripts(files.select("path", "length", "content").unionByName(empty))
 
 
 def read_fdx(spark: SparkSession, path: str) -> DataFrame:
     """``(script_id, element_idx, element, text)`` of Final Draft XML, paragraphs in order.
 
-    Documents without a ``ScriptID`` take their file's path as id. Empty paragraphs have empty text.
+    A paragraph's text is that of all its runs, however they are styled. Documents without a
+    ``ScriptID`` take their file's path as id. Empty paragraphs have empty text.
     """
     rows = spark.read.format("xml").schema(FDX).option("rowTag", "FinalDraft").option("ignoreSurroundingSpaces", False).load(path)
     script_id = F.coalesce("_ScriptID", F.col("_metadata.file_path"))
     listed = rows.select(script_id.alias("script_id"), F.posexplode("Content.Paragraph").alias("element_idx", "p"))
-    return listed.select("script_id", "element_idx", F.col("p._Type").alias("element"), F.coalesce("p.Text", F.lit("")).alias("text"))
+    text = F.array_join(F.transform("p.Text", lambda run: F.coalesce(run, F.lit(""))), "")
+    return listed.select("script_id", "element_idx", F.col("p._Type").alias("element"), F.coalesce(text, F.lit("")).alias("text"))
+
 
+def read_style_pack(spark: SparkSession, path: str, repository: str | None = None, commit: str | None = None, license: str | None = None) -> DataFrame:
+    """Style cards of JSON packs with their provenance; a pack is an array of cards.
 
-def read_style_pack(spark: SparkSession, path: str) -> DataFrame:
-    """Style cards of JSON packs with the file they are from; a pack is an array of cards."""
+    The result has the file that a card is from (source_path), its id there (original_id), and the
+    repository, commit and license given here.
+    """
     rows = spark.read.schema(STYLE_CARD).option("multiLine", True).json(path)
-    return rows.withColumn("source_path", F.col("_metadata.file_path"))
+    return rows.withColumns({
+        "source_path": F.col("_metadata.file_path"), "original_id": F.col("id"), "repository": F.lit(repository).cast("string"),
+        "source_commit": F.lit(commit).cast("string"), "license": F.lit(license).cast("string"),
+    })
 
 
 def read_image_sets(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(``(set_name, filenames)`` of the Contents.json manifests, ``(set_name, filename)`` of the files there)."""
+    """(``(set_name, filenames)`` of the Contents.json manifests, ``(set_name, filename)`` of the files there).
+
+    Files are listed, not read; one without bytes is there as well.
+    """
     options = {"recursiveFileLookup": True, "pathGlobFilter": "Contents.json"}
     manifests = spark.read.schema("images array<struct<filename: string>>").options(multiLine=True, **options).json(root)
     of = lambda path: F.element_at(F.split(path, "/"), -2)
     sets = manifests.select(of(F.col("_metadata.file_path")).alias("set_name"), F.filter("images.filename", lambda f: f.isNotNull()).alias("filenames"))
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    listed = _listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
     files = listed.select(of(F.col("path")).alias("set_name"), F.element_at(F.split("path", "/"), -1).alias("filename")).where("filename <> 'Contents.json'")
     return sets, files

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.verify import classify_receipts
+from ..operators.verify import classify_receipts, committable
 
 STATES = "segment_id string, state string, rounds int"
 
@@ -24,23 +24,40 @@ def dedupe_stream(receipts: DataFrame, delay: str = "1 day") -> DataFrame:
     return receipts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["fingerprint", "segment_id"])
 
 
-def commit_segments(receipts: DataFrame, path: str, checkpoint: str):
-    """Start a query that writes accepted receipts under ``path``, a folder per batch.
+def commit_segments(receipts: DataFrame, path: str, checkpoint: str, expected: DataFrame):
+    """Start a query that writes the receipts that may be committed under ``path``, a folder per batch.
+
+    See ``committable``: accepted, parsed, of their own segment, each of its ``expected`` units covered once.
 
     A batch that is run again after a failure overwrites its own folder, so each segment is
     written once. Ends when all that is there has been read.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        accepted = classify_receipts(batch).where("outcome = 'accepted'").drop("outcome")
-        accepted.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        committable(batch, expected).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return receipts.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def scene_counts(receipts: DataFrame) -> DataFrame:
-    """Running counts and tokens per model and outcome, for update mode."""
-    return classify_receipts(receipts).groupBy("model", "outcome").agg(F.count("*").alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"))
+    """Running counts and tokens per scene (segment) and outcome, for update mode."""
+    return classify_receipts(receipts).groupBy("segment_id", "outcome").agg(F.count("*").alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
+def write_counts(counts: DataFrame, path: str, checkpoint: str):
+    """Start a query that writes what each batch changes under ``path``; ends when all that is there has been read."""
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return counts.writeStream.foreachBatch(update).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of each scene and outcome as of the last batch that changed them."""
+    rows = spark.read.parquet(path)
+    last = F.max_by(F.struct("n", "prompt_tokens"), "batch").alias("last")
+    return rows.groupBy("segment_id", "outcome").agg(last).select("segment_id", "outcome", "last.n", "last.prompt_tokens")
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,8 @@ def test_scripts_round_trip_or_are_refused(spark, tmp_path):
     files = {
         "utf8.txt": "甲乙﻿丙\r\n".encode(), "mark.txt": b"\xef\xbb\xbf" + "甲".encode(), "utf16.txt": b"\xff\xfe" + "甲".encode("utf-16-le"),
         "gb.txt": "剧本：第一集".encode("gb18030"), "bad.txt": b"\xff\xff\xff", "empty.txt": b"",
+        "big5.txt": "夜裡的街道下著雨，他們慢慢走回家。".encode("big5"), "wide.txt": "INT. KITCHEN\r\n".encode("utf-16-le"), "wide2.txt": "夜里的街道下着雨。".encode("utf-16-be"),
+        "nul.txt": b"a\x00b\r\n", "a b%20c.txt": b"",
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
@@ -21,6 +23,8 @@ def test_scripts_round_trip_or_are_refused(spark, tmp_path):
     found = {r.path.rsplit("/")[-1]: (r.charset, r.text) for r in scripts.collect()}
     assert found == {
         "utf8.txt": ("UTF-8", "甲乙﻿丙\r\n"), "mark.txt": ("UTF-8", "甲"), "utf16.txt": ("UTF-16", "甲"), "gb.txt": ("GB18030", "剧本：第一集"), "empty.txt": ("UTF-8", ""),
+        "big5.txt": ("Big5", "夜裡的街道下著雨，他們慢慢走回家。"), "wide.txt": ("UTF-16", "INT. KITCHEN\r\n"), "wide2.txt": ("UTF-16", "夜里的街道下着雨。"),
+        "nul.txt": ("UTF-8", "a\x00b\r\n"), "a b%20c.txt": ("UTF-8", ""),
     }
     assert [(r.path.rsplit("/")[-1], r.reason) for r in rejects.collect()] == [("bad.txt", "not decodable")]
 
@@ -33,6 +37,14 @@ def test_fdx_round_trip(spark, tmp_path):
     assert sorted((int(r.script_id), r.element_idx, r.element, r.text) for r in back.collect()) == rows
 
 
+def test_fdx_runs_are_joined(spark, tmp_path):
+    (tmp_path / "a.fdx").write_text(
+        "<FinalDraft><Content><Paragraph Type='Action'><Text>She </Text><Text Style='Bold'>waits</Text><Text> </Text><Text>here.</Text></Paragraph>"
+        "<Paragraph Type='Action'/><Paragraph Type='General'><Text></Text></Paragraph></Content></FinalDraft>"
+    )
+    assert [(r.element, r.text) for r in R.read_fdx(spark, str(tmp_path / "a.fdx")).orderBy("element_idx").collect()] == [("Action", "She waits here."), ("Action", ""), ("General", "")]
+
+
 def test_packs_and_manifests(spark, tmp_path):
     (tmp_path / "pack.json").write_text(json.dumps([{"id": "a", "prompt": "p", "category": "c", "title": "t"}]))
     card = R.read_style_pack(spark, str(tmp_path / "pack.json")).first()
@@ -40,7 +52,7 @@ def test_packs_and_manifests(spark, tmp_path):
     folder = tmp_path / "sets" / "one.imageset"
     folder.mkdir(parents=True)
     (folder / "Contents.json").write_text(json.dumps({"images": [{"filename": "a.png"}, {"filename": "b.png"}]}))
-    (folder / "a.png").write_bytes(b"x")
+    (folder / "a.png").write_bytes(b"")
     faults = Q.resource_faults(*R.read_image_sets(spark, str(tmp_path / "sets")))
     assert [(r.set_name, r.filename) for r in faults.collect()] == [("one.imageset", "b.png")]
 
@@ -52,7 +64,7 @@ def test_publishing_keeps_the_last_good_result(spark, tmp_path):
     K.publish_if_complete(old, every, path)
     new = spark.createDataFrame([(1, "new"), (2, "new")], "script_id long, v string")
     K.publish_if_complete(new, every.withColumn("complete", F.col("script_id") == 1), path)
-    assert sorted((r.script_id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "old")]
+    assert sorted((r.script_id, r.v) for r in K.read_published(spark, path).collect()) == [(1, "new"), (2, "old")]
 
 
 def receipts(spark):
@@ -62,11 +74,12 @@ def receipts(spark):
 
 
 def test_stream_commits_once(spark, tmp_path):
-    source = receipts(spark)
+    source = receipts(spark).withColumn("reply", F.concat(F.lit('{"segment": "'), F.col("segment_id"), F.lit('", "covered": ["U1"]}')))
+    expected = spark.createDataFrame([("S1", "U1"), ("S2", "U1"), ("S3", "U1")], "segment_id string, unit_id string")
     source.write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run has nothing new to read
         stream = W.dedupe_stream(W.read_receipts(spark, str(tmp_path / "in"), source.schema))
-        W.commit_segments(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+        W.commit_segments(stream, str(tmp_path / "out"), str(tmp_path / "progress"), expected).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     assert [r.segment_id for r in found.collect()] == ["S1"]
 

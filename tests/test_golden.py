@@ -1,5 +1,7 @@
 """Small golden cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from scriptloom.operators import profile as P
 from scriptloom.operators import score as S
 from scriptloom.operators import units as U
 from scriptloom.operators import verify as V
+from scriptloom.operators.styles import style_only
 from scriptloom.plans import compile as X
 from scriptloom.sources import catalogs as C
 
@@ -23,7 +26,7 @@ def test_numerals(spark, given, number):
 
 
 @pytest.mark.parametrize("line, marker", [
-    ("第1集：初见", (1, "初见")), ("EP 2 - 追踪", (2, "追踪")), ("　第十二话　", (12, "")), ("3集", (3, "")),
+    ("第1集：晨雾", (1, "晨雾")), ("EP 2 - 渡口", (2, "渡口")), ("　第十二话　", (12, "")), ("3集", (3, "")),
     ("第1集 标题", None), ("他看了第1集。", None), ("E12345", None), ("第0集", None),
 ])
 def test_episode_markers(spark, line, marker):
@@ -32,18 +35,18 @@ def test_episode_markers(spark, line, marker):
 
 
 def test_episodes_of_scenes(spark):
-    lines = ["第1集：初见", "内. 厨房 - 日", "小雨推开窗户。", "EP 2 - 追踪", "外. 街道 - 夜", "小雨追着出租车跑。"]
+    lines = ["第1集：晨雾", "内. 书店 - 早", "阿宁数着零钱。", "EP 2 - 渡口", "外. 码头 - 晚", "阿宁等最后一班船。"]
     units = U.source_units(spark.createDataFrame([(1, "\n".join(lines))], "script_id long, text string"))
     scenes = spark.createDataFrame(
-        [(1, "a", 0, "内. 厨房 - 日", ["U000002", "U000003"], None, None), (1, "b", 1, "外. 街道 - 夜", ["U000005", "U000006"], None, None)],
+        [(1, "a", 0, "内. 书店 - 早", ["U000002", "U000003"], None, None), (1, "b", 1, "外. 码头 - 晚", ["U000005", "U000006"], None, None)],
         "script_id long, scene_id string, scene_order int, heading string, unit_ids array<string>, episode_number int, episode_title string",
     )
     rows = {r.scene_id: (r.episode_number, r.episode_title, r.unresolved) for r in U.episode_index(scenes, units).collect()}
-    assert rows == {"a": (1, "初见", False), "b": (2, "追踪", False)}
+    assert rows == {"a": (1, "晨雾", False), "b": (2, "渡口", False)}
 
 
 def test_summaries_keep_each_line_once(spark):
-    a, b, c = "14岁初三学生，毒舌傲娇。", "14岁初三男生，毒舌傲娇。", "男主角，14岁左右。"
+    a, b, c = "码头的老船工，话少。", "码头的船工，话少。", "退休前最后一年。"
     merged = T.consolidate_summaries(*[F.col(x) for x in "abcd"])
     text = one(spark, merged, a=a, b=b, c=c, d=a)
     assert text == "\n".join([a, b, c])
@@ -78,30 +81,66 @@ def test_templates(spark):
 
 
 def test_three_layers_stay_apart(spark):
-    assets = spark.createDataFrame([("a", 1, "character", "小雨", ["小雨"], "", "")], "asset_id string, script_id long, kind string, canonical_name string, aliases array<string>, summary string, continuity_state string")
+    assets = spark.createDataFrame([("a", 1, "character", "阿宁", ["阿宁"], "", "")], "asset_id string, script_id long, kind string, canonical_name string, aliases array<string>, summary string, continuity_state string")
     facts = spark.createDataFrame(
-        [("a", "character", 1, "ageRange", "17 岁", 1.0), ("a", "character", 2, "identityRole", "学生", 1.0), ("a", "character", 3, "costume", "旧校服", 1.0)],
+        [("a", "character", 1, "ageRange", "四十上下", 1.0), ("a", "character", 2, "identityRole", "店主", 1.0), ("a", "character", 3, "costume", "灰围裙", 1.0)],
         "asset_id string, kind string, pos int, fact_kind string, value string, confidence double",
     )
     groups = P.fact_groups(facts, C.fact_kinds(spark))
     texts = P.profile_text(assets, groups, P.missing_kinds(assets, groups, C.fact_kinds(spark)))
-    cards = spark.createDataFrame([("c", "电影级写实摄影，低饱和冷色体系，均匀漫射光。")], "card_id string, prompt string")
+    cards = spark.createDataFrame([("c", "水彩质感，一个女人站立，暖色调；侧逆光。")], "card_id string, prompt string")
     styles = X.chosen_styles(spark.createDataFrame([("a", 0, "c")], "asset_id string, pos int, card_id string"), cards)
     asked = spark.createDataFrame([("a", "character", "edit", " closer ")], "asset_id string, kind string, mode string, direction string")
     plan = X.compile_plans(asked, texts, X.readiness(assets, facts), styles, C.format_templates(spark), C.generation_modes(spark)).first()
     assert plan.error is None and all(h in plan.positive_prompt for h in X.HEADERS)
     assert plan.template_id == "format.character.white-four-view.v1"
-    assert "17 岁" in plan.basic and "低饱和冷色" in plan.style and "低饱和冷色" not in plan.basic
+    assert "四十上下" in plan.basic and plan.style == "水彩质感，暖色调，侧逆光" and "暖色调" not in plan.basic
     assert plan.positive_prompt.endswith("closer")
     none = X.compile_plans(asked, texts, X.readiness(assets, facts), styles.limit(0), C.format_templates(spark), C.generation_modes(spark)).first()
     assert none.error == "noSelectedStyle" and none.positive_prompt is None
 
 
-def test_passages_by_hash_equal_passages_by_broadcast(spark):
-    scripts = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "a lazy dog"), (3, None), (4, "")], "script_id long, text string")
-    quotes = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "lazy dog"), (3, "dog"), (4, "absent passage of text"), (5, ""), (6, None)], "quote_id long, quote string")
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(V.find_passages(scripts, quotes)) == rows(V.find_passages(scripts, quotes, broadcast_rows=0)) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
+def test_passages_are_those_of_all_pairs(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["ab", "cd", "ef", "gh\n", "i"], k=rng.randrange(40))) for _ in range(60)] + [None, "", " lone ", "x" * 40]
+    quotes = [None, "", " ", "b c", "d", "xxxxxxxxxxxxxxxxxxxxx", "absent"]
+    for text in texts[:60]:
+        a = rng.randrange(len(text) + 1)
+        quotes.append(text[a : a + rng.randrange(60)])
+    found = V.find_passages(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"))
+    assert sorted(map(tuple, found.collect())) == [(i, j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if t and q and q in t]
+
+
+@pytest.mark.parametrize("prompt, style", [
+    ("cartoon rendering, a man running, soft light", "cartoon rendering，soft light"), ("delicate line, stable composition", "delicate line，stable composition"),
+    ("romantic palette; german expressionism", "romantic palette，german expressionism"), ("portrait of a woman, film grain", "film grain"), ("a castle, three trees", ""),
+    ("低饱和冷色，人物奔跑；柔光。街道", "低饱和冷色，柔光"),
+])
+def test_styles_keep_style_clauses_only(spark, prompt, style):
+    assert one(spark, style_only(F.col("p")), p=prompt) == style
+
+
+def test_dialogue_goes_on_to_a_blank_line(spark):
+    text = "INT. SHOP - DAY\n\nANNA\nFirst line.\n(softly)\nSecond line.\n\nShe leaves.\nBOB\nWait!\nCUT TO:\nMAX\n\nAlone."
+    units = U.source_units(spark.createDataFrame([(1, text)], "script_id long, text string"))
+    found = [r.element for r in U.classify_elements(units).orderBy("unit_idx").collect()]
+    assert found == ["Scene Heading", "Character", "Dialogue", "Parenthetical", "Dialogue", "Action", "Character", "Dialogue", "Transition", "Action", "Action"]
+
+
+@pytest.mark.parametrize("status, reason, content, outcome", [
+    (200, "stop", "x", "accepted"), (200, None, "x", "bad_envelope"), (None, "stop", "x", "bad_envelope"), (None, None, "x", "bad_envelope"), (429, None, None, "resources"), (200, "stop", None, "empty"),
+])
+def test_outcomes_of_nulls(spark, status, reason, content, outcome):
+    rows = spark.createDataFrame([(status, reason, content)], "status int, finish_reason string, content string")
+    assert V.classify_receipts(rows).first().outcome == outcome
+
+
+@pytest.mark.parametrize("states, state", [
+    (["completed", "pending"], "pending"), (["failed", "pending"], "pending"), (["completed", None], "pending"), (["completed"], "completed"), (["completed", "failed"], "failed"), (["completed", "completedWithWarnings"], "completedWithWarnings"),
+])
+def test_episode_states(spark, states, state):
+    rows = spark.createDataFrame([(1, s) for s in states], "script_id long, state string")
+    assert V.episode_state(rows).first().episode_state == state
 
 
 def test_overlapping_quotes_are_not_unique(spark):
