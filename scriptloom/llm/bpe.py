@@ -194,6 +194,8 @@ class Encoder:
         #: chunk -> (its ids as text, its tokens as text, how many), both led by a blank
         self.known: dict[str, tuple[str, str, int]] = {}
         self.before: dict[str, tuple[str, str, int]] = {}
+        #: chunks and words of more than LONG letters, met since the last texts
+        self.long: list[str] = []
         #: word -> the same
         self.words: dict[str, tuple[str, str, int]] = {}
         self.words_before: dict[str, tuple[str, str, int]] = {}
@@ -216,6 +218,7 @@ class Encoder:
                 words[word] = before[word]
             else:
                 new.append(word)
+        self.long += [w for w in new if len(w) > LONG]
         if new:
             plain = [w if w.isascii() and w.isprintable() else "".join(map(v.letters.__getitem__, w.encode())) for w in new]
             for word, found in zip(new, v.encode_words(plain), strict=True):
@@ -241,6 +244,7 @@ class Encoder:
                 self.known[chunk] = (f" {self.vocabulary.special[chunk]}", f" {chunk}", 1)
             else:
                 new.append(chunk)
+        self.long += [c for c in new if len(c) > LONG]
         if new:
             self._learn(new)
 
@@ -271,12 +275,10 @@ class Encoder:
                 "".join([x[1] for x in found])[1:],
                 sum([x[2] for x in found]),
             )
-        for own in parts:
-            for c in own:
-                if len(c) > LONG:
-                    known.pop(c, None)
-        for w in [w for w in self.words if len(w) > LONG]:
-            del self.words[w]
+        for c in self.long:
+            known.pop(c, None)
+            self.words.pop(c, None)
+        self.long.clear()
 
 
 @functools.lru_cache(maxsize=1)
