@@ -85,19 +85,21 @@ def profiles(assets: DataFrame, evidence: DataFrame, facts: DataFrame, reference
     """``(asset_id, scene_count, source_evidence_count, confidence)``.
 
     confidence = min(1, .65 validated + .25 mean fact confidence (validated without facts) + .10 if
-    the asset appears in a scene), 6 places.
+    the asset appears in a scene), 6 places, halves up.
     """
     seen = referenced.groupBy("asset_id").agg(F.count("*").alias("scene_count"))
     clean = evidence.withColumn("key", canonical_key(F.col("quote"))).where("key <> ''")
     quotes = clean.groupBy("asset_id").agg(F.count_distinct("key").alias("source_evidence_count"))
-    sure = facts.groupBy("asset_id").agg(F.avg("confidence").alias("fact_confidence"))
+    # summed as decimals, so that the order in which tasks meet the facts doesn't show
+    mean = F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double") / F.count("confidence")
+    sure = facts.groupBy("asset_id").agg(mean.alias("fact_confidence"))
     rows = assets.join(seen, "asset_id", "left").join(quotes, "asset_id", "left").join(sure, "asset_id", "left")
     validated = F.col("validated_confidence")
     total = validated * 0.65 + F.coalesce("fact_confidence", validated) * 0.25 + F.when(F.col("scene_count") > 0, 0.10).otherwise(0.0)
     zero = F.lit(0).cast("bigint")
     return rows.select(
         "asset_id", F.coalesce("scene_count", zero).alias("scene_count"), F.coalesce("source_evidence_count", zero).alias("source_evidence_count"),
-        F.round(F.least(F.lit(1.0), total), 6).alias("confidence"),
+        F.round(F.least(F.lit(1.0), total) + 1e-9, 6).alias("confidence"),
     )
 
 

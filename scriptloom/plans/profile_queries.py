@@ -106,8 +106,8 @@ def episode_appearances(spark, sf_dir):
     return rows.select("asset_id", "episode_number", "episode_title", "n_scenes", F.array_join("scene_ids", ",").alias("scene_ids"), "n_quotes")
 
 
-@query("profiles", f"""WITH {REFERENCED}, sn AS (SELECT asset_id, count(*) AS n FROM ra GROUP BY 1), qn AS (SELECT asset_id, count(DISTINCT {key_sql('quote')}) AS n FROM fx_evidence WHERE trim(quote) <> '' GROUP BY 1), fc AS (SELECT asset_id, avg(confidence) AS c FROM vf GROUP BY 1)
-SELECT a.asset_id, coalesce(sn.n, 0) AS scene_count, coalesce(qn.n, 0) AS source_evidence_count, round(least(1.0E0, validated_confidence * 0.65E0 + coalesce(c, validated_confidence) * 0.25E0 + CASE WHEN sn.n > 0 THEN 0.10E0 ELSE 0.0E0 END), 6) AS confidence
+@query("profiles", f"""WITH {REFERENCED}, sn AS (SELECT asset_id, count(*) AS n FROM ra GROUP BY 1), qn AS (SELECT asset_id, count(DISTINCT {key_sql('quote')}) AS n FROM fx_evidence WHERE trim(quote) <> '' GROUP BY 1), fc AS (SELECT asset_id, CAST(sum(CAST(confidence AS DECIMAL(18, 9))) AS DOUBLE) / count(confidence) AS c FROM vf GROUP BY 1)
+SELECT a.asset_id, coalesce(sn.n, 0) AS scene_count, coalesce(qn.n, 0) AS source_evidence_count, round(least(1.0E0, validated_confidence * 0.65E0 + coalesce(c, validated_confidence) * 0.25E0 + CASE WHEN sn.n > 0 THEN 0.10E0 ELSE 0.0E0 END) + 1E-9, 6) AS confidence
 FROM fx_assets a LEFT JOIN sn USING (asset_id) LEFT JOIN qn USING (asset_id) LEFT JOIN fc USING (asset_id)""")
 def profiles(spark, sf_dir):
     stored = store(spark, sf_dir)
