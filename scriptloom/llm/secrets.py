@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .textbatch import bounded_batches, byte_table, Chunk, chunks, runs
 
-#: A candidate is a run of these bytes, SHORTEST or more, with a digit, or with LONGEST_PLAIN or more.
+#: A candidate is a run of these bytes, SHORTEST or more, with a digit, or with LONGEST_PLAIN or more; or an assigned value.
 _PART = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.~")
 _DIGIT = byte_table(b"0123456789")
 SHORTEST = 16
@@ -31,6 +31,8 @@ SECRET_WORDS = "token secret key apikey password passwd pwd auth bearer credenti
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 hash checksum digest uuid guid revision build version etag integrity isbn phone card call invoice order id".split()
 #: Paths where strings are rarely real.
 HARMLESS_PATHS = "test tests example examples sample samples doc docs fixture fixtures mock lock".split()
+#: Values that stand where a secret would and are none. Fixed values.
+PLAIN_VALUES = frozenset("null none nil true false required optional string text value undefined unknown empty example changeme redacted hidden default".split())
 #: A small dictionary for coverage.
 DICTIONARY = frozenset(
     "the and for that with this from have not are was you all can her has one our out day get use man new now way may say "
@@ -42,6 +44,11 @@ DICTIONARY = frozenset(
 )
 
 _WORDS = re.compile(r"[a-z0-9]+")
+_SIGN = rb"""["']?[ \t]*(?::=|=>|[=:])[ \t]*"""
+#: In lower case: a secret word and the sign that assigns a value to it; the value, quoted or up to white space.
+_ASSIGNS = re.compile(b"(?:%s)%s" % ("|".join(SECRET_WORDS).encode(), _SIGN))
+_VALUE = re.compile(rb"""\"([^"\r\n]+)"|'([^'\r\n]+)'|((?:(?!&\w+=)[^\s"'`])+)""")
+_AFTER_SIGN = re.compile(_ASSIGNS.pattern + rb"""["']?$""")
 
 
 def features(candidate: str, before: str, after: str, path: str) -> list[float]:
@@ -84,14 +91,19 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
         sum(w in HARMLESS_WORDS for w in near) + sum(w in HARMLESS_WORDS for w in far),
         sum(w in HARMLESS_PATHS for w in parts),
         float("." in candidate and bool(re.search(r"[a-z]\.(com|org|net|html|io)", lower))),
+        float(bool(_AFTER_SIGN.search(before.lower().encode()))),
+        sum(c in "${}<>()[]" for c in candidate) / n,
+        candidate.count(" ") / n,
+        float(lower in PLAIN_VALUES),
     ]
 
 
 def labelled_findings(n: int = 1600, seed: int = SEED) -> list[tuple[int, str, str, str, str]]:
     """Labelled findings (1 for a secret, candidate, before, after, path), made by rule from a seed.
 
-    Half are keys as services issue them in assignments; half are what scanners wrongly report:
-    card numbers, hashes named as such, uuids, long words, paths, hosts, placeholders, identifiers.
+    Half are keys as services issue them and passwords as people choose them, in assignments; half are
+    what scanners wrongly report: card numbers, hashes named as such, uuids, long words, paths, hosts,
+    placeholders, identifiers, and what else is assigned to a secret's name: plain values, references, words.
     """
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
@@ -107,13 +119,19 @@ def labelled_findings(n: int = 1600, seed: int = SEED) -> list[tuple[int, str, s
         path = pick(["src/app.py", "config/prod.yml", f"src{k % 20}", "deploy.env", "notes.txt", ""])
         if k % 2 == 0:
             value = pick([draw(hexes, pick([32, 40, 64])), draw(mixed, rng.integers(20, 64)), "AKIA" + draw(lower.upper() + digits, 16),
-                          "ghp_" + draw(mixed, 36), "sk-" + draw(mixed, 40), draw(mixed + "+/", 43) + "="])
+                          "ghp_" + draw(mixed, 36), "sk-" + draw(mixed, 40), draw(mixed + "+/", 43) + "=",
+                          draw(mixed + "!@#%&*?-_", rng.integers(8, 20)), draw(pick([lower, lower + lower.upper()]), rng.integers(16, 32)),
+                          pick([str.lower, str.capitalize])(word(int(rng.integers(2, 5)))) + draw(digits, rng.integers(1, 5)) + pick(["", "!", "?", "#", "&"]) + draw(digits, 1),
+                          pick(["-", "_", " "]).join([word(2) for _ in range(3)] + [draw(digits, 2)])])
             sign, quote = pick([" = ", "=", ": "]), pick(['"', "'", '"', ""])
             lead = pick(["", "export ", "const "]) + pick(names)
             out.append((1, value, f"{prose(4)} {lead}{sign}{quote}", f"{quote}{pick(['', '###', '!!', ';'])} {prose(3)}", path))
             continue
-        shape = k // 2 % 9
+        shape = k // 2 % 12
         before, after = prose(5) + " ", " " + prose(3)
+        if shape > 8:
+            sign, quote = pick([" = ", "=", ": ", ": "]), pick(['"', "'", "", ""])
+            before, after = f"{prose(4)} {pick(names)}{sign}{quote}", f"{quote}{pick(['', ',', ';'])} {prose(3)}"
         if shape == 0:
             value = draw(digits, pick([16, 16, 19]))
         elif shape == 1:
@@ -131,6 +149,18 @@ def labelled_findings(n: int = 1600, seed: int = SEED) -> list[tuple[int, str, s
             value = "-".join(word(2) for _ in range(4)) + draw(digits, 2)
         elif shape == 7:
             value = f"{draw(digits, 4)}-{draw(digits, 2)}-{draw(digits, 2)}-{word(3)}"
+        elif shape == 9:
+            value = pick([*sorted(PLAIN_VALUES), draw(digits, rng.integers(1, 4)), "v" + draw(digits, 1), ".".join(draw(digits, 3)), pick("*x") * int(rng.integers(3, 12))])
+        elif shape == 10:
+            name = pick(names).upper()
+            value = pick(["${%s}" % name, "$%s" % name, "{{ %s }}" % name.lower(), "<your-%s>" % name.lower(), "get_%s()" % name.lower(),
+                          "self.%s" % name.lower(), "os.environ[%s]" % name, "process.env.%s" % name, "config.%s" % word(2)])
+        elif shape == 11:
+            value = word(int(rng.integers(1, 4)))
+            if '"' not in before and "'" not in before:
+                value = pick([value, value.capitalize()])
+            else:
+                value = prose(int(rng.integers(4, 9)))
         else:
             value, path = draw(hexes, 40), pick(["tests/fixtures/a.txt", "docs/example.md", "package.lock"])
         out.append((0, value, before, after, path))
@@ -216,6 +246,32 @@ def _trimmed(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, a + len(text[a:b].rstrip(b".-~_/"))
 
 
+def assigned(text: bytes) -> list[tuple[int, int]]:
+    """(first byte, end) of the values that a whole text assigns to secret words, of any length; they don't overlap."""
+    out, last = [], 0
+    for head in _ASSIGNS.finditer(text.lower()):
+        value = _VALUE.match(text, head.end()) if head.start() >= last else None
+        if value:
+            a, b = value.span(value.lastindex)
+            last = b
+            b = a + len(text[a:b].rstrip(b" \t,;.)]}>" if value.lastindex == 3 else b" \t"))
+            if b > a:
+                out.append((a, b))
+    return out
+
+
+def _spans(chunk: Chunk) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
+    """Each row of a chunk that has candidates: (row, its text, their distinct spans of bytes in order)."""
+    found: list[set] = [set() for _ in range(len(chunk))]
+    for row, a, b in candidates(chunk):
+        found[row].add((a, b))
+    for row, spans in enumerate(found):
+        text = chunk.row(row)
+        spans = {(a, b) for a, b in (_trimmed(text, *s) for s in spans) if b - a >= SHORTEST}
+        if spans := spans | set(assigned(text)):
+            yield row, text, sorted(spans)
+
+
 def _judged(batch: pa.RecordBatch, threshold: float) -> list[list[tuple[int, int, float, bool]]]:
     """Per row of (id, text, path): (start, end, score, is a secret) in characters."""
     out: list[list] = [[] for _ in range(batch.num_rows)]
@@ -223,21 +279,15 @@ def _judged(batch: pa.RecordBatch, threshold: float) -> list[list[tuple[int, int
     for chunk in chunks(batch.column(1)):
         # bytes that begin a character, all but 10xxxxxx, counted up to each byte
         heads = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
-        text, last = b"", -1
-        for row, a, b in candidates(chunk):
-            if row != last:
-                text, last = chunk.row(row), row
-            a, b = _trimmed(text, a, b)
-            if b - a < SHORTEST:
-                continue
-            before = text[max(0, a - CONTEXT) : a].decode(errors="ignore")
-            after = text[b : b + CONTEXT].decode(errors="ignore")
+        for row, text, found in _spans(chunk):
             path = batch.column(2)[chunk.first + row].as_py() or ""
-            rows.append(chunk.first + row)
-            x.append(features(text[a:b].decode(), before, after, path))
             at = int(chunk.offsets[row])
-            start = int(heads[at + a] - heads[at])
-            spans.append((start, start + b - a))
+            for a, b in found:
+                before = text[max(0, a - CONTEXT) : a].decode(errors="ignore")
+                after = text[b : b + CONTEXT].decode(errors="ignore")
+                rows.append(chunk.first + row)
+                x.append(features(text[a:b].decode(), before, after, path))
+                spans.append((int(heads[at + a] - heads[at]), int(heads[at + b] - heads[at])))
     if rows:
         scores = trained_forest().predict(np.array(x))
         for row, (a, b), score in zip(rows, spans, scores.tolist(), strict=True):
@@ -251,7 +301,8 @@ def find_secrets(
     """``(doc_id, findings)``, one row per row of ``docs``; findings holds every candidate.
 
     A candidate is a run of letters, digits and ``+/=_-.~`` of 16 characters or more with a digit,
-    or of 32 or more. Its struct has start and end (characters of the whole text), score (the share
+    or of 32 or more, or, at any length, what a secret word (``password = "..."``) is given: the quoted
+    text, or all up to white space. Two candidates may overlap. A candidate's struct has start and end (characters of the whole text), score (the share
     of the forest's votes) and secret (score at or above ``threshold``), in the order of start.
     The forest judges length, character transitions, dictionary coverage, the path (``path_col``,
     may be None) and neighbouring words; each worker trains it once from labelled findings that a
@@ -276,7 +327,7 @@ def redact_secrets(
 ) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``mark``; all rows and columns stay.
 
-    Null texts stay null; see ``find_secrets`` for what counts as a secret.
+    Secrets that overlap get one mark. Null texts stay null; see ``find_secrets`` for what counts as a secret.
     """
     names = docs.columns
     at = names.index(text_col)
@@ -290,9 +341,10 @@ def redact_secrets(
             for i, found in enumerate(_judged(view, threshold)):
                 pieces, at_char = [], 0
                 for start, end, _, secret in found:
-                    if secret:
+                    if secret and start >= at_char:
                         pieces += [texts[i][at_char:start], mark]
-                        at_char = end
+                    if secret:
+                        at_char = max(at_char, end)
                 if pieces:
                     texts[i] = "".join([*pieces, texts[i][at_char:]])
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]

@@ -75,6 +75,28 @@ def test_secrets_offsets_in_long_texts(spark):
     assert redact_secrets(docs).where("doc_id = 1").first().text == text.replace(token, "[SECRET]")
 
 
+def test_values_assigned_to_secret_words(spark):
+    rows = {
+        1: ('password = "Tr0ub4dor&3"', ["Tr0ub4dor&3"]), 2: ("export API_KEY=abcdefghijklmnopqrstuvwx\n", ["abcdefghijklmnopqrstuvwx"]),
+        3: ("maß 🎉 Password: 'Füchse77!' x", ["Füchse77!"]), 4: ("password: required, token = null", []), 5: ("secret = ${DB_SECRET}", []),
+        6: ("the treaty of 1648, by which they signed: nothing", []), 7: ('token = "', []), 8: ("key=" * 50_000, None),
+        9: ("password=ghp_0123456789abcdefghijABCDEFGHIJ012345 and on", ["ghp_0123456789abcdefghijABCDEFGHIJ012345"]),
+    }
+    docs = spark.createDataFrame([(i, t, None) for i, (t, _) in rows.items()], "doc_id long, text string, source string")
+    found = {r.doc_id: r.findings for r in find_secrets(docs).collect()}
+    for i, (text, wanted) in rows.items():
+        if wanted is not None:
+            assert [text[f.start : f.end] for f in found[i] if f.secret] == wanted
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert clean[1] == 'password = "[SECRET]"' and clean[3] == "maß 🎉 Password: '[SECRET]' x" and clean[4] == rows[4][0]
+
+
+def test_secrets_that_overlap_get_one_mark(spark):
+    text = 'password = "Zq7!kd 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b W#81x" end'
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    assert redact_secrets(docs).first().text in ('password = "[SECRET]" end', 'password = "Zq7!kd [SECRET] W#81x" end')
+
+
 def test_forest_on_findings_of_another_seed():
     x, y = zip(*[(features(c, b, a, p), label) for label, c, b, a, p in labelled_findings(400, seed=99)], strict=True)
     xt, yt = zip(*[(features(c, b, a, p), label) for label, c, b, a, p in labelled_findings()], strict=True)
