@@ -23,7 +23,7 @@ _SPACE = regex.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2
 #: str.split() splits at these as well.
 _NOT_SPACE = regex.compile("[\\x1c-\\x1f]")
 #: Distinct chunks that a worker remembers of late; up to twice as many in all.
-CACHE = 60_000
+CACHE = 120_000
 #: Words of more letters are merged by a heap, and aren't remembered after their texts.
 LONG = 100
 _NEVER = 1 << 60
