@@ -68,18 +68,23 @@ def train(rows: list[tuple[str, bytes]]) -> Model | None:
     held = rng.random(len(y)) < 0.1
     keep = np.flatnonzero(~held)
 
-    def hidden(batch: np.ndarray) -> tuple:
+    def shares(batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that a batch's rows have, and each row's share of them as a small dense matrix."""
         sizes = bounds[batch + 1] - bounds[batch]
         at = np.repeat(bounds[batch] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        return at, np.repeat(np.arange(len(batch)), sizes), sums_by_row(embedding[index[at]] * share[at, None], edges)
+        seen = np.zeros(1 << BITS, dtype=bool)
+        seen[index[at]] = True
+        dense = np.zeros((len(batch), np.count_nonzero(seen)))
+        dense[np.repeat(np.arange(len(batch)), sizes), (np.cumsum(seen) - 1)[index[at]]] = share[at]
+        return np.flatnonzero(seen), dense
 
     steps, total = 0, EPOCHS * -(-len(keep) // BATCH)
     for _ in range(EPOCHS):
         order = rng.permutation(keep)
         for k in range(0, len(order), BATCH):
             batch = order[k : k + BATCH]
-            at, own, h = hidden(batch)
+            buckets, x = shares(batch)
+            h = x @ embedding[buckets]
             g = _softmax(h @ out + bias)
             g[np.arange(len(batch)), y[batch]] -= 1
             g /= len(batch)
@@ -88,14 +93,14 @@ def train(rows: list[tuple[str, bytes]]) -> Model | None:
             gh = g @ out.T
             out -= 0.05 * rate * h.T @ g
             bias -= 0.01 * rate * g.sum(axis=0)
-            buckets, where = np.unique(index[at], return_inverse=True)
-            for d in range(DIM):
-                embedding[buckets, d] -= rate * np.bincount(where, share[at] * gh[own, d], minlength=len(buckets))
+            embedding[buckets] -= rate * (x.T @ gh)
     model = Model(languages, embedding, out, bias)
     model.settle()
     if held.any():
-        z = hidden(np.flatnonzero(held))[2] @ out + bias
-        own = y[held]
+        rest = np.flatnonzero(held)
+        tries = [shares(rest[k : k + BATCH]) for k in range(0, len(rest), BATCH)]
+        z = np.concatenate([x @ model.embedding[buckets] for buckets, x in tries]) @ out + bias
+        own = y[rest]
         temperatures = np.geomspace(0.2, 20, 60)
         loss = [-np.log(_softmax(z / t)[np.arange(len(own)), own] + 1e-12).mean() for t in temperatures]
         model.temperature = float(temperatures[int(np.argmin(loss))])
