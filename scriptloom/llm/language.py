@@ -39,11 +39,12 @@ class Model:
     out: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    table: np.ndarray = field(init=False)
+    columns: np.ndarray = field(init=False)
 
     def settle(self) -> None:
-        """Fold embedding and softmax into one row of logits per bucket (zeros for no bucket)."""
-        self.table = np.vstack([self.embedding @ self.out, np.zeros(len(self.bias))]).astype(np.float32)
+        """Fold embedding and softmax into the logits of each bucket (zeros for no bucket), a row for each language."""
+        table = np.vstack([self.embedding @ self.out, np.zeros(len(self.bias))]).astype(np.float32)
+        self.columns = np.ascontiguousarray(table.T)
 
     def logits(self, means: np.ndarray) -> np.ndarray:
         return means + self.bias
@@ -120,7 +121,9 @@ def predict(chunk, model: Model) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros((len(chunk), len(model.languages)))
     grams = np.zeros(len(chunk))
     for n in SIZES:
-        total += sums_by_row(model.table[ngram_buckets(chunk.data, chunk.offsets, n, BITS)], chunk.offsets)
+        buckets = ngram_buckets(chunk.data, chunk.offsets, n, BITS)
+        for k, column in enumerate(model.columns):
+            total[:, k] += sums_by_row(column[buckets], chunk.offsets)
         grams += np.maximum(np.diff(chunk.offsets) - n + 1, 0)
     odds = _softmax(model.logits(total / np.maximum(grams, 1)[:, None]) / model.temperature)
     best = odds.argmax(axis=1)

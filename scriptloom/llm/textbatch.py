@@ -117,6 +117,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values[bounds[i]:bounds[i + 1]]`` for each i; rows may be empty."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    total = np.zeros((len(bounds) - 1, *values.shape[1:]), dtype=np.float64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        total[full] = np.add.reduceat(values[: bounds[-1]], bounds[full], axis=0, dtype=np.float64)
+    return total
