@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +83,10 @@ def train(spark: SparkSession, labelled=None) -> tuple[list[float], float]:
     labelled = labelled or labelled_urls()
     values = ", ".join(f"({label}, '{host}', '{path}')" for label, host, path in labelled)
     rows = spark.sql(f"SELECT CAST(l AS DOUBLE) AS label, h, p FROM VALUES {values} AS t(l, h, p)")
-    # the share of n-grams in each bucket, as a vector
-    own = buckets(F.col("h"), F.col("p"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0.0)))
-    rows = rows.select("label", F.posexplode(own).alias("at", "bucket"), F.size(own).alias("n"), "h", "p")
-    rows = rows.groupBy("label", "h", "p", "n", "bucket").agg((F.count("*") / F.first("n")).alias("x"))
-    rows = rows.groupBy("label", "h", "p").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
-    data = rows.select("label", array_to_vector(share).alias("features")).coalesce(1)
+    # the share of n-grams in each bucket, as a sparse vector: a bucket is its own place in the vocabulary
+    counts = CountVectorizerModel.from_vocabulary([str(b) for b in range(WIDTH)], inputCol="own", outputCol="counts")
+    counted = counts.transform(rows.select("label", buckets(F.col("h"), F.col("p")).cast("array<string>").alias("own")))
+    data = Normalizer(p=1.0, inputCol="counts", outputCol="features").transform(counted).select("label", "features").coalesce(1)
     model = LogisticRegression(regParam=1e-6, maxIter=50, standardization=False).fit(data)
     return model.coefficients.toArray().tolist(), float(model.intercept)
 
@@ -105,7 +102,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     functions of the JVM.
     """
     weights, intercept = train(pages.sparkSession)
-    table = F.array(*[F.lit(w) for w in weights])
+    table = F.expr(f"array({', '.join(f'{w!r}D' for w in weights)})")
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     own = base.withColumn("own", buckets(F.col("host"), F.col("path")))
