@@ -15,6 +15,7 @@ from .repeats import spans_by_document
 from .secrets import find_secrets
 from .simhash import near_duplicate_groups
 from .toxicity import score_toxicity
+from .trie import conversation_trie
 from .urls import judge_urls
 
 
@@ -172,6 +173,48 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt ``conversations``."""
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'id': id, 'w': w} ORDER BY turn NULLS FIRST, id) AS turns FROM t GROUP BY conv_id
+), h AS (  -- CRC-32 of the decimal id, bit by bit
+  SELECT conv_id, turns, xor(list_reduce(
+           flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: [CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+           lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h
+  FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1 : a.h], a.turns[a.h + 1 :]) AS turns
+  FROM h AS a LEFT JOIN own AS b ON b.conv_id = a.conv_id - a.conv_id % 20
+), member AS (
+  SELECT conv_id, d, len(turns) = d AS ends, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w,
+         md5(array_to_string(list_transform(turns[1 : d], lambda x: x.id), ',')) || d AS p
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT p, d, min(conv_id) AS first, count(*) AS n, any_value(w) AS w,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id END, ',' ORDER BY conv_id), '')) AS ends
+  FROM member GROUP BY p, d
+), up AS (
+  SELECT c.p, m.p AS above, q.first AS above_first FROM node AS c JOIN member AS m ON m.conv_id = c.first AND m.d = c.d - 1 JOIN node AS q ON q.p = m.p
+), kids AS (
+  SELECT above AS p, count(*) AS k FROM up GROUP BY above
+), sums AS (  -- what every node gives to itself and to those above it
+  SELECT m.p, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves, sum(CASE WHEN v.d > 0 THEN (v.n - 1) * v.w ELSE 0 END) AS saved
+  FROM node AS v LEFT JOIN kids USING (p) JOIN member AS m ON m.conv_id = v.first AND m.d <= v.d GROUP BY m.p
+)
+SELECT first AS conv_id, d AS depth, above_first AS parent_conv_id, n AS n_convs, CAST(coalesce(k, 0) AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM node JOIN sums USING (p) LEFT JOIN up USING (p) LEFT JOIN kids USING (p)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -184,8 +227,9 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_urls": op10_urls,
+        "op13_trie": op13_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL, "op13_trie": OP13_SQL}
