@@ -10,6 +10,7 @@ from .ann import nearest_neighbours
 from .bpe import encode_texts
 from .decontaminate import find_contamination
 from .language import identify_language
+from .overlap import jaccard_groups
 from .quality import score_quality
 from .repeats import spans_by_document
 from .secrets import find_secrets
@@ -173,6 +174,35 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of 5-word shingles of ``documents`` that are 0.8 alike, by T-occurrence search."""
+    return jaccard_groups(_table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, CAST(greatest(len(w) - 4, 1) + 1 AS BIGINT))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
+), link AS (
+  SELECT a, b FROM common JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT r, r AS m FROM d UNION SELECT e.a, reach.m FROM reach JOIN edge AS e ON e.b = reach.r
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d AS o ON o.r = reach.m GROUP BY d.r, d.doc_id
+"""
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt ``conversations``."""
     return conversation_trie(_table(spark, sf_dir, "conversations"))
@@ -227,9 +257,10 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_urls": op10_urls,
+        "op12_jaccard": op12_jaccard,
         "op13_trie": op13_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL, "op13_trie": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL, "op12_jaccard": OP12_SQL, "op13_trie": OP13_SQL}
