@@ -11,6 +11,7 @@ from .bpe import encode_texts
 from .decontaminate import find_contamination
 from .language import identify_language
 from .overlap import jaccard_groups
+from .phrases import collocations
 from .quality import score_quality
 from .repeats import spans_by_document
 from .secrets import find_secrets
@@ -174,6 +175,46 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best collocations of two to four words in ``documents``."""
+    return collocations(_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT lang, w, m, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(m) WHERE len(w) >= m)
+), f AS MATERIALIZED (
+  SELECT lang, m, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, m, g HAVING count(*) >= 30
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), cut AS (
+  SELECT lang, g, f AS a, k, array_to_string(string_split(g, ' ')[: k], ' ') AS x, array_to_string(string_split(g, ' ')[k + 1 :], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)
+), scored AS (
+  SELECT cut.lang, cut.g, cut.a, k, l.f AS l, r.f AS r, (2000000 * cut.a) // (l.f + r.f) AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.g = x JOIN f AS r ON r.lang = cut.lang AND r.g = y
+), best AS (
+  SELECT lang, g, any_value(a) AS a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS c FROM scored GROUP BY lang, g
+), inner_parts AS (
+  SELECT DISTINCT lang, f, array_to_string(string_split(g, ' ')[i : i + m - 1], ' ') AS g
+  FROM (SELECT f.lang, f.f, f.g, f.m AS whole, t.m, unnest(range(1, f.m - t.m + 2)) AS i FROM f, (VALUES (2), (3)) AS t(m) WHERE t.m < f.m)
+), kept AS (
+  SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM inner_parts AS i WHERE i.lang = best.lang AND i.g = best.g AND 100 * i.f >= 80 * best.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c.score DESC, a DESC, g) AS rank FROM kept
+)
+SELECT lang, rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(c.l AS BIGINT) AS l, CAST(c.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(c.score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of 5-word shingles of ``documents`` that are 0.8 alike, by T-occurrence search."""
     return jaccard_groups(_table(spark, sf_dir, "documents"), shingle=5, percent=80)
@@ -257,10 +298,11 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_urls": op10_urls,
+        "op11_phrases": op11_phrases,
         "op12_jaccard": op12_jaccard,
         "op13_trie": op13_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL, "op12_jaccard": OP12_SQL, "op13_trie": OP13_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_repeats": OP3_SQL, "op11_phrases": OP11_SQL, "op12_jaccard": OP12_SQL, "op13_trie": OP13_SQL}

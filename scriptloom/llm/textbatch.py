@@ -100,15 +100,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte span, from one prefix sum over all bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int | None = None) -> np.ndarray:
+    """A 64-bit polynomial hash of each byte span, from one prefix sum over all bytes; ``base`` is odd."""
     n = len(data)
-    powers = np.full(n + 1, _P, dtype=np.uint64)
+    p, inverse_p = (_P, _P_INVERSE) if base is None else (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))
+    powers = np.full(n + 1, p, dtype=np.uint64)
     powers[0] = 1
     np.cumprod(powers, out=powers)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=prefix[1:])
-    inverse = np.full(n + 1, _P_INVERSE, dtype=np.uint64)
+    inverse = np.full(n + 1, inverse_p, dtype=np.uint64)
     inverse[0] = 1
     np.cumprod(inverse, out=inverse)
     lengths = (ends - starts).astype(np.uint64)
