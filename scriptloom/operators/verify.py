@@ -257,10 +257,18 @@ def episode_state(segments: DataFrame) -> DataFrame:
 
 
 def audit_rounds(rounds: DataFrame, most: int = 2) -> DataFrame:
-    """``(segment_id, rounds, missing, state)``: what is missing after the last targeted round."""
-    last = rounds.groupBy("segment_id").agg(F.max("round").alias("rounds"), F.max_by("missing", "round").alias("missing"))
-    state = F.when(F.col("missing") == 0, "done").when(F.col("rounds") >= most, "failed").otherwise("pending")
-    return last.withColumn("state", state)
+    """``(segment_id, rounds, missing, state)``: a segment's audits up to the first without gaps, ``most`` at most.
+
+    done if that one found nothing missing; failed if ``most`` rounds all did, whatever came after;
+    else pending. rounds: segment_id, round and missing (null counts as some). The stream's twin
+    is ``segment_states``.
+    """
+    order = Window.partitionBy("segment_id").orderBy("round")
+    first = rounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    clean = F.min(F.when(F.col("missing") == 0, F.col("nth")))
+    held = first.groupBy("segment_id").agg(F.coalesce(clean, F.max("nth")).alias("rounds"), F.when(clean.isNotNull(), 0).otherwise(F.max_by("missing", "nth")).alias("missing"), clean.isNotNull().alias("clean"))
+    state = F.when(F.col("clean"), "done").when(F.col("rounds") >= most, "failed").otherwise("pending")
+    return held.select("segment_id", "rounds", "missing", state.alias("state"))
 
 
 def retain_latest(snapshots: DataFrame, k: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -276,14 +278,36 @@ def _receipt_stream(spark, sf_dir):
     return receipts, W.read_receipts(spark, source, receipts.schema)
 
 
-@query("stream_receipts", "SELECT segment_id, event_id FROM fx_receipts WHERE event_type = 'purchase' AND event_id % 43 <> 5 AND event_id % 41 <> 3 AND event_id % 11 <> 0 AND event_id % 13 > 2")
+@query("stream_receipts", """SELECT segment_id, fingerprint, event_id FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, fingerprint ORDER BY ts, event_id) AS nth FROM fx_receipts
+WHERE event_type = 'purchase' AND event_id % 43 <> 5 AND event_id % 41 <> 3 AND event_id % 11 <> 0 AND event_id % 13 > 2) WHERE nth = 1""")
 def stream_receipts(spark, sf_dir):
-    """Receipts written as files, read as a stream; those that parse and cover their units are committed."""
+    """Receipts written as files, read as a stream; the first of each segment that parses and covers its units is committed."""
     receipts, stream = _receipt_stream(spark, sf_dir)
     expected = receipts.select("segment_id", F.explode(F.array(F.lit("U1"), F.lit("U2"))).alias("unit_id")).distinct()
     target = new_path(spark, "committed")
     W.commit_segments(stream, target, new_path(spark, "progress"), durable(expected, "expected")).awaitTermination()
-    return spark.read.schema(receipts.schema).parquet(target).select("segment_id", "event_id")
+    return spark.read.schema(receipts.schema).parquet(target).select("segment_id", "fingerprint", "event_id")
+
+
+#: Extractions and audits of segments; every seventh segment was done before.
+SEGMENT_EVENTS = "SELECT segment_id, event_id, ts, user_id, CASE WHEN event_id % 5 = 0 OR user_id % 4 = 1 THEN 'extracted' ELSE 'audit' END AS kind, CAST(CASE WHEN user_id % 6 = 2 THEN 1 ELSE event_id % 3 END AS INT) AS missing FROM fx_receipts"
+
+
+@query("segment_states", f"""WITH e AS (SELECT * FROM ({SEGMENT_EVENTS})), r AS (SELECT segment_id, missing, row_number() OVER (PARTITION BY segment_id ORDER BY ts, event_id) AS round FROM e WHERE kind = 'audit'),
+l AS (SELECT segment_id, CASE WHEN min(CASE WHEN missing = 0 THEN round END) IS NULL THEN max(round) ELSE min(CASE WHEN missing = 0 THEN round END) END AS rounds, min(missing) = 0 AS clean FROM r WHERE round <= 2 GROUP BY 1),
+s AS (SELECT segment_id, user_id, max(ts) AS last, bool_or(kind = 'extracted') AS extracted FROM e GROUP BY 1, 2),
+z AS (SELECT s.segment_id, coalesce(rounds, 0) AS rounds, last, CASE WHEN clean THEN 'done' WHEN rounds >= 2 THEN 'failed' WHEN rounds = 1 THEN 'audited' WHEN extracted THEN 'extracted' ELSE 'pending' END AS state FROM s LEFT JOIN l USING (segment_id) WHERE user_id % 7 <> 3)
+SELECT segment_id, CAST(rounds AS INT) AS rounds, CASE WHEN state NOT IN ('done', 'failed') AND last + INTERVAL 6 HOUR < (SELECT max(ts) FROM e) THEN 'failed' ELSE state END AS state,
+CASE WHEN state = 'failed' THEN 'missing' WHEN state <> 'done' AND last + INTERVAL 6 HOUR < (SELECT max(ts) FROM e) THEN 'stalled' END AS reason FROM z""")
+def segment_states(spark, sf_dir):
+    """Where each segment stands after its events; those that nothing happened to for six hours have failed."""
+    events = view(spark, sf_dir, SEGMENT_EVENTS)
+    source, target = new_path(spark, "events"), new_path(spark, "states")
+    events.write.parquet(source)
+    ended = events.where("user_id % 7 = 3").select("segment_id", F.lit("done").alias("state"), F.lit(1).alias("rounds")).distinct()
+    states = W.segment_states(W.read_receipts(spark, source, events.schema), stall=timedelta(hours=6), initial=ended)
+    W.write_states(states, target, new_path(spark, "progress")).awaitTermination()
+    return W.latest_states(spark, target)
 
 
 @query("stream_scene_counts", f"SELECT segment_id, {OUTCOME} AS outcome, count(*) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens FROM fx_receipts GROUP BY 1, 2")

@@ -280,8 +280,12 @@ def episode_state(spark, sf_dir):
 ROUNDS = "SELECT segment_id, CAST(row_number() OVER (PARTITION BY segment_id ORDER BY ts, event_id) AS INT) AS round, CAST(event_id % 3 AS INT) AS missing FROM fx_receipts"
 
 
-@query("audit_rounds", f"""WITH r AS (SELECT * FROM ({ROUNDS})), l AS (SELECT segment_id, max(round) AS rounds, arg_max(missing, round) AS missing FROM r GROUP BY 1)
-SELECT segment_id, rounds, missing, CASE WHEN missing = 0 THEN 'done' WHEN rounds >= 2 THEN 'failed' ELSE 'pending' END AS state FROM l""")
+FIRST_ROUNDS = """SELECT segment_id, CASE WHEN min(CASE WHEN missing = 0 THEN round END) IS NULL THEN max(round) ELSE min(CASE WHEN missing = 0 THEN round END) END AS rounds,
+min(missing) = 0 AS clean, arg_max(missing, round) AS missing FROM r WHERE round <= 2 GROUP BY 1"""
+
+
+@query("audit_rounds", f"""WITH r AS (SELECT * FROM ({ROUNDS})), l AS ({FIRST_ROUNDS})
+SELECT segment_id, rounds, CASE WHEN clean THEN 0 ELSE missing END AS missing, CASE WHEN clean THEN 'done' WHEN rounds >= 2 THEN 'failed' ELSE 'pending' END AS state FROM l""")
 def audit_rounds(spark, sf_dir):
     return V.audit_rounds(view(spark, sf_dir, ROUNDS))
 

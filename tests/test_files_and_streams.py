@@ -1,10 +1,14 @@
 """Readers, writers and streams over files in a temporary folder."""
 
+import itertools
 import json
+from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.operators import quality as Q
+from scriptloom.operators import verify as V
 from scriptloom.sources import readers as R
 from scriptloom.sources import sinks as K
 from scriptloom.streaming import receipts as W
@@ -67,27 +71,75 @@ def test_publishing_keeps_the_last_good_result(spark, tmp_path):
     assert sorted((r.script_id, r.v) for r in K.read_published(spark, path).collect()) == [(1, "new"), (2, "old")]
 
 
-def receipts(spark):
-    rows = [(1, "S1", "fp", "stop", 200, "x"), (2, "S1", "fp", "stop", 200, "x"), (3, "S2", "fp", "length", 200, "x"), (4, "S3", "fp", "stop", 429, "x")]
-    df = spark.createDataFrame(rows, "event_id long, segment_id string, fingerprint string, finish_reason string, status int, content string")
-    return df.withColumn("ts", F.timestamp_seconds(F.col("event_id"))).withColumn("missing", (F.col("event_id") % 2).cast("int"))
+RECEIPT = "event_id long, segment_id string, fingerprint string, finish_reason string, status int, content string, reply string"
 
 
-def test_stream_commits_once(spark, tmp_path):
-    source = receipts(spark).withColumn("reply", F.concat(F.lit('{"segment": "'), F.col("segment_id"), F.lit('", "covered": ["U1"]}')))
-    expected = spark.createDataFrame([("S1", "U1"), ("S2", "U1"), ("S3", "U1")], "segment_id string, unit_id string")
-    source.write.parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run has nothing new to read
-        stream = W.dedupe_stream(W.read_receipts(spark, str(tmp_path / "in"), source.schema))
-        W.commit_segments(stream, str(tmp_path / "out"), str(tmp_path / "progress"), expected).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out"))
-    assert [r.segment_id for r in found.collect()] == ["S1"]
+def receipts(spark, rows):
+    """(event_id, segment, finish_reason, covered) as receipts, an hour apart."""
+    rows = [(i, s, "fp", reason, 200, "x", '{"segment": "%s", "covered": %s}' % (s, covered)) for i, s, reason, covered in rows]
+    return spark.createDataFrame(rows, RECEIPT).withColumn("ts", F.timestamp_seconds(F.col("event_id") * 3600))
+
+
+BATCHES = [
+    [(1, "S1", "length", '["U1"]'), (2, "S2", "stop", '["U1"]'), (3, "S2", "stop", '["U1"]'), (4, "S3", "stop", '["U1", "U1"]'), (5, "S5", "stop", '["U1"')],
+    [(6, "S1", "stop", '["U1"]'), (7, "S2", "stop", '["U1"]'), (8, "S3", "stop", '["U9"]')],
+    [(9, "S1", "stop", '["U1"]'), (10, "S3", "stop", '["U1"]'), (11, "S4", "stop", '["U1"]')],
+]
 
 
-def test_segment_states(spark, tmp_path):
-    source = receipts(spark)
-    source.write.parquet(str(tmp_path / "in"))
-    states = W.segment_states(W.read_receipts(spark, str(tmp_path / "in"), source.schema))
-    run = states.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert {(r.segment_id, r.state, r.rounds) for r in spark.table("states").collect()} == {("S1", "done", 2), ("S2", "audited", 1), ("S3", "done", 1)}
+@pytest.mark.parametrize("at_once", [True, False])
+def test_stream_commits_the_first_good_receipt_once(spark, tmp_path, at_once):
+    expected = spark.createDataFrame([(f"S{i}", "U1") for i in (1, 2, 3, 5)], "segment_id string, unit_id string")
+    schema = receipts(spark, BATCHES[0]).schema
+    for rows in [sum(BATCHES, []), []] if at_once else [*BATCHES, []]:  # each is a run of its own, the last has nothing to read
+        if rows:
+            receipts(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = W.read_receipts(spark, str(tmp_path / "in"), schema)
+        W.commit_segments(stream, str(tmp_path / "out"), str(tmp_path / "progress"), expected).awaitTermination()
+    found = spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.segment_id, r.event_id) for r in found) == [("S1", 6), ("S2", 2), ("S3", 10)]
+
+
+def test_dedupe_counts_what_was_sent(spark, tmp_path):
+    receipts(spark, BATCHES[0]).write.parquet(str(tmp_path / "in"))
+    stream = W.dedupe_stream(W.read_receipts(spark, str(tmp_path / "in"), receipts(spark, BATCHES[0]).schema))
+    stream.writeStream.format("memory").queryName("sent").option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.segment_id for r in spark.table("sent").collect()) == ["S1", "S2", "S3", "S5"]
+
+
+EVENT = "segment_id string, event_id long, kind string, missing int, ts timestamp"
+
+
+def events(spark, rows):
+    """(segment, event_id, kind, missing); event i is in hour i, or without a time if negative."""
+    out = spark.createDataFrame([(s, i, k, m, None) for s, i, k, m in rows], EVENT)
+    return out.withColumn("ts", F.when(F.col("event_id") >= 0, F.timestamp_seconds((F.col("event_id") + 1000) * 3600)))
+
+
+def test_states_agree_with_the_batch_twin_for_every_order(spark, tmp_path):
+    orders = [o for n in range(1, 4) for o in itertools.product([0, 1, None], repeat=n)]
+    rows = [(f"R{k}", i, "audit", m) for k, order in enumerate(orders) for i, m in enumerate(order)]
+    for i in range(3):  # a batch for each round, in a query that starts anew
+        events(spark, [r for r in rows if r[1] == i]).write.mode("append").parquet(str(tmp_path / "in"))
+        W.write_states(W.segment_states(W.read_receipts(spark, str(tmp_path / "in"), EVENT)), str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    apart = {r.segment_id: (r.state, r.rounds) for r in W.latest_states(spark, str(tmp_path / "out")).collect()}
+    W.write_states(W.segment_states(W.read_receipts(spark, str(tmp_path / "in"), EVENT)), str(tmp_path / "out2"), str(tmp_path / "p2")).awaitTermination()
+    together = {r.segment_id: (r.state, r.rounds) for r in W.latest_states(spark, str(tmp_path / "out2")).collect()}
+    twin = V.audit_rounds(events(spark, rows).withColumnRenamed("event_id", "round"))
+    expected = {r.segment_id: ({"pending": "audited"}.get(r.state, r.state), r.rounds) for r in twin.collect()}
+    assert apart == together == expected
+    named = {order: expected[f"R{k}"] for k, order in enumerate(orders)}
+    assert named[1, 1, 0] == ("failed", 2) and named[0, 1] == ("done", 1) and named[1, 0] == ("done", 2) and named[1,] == ("audited", 1) and named[None, 1] == ("failed", 2)
+
+
+def test_stalled_segments_fail_and_ended_ones_stay(spark, tmp_path):
+    first = [("A", 0, "extracted", None), ("B", 0, "audit", 1), ("C", 1, "extracted", None), ("D", 1, "audit", 1), ("E", 1, "other", None), ("F", -1, "audit", 1), ("Z", 10, "audit", 0)]
+    initial = spark.createDataFrame([("B", "audited", 1), ("D", "done", 1), ("G", "extracted", 0)], "segment_id string, state string, rounds int")
+    for rows in (first, [("A", 20, "audit", 0), ("C", 20, "audit", 1), ("Y", 21, "audit", 0)]):
+        events(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        states = W.segment_states(W.read_receipts(spark, str(tmp_path / "in"), EVENT), stall=timedelta(hours=9, minutes=30), initial=initial)
+        W.write_states(states, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    found = {r.segment_id: (r.state, r.rounds, r.reason) for r in W.latest_states(spark, str(tmp_path / "out")).collect()}
+    assert found == {
+        "A": ("failed", 0, "stalled"), "B": ("failed", 2, "missing"), "C": ("audited", 1, None), "E": ("failed", 0, "stalled"), "F": ("audited", 1, None), "Y": ("done", 1, None), "Z": ("done", 1, None),
+    }
