@@ -6,36 +6,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, stable_id, trim_unicode
-
-#: Words of a style clause: medium, rendering, palette, light, composition, lens, line, texture, mood. Our configuration.
-STYLE_WORDS = {
-    "medium": "watercolor watercolour oil gouache ink pencil charcoal pastel acrylic print engraving etching woodcut collage photograph photography photographic film digital 3d comic cartoon anime illustration 水彩 油画 水墨 素描 版画 胶片 摄影 插画 漫画 动画",
-    "rendering": "render rendering rendered realistic photorealistic hyperrealistic stylized stylised painterly impressionism impressionist expressionism expressionist cubism minimalism minimalist abstract flat cel shading shaded 渲染 写实 写意 印象派 表现主义 极简 抽象 平涂",
-    "palette": "palette color colors colour colours tone tones toned monochrome saturated desaturated saturation hue pastel contrast sepia 色 饱和 对比度",
-    "light": "light lit lighting backlit backlight rim glow shadow shadows chiaroscuro diffuse diffused ambient volumetric exposure 光 阴影 明暗 曝光",
-    "composition": "composition symmetrical symmetry asymmetrical framing negative space layout rule of thirds 构图 对称 留白",
-    "lens": "lens bokeh wide telephoto macro fisheye focal depth aperture anamorphic close-up panorama 镜头 景深 焦距 广角 特写 俯拍",
-    "line": "line lines linework lineart outline outlines contour stroke strokes brushwork hatching 线条 轮廓 笔触 勾线",
-    "texture": "texture textured grain grainy matte glossy rough smooth metallic noise 质感 颗粒 纹理 哑光",
-    "mood": "mood moody atmosphere atmospheric dreamy romantic melancholic serene gloomy dramatic cinematic nostalgic whimsical 氛围 情绪 意境 梦幻",
+from .trees import climb
+
+#: What a style clause may speak of: medium, rendering, palette, light, composition, lens, line, texture, mood. Our configuration.
+STYLE_TERMS = {
+    "medium": "watercolor, watercolour, oil painting, gouache, ink wash, ink drawing, pencil drawing, pencil sketch, charcoal drawing, pastel drawing, acrylic painting, screen print, engraving, etching, woodcut, "
+    "collage, photograph, photography, photographic, photo, film, film still, digital painting, digital art, 3d, comic, cartoon, anime, manga, illustration, painting, drawing, 水彩, 油画, 水墨, 水墨画, 素描, 版画, 胶片, 摄影, 插画, 漫画, 动画, 水粉, 工笔, 手绘",
+    "rendering": "render, rendering, rendered, realistic, realism, photorealistic, hyperrealistic, stylized, stylised, painterly, impressionism, impressionist, expressionism, expressionist, cubism, minimalism, "
+    "minimalist, abstract, flat shading, cel shading, cel shaded, shading, 渲染, 写实, 写意, 印象派, 表现主义, 极简, 抽象, 平涂",
+    "palette": "palette, color, colour, color scheme, color grading, hue, tone, toned, monochrome, saturated, desaturated, saturation, contrast, sepia, black and white, 色彩, 色调, 配色, 冷色, 暖色, 冷色调, 暖色调, 饱和, 饱和度, 对比度, 单色, 黑白",
+    "light": "light, lit, lighting, backlit, backlight, rim light, rim lighting, glow, shadow, chiaroscuro, diffuse, diffused, ambient, volumetric, exposure, low key, high key, 光, 光线, 光影, 柔光, 逆光, 侧光, 侧逆光, 顶光, 阴影, 明暗, 曝光",
+    "composition": "composition, symmetrical, symmetry, asymmetrical, framing, negative space, rule of thirds, 构图, 对称, 留白",
+    "lens": "lens, bokeh, wide angle, wide shot, telephoto, macro, fisheye, focal length, depth of field, shallow focus, aperture, anamorphic, close-up, close up, panorama, 镜头, 景深, 焦距, 广角, 特写, 俯拍, 仰拍, 长焦, 微距",
+    "line": "line, linework, line art, lineart, outline, contour, stroke, brush stroke, brushwork, hatching, 线条, 轮廓, 笔触, 勾线",
+    "texture": "texture, textured, grain, grainy, film grain, matte, glossy, noise, paper texture, canvas texture, 质感, 颗粒, 纹理, 哑光",
+    "mood": "mood, moody, atmosphere, atmospheric, dreamy, romantic, melancholic, serene, gloomy, dramatic, cinematic, nostalgic, whimsical, 氛围, 情绪, 意境, 梦幻",
+    "manner": "style, aesthetic, look, 风格, 画风",
 }
-#: Words of a subject: a clause with one is never a style. Our configuration.
-SUBJECT_WORDS = (
-    "人物 男 女 孩 手持 奔跑 站立 坐着 房间 街道 桌子 椅子 汽车 建筑 person people man men woman women child children boy girl holding running standing sitting "
-    "room street house building table chair car dog cat"
-).split()
+#: Words that may stand beside a style term and say nothing of a subject. Our configuration.
+NEUTRAL_TERMS = (
+    "a, an, the, of, in, with, and, or, by, very, soft, hard, warm, cool, cold, bright, dark, deep, low, high, bold, subtle, gentle, delicate, fine, clean, clear, rich, muted, vivid, smooth, rough, strong, stable, "
+    "balanced, natural, even, dense, sparse, thick, thin, loose, limited, overall, german, french, japanese, chinese, classical, modern, vintage, retro, traditional, "
+    "的, 与, 和, 及, 低, 高, 冷, 暖, 强, 弱, 柔和, 强烈, 细腻, 粗糙, 明亮, 统一, 整体, 自然, 稳定, 均衡, 传统, 现代, 复古, 中式, 日式"
+)
+
+
+def _listed(terms: str) -> list[str]:
+    return [t.strip() for t in terms.split(",")]
+
 
+def trie_pattern(terms) -> str:
+    """A pattern for any of the terms, from a trie of their characters; of two that fit the longer is taken.
 
-def _any_of(words) -> str:
-    """A pattern for one of these words, Latin ones as whole words."""
-    words = sorted(set(words))
-    latin = [w for w in words if w.isascii()]
-    return "(?:" + "|".join(["\\b(?:" + "|".join(latin) + ")\\b", *[w for w in words if not w.isascii()]]) + ")"
+    Terms of Latin letters are whole words and may have a plural s; a blank in them stands for white space.
+    """
+    trie: dict = {}
+    for term in terms:
+        node = trie
+        for letter in [*term, "s?(?![a-z0-9])" if term.isascii() else ""]:
+            node = node.setdefault(letter, {})
+        node[None] = {}
+
+    def text(node: dict) -> str:
+        inner = [(r"\s+" if k == " " else "\\-" if k == "-" else k) + text(v) for k, v in sorted(((k, v) for k, v in node.items() if k is not None), key=lambda x: (len(x[0]) != 1, x[0]))]
+        if None in node and inner:
+            return f"(?:{'|'.join([*inner, ''])})"
+        return "" if not inner else inner[0] if len(inner) == 1 else f"(?:{'|'.join(inner)})"
 
+    return text(trie)
 
-STYLE_PATTERN = _any_of(w for group in STYLE_WORDS.values() for w in group.split() if w not in ("of", "space", "rule", "thirds"))
-SUBJECT_PATTERN = _any_of(SUBJECT_WORDS)
-DEEPEST = 1000
+
+#: One style term, one style or neutral term (as a whole), and a clause that such terms cover from end to end.
+_STYLE = trie_pattern(t for group in STYLE_TERMS.values() for t in _listed(group))
+_EITHER = trie_pattern([*(t for group in STYLE_TERMS.values() for t in _listed(group)), *_listed(NEUTRAL_TERMS)])
+COVERED = rf"^(?:[\s\-/]*+(?<![a-z0-9])(?>{_EITHER}))++[\s\-/]*$"
+STYLE_TERM = rf"(?<![a-z0-9])(?:{_STYLE})"
 
 
 def card_id() -> Column:
@@ -52,8 +77,12 @@ def style_pack_topk(cards: DataFrame, k: int = 7) -> DataFrame:
 
 
 def style_only(c: Column) -> Column:
-    """The clauses of a prompt that name a style and no subject, in order; all else goes."""
-    speaks = lambda x: F.lower(x).rlike(STYLE_PATTERN) & ~F.lower(x).rlike(SUBJECT_PATTERN)
+    """The clauses of a prompt that speak of a style and of nothing else, in order; all others go.
+
+    Terms cover a clause from end to end, each time the longest that fits; a clause with any word that is
+    neither a style term nor neutral beside one may name a subject, so it goes.
+    """
+    speaks = lambda x: F.lower(x).rlike(COVERED) & F.lower(x).rlike(STYLE_TERM)
     return F.array_join(F.filter(F.transform(F.split(c, "[，,；;。]"), trim_unicode), speaks), "，")
 
 
@@ -62,38 +91,29 @@ def selectable_styles(cards: DataFrame) -> DataFrame:
     return cards.where(F.col("lifecycle") != "archived").withColumn("section", F.when(F.col("lifecycle") == "library", "default").otherwise("experiment"))
 
 
-def style_ancestors(cards: DataFrame) -> DataFrame:
-    """``(card_id, ancestor_id, depth)``, each card its own ancestor at depth 0.
+def style_paths(cards: DataFrame) -> DataFrame:
+    """``(card_id, path, depth)``: titles from the root to the card, by pointer doubling.
 
-    Cards below a parent that isn't there have no further ancestor. A cycle, or a tree of more
-    than 1000 levels, is an error of the query.
+    Below a parent that isn't there a path begins at the card under it. On or below a cycle there is
+    no root: path and depth are null.
     """
-    return cards.sparkSession.sql(
-        f"""WITH RECURSIVE up(card_id, ancestor_id, depth, parent_id) MAX RECURSION LEVEL {DEEPEST} AS (
-              SELECT card_id, card_id, 0, parent_id FROM {{cards}}
-              UNION ALL
-              SELECT u.card_id, c.card_id, u.depth + 1, c.parent_id FROM up u JOIN {{cards}} c ON c.card_id = u.parent_id)
-            SELECT card_id, ancestor_id, depth FROM up""",
-        cards=cards.select("card_id", "parent_id"),
-    )
-
-
-def style_paths(cards: DataFrame) -> DataFrame:
-    """``(card_id, path, depth)``: titles from the root to the card."""
-    up = style_ancestors(cards).join(cards.select(F.col("card_id").alias("ancestor_id"), "title"), "ancestor_id")
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "title")))
-    return up.groupBy("card_id").agg(F.array_join(F.transform(rows, lambda r: r["title"]), " / ").alias("path"), F.max("depth").alias("depth"))
+    title = F.coalesce("title", F.lit(""))
+    up = climb(cards, {"path": title}, lambda low, high: {"path": F.concat(high("path"), F.lit(" / "), low("path"))})
+    rooted = F.col("up").isNull()
+    return up.select("card_id", F.when(rooted, F.col("path")).alias("path"), F.when(rooted, F.col("steps")).cast("int").alias("depth"))
 
 
 def subtree(cards: DataFrame, roots: DataFrame) -> DataFrame:
     """Cards at or below the given ones that may be archived, restored or deleted: ``(card_id)``.
 
     Built-in cards (``built_in``, where the table has it) are protected: as roots they don't count,
-    below a root they are left out.
+    below a root they are left out. Of a cycle with a root all cards are below it.
     """
     if "built_in" in cards.columns:
         roots = roots.join(cards.where("built_in").select("card_id"), "card_id", "left_anti")
-    below = style_ancestors(cards).join(roots.select(F.col("card_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("card_id").distinct()
+    marked = cards.join(roots.select("card_id").distinct().withColumn("hit_", F.lit(True)), "card_id", "left")
+    up = climb(marked, {"hit": F.coalesce("hit_", F.lit(False))}, lambda low, high: {"hit": low("hit") | high("hit")})
+    below = up.where("hit").select("card_id")
     return below.join(cards.where("built_in").select("card_id"), "card_id", "left_anti") if "built_in" in cards.columns else below
 
 
@@ -105,10 +125,13 @@ def library_faults(cards: DataFrame) -> DataFrame:
 
 def inherited_sample(cards: DataFrame) -> DataFrame:
     """``(card_id, sample_url, from_depth)``: the sample of the nearest ancestor that has one, else null."""
-    own = cards.where("sample_url is not null").select(F.col("card_id").alias("ancestor_id"), "sample_url")
-    up = style_ancestors(cards).join(own, "ancestor_id", "left")
-    at = F.when(F.col("sample_url").isNotNull(), F.col("depth"))
-    return up.groupBy("card_id").agg(F.min_by("sample_url", at).alias("sample_url"), F.min(at).alias("from_depth"))
+    own = F.when(F.col("sample_url").isNotNull(), F.struct("sample_url", F.lit(0).cast("bigint").alias("at")))
+
+    def nearest(low, high):
+        above = F.when(high("sample").isNotNull(), F.struct(high("sample")["sample_url"].alias("sample_url"), (low("steps") + high("sample")["at"]).alias("at")))
+        return {"sample": F.coalesce(low("sample"), above)}
+
+    return climb(cards, {"sample": own}, nearest).select("card_id", "sample.sample_url", F.col("sample.at").cast("int").alias("from_depth"))
 
 
 def near_duplicate_signatures(signatures: DataFrame, max_dist: float, axes: int = 3) -> DataFrame:

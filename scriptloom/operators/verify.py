@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import trim_unicode
 
 KINDS = ("scene", "character", "prop")
-GRAM = 16
 
 
 def contains_verbatim(text: Column, quote: Column) -> Column:
@@ -42,63 +41,6 @@ def decide(scored: DataFrame, threshold: float = 0.92) -> DataFrame:
     return scored.withColumn("decision", decision)
 
 
-#: Words of a gram, and grams of a window of which the least hash is kept.
-WORDS, WINDOW = 4, 4
-
-
-def _pieces(text: Column, n: int) -> Column:
-    """All substrings of n characters."""
-    last = F.greatest(F.length(text) - F.lit(n - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
-
-
-def _steps(size: Column, n: int) -> Column:
-    """1 to size - n + 1, or nothing."""
-    return F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-
-
-def _grams(words: Column) -> Column:
-    """Hashes of all runs of ``WORDS`` words."""
-    return F.transform(_steps(F.size(words), WORDS), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
-
-
-def find_passages(scripts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """``(script_id, quote_id)``: which texts hold a quote verbatim.
-
-    A quote's inner words, those between its first and its last blank, are whole words of every
-    text that holds it. Texts keep the least hash of each window of word grams (winnowing), a
-    quote that of its first window, so both have it in common. Quotes with fewer inner words meet
-    the texts by the longest of them, those without any by their first 16 characters or, if
-    shorter, as a whole. Only texts that meet a quote are searched for it; there is always an
-    equi key. Null or empty quotes match nothing, null texts hold none.
-    """
-    quotes = quotes.where(F.length("quote") > 0).select("quote_id", "quote")
-    words = F.split("quote", r"\s+")
-    quotes = quotes.withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
-    least = WORDS + WINDOW - 1
-    long_ones = quotes.where(F.size("inner") >= least).select("quote_id", F.array_min(_grams(F.slice("inner", 1, least))).alias("key"))
-    longest = F.element_at(F.array_sort(F.transform("inner", lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
-    some = quotes.where((F.size("inner") > 0) & (F.size("inner") < least)).select("quote_id", longest.alias("key"))
-    texts = scripts.where("text is not null").select("script_id", "text")
-    tokens = texts.select("script_id", F.split("text", r"\s+").alias("words"))
-    hashed = tokens.select("script_id", _grams(F.col("words")).alias("grams"))
-    kept = F.array_distinct(F.transform(_steps(F.size("grams"), WINDOW), lambda i: F.array_min(F.slice("grams", i, WINDOW))))
-    met = hashed.select("script_id", F.explode(kept).alias("key")).join(long_ones, "key").select("script_id", "quote_id")
-    bare = quotes.where(F.size("inner") == 0).withColumn("n", F.least(F.length("quote"), F.lit(GRAM)))
-    found = [met]
-    kinds = quotes.agg(F.count_if((F.size("inner") > 0) & (F.size("inner") < least)), F.collect_set(F.when(F.size("inner") == 0, F.least(F.length("quote"), F.lit(GRAM))))).first()
-    if kinds[0]:
-        found.append(tokens.select("script_id", F.explode(F.array_distinct("words")).alias("key")).join(some, "key").select("script_id", "quote_id"))
-    for n in kinds[1]:  # sixteen lengths at most
-        own = texts.where(F.length("text") >= n).select("script_id", F.explode(F.array_distinct(_pieces(F.col("text"), n))).alias("key"))
-        found.append(own.join(bare.where(F.col("n") == n).select("quote_id", F.substring("quote", 1, n).alias("key")), "key").select("script_id", "quote_id"))
-    pairs = found[0]
-    for other in found[1:]:
-        pairs = pairs.unionByName(other)
-    checked = pairs.distinct().join(texts, "script_id").join(quotes.select("quote_id", "quote"), "quote_id")
-    return checked.where(F.contains("text", "quote")).select("script_id", "quote_id").distinct()
-
-
 def coverage_gaps(expected: DataFrame, covered: DataFrame) -> DataFrame:
     """``(segment_id, unit_id, gap)``: expected units that no reply covers, and units nobody asked for."""
     key = ["segment_id", "unit_id"]

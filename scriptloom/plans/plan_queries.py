@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import styles as S
+from ..operators.trees import cyclic_cards
 from ..plans import compile as X
 from ..scratch import durable, new_path
 from ..sources import catalogs as C
@@ -29,7 +30,13 @@ OPTIONS_SQL = "(SELECT k.kind, o.* FROM (VALUES ('scene'), ('character'), ('prop
 ).replace("AS t(", "AS o(") + ")"
 LINKS = C.sql_values(C.LINKS, "parameter, option_id, to_parameter, to_option")
 
-VIEWS["fx_cards"] = """SELECT card_id, parent_id, lifecycle, title || CASE WHEN length(card_id) % 2 = 0 THEN '，低饱和冷色，人物奔跑；柔光' ELSE ', low key light, man running, film grain' END AS prompt FROM fx_styles"""
+#: What prompts of cards go on with, and what of it is style.
+CLAUSES = [
+    ("，低饱和冷色，人物奔跑；柔光", "低饱和冷色，柔光"), (", low key light, man running, film grain", "low key light，film grain"), ("，角色走进大门，阳光下的狗；水彩质感", "水彩质感"),
+    (", a knight with a rough metallic shield, oil painting", "oil painting"), (", elderly lady in a wide hat; German expressionism; close-up", "German expressionism，close-up"), (", wide, a castle; a pencil", ""),
+]
+_CLAUSE = "CASE (length(card_id) * 5 + ascii(right(card_id, 1))) % 6 " + " ".join(f"WHEN {i} THEN '{{{i}}}'" for i in range(6)) + " END"
+VIEWS["fx_cards"] = f"SELECT card_id, parent_id, lifecycle, title || {_CLAUSE.format(*[c for c, _ in CLAUSES])} AS prompt FROM fx_styles"
 VIEWS["fx_chosen"] = """SELECT asset_id, 0 AS pos, 's' || (script_id % 100 + 1) AS card_id FROM fx_assets WHERE script_id % 7 <> 0 UNION ALL SELECT asset_id, 1, 'n' || (script_id % 25) FROM fx_assets WHERE script_id % 3 = 0 AND script_id % 7 <> 0"""
 VIEWS["fx_asked"] = """SELECT asset_id, kind, CASE script_id % 3 WHEN 0 THEN 'variation' WHEN 1 THEN 'edit' ELSE 'textToImage' END AS mode, CASE WHEN script_id % 2 = 0 THEN ' closer  ' ELSE '' END AS direction FROM fx_assets WHERE decision = 'accepted'"""
 
@@ -43,8 +50,7 @@ def _plans(spark, sf_dir, strict=True):
     return X.compile_plans(asked, texts(spark, sf_dir, stored), X.readiness(owned, verified), styles, C.format_templates(spark), C.generation_modes(spark), strict, details)
 
 
-STYLE = f"""cl AS (SELECT card_id, unnest(regexp_split_to_array(prompt, '[，,；;。]')) AS c, generate_subscripts(regexp_split_to_array(prompt, '[，,；;。]'), 1) AS i FROM fx_cards),
-fr AS (SELECT card_id, string_agg(t, '，' ORDER BY i) AS f FROM (SELECT card_id, i, {trim_sql('c')} AS t FROM cl) WHERE t <> '' AND regexp_matches(lower(t), '{S.STYLE_PATTERN}') AND NOT regexp_matches(lower(t), '{S.SUBJECT_PATTERN}') GROUP BY 1)"""
+STYLE = f"fr AS (SELECT card_id, nullif({_CLAUSE.format(*[f for _, f in CLAUSES])}, '') AS f FROM fx_styles)"
 PLANS = f"""{TEXT}, {STYLE}, rd AS (SELECT asset_id, count(*) AS n FROM vf GROUP BY 1),
 ch AS (SELECT asset_id, string_agg(card_id, ',' ORDER BY pos) AS cards, string_agg(f, '；' ORDER BY pos) AS style FROM fx_chosen JOIN (SELECT card_id AS cid FROM fx_cards) z ON z.cid = card_id LEFT JOIN fr USING (card_id) GROUP BY 1),
 tp AS (SELECT * FROM {TEMPLATES}), md AS (SELECT * FROM {MODES}),
@@ -133,6 +139,16 @@ def style_subtree(spark, sf_dir):
     return S.subtree(cards, cards.where("lifecycle = 'archived' OR card_id = 'r1'"))
 
 
+#: Styles whose first region hangs below one of its own nations.
+RING = "SELECT card_id, CASE WHEN card_id = 'r1' THEN 'n1' WHEN card_id = 'n5' THEN 'n5' ELSE parent_id END AS parent_id, title FROM fx_styles"
+
+
+@query("style_cycles", f"WITH RECURSIVE c AS ({RING}), b AS (SELECT card_id FROM c WHERE card_id IN ('r1', 'n5') AND parent_id IS NOT NULL UNION SELECT c.card_id FROM c JOIN b ON c.parent_id = b.card_id) SELECT card_id FROM b")
+def style_cycles(spark, sf_dir):
+    """Cards on or below a cycle: a region below its own nation, a nation below itself."""
+    return cyclic_cards(view(spark, sf_dir, RING))
+
+
 @query("library_faults", f"WITH RECURSIVE {TREE} SELECT card_id FROM fx_styles WHERE lifecycle = 'library' AND card_id NOT IN (SELECT up.card_id FROM up JOIN fx_styles z ON z.card_id = anc WHERE z.sample_url IS NOT NULL)")
 def library_faults(spark, sf_dir):
     """Library cards that have no sample and inherit none."""

@@ -8,6 +8,7 @@ from ..operators import profile as P
 from ..operators import units as U
 from ..scratch import new_path
 from ..sources import catalogs as C
+from ..sources import publishing as B
 from ..sources import sinks as K
 from .registry import query
 from .unit_queries import INDEX, key_sql, scenes, scripts, trim_sql, units
@@ -178,10 +179,15 @@ def needs_migration(spark, sf_dir):
     return P.needs_migration(view(spark, sf_dir, PROJECTS), owned)
 
 
-@query("publishable_scripts", """SELECT asset_id FROM fx_assets WHERE script_id % 3 <> 1""")
+@query("publishable_scripts", """SELECT asset_id, CASE WHEN script_id % 3 = 1 THEN 'first' ELSE 'second' END AS version FROM fx_assets WHERE script_id % 3 <> 1 OR script_id % 2 = 0""")
 def publishable_scripts(spark, sf_dir):
-    audits = view(spark, sf_dir, "SELECT doc_id AS script_id, doc_id % 3 <> 1 AS complete FROM documents")
-    return P.publishable(assets(spark, sf_dir), audits).select("asset_id")
+    """Assets published twice: the second time scripts without a complete audit keep what they had."""
+    path, owned = new_path(spark, "published"), store_views(spark, sf_dir, ["fx_assets"])
+    rows = view(spark, sf_dir, "SELECT script_id, asset_id FROM fx_assets", owned)
+    for version, complete in (("first", "doc_id % 2 = 0"), ("second", "doc_id % 3 <> 1")):
+        audits = view(spark, sf_dir, f"SELECT doc_id AS script_id, {complete} AS complete FROM documents")
+        B.publish_if_complete(rows.withColumn("version", F.lit(version)), audits, path)
+    return B.read_published(spark, path).select("asset_id", "version")
 
 
 @query("export_assets", "SELECT asset_id, kind, canonical_name, decision FROM fx_assets WHERE decision = 'accepted'")

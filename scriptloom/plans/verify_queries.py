@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import score as S
 from ..operators import verify as V
+from ..operators.passages import find_passages as passages
 from .registry import query
 from .unit_queries import key_sql, scripts, trim_sql
 from .views import spark_view as view
@@ -33,7 +34,22 @@ def verify_evidence(spark, sf_dir):
 
 @query("find_passages", "SELECT doc_id AS script_id, quote_id FROM documents JOIN fx_quotes ON contains(text, quote)")
 def find_passages(spark, sf_dir):
-    return V.find_passages(scripts(spark, sf_dir), view(spark, sf_dir, "fx_quotes"))
+    return passages(scripts(spark, sf_dir), view(spark, sf_dir, "fx_quotes"))
+
+
+#: Latin letters as Chinese characters, all else but these left out: texts without blanks.
+HANZI = "'abcdefghijklmnopqrstuvwxyzßäöüéèêçñáíóú ' || chr(9) || chr(13) || chr(10), '天地人你我他山水火木金土日月星云风雨雪花草树鸟鱼马牛羊大小上下左右'"
+UNSPACED = f"SELECT doc_id AS script_id, translate(lower(text), {HANZI}) AS text FROM documents"
+#: Items whole, and of each document one run of 1 to 40 characters from within it.
+UNSPACED_QUOTES = """SELECT 'i' || quote_id AS quote_id, translate(lower(quote), {HANZI}) AS quote FROM fx_quotes
+UNION ALL SELECT 'd' || script_id, substr(text, CAST(floor(length(text) * (script_id % 7) / 8.0) AS INT) + 1, CAST(script_id % 40 + 1 AS INT)) FROM ({UNSPACED}) WHERE script_id % 3 = 0"""
+UNSPACED_QUOTES = UNSPACED_QUOTES.replace("{HANZI}", HANZI).replace("{UNSPACED}", UNSPACED)
+
+
+@query("find_passages_unspaced", f"SELECT script_id, quote_id FROM ({UNSPACED}) JOIN ({UNSPACED_QUOTES}) ON quote <> '' AND contains(text, quote)")
+def find_passages_unspaced(spark, sf_dir):
+    """The same in texts without blanks, quotes of one character among them."""
+    return passages(view(spark, sf_dir, UNSPACED), view(spark, sf_dir, UNSPACED_QUOTES))
 
 
 COVERED = "SELECT scene_id AS segment_id, unit_id FROM (SELECT u.script_id || ':' || u.scene_order AS scene_id, CASE WHEN unit_idx % 13 = 0 THEN 'X' || unit_id ELSE unit_id END AS unit_id, unit_idx FROM fx_scene_units u) WHERE unit_idx % 11 <> 0"

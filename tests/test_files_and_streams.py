@@ -2,6 +2,7 @@
 
 import itertools
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.operators import quality as Q
 from scriptloom.operators import verify as V
+from scriptloom.sources import publishing as B
 from scriptloom.sources import readers as R
 from scriptloom.sources import sinks as K
 from scriptloom.streaming import receipts as W
@@ -61,14 +63,52 @@ def test_packs_and_manifests(spark, tmp_path):
     assert [(r.set_name, r.filename) for r in faults.collect()] == [("one.imageset", "b.png")]
 
 
+def published(spark, path):
+    return sorted(tuple(r) for r in B.read_published(spark, path).collect())
+
+
 def test_publishing_keeps_the_last_good_result(spark, tmp_path):
     path = str(tmp_path / "out")
-    old = spark.createDataFrame([(1, "old"), (2, "old")], "script_id long, v string")
-    every = spark.createDataFrame([(1, True), (2, True)], "script_id long, complete boolean")
-    K.publish_if_complete(old, every, path)
-    new = spark.createDataFrame([(1, "new"), (2, "new")], "script_id long, v string")
-    K.publish_if_complete(new, every.withColumn("complete", F.col("script_id") == 1), path)
-    assert sorted((r.script_id, r.v) for r in K.read_published(spark, path).collect()) == [(1, "new"), (2, "old")]
+    with pytest.raises(FileNotFoundError):
+        B.read_published(spark, path)
+    old = spark.createDataFrame([(1, "old"), (2, "old"), (3, "old"), (None, "nobody")], "script_id long, v string")
+    every = spark.createDataFrame([(1, True), (2, True), (3, True)], "script_id long, complete boolean")
+    B.publish_if_complete(old, every, path)
+    new = spark.createDataFrame([(1, "new"), (1, "new"), (2, "new")], "script_id long, v string")
+    B.publish_if_complete(new, every.withColumn("complete", F.col("script_id") != 2), path)  # 3 is complete and has no rows now
+    assert published(spark, path) == [(1, "new"), (1, "new"), (2, "old")]
+
+
+def test_a_failed_publisher_leaves_nothing(spark, tmp_path):
+    path, every = str(tmp_path / "out"), spark.range(1, 9).select(F.col("id").alias("script_id"), F.lit(True).alias("complete"))
+    B.publish_if_complete(every.select("script_id", F.lit("old").alias("v")), every, path)
+    there = sorted(str(p) for p in (tmp_path / "out").rglob("*"))
+    broken = every.select("script_id", F.when(F.col("script_id") == 8, F.raise_error(F.lit("broken"))).otherwise("new").alias("v"))
+    with pytest.raises(Exception, match="broken"):
+        B.publish_if_complete(broken, every, path)
+    assert sorted(str(p) for p in (tmp_path / "out").rglob("*")) == there and {v for _, v in published(spark, path)} == {"old"}
+
+
+def test_publishers_at_once_and_removal(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sets = [range(0, 10), range(5, 15), range(10, 20)]
+
+    def publish(k):
+        every = spark.createDataFrame([(i, True) for i in sets[k]], "script_id long, complete boolean")
+        B.publish_if_complete(every.select("script_id", F.lit(k).alias("v")), every, path)
+
+    publish(0)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(publish, [0, 1, 2]))
+    files = sorted(p.name for p in (tmp_path / "out" / "_versions").iterdir())
+    assert files == [f"{n:010d}.json" for n in (1, 2, 3, 4)]
+    found = published(spark, path)
+    assert len(found) == 20 and all(i in sets[v] for i, v in found) and {v for i, v in found if i < 5} == {0} and {v for i, v in found if i > 14} == {2}
+    (tmp_path / "out" / "write-lost").mkdir()
+    (tmp_path / "out" / "write-lost" / "part-1.parquet").write_bytes(b"half a file")
+    assert published(spark, path) == found and B.remove_superseded(spark, path) == []
+    gone = B.remove_superseded(spark, path, older_than_s=0)
+    assert 1 in gone and published(spark, path) == found and not (tmp_path / "out" / "write-lost").exists()
 
 
 RECEIPT = "event_id long, segment_id string, fingerprint string, finish_reason string, status int, content string, reply string"

@@ -10,6 +10,7 @@ from scriptloom.operators import profile as P
 from scriptloom.operators import score as S
 from scriptloom.operators import units as U
 from scriptloom.operators import verify as V
+from scriptloom.operators.passages import find_passages
 from scriptloom.operators.styles import style_only
 from scriptloom.plans import compile as X
 from scriptloom.sources import catalogs as C
@@ -107,7 +108,7 @@ def test_passages_are_those_of_all_pairs(spark):
     for text in texts[:60]:
         a = rng.randrange(len(text) + 1)
         quotes.append(text[a : a + rng.randrange(60)])
-    found = V.find_passages(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"))
+    found = find_passages(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"))
     assert sorted(map(tuple, found.collect())) == [(i, j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if t and q and q in t]
 
 
