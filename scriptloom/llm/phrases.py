@@ -20,7 +20,9 @@ _CUT = byte_table(b".,;:!?\n\v\f\r")
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 4096
 #: Occurrences that a shard counts at a time, and phrases of a range that are in memory before they are united.
-SHARD, RANGE = 3_000_000, 4_000_000
+SHARD, RANGE = 1 << 20, 1 << 20
+#: The commonest words, whose phrases are dealt to several ranges by their second word.
+HOT, SLOTS = 1000, 64
 #: Bits of the filter of frequent phrases, at most (8 MB).
 FILTER_BITS = 26
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
@@ -153,16 +155,22 @@ def _transducer(batch: pa.RecordBatch | pa.Table, i: int) -> CountTransducer:
     return CountTransducer(own[0].astype(np.int64), own[1].astype(np.int64), own[2].astype(np.int64), own[3].astype(bool), own[4].astype(np.int64))
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys % np.uint64(buckets)).astype(np.int32)
+def hot_words(words: DataFrame) -> np.ndarray:
+    """The keys of the ``HOT`` commonest words, ascending."""
+    top = words.orderBy(F.desc("f"), "lang", "number").limit(HOT).select("lang", "number").collect()
+    return np.sort(_keys(np.array([_lang_key(r.lang) for r in top], dtype=np.uint64), np.array([[r.number] for r in top], dtype=np.int64).reshape(-1, 1)))
 
 
-def _buckets(langs: np.ndarray, grams: np.ndarray, buckets: int) -> np.ndarray:
-    """The range that a phrase is counted in, by its first two words."""
-    return _bucket(_keys(langs, grams[:, :2]), buckets)
+def _buckets(langs: np.ndarray, grams: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    """The range that a phrase is counted in: by its first word, and by its second one too if that first word is hot."""
+    keys = _keys(langs, grams[:, :1])
+    if grams.shape[1] > 1 and len(hot):
+        more = (hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys) & (grams[:, 1] != PAD)
+        keys[more] = mix(keys[more] * _MULTIPLIER + (grams[more, 1] % SLOTS).astype(np.uint64))
+    return (keys % np.uint64(buckets)).astype(np.int32)
 
 
-def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequent, buckets: int, seed: int) -> DataFrame:
+def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequent, buckets: int, hot: np.ndarray, seed: int) -> DataFrame:
     """Count transducers of the phrases of ``orders`` words, one for each shard, language and prefix range.
 
     Of a phrase longer than those in ``frequent`` every part of their length must be in it. Occurrences are
@@ -172,8 +180,10 @@ def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequ
 
     def counted(names: list[str], held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         lang, grams = (np.concatenate(x) for x in zip(*held, strict=True))
-        own = np.array([_lang_key(x) for x in names], dtype=np.uint64)[lang]
-        place = lang.astype(np.int64) * buckets + _buckets(own, grams, buckets)
+        held.clear()
+        place = lang * np.int64(buckets)
+        place += _buckets(np.array([_lang_key(x) for x in names], dtype=np.uint64)[lang], grams, buckets, hot)
+        del lang
         order = in_order(grams, place)
         place, grams = place[order], grams[order]
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (grams[1:] != grams[:-1]).any(axis=1)])
@@ -181,8 +191,15 @@ def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequ
         counts = np.diff(np.append(at, len(place)))
         place, grams = place[at], grams[at]
         cuts = np.flatnonzero(np.diff(place)) + 1
+        rows, size = [], 0
         for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
-            yield _batch([_row(names[place[a] // buckets], int(place[a] % buckets), built(grams[a:b], counts[a:b]))])
+            rows.append(_row(names[place[a] // buckets], int(place[a] % buckets), built(grams[a:b], counts[a:b])))
+            size += b - a
+            if size > 1 << 16:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
@@ -191,7 +208,7 @@ def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequ
         for batch in batches:
             own, codes = _languages(batch.column(0))
             names += [x for x in own if x not in names]
-            codes = np.array([names.index(x) for x in own] or [0])[codes]
+            codes = np.array([names.index(x) for x in own] or [0], dtype=np.int32)[codes]
             for first, low, starts, ends, row, piece in _words(batch.column(1)):
                 numbers = _word_numbers(low, starts, ends, seed)
                 lang = codes[first + row]
@@ -219,7 +236,7 @@ def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequ
                     size += len(at)
                 if size >= SHARD:
                     yield from counted(names, held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from counted(names, held)
 
@@ -256,13 +273,13 @@ def _unite(width: int, least: int):
     return one
 
 
-def range_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequent, least: int, buckets: int, seed: int) -> DataFrame:
+def range_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequent, least: int, buckets: int, hot: np.ndarray, seed: int) -> DataFrame:
     """One count transducer for each language and prefix range: the shards' ones united, weights summed.
 
-    A range has the phrases whose first two words fall into it, so a common first word, or a common
-    pair whose occurrences the shards have summed, is spread or small.
+    A range has the phrases whose first word falls into it; those of the commonest words are dealt
+    to many ranges by their second word. Occurrences of a common phrase are summed in the shards.
     """
-    shards = _shard_transducers(docs, orders, frequent, buckets, seed)
+    shards = _shard_transducers(docs, orders, frequent, buckets, hot, seed)
     dealt = shards.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
     return dealt.mapInArrow(_unite(max(orders), least), _TRANSDUCER)
 
@@ -299,7 +316,7 @@ def _composed(width: int):
     return one
 
 
-def _parts(buckets: int):
+def _parts(buckets: int, hot: np.ndarray):
     """Phrases -> for each cut its first and second part, with the range that has it."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +332,7 @@ def _parts(buckets: int):
             for i, part in enumerate(parts):
                 grams[i, : len(part[:2])] = part[:2]
             keys = {x: _lang_key(x) for x in {r[0] for r in rows}}
-            bucket = _buckets(np.array([keys[r[0]] for r in rows], dtype=np.uint64), grams, buckets)
+            bucket = _buckets(np.array([keys[r[0]] for r in rows], dtype=np.uint64), grams, buckets, hot)
             columns = zip(*rows, strict=True) if rows else [()] * 5
             kinds = [pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array(parts, pa.list_(pa.int64())), pa.array(bucket)], ["lang", "labels", "a", "k", "side", "part", "bucket"])
@@ -323,14 +340,14 @@ def _parts(buckets: int):
     return one
 
 
-def score_phrases(found: DataFrame, transducers: DataFrame, buckets: int, scale: int = 2_000_000) -> DataFrame:
+def score_phrases(found: DataFrame, transducers: DataFrame, buckets: int, hot: np.ndarray, scale: int = 2_000_000) -> DataFrame:
     """``(lang, labels, a, l, r, score)`` of ``(lang, labels, f)``: the lowest-scoring cut of each phrase.
 
     score is the floor of ``scale`` a / (l + r); ties go to the shortest first part. Each part is looked up
     in its range by leading all parts of the range through its transducer.
     """
     kinds = "lang string, labels array<bigint>, a bigint, k int, side int"
-    asked = found.select("lang", "labels", F.col("f").alias("a")).mapInArrow(_parts(buckets), f"{kinds}, part array<bigint>, bucket int")
+    asked = found.select("lang", "labels", F.col("f").alias("a")).mapInArrow(_parts(buckets, hot), f"{kinds}, part array<bigint>, bucket int")
     keys = ["lang", "bucket"]
     looked = transducers.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_composed(4), f"{kinds}, f bigint")
     cuts = looked.groupBy("lang", "labels", "a", "k").agg(F.sum(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.sum(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
@@ -368,21 +385,22 @@ def collocations(
     infrequent shorter part. In a pass each shard builds transducers of its sorted phrases, by prefix range;
     these are united, weights summed, and the parts of phrases are looked up by composition. Words are
     64-bit numbers in between; if two words of a language have one number, all is done anew with others.
-    ``buckets`` prefix ranges (the session's shuffle partitions) bound what one task holds.
+    ``buckets`` prefix ranges (four times the session's shuffle partitions) bound what one task holds.
     """
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null")
-    buckets = buckets or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for seed in range(8):
         words = durable(word_counts(docs, seed), "words")
         if words.groupBy("lang", "number").count().where("count > 1").isEmpty():
             break
     often = words.where(F.col("f") >= least)
+    hot = hot_words(words)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    first = durable(range_transducers(docs, (1, 2), Frequent(often.select("lang", F.array("number").alias("labels")), 1), least, buckets, seed), "ranges")
+    first = durable(range_transducers(docs, (1, 2), Frequent(often.select("lang", F.array("number").alias("labels")), 1), least, buckets, hot, seed), "ranges")
     pairs = durable(phrases(first).where(F.size("labels") == 2), "phrases")
-    second = durable(range_transducers(docs, (3, 4), Frequent(pairs, 2), least, buckets, seed), "ranges")
+    second = durable(range_transducers(docs, (3, 4), Frequent(pairs, 2), least, buckets, hot, seed), "ranges")
     found = pairs.unionByName(phrases(second))
-    scored = durable(score_phrases(found, first.unionByName(second), buckets, scale), "scored")
+    scored = durable(score_phrases(found, first.unionByName(second), buckets, hot, scale), "scored")
 
     kept = durable(_not_inside_longer(scored, percent), "kept")
     spelt = kept.select("lang", "labels", F.posexplode("labels").alias("i", "number")).join(often.select("lang", "number", "word"), ["lang", "number"])
