@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, canonical_key, episode_marker, heading_key, trim_unicode, utf16_length
-
-HEADING = r"^(?:(?i:INT|EXT|EST|I/E|INT\./EXT)[. ]|内景|外景|内[.．、 ]|外[.．、 ])"
-
+from ..functions.text import BLANK, canonical_key, episode_marker, heading_key, utf16_length
+from .fountain import cue_name
 
 def source_units(scripts: DataFrame) -> DataFrame:
     """``(script_id, text)`` -> units ``(script_id, unit_id, unit_idx, line_no, start_utf16, len_utf16, text)``.
@@ -107,36 +105,6 @@ def episode_index(scenes: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def classify_elements(units: DataFrame) -> DataFrame:
-    """Fountain lines as Scene Heading, Transition, Character, Parenthetical, Dialogue or Action.
-
-    A Character is a line in capitals, or a ``@`` line, that another line follows without a blank
-    one between, neither heading, transition nor cue. All lines after it up to a blank line, a
-    heading, a transition or the next cue are Dialogue, those in brackets Parentheticals.
-    units: script_id, unit_idx, text and line_no, by which blank lines show; without line_no there
-    are none.
-    """
-    text = trim_unicode(F.col("text"))
-    order = Window.partitionBy("script_id").orderBy("unit_idx")
-    line = F.col("line_no" if "line_no" in units.columns else "unit_idx")
-    heading = text.rlike(HEADING) | (text.rlike(r"^\.[^.]"))
-    transition = text.rlike(r"^[A-Z ]+TO:$") | text.rlike(r"^>.*[^<]$")
-    cue = ~heading & ~transition & (text.rlike(r"^@.+") | (text.rlike(r"^[A-Z][A-Z0-9 .'-]*$") & (F.length(text) <= 40)))
-    rows = units.select(
-        "script_id", "unit_idx", "text", heading.alias("heading_"), transition.alias("cut_"), cue.alias("cue_"), text.rlike(r"^\(.*\)$").alias("aside_"),
-        F.coalesce(line - F.lag(line).over(order) > 1, F.lit(True)).alias("gap_"),
-    )
-    opens = F.col("gap_") | F.col("heading_") | F.col("cut_") | F.col("cue_")
-    rows = rows.withColumn("cue_", F.col("cue_") & F.coalesce(~F.lead(opens).over(order), F.lit(False)))
-    opens = F.col("gap_") | F.col("heading_") | F.col("cut_") | F.col("cue_")
-    spoken = F.last(F.when(opens, F.col("cue_")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    element = (
-        F.when(F.col("heading_"), "Scene Heading").when(F.col("cut_"), "Transition").when(F.col("cue_"), "Character")
-        .when(F.col("aside_") & spoken, "Parenthetical").when(spoken, "Dialogue").otherwise("Action")
-    )
-    return rows.select("script_id", "unit_idx", element.alias("element"), "text")
-
-
 def segment_scenes(elements: DataFrame) -> DataFrame:
     """Each Scene Heading opens a scene: ``(script_id, scene_order, heading, first_element, n_elements)``.
 
@@ -153,12 +121,12 @@ def segment_scenes(elements: DataFrame) -> DataFrame:
 
 
 def deterministic_assets(elements: DataFrame) -> DataFrame:
-    """One scene asset per heading and one character per distinct cue, with the first scene and count."""
+    """One scene asset per heading and one character per distinct speaker, with the first scene and count."""
     order = Window.partitionBy("script_id").orderBy("element_idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = elements.withColumn("scene_order", F.sum((F.col("element") == "Scene Heading").cast("int")).over(order).cast("int"))
     rows = rows.where(F.col("element").isin("Scene Heading", "Character"))
     kind = F.when(F.col("element") == "Character", "character").otherwise("scene")
-    key = F.when(F.col("element") == "Character", canonical_key(F.col("text"))).otherwise(heading_key(F.col("text")))
+    key = F.when(F.col("element") == "Character", canonical_key(cue_name(F.col("text")))).otherwise(heading_key(F.col("text")))
     return rows.groupBy("script_id", kind.alias("kind"), key.alias("name_key")).agg(
         F.min("scene_order").alias("first_scene_order"), F.count("*").alias("n_mentions")
     )

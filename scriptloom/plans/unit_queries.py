@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import fountain as N
 from ..operators import units as U
 from .registry import query
 from .views import spark_view as view
@@ -218,7 +219,42 @@ LINES = "SELECT script_id, unit_idx, line_no, text FROM fx_lines"
 @query("classify_elements", CLASSIFY.replace("FROM lines", f"FROM ({LINES})"))
 def classify_elements(spark, sf_dir):
     """Elements of conversations rendered as lines, a blank one before each turn, and classified again."""
-    return U.classify_elements(view(spark, sf_dir, LINES)).select("script_id", "unit_idx", "element")
+    return N.classify_elements(view(spark, sf_dir, LINES)).select("script_id", "unit_idx", "element")
+
+
+#: (line, text, element); lines that are left out are blank, {w} is a word of the script's own.
+FOUNTAIN = [
+    (0, "Title: {w}", "Title Page"), (1, "Author: {w}", "Title Page"), (3, "INT. KITCHEN {w} - DAY", "Scene Heading"), (5, "She waits.", "Action"), (7, "ANNA (V.O.)", "Character"), (8, "I am {w}.", "Dialogue"),
+    (9, "(beat)", "Parenthetical"), (10, "HELP", "Dialogue"), (12, "NARRATOR ^", "Character"), (13, "At once.", "Dialogue"), (15, "@McAvoy", "Character"), (16, "Well.", "Dialogue"), (18, "CUT TO BLACK.", "Transition"),
+    (20, "FADE OUT.", "Transition"), (22, "SMASH CUT TO:", "Transition"), (24, "> Burn to white", "Transition"), (26, "> THE END <", "Action"), (28, ".A FORCED PLACE", "Scene Heading"), (30, "...and on", "Action"),
+    (32, "!SCANNING THE ROOM", "Action"), (33, "more of it", "Action"), (35, "I", "Action"), (36, "am alone", "Action"), (38, "ANNA", "Action"), (40, "/* cut this", "Boneyard"), (41, "INT. NOWHERE", "Boneyard"),
+    (43, "ANNA", "Boneyard"), (44, "said */", "Boneyard"), (46, "Left /* not this */ over.", "Action"), (48, "[[a note", "Note"), (49, "over two lines]]", "Note"), (51, "# Act {w}", "Section"), (53, "= what happens", "Synopsis"),
+    (55, "===", "Page Break"), (57, "內景 廚房 夜", "Scene Heading"), (59, "李雷（画外音）", "Character"), (60, "你好，{w}。", "Dialogue"), (61, "（停顿）", "Parenthetical"), (63, "韩梅梅：", "Character"), (64, "再见。", "Dialogue"),
+    (66, "淡出：", "Transition"), (68, "ÉMILE (cont''d)", "Character"), (69, "Oui.", "Dialogue"), (71, "~la la la", "Lyrics"), (73, "R2-D2", "Character"), (74, "~beep", "Lyrics"), (75, "Beep.", "Dialogue"),
+    (77, "夜色很深，她走了。", "Action"), (78, "门开着", "Action"), (80, "MOM AND DAD", "Character"), (81, "[[unsure]]", "Note"), (82, "Yes.", "Dialogue"), (84, "[[never closed", "Note"), (86, "After {w}.", "Action"), (88, "甲：", "Character"), (89, "是。", "Dialogue"),
+    (91, "INT./EXT. CAR", "Scene Heading"), (92, "ANNA (O.S.) ^", "Character"), (93, "Go.", "Dialogue"), (95, "外景。街道", "Scene Heading"), (97, "Émile", "Action"), (98, "goes.", "Action"),
+]
+_FOUNTAIN = "(VALUES " + ", ".join(f"({n}, '{t}', '{e}')" for n, t, e in FOUNTAIN) + ") AS f(line_no, line, element)"
+SCREENPLAYS = f"SELECT doc_id AS script_id, CAST(f.line_no AS INT) AS line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f.line_no) AS INT) AS unit_idx, replace(f.line, '{{w}}', 'w' || doc_id) AS text, f.element FROM documents CROSS JOIN {_FOUNTAIN}"
+
+
+def screenplays(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, SCREENPLAYS.replace("''", "\\'"))
+
+
+@query("classify_fountain", f"SELECT script_id, unit_idx, element, line_no IN (12, 92) AS dual FROM ({SCREENPLAYS})")
+def classify_fountain(spark, sf_dir):
+    """A screenplay of literal lines for each document: cues with extensions, forced marks, notes, boneyard, Chinese."""
+    return N.classify_elements(screenplays(spark, sf_dir).drop("element")).select("script_id", "unit_idx", "element", "dual")
+
+
+@query("fountain_assets", """SELECT doc_id AS script_id, kind, name_key, first_scene_order, n_mentions FROM documents CROSS JOIN (VALUES ('character', 'anna', 1, 2), ('character', 'narrator', 1, 1), ('character', 'mcavoy', 1, 1),
+('character', '李雷', 3, 1), ('character', '韩梅梅', 3, 1), ('character', 'émile', 3, 1), ('character', 'r2-d2', 3, 1), ('character', 'mom and dad', 3, 1), ('character', '甲', 3, 1)) AS t(kind, name_key, first_scene_order, n_mentions)""")
+def fountain_assets(spark, sf_dir):
+    """Who speaks in these screenplays, from which scene on, and how often."""
+    found = N.classify_elements(screenplays(spark, sf_dir).drop("element")).withColumnRenamed("unit_idx", "element_idx")
+    speakers = U.deterministic_assets(found).where("kind = 'character'")
+    return speakers.select("script_id", "kind", "name_key", "first_scene_order", F.col("n_mentions").cast("int").alias("n_mentions"))
 
 
 @query("segment_scenes", """WITH e AS (SELECT *, CAST(sum(CASE WHEN element = 'Scene Heading' THEN 1 ELSE 0 END) OVER (PARTITION BY script_id ORDER BY element_idx) AS INT) AS scene_order FROM fx_elements)
