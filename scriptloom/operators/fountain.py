@@ -43,8 +43,8 @@ def classify_elements(units: DataFrame) -> DataFrame:
     Whether a line is inside of one is the last change that a line before it made.
 
     A Character is a name in capitals (``ANNA (V.O.)``, ``ÉMILE (cont'd)``), in Chinese characters (``李雷（画外音）``) or a
-    ``@`` line after a blank line, that another line follows at once; dual is true if it ends with ``^``. In
-    a script without blank lines no blank one is asked for, but that the next line is no name itself. All lines
+    ``@`` line after a blank line, that another line follows at once; dual is true if it ends with ``^``. After
+    Action, and in a script without blank lines, no blank one is asked for, but that the next line is no name. All lines
     after it up to a blank line, a heading or another such element are Dialogue, those in brackets Parentheticals.
     units: script_id, unit_idx, text and line_no, by which blank lines show; without line_no there are none.
     All windows are of one script in one order.
@@ -77,9 +77,12 @@ def classify_elements(units: DataFrame) -> DataFrame:
     ends = F.coalesce(~F.col("kind_").isin("cue", "Lyrics"), F.lit(False))
     rows = rows.withColumns({"ends_": ends, "name_": F.coalesce(F.col("kind_") == "cue", F.lit(False))})
     followed = F.coalesce(~F.lead(F.col("gap_") | F.col("ends_")).over(order), F.lit(False))
-    apart = F.when(F.col("spaced_"), F.col("gap_") | F.coalesce(F.lag("ends_").over(order), F.lit(True))).otherwise(~F.coalesce(F.lead("name_").over(order), F.lit(True)))
-    rows = rows.withColumn("cue_", F.col("name_") & followed & apart)
-    spoken = F.coalesce(F.last(F.when(F.col("gap_") | F.col("ends_") | F.col("cue_"), F.col("cue_")), ignorenulls=True).over(running), F.lit(False))
+    unlike_next = ~F.coalesce(F.lead("name_").over(order), F.lit(True))
+    apart = F.when(F.col("spaced_"), F.col("gap_") | F.coalesce(F.lag("ends_").over(order), F.lit(True))).otherwise(unlike_next)
+    rows = rows.withColumns({"cue_": F.col("name_") & followed & apart, "late_": F.col("name_") & followed & unlike_next})
+    speech = lambda: F.coalesce(F.last(F.when(F.col("gap_") | F.col("ends_") | F.col("cue_"), F.col("cue_")), ignorenulls=True).over(running), F.lit(False))
+    rows = rows.withColumn("spoken_", speech()).withColumn("cue_", F.col("cue_") | (F.col("late_") & ~F.col("spoken_")))
+    spoken = speech()
     element = (
         F.when(F.col("cue_"), "Character").when(F.col("ends_"), F.col("kind_")).when(F.col("kind_") == "Lyrics", "Lyrics")
         .when(spoken & x.rlike(r"^[(（].*[)）]$"), "Parenthetical").when(spoken, "Dialogue").otherwise("Action")

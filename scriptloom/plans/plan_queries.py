@@ -242,16 +242,31 @@ def dq_resources(spark, sf_dir):
     return Q.resource_faults(sets, rows.where("p_partkey % 9 <> 0"))
 
 
-@query("import_scripts", """SELECT doc_id AS path, CASE doc_id % 5 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-8' WHEN 2 THEN 'UTF-16' WHEN 3 THEN 'UTF-16' END AS charset, CASE WHEN doc_id % 5 < 4 THEN sha256(coalesce(text, '')) END AS fingerprint, CASE WHEN doc_id % 5 = 4 THEN 'not decodable' END AS reason FROM documents""")
+#: Characters that letters a to z of a text stand for in files in Chinese encodings.
+SIMPLIFIED, TRADITIONAL = "夜里的街道下着雨他们慢走回家看见远处传来钟声我你在有", "夜裡的街道下著雨他們慢走回家看見遠處傳來鐘聲我你在有"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+FILES = """SELECT doc_id, coalesce(text, '') AS text, letters, CASE WHEN doc_id % 8 > 4 AND length(letters) < 20 THEN 0 ELSE doc_id % 8 END AS k
+FROM (SELECT doc_id, text, regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ''{}) AS letters FROM documents)"""
+
+
+@query("import_scripts", f"""SELECT doc_id AS path, CASE WHEN k < 2 THEN 'UTF-8' WHEN k < 4 OR k = 7 THEN 'UTF-16' WHEN k = 5 THEN 'GB18030' WHEN k = 6 THEN 'Big5' END AS charset,
+CASE WHEN k < 4 THEN sha256(text) WHEN k = 6 THEN sha256(translate(letters, '{_LETTERS}', '{TRADITIONAL}')) WHEN k > 4 THEN sha256(translate(letters, '{_LETTERS}', '{SIMPLIFIED}')) END AS fingerprint,
+CASE WHEN k = 4 THEN 'not decodable' END AS reason FROM ({FILES.format(", 'g'")})""")
 def import_scripts(spark, sf_dir):
-    """Documents as files in several charsets, some of them broken, imported."""
-    rows = view(spark, sf_dir, "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+    """Documents as files in several charsets, with marks and without, some of them broken, imported."""
+    rows = view(spark, sf_dir, FILES.format(""))
     byte = lambda x: F.unhex(F.lit(x))
+    k = F.col("k")
+
+    def spelt(characters: str, codec: str):
+        table = F.create_map(*[F.lit(x) for letter, c in zip(_LETTERS, characters, strict=True) for x in (letter, c.encode(codec).hex())])
+        return F.unhex(F.array_join(F.transform(F.split("letters", ""), lambda x: F.element_at(table, x)), ""))
+
     body = (
-        F.when(F.col("doc_id") % 5 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 5 == 1, F.concat(byte("EFBBBF"), F.encode("text", "UTF-8")))
-        .when(F.col("doc_id") % 5 == 2, F.concat(byte("FEFF"), F.encode("text", "UTF-16BE"))).when(F.col("doc_id") % 5 == 3, F.concat(byte("FFFE"), F.encode("text", "UTF-16LE")))
-        .otherwise(F.concat(byte("FF00FF"), F.encode("text", "UTF-8")))
-    )
+        F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(byte("EFBBBF"), F.encode("text", "UTF-8")))
+        .when(k == 2, F.concat(byte("FEFF"), F.encode("text", "UTF-16BE"))).when(k == 3, F.concat(byte("FFFE"), F.encode("text", "UTF-16LE")))
+        .when(k == 4, F.concat(byte("FF00FF"), F.encode("text", "UTF-8"))).when(k == 5, spelt(SIMPLIFIED, "gb18030")).when(k == 6, spelt(TRADITIONAL, "big5")).otherwise(spelt(SIMPLIFIED, "utf-16-le"))
+    )
     files = rows.select(F.col("doc_id").alias("path"), body.alias("content")).withColumn("length", F.octet_length("content"))
     scripts, rejects = R.decode_scripts(files.withColumn("path", F.col("path").cast("string")))
     good = scripts.select("path", "charset", "fingerprint")
@@ -259,26 +274,30 @@ def import_scripts(spark, sf_dir):
     return every.withColumn("path", F.col("path").cast("bigint"))
 
 
+#: Elements of which some stand side by side.
+DUAL = "SELECT *, CAST(CASE WHEN script_id % 3 = 1 AND element_idx BETWEEN 2 AND 5 THEN 1 WHEN script_id % 3 = 1 AND element_idx BETWEEN 8 AND 9 THEN 2 END AS INT) AS dual FROM fx_elements"
+
+
 def _fdx(spark, sf_dir):
-    """Elements with every text in three runs, as if styled, written and read."""
+    """Elements with every text in three runs, as if styled, some side by side, written and read."""
     path = new_path(spark, "fdx")
     runs = F.array(F.substring("text", 1, 3), F.substring("text", 4, 6), F.call_function("substring", F.col("text"), F.lit(10)))
-    K.write_fdx(view(spark, sf_dir, "fx_elements").withColumn("runs", F.filter(runs, lambda x: x != "")), path)
+    K.write_fdx(view(spark, sf_dir, DUAL).withColumn("runs", F.filter(runs, lambda x: x != "")), path)
     return R.read_fdx(spark, path)
 
 
-@query("import_fdx", "SELECT CAST(script_id AS VARCHAR) AS script_id, count(*) AS n_elements, count(DISTINCT element) AS n_kinds FROM fx_elements GROUP BY 1")
+@query("import_fdx", f"SELECT CAST(script_id AS VARCHAR) AS script_id, count(*) AS n_elements, count(DISTINCT element) AS n_kinds, count(dual) AS n_dual FROM ({DUAL}) GROUP BY 1")
 def import_fdx(spark, sf_dir):
-    return _fdx(spark, sf_dir).groupBy("script_id").agg(F.count("*").alias("n_elements"), F.count_distinct("element").alias("n_kinds"))
+    return _fdx(spark, sf_dir).groupBy("script_id").agg(F.count("*").alias("n_elements"), F.count_distinct("element").alias("n_kinds"), F.count("dual").alias("n_dual"))
 
 
 @query("fdx_roundtrip", "SELECT script_id, element, text FROM fx_elements WHERE false")
 def fdx_roundtrip(spark, sf_dir):
-    """Elements that writing and reading Final Draft XML changes: none."""
+    """Elements that writing and reading Final Draft XML changes, dual dialogue among them: none."""
     ordered = F.row_number().over(_by_script())
-    source = view(spark, sf_dir, "fx_elements").select("script_id", (ordered - 1).alias("element_idx"), "element", "text")
+    source = view(spark, sf_dir, DUAL).select("script_id", (ordered - 1).alias("element_idx"), "element", "text", "dual")
     back = _fdx(spark, sf_dir).withColumn("script_id", F.col("script_id").cast("bigint"))
-    columns = ["script_id", "element_idx", "element", "text"]
+    columns = ["script_id", "element_idx", "element", "text", "dual"]
     lost = source.select(*columns).exceptAll(back.select(*columns)).unionByName(back.select(*columns).exceptAll(source.select(*columns)))
     return lost.select("script_id", "element", "text")
 

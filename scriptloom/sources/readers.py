@@ -2,87 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .encodings import decode
+
 MOST_BYTES = 128 << 20
-FDX = "_ScriptID string, Content struct<Paragraph: array<struct<_Type: string, Text: array<string>>>>"
+PARAGRAPHS = "array<struct<_Type: string, Text: array<string>>>"
+FDX = (
+    "_ScriptID string, Content struct<Paragraph: array<struct<_Type: string, Text: array<string>, DualDialogue: struct<Paragraph: "
+    f"{PARAGRAPHS}>>>>, TitlePage struct<Content: struct<Paragraph: array<struct<Text: array<string>>>>>"
+)
 STYLE_CARD = "id string, prompt string, category string, title string"
 
-#: Byte order marks, longer ones first. Fixed values.
-MARKS = [
-    (b"\xef\xbb\xbf", "UTF-8", "utf-8"), (b"\xff\xfe\x00\x00", "UTF-32", "utf-32-le"), (b"\x00\x00\xfe\xff", "UTF-32", "utf-32-be"),
-    (b"\xff\xfe", "UTF-16", "utf-16-le"), (b"\xfe\xff", "UTF-16", "utf-16-be"),
-]
-#: Encodings that compete for a file without a mark that isn't UTF-8.
-UNMARKED = [("GB18030", "gb18030"), ("Big5", "big5"), ("UTF-16", "utf-16-le"), ("UTF-16", "utf-16-be")]
-WIDE = UNMARKED[2:]
-#: Share of common characters that a decoding must have, and its lead over the next one.
-PLAUSIBLE, MARGIN = 0.7, 0.1
-
-
-def _of(codec: str, leads, trails) -> frozenset[str]:
-    """The characters of a two-byte encoding with these first and second bytes."""
-    pairs = (bytes([a, b]).decode(codec, "ignore") for a in leads for b in trails)
-    return frozenset(x for x in pairs if len(x) == 1)
-
-
-#: Signs and the commoner level of characters in each of the two encodings.
-_GB = _of("gb2312", [0xA1, 0xA3, *range(0xB0, 0xD8)], range(0xA1, 0xFF))
-_BIG5 = _of("big5", [0xA1, 0xA2, *range(0xA4, 0xC7)], [*range(0x40, 0x7F), *range(0xA1, 0xFF)])
-_COMMON = {"gb18030": _GB, "big5": _BIG5, "utf-16-le": _GB | _BIG5, "utf-16-be": _GB | _BIG5}
-
-
-def _plausibility(text: str, codec: str) -> float:
-    """The share of common characters among those that aren't printable ASCII or line ends; 1 without such."""
-    odd = [c for c in text if not (" " <= c <= "~" or c in "\t\r\n")]
-    return sum(c in _COMMON[codec] for c in odd) / len(odd) if odd else 1.0
-
+#: Bytes of one Arrow batch, about; a larger file is a batch of its own.
+BATCH_BYTES = 16 << 20
 
-def _exact(body: bytes, codec: str) -> str | None:
-    """The text, if it gives back the same bytes."""
-    try:
-        text = body.decode(codec)
-        return text if text.encode(codec) == body else None
-    except UnicodeError:
-        return None
 
-
-def _is_wide(content: bytes) -> bool:
-    """Whether every other byte, and a quarter of all at least, is zero: UTF-16 of mostly Latin text."""
-    zeros = content.count(0)
-    return len(content) % 2 == 0 and zeros * 4 >= len(content) > 0 and zeros in (content[::2].count(0), content[1::2].count(0))
-
-
-def _decode(content: bytes | None) -> tuple[str | None, str | None, str | None]:
-    """(charset, text, None) of a file, or (None, None, reason).
-
-    A mark decides. Without one it is UTF-8 if that fits; else the decoding that round-trips and
-    has clearly the most common characters.
-    """
-    if content is None:
-        return None, None, "not decodable"
-    for mark, name, codec in MARKS:
-        if content.startswith(mark):  # the leading mark goes, later ones stay
-            text = _exact(content[len(mark) :], codec)
-            return (None, None, "not decodable") if text is None else (name, text, None)
-    wide = _is_wide(content)
-    if not wide and (text := _exact(content, "utf-8")) is not None:
-        return "UTF-8", text, None
-    tries = [(name, codec, text) for name, codec in (WIDE if wide else UNMARKED) if (text := _exact(content, codec)) is not None]
-    ranked = sorted(((_plausibility(text, codec), name, text) for name, codec, text in tries), key=lambda x: -x[0])
-    if not ranked or ranked[0][0] < PLAUSIBLE:
-        return None, None, "not decodable"
-    if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < MARGIN:
-        return None, None, "ambiguous encoding"
-    return ranked[0][1], ranked[0][2], None
-
-
-def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_decode(c) for c in content], columns=["charset", "text", "reason"])
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length, content) -> (path, length, charset, text, reason), a file at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            content = batch.column(2)[i]
+            charset, text, reason = decode(content.as_py())
+            if text is None:
+                texts = pa.nulls(1, pa.string())
+            else:  # without another copy
+                ends = pa.py_buffer(np.array([0, len(text)], dtype=np.int32))
+                texts = pa.StringArray.from_buffers(1, ends, pa.py_buffer(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([charset], pa.string()), texts, pa.array([reason], pa.string())], ["path", "length", "charset", "text", "reason"]
+            )
 
 
 def _fits() -> Column:
@@ -93,22 +48,25 @@ def decode_scripts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path, length, content)`` -> (scripts, rejects).
 
     A file is accepted if it round-trips in UTF-8, UTF-16 or UTF-32 with a mark, or, without one,
-    in UTF-8 or the one of GB18030, Big5 and UTF-16 whose characters are clearly the most common.
+    in UTF-8 or the likeliest one of GB18030, Big5 and UTF-16 (see ``encodings.decode``).
     Only a leading mark is dropped. Files over 128 MB and all others are refused with a reason
     (not decodable, ambiguous encoding), never repaired. An empty file is an empty script. Plain
-    UTF-8 is read by the JVM; Python sees only the rest.
+    UTF-8 is read by the JVM; Python sees only the rest, a file at a time, in Arrow batches of some 16 MB
+    (the session is set to that).
     """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    files.sparkSession.conf.set(name, str(BATCH_BYTES))
     large = files.where(~_fits()).select("path", F.lit("too large").alias("reason"), "length")
     small = files.where(_fits())
     text = F.col("content").cast("string")
     plain = F.coalesce(F.is_valid_utf8("content") & ~F.contains(text, F.lit("\x00")), F.lit(False))
     unmarked = F.when(F.startswith(text, F.lit("﻿")), F.call_function("substring", text, F.lit(2))).otherwise(text)
     easy = small.where(plain).select("path", unmarked.alias("text"), F.lit("UTF-8").alias("charset"))
-    decoder = F.pandas_udf(_decoded, "charset string, text string, reason string")
-    hard = small.where(~plain).withColumn("d", decoder("content"))
-    scripts = easy.unionByName(hard.where("d.charset is not null").select("path", "d.text", "d.charset"))
+    kind = files.schema["path"].dataType.simpleString()
+    hard = small.where(~plain).select("path", "length", "content").mapInArrow(_decoded, f"path {kind}, length {files.schema['length'].dataType.simpleString()}, charset string, text string, reason string")
+    scripts = easy.unionByName(hard.where("charset is not null").select("path", "text", "charset"))
     scripts = scripts.select(F.sha2("path", 256).alias("script_id"), "path", "text", "charset", F.sha2("text", 256).alias("fingerprint"))
-    bad = hard.where("d.charset is null").select("path", "d.reason", "length")
+    bad = hard.where("charset is null").select("path", "reason", "length")
     return scripts, large.unionByName(bad)
 
 
@@ -127,16 +85,35 @@ def read_scripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_fdx(spark: SparkSession, path: str) -> DataFrame:
-    """``(script_id, element_idx, element, text)`` of Final Draft XML, paragraphs in order.
+    """``(script_id, element_idx, element, text, dual)`` of Final Draft XML, paragraphs in order.
 
-    A paragraph's text is that of all its runs, however they are styled. Documents without a
+    A paragraph's text is that of all its runs, however they are styled. Paragraphs that stand
+    side by side (``DualDialogue``) come in order, with one number for each such group in ``dual``; the
+    paragraph around them, and any other without a type, is no element. Documents without a
     ``ScriptID`` take their file's path as id. Empty paragraphs have empty text.
     """
     rows = spark.read.format("xml").schema(FDX).option("rowTag", "FinalDraft").option("ignoreSurroundingSpaces", False).load(path)
     script_id = F.coalesce("_ScriptID", F.col("_metadata.file_path"))
-    listed = rows.select(script_id.alias("script_id"), F.posexplode("Content.Paragraph").alias("element_idx", "p"))
-    text = F.array_join(F.transform("p.Text", lambda run: F.coalesce(run, F.lit(""))), "")
-    return listed.select("script_id", "element_idx", F.col("p._Type").alias("element"), F.coalesce(text, F.lit("")).alias("text"))
+    single = lambda p, n: F.struct(p["_Type"].alias("element"), _runs(p["Text"]).alias("text"), n.alias("dual"))
+    none = F.lit(None).cast("int")
+    groups = F.transform(
+        F.col("Content.Paragraph"),
+        lambda p, i: F.concat(F.array(single(p, none)), F.transform(F.coalesce(p["DualDialogue"]["Paragraph"], F.array().cast(PARAGRAPHS)), lambda q: single(q, i))),
+    )
+    listed = rows.select(script_id.alias("script_id"), F.posexplode(F.filter(F.flatten(groups), lambda e: e["element"].isNotNull())).alias("element_idx", "e"))
+    number = F.dense_rank().over(Window.partitionBy("script_id").orderBy(F.col("e.dual").asc_nulls_last()))
+    return listed.select("script_id", "element_idx", "e.element", "e.text", F.when(F.col("e.dual").isNotNull(), number).alias("dual"))
+
+
+def read_fdx_titles(spark: SparkSession, path: str) -> DataFrame:
+    """``(script_id, line_idx, text)`` of the title pages of Final Draft XML."""
+    rows = spark.read.format("xml").schema(FDX).option("rowTag", "FinalDraft").option("ignoreSurroundingSpaces", False).load(path)
+    listed = rows.select(F.coalesce("_ScriptID", F.col("_metadata.file_path")).alias("script_id"), F.posexplode("TitlePage.Content.Paragraph").alias("line_idx", "p"))
+    return listed.select("script_id", "line_idx", _runs(F.col("p.Text")).alias("text"))
+
+
+def _runs(c: Column) -> Column:
+    return F.coalesce(F.array_join(F.transform(c, lambda run: F.coalesce(run, F.lit(""))), ""), F.lit(""))
 
 
 def read_style_pack(spark: SparkSession, path: str, repository: str | None = None, commit: str | None = None, license: str | None = None) -> DataFrame:

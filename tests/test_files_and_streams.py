@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.operators import quality as Q
 from scriptloom.operators import verify as V
+from scriptloom.sources import encodings as E
 from scriptloom.sources import publishing as B
 from scriptloom.sources import readers as R
 from scriptloom.sources import sinks as K
@@ -21,7 +22,8 @@ def test_scripts_round_trip_or_are_refused(spark, tmp_path):
         "utf8.txt": "甲乙﻿丙\r\n".encode(), "mark.txt": b"\xef\xbb\xbf" + "甲".encode(), "utf16.txt": b"\xff\xfe" + "甲".encode("utf-16-le"),
         "gb.txt": "剧本：第一集".encode("gb18030"), "bad.txt": b"\xff\xff\xff", "empty.txt": b"",
         "big5.txt": "夜裡的街道下著雨，他們慢慢走回家。".encode("big5"), "wide.txt": "INT. KITCHEN\r\n".encode("utf-16-le"), "wide2.txt": "夜里的街道下着雨。".encode("utf-16-be"),
-        "nul.txt": b"a\x00b\r\n", "a b%20c.txt": b"",
+        "nul.txt": b"a\x00b\r\n", "a b%20c.txt": b"", "old.txt": "張三走進房間，看著窗外的雨，聽見遠處傳來鐘聲。".encode("gb18030"), "names.txt": "王琦瑶、孙婷婷、赵馨怡".encode("gb18030"), "two.txt": "王婷".encode("gb18030"),
+        "cafe.txt": "Scene 1: café — naïve".encode("gb18030"), "le.txt": "夜里的街道下着雨。".encode("utf-16-le"), "one.txt": "甲".encode("gb18030"),
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
@@ -30,9 +32,18 @@ def test_scripts_round_trip_or_are_refused(spark, tmp_path):
     assert found == {
         "utf8.txt": ("UTF-8", "甲乙﻿丙\r\n"), "mark.txt": ("UTF-8", "甲"), "utf16.txt": ("UTF-16", "甲"), "gb.txt": ("GB18030", "剧本：第一集"), "empty.txt": ("UTF-8", ""),
         "big5.txt": ("Big5", "夜裡的街道下著雨，他們慢慢走回家。"), "wide.txt": ("UTF-16", "INT. KITCHEN\r\n"), "wide2.txt": ("UTF-16", "夜里的街道下着雨。"),
-        "nul.txt": ("UTF-8", "a\x00b\r\n"), "a b%20c.txt": ("UTF-8", ""),
+        "nul.txt": ("UTF-8", "a\x00b\r\n"), "a b%20c.txt": ("UTF-8", ""), "old.txt": ("GB18030", "張三走進房間，看著窗外的雨，聽見遠處傳來鐘聲。"), "names.txt": ("GB18030", "王琦瑶、孙婷婷、赵馨怡"), "two.txt": ("GB18030", "王婷"),
+        "cafe.txt": ("GB18030", "Scene 1: café — naïve"), "le.txt": ("UTF-16", "夜里的街道下着雨。"),
     }
-    assert [(r.path.rsplit("/")[-1], r.reason) for r in rejects.collect()] == [("bad.txt", "not decodable")]
+    assert sorted((r.path.rsplit("/")[-1], r.reason) for r in rejects.collect()) == [("bad.txt", "not decodable"), ("one.txt", "ambiguous encoding")]
+
+
+@pytest.mark.parametrize("codec", ["gb18030", "big5", "utf-16-le"])
+def test_long_files_are_decoded_in_pieces(codec):
+    text = "夜裡，他慢慢走回家。" * (2 * E.PIECE // 13) + "end"
+    charset, found, reason = E.decode(text.encode(codec))
+    assert reason is None and bytes(found).decode() == text and charset == {"gb18030": "GB18030", "big5": "Big5", "utf-16-le": "UTF-16"}[codec]
+    assert E.decode(text.encode(codec)[:-1] + b"\xff")[1] is None or codec == "utf-16-le"
 
 
 def test_fdx_round_trip(spark, tmp_path):
@@ -51,6 +62,21 @@ def test_fdx_runs_are_joined(spark, tmp_path):
     assert [(r.element, r.text) for r in R.read_fdx(spark, str(tmp_path / "a.fdx")).orderBy("element_idx").collect()] == [("Action", "She waits here."), ("Action", ""), ("General", "")]
 
 
+def test_fdx_dual_dialogue_and_titles(spark, tmp_path):
+    one = "<Paragraph Type='Character'><Text>{}</Text></Paragraph><Paragraph Type='Dialogue'><Text>Go{}</Text></Paragraph>"
+    (tmp_path / "a.fdx").write_text(
+        "<FinalDraft><Content><Paragraph Type='Action'><Text>They speak.</Text></Paragraph><Paragraph><DualDialogue>" + one.format("ANNA", 1) + one.format("BOB", 2) + "</DualDialogue></Paragraph>"
+        "<Paragraph><Text>no type</Text></Paragraph><Paragraph><DualDialogue>" + one.format("C", 3) + "</DualDialogue></Paragraph><Paragraph Type='Action'><Text>End.</Text></Paragraph></Content>"
+        "<TitlePage><Content><Paragraph Alignment='Center'><Text>The </Text><Text Style='Bold'>Title</Text></Paragraph><Paragraph/></Content></TitlePage></FinalDraft>"
+    )
+    read = lambda path: [(r.element, r.text, r.dual) for r in R.read_fdx(spark, path).orderBy("element_idx").collect()]
+    expected = [("Action", "They speak.", None), ("Character", "ANNA", 1), ("Dialogue", "Go1", 1), ("Character", "BOB", 1), ("Dialogue", "Go2", 1), ("Character", "C", 2), ("Dialogue", "Go3", 2), ("Action", "End.", None)]
+    assert read(str(tmp_path / "a.fdx")) == expected
+    K.write_fdx(R.read_fdx(spark, str(tmp_path / "a.fdx")), str(tmp_path / "b"))
+    assert read(str(tmp_path / "b")) == expected
+    assert [r.text for r in R.read_fdx_titles(spark, str(tmp_path / "a.fdx")).orderBy("line_idx").collect()] == ["The Title", ""]
+
+
 def test_packs_and_manifests(spark, tmp_path):
     (tmp_path / "pack.json").write_text(json.dumps([{"id": "a", "prompt": "p", "category": "c", "title": "t"}]))
     card = R.read_style_pack(spark, str(tmp_path / "pack.json")).first()

@@ -10,6 +10,7 @@ from scriptloom.operators import profile as P
 from scriptloom.operators import score as S
 from scriptloom.operators import units as U
 from scriptloom.operators import verify as V
+from scriptloom.operators.fountain import classify_elements, cue_name
 from scriptloom.operators.passages import find_passages
 from scriptloom.operators.styles import style_only
 from scriptloom.plans import compile as X
@@ -121,10 +122,23 @@ def test_styles_keep_style_clauses_only(spark, prompt, style):
     assert one(spark, style_only(F.col("p")), p=prompt) == style
 
 
+@pytest.mark.parametrize("cue, name", [("ANNA (V.O.) (cont'd) ^", "ANNA"), ("@McAvoy", "McAvoy"), ("李雷（画外音）：", "李雷"), ("NARRATOR^", "NARRATOR"), ("R2-D2", "R2-D2"), ("甲:", "甲")])
+def test_speakers_of_cues(spark, cue, name):
+    assert one(spark, cue_name(F.col("c")), c=cue) == name
+
+
+def test_fountain_without_blank_lines(spark):
+    lines = ["INT. SHOP - DAY", "A bell rings.", "ANNA (O.S.)", "Who is it?", "(listens)", "Hello?", "BOB", "MAX", "Me.", "CUT TO BLACK.", "李雷", "我来了。", "END"]
+    units = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "script_id long, unit_idx int, text string")
+    found = [r.element for r in classify_elements(units).orderBy("unit_idx").collect()]
+    assert found == ["Scene Heading", "Action", "Character", "Dialogue", "Parenthetical", "Dialogue", "Dialogue", "Character", "Dialogue", "Transition", "Character", "Dialogue", "Dialogue"]
+    assert classify_elements(units.limit(0)).count() == 0
+
+
 def test_dialogue_goes_on_to_a_blank_line(spark):
     text = "INT. SHOP - DAY\n\nANNA\nFirst line.\n(softly)\nSecond line.\n\nShe leaves.\nBOB\nWait!\nCUT TO:\nMAX\n\nAlone."
     units = U.source_units(spark.createDataFrame([(1, text)], "script_id long, text string"))
-    found = [r.element for r in U.classify_elements(units).orderBy("unit_idx").collect()]
+    found = [r.element for r in classify_elements(units).orderBy("unit_idx").collect()]
     assert found == ["Scene Heading", "Character", "Dialogue", "Parenthetical", "Dialogue", "Action", "Character", "Dialogue", "Transition", "Action", "Action"]
 
 
