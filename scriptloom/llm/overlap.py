@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import durable
-from .simhash import _near, _of_ids, _shared_places, _star_pairs, frequent_shingles, rare_prefix, shingle_sets
+from .simhash import _near, _of_ids, _star_pairs, frequent_shingles, rare_prefix, shingle_sets, short_lists
 from .textbatch import bounded_batches
 
 #: Postings in one block of an inverted list.
@@ -152,7 +152,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     T-occurrence search by DivideSkip: a set of n must share T = ceil(percent n / 100) shingles with
     any it links to, so its T - 1 longest lists can be left out of the merge: whoever links is on
     one of the other, short ones. Lists count as long by what a sample of fixed size says of their
-    shingles; the sample orders lists and decides nothing else. In a first search the texts of a
+    shingles, and by their own length where that shows only later; this orders lists and decides nothing else. In a first search the texts of a
     short list meet the one with the fewest rarer shingles; then all that aren't in one
     component are searched in full: their short lists, held in blocks, are merged by a heap, and
     the candidates' whole overlap is counted by binary probes. Sketches of the sets spare most
@@ -164,12 +164,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     similarity = percent / 100
-    take = rare_prefix(similarity, *frequent_shingles(docs, shingle))
-    sets = durable(shingle_sets(docs, shingle, take), "sets")
+    known = frequent_shingles(docs, shingle)
+    sets = durable(shingle_sets(docs, shingle, rare_prefix(similarity, *known)), "sets")
     worded = sets.where("n > 0")
     firsts = F.min(F.struct("doc_id", "n", "sketch")).alias("f")
     firsts = durable(worded.groupBy("node").agg(firsts).select("node", "f.*"), "firsts")
-    rows = durable(_shared_places(worded), "short_lists")
+    _, rows = short_lists(docs, worded, shingle, similarity, *known)
+    rows = durable(rows, "short_lists")
 
     first = durable(_near(_star_pairs(rows, similarity).distinct(), firsts, similarity), "pairs")
     linked = durable(_reaching(first, docs, firsts, shingle, percent), "links")

@@ -144,8 +144,8 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-#: One document in so many is looked at for frequent shingles, this many documents at least.
-SAMPLE, SAMPLE_LEAST = 16, 20_000
+#: Documents, about, that are looked at for frequent shingles, whatever the size of the corpus.
+SAMPLE = 20_000
 #: Frequent shingles that the order of shingles knows.
 FREQUENT = 100_000
 #: Buckets of a set's sketch.
@@ -204,7 +204,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
     They only order the shingles; which pairs are found doesn't depend on them.
     """
-    share = max(1, min(SAMPLE, docs.count() // SAMPLE_LEAST))
+    share = max(1, docs.count() // SAMPLE)
     some = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), shingle, lambda own: own)
     found = some.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key")).groupBy("key").count()
     table = found.where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
@@ -231,12 +231,14 @@ def rare_prefix(similarity: float, frequent: np.ndarray, counts: np.ndarray):
     return take
 
 
-def _shared_places(sets: DataFrame) -> DataFrame:
-    """``(key, node, n, at)``: the places of the prefix shingles that a node has in common with another.
+#: Texts on a shingle's list from which on the shingle counts as frequent, though the sample didn't show it.
+LONG_LIST = 1000
 
-    Shingles that the same nodes have are one key, at the place of the first of them: the order of
-    shingles is the same in every node, so a pair's first common shingle is still there. That
-    leaves one row for a passage instead of one for each of its shingles.
+
+def _shared_keys(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, node, place)`` of the prefix shingles that a node has in common with another, and ``(key, k, nodes)``.
+
+    k is on how many nodes' lists a shingle is, nodes a digest of these nodes.
     """
     place = F.shiftleft(F.col("n"), 32) + F.col("at")
     keys = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", place.alias("place"))
@@ -244,11 +246,46 @@ def _shared_places(sets: DataFrame) -> DataFrame:
     rows = durable(keys.join(often, "key").distinct(), "shared")
     digest = F.xxhash64("node")
     nodes = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod(digest, F.lit(1 << 40))).alias("s"), F.bit_xor(digest).alias("x"))
-    nodes = nodes.where("k > 1").select("key", F.xxhash64("k", "s", "x").alias("nodes"))
-    first = rows.join(nodes, "key").groupBy(F.col("nodes").alias("key"), "node").agg(F.min("place").alias("place"))
+    return rows, durable(nodes.where("k > 1").select("key", "k", F.xxhash64("k", "s", "x").alias("nodes")), "lists")
+
+
+def _places_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows and lists of ``_shared_keys`` -> ``(key, node, n, at)``.
+
+    Shingles that the same nodes have are one key, at the place of the first of them: the order of
+    shingles is the same in every node, so a pair's first common shingle is still there. That
+    leaves one row for a passage instead of one for each of its shingles.
+    """
+    first = rows.join(lists, "key").groupBy(F.col("nodes").alias("key"), "node").agg(F.min("place").alias("place"))
     return first.select("key", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
 
 
+def short_lists(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(sets, their shared places), with what turned out to be frequent moved to the end of the order.
+
+    A shingle that a sample has missed, but that is on the prefixes of more than ``LONG_LIST`` texts (a
+    template's, say), would bring all these texts together. Such shingles, ``FREQUENT`` at most, are ordered
+    behind the rare ones by their counts, and the prefixes of the texts that had them are taken anew;
+    all other prefixes are the same in the new order. Any order finds every pair.
+    """
+    rows, lists = _shared_keys(sets)
+    long = lists.where(F.col("k") > LONG_LIST)
+    found = long.orderBy(F.desc("k"), "key").limit(FREQUENT).select("key", "k").toArrow()
+    keys = found["key"].to_numpy().astype(np.int64).view(np.uint64)
+    new = ~np.isin(keys, frequent)
+    if not new.any():
+        return sets, _places_of(rows, lists)
+    every = np.concatenate([frequent, keys[new]])
+    number = np.concatenate([counts, found["k"].to_numpy().astype(np.int64)[new]])
+    order = np.argsort(every)
+    known = sets.sparkSession.createDataFrame([(int(x),) for x in keys[new].view(np.int64)], "key bigint")
+    nodes = durable(rows.join(known, "key", "left_semi").select("node").distinct(), "templates")
+    ids = durable(sets.join(nodes, "node", "left_semi").select("doc_id").distinct(), "ids")
+    again = shingle_sets(_of_ids(docs, ids), shingle, rare_prefix(similarity, every[order], number[order]))
+    sets = durable(sets.join(ids, "doc_id", "left_anti").unionByName(again), "sets")
+    return sets, _places_of(*_shared_keys(sets))
+
+
 def _may_be_alike(similarity: float, a: str, b: str):
     """Whether two sets whose first common shingle is this one may be alike enough.
 
@@ -347,11 +384,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    take = rare_prefix(similarity, *frequent_shingles(docs, shingle))
-    sets = durable(shingle_sets(docs, shingle, take), "sets")
+    known = frequent_shingles(docs, shingle)
+    sets = durable(shingle_sets(docs, shingle, rare_prefix(similarity, *known)), "sets")
     firsts = F.min(F.struct("doc_id", "n", "sketch")).alias("f")
     firsts = durable(sets.groupBy("node").agg(firsts).select("node", "f.*"), "firsts")
-    rows = durable(_shared_places(sets), "rows")
+    sets, rows = short_lists(docs, sets, shingle, similarity, *known)
+    rows = durable(rows, "rows")
 
     pairs = _simhash_pairs(sets).union(_star_pairs(rows, similarity)).distinct()
     pairs = durable(_near(pairs, firsts, similarity), "pairs")

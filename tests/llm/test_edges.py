@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +50,18 @@ def test_similar_texts_group_and_others_stay(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
 
 
+def test_templates_that_a_sample_missed_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    head = " ".join(f"h{i}" for i in range(40))
+    texts = [f"{head} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([5, 30]))) for _ in range(40)]
+    texts += [f"{t} end" for t in texts[::3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = sorted(map(tuple, simhash.similar_groups(docs).collect()))
+    monkeypatch.setattr(simhash, "frequent_shingles", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(simhash, "LONG_LIST", 5)
+    assert sorted(map(tuple, simhash.similar_groups(docs).collect())) == expected and len({c for _, c in expected}) < len(expected)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (100, 101), (101, 100), (None, 5)], "u long, v long")
     found = {r.node: r.label for r in connected_components(edges).collect()}

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from scriptloom.llm import overlap
+from scriptloom.llm import overlap, simhash
 
 SCHEMA = "doc_id long, text string, node long, key int, n int, component_id string"
 
@@ -42,10 +42,10 @@ def found(spark, rows, **options):
     return sorted(tuple(r) for r in overlap.jaccard_groups(docs, **options).collect())
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_groups_equal_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "long_list"), [(1024, 1000), (2, 3)])
+def test_groups_equal_all_pairs(spark, monkeypatch, block, long_list):
     monkeypatch.setattr(overlap, "BLOCK", block)
-    monkeypatch.setattr(overlap, "RUN", 4)
+    monkeypatch.setattr(simhash, "LONG_LIST", long_list)
     rng = random.Random(3)
     rows = [(1, None), (2, ""), (3, " \t\n"), (None, "no id"), (4, "one two"), (5, "ONE  two"), (6, "a b c d e"), (7, "a b c d e f"), (7, "a b c d e"), (8, "É é")]
     template = [f"t{i}" for i in range(60)]
