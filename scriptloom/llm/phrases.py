@@ -19,8 +19,8 @@ _BLANK = byte_table([32, 9])
 _CUT = byte_table(b".,;:!?\n\v\f\r")
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 4096
-#: Occurrences that a shard counts at a time, and phrases of a range that are in memory before they are united.
-SHARD, RANGE = 1 << 20, 1 << 20
+#: Word numbers in the phrases that a shard counts at a time, and phrases of a range in memory before they are united.
+SHARD, RANGE = 1 << 22, 1 << 20
 #: The commonest words, whose phrases are dealt to several ranges by their second word.
 HOT, SLOTS = 1000, 64
 #: Bits of the filter of frequent phrases, at most (8 MB).
@@ -174,7 +174,7 @@ def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequ
     """Count transducers of the phrases of ``orders`` words, one for each shard, language and prefix range.
 
     Of a phrase longer than those in ``frequent`` every part of their length must be in it. Occurrences are
-    held as word numbers; each ``SHARD`` of them are sorted and go out as transducers.
+    held as word numbers; ``SHARD`` numbers at a time are sorted and go out as transducers.
     """
     width = max(orders)
 
@@ -234,7 +234,7 @@ def _shard_transducers(docs: DataFrame, orders: tuple[int, ...], frequent: Frequ
                         grams[:, i] = numbers[at + i]
                     held.append((lang[at], grams))
                     size += len(at)
-                if size >= SHARD:
+                if size * width >= SHARD:
                     yield from counted(names, held)
                     size = 0
         if size:
@@ -385,10 +385,10 @@ def collocations(
     infrequent shorter part. In a pass each shard builds transducers of its sorted phrases, by prefix range;
     these are united, weights summed, and the parts of phrases are looked up by composition. Words are
     64-bit numbers in between; if two words of a language have one number, all is done anew with others.
-    ``buckets`` prefix ranges (four times the session's shuffle partitions) bound what one task holds.
+    ``buckets`` prefix ranges (twice the session's shuffle partitions) bound what one task holds.
     """
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("text is not null")
-    buckets = buckets or 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 2 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for seed in range(8):
         words = durable(word_counts(docs, seed), "words")
         if words.groupBy("lang", "number").count().where("count > 1").isEmpty():
