@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scriptloom.llm import queries as Q
@@ -89,20 +90,31 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
-@pytest.mark.parametrize("name, label, parts, part", [("op5_toxicity", "toxic", 3, 1), ("op6_quality", "quality", 3, 1)])
-def test_classifiers_on_the_held_out_fold(spark, name, label, parts, part):
+#: Least recall of each class, and precision of the rarer one; a constant answer has a recall of 0 for one of them.
+@pytest.mark.parametrize("name, label, recalls, precision", [("op5_toxicity", "toxic", (0.98, 0.7), 0.95), ("op6_quality", "quality", (0.85, 0.97), 0.9)])
+def test_classifiers_on_the_held_out_fold(spark, name, label, recalls, precision):
     labels = dict(duckdb.sql(f"SELECT doc_id, {label} FROM read_parquet('{SF}/labels.parquet')").fetchall())
     rows = Q.queries()[name](spark, SF).collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows)
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == part) for r in rows)
-    judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    assert np.mean([a == b for a, b in judged]) > 0.9
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    judged = np.array([(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels])
+    said, true = judged.T
+    assert all(np.mean(said[true == k] == k) >= recalls[k] for k in (0, 1)), [np.mean(said[true == k] == k) for k in (0, 1)]
+    rare = int(true.mean() < 0.5)
+    assert np.mean(true[said == rare] == rare) >= precision, np.mean(true[said == rare] == rare)
+    # a score tells the classes apart: the share of pairs in the right order
+    score = {r.doc_id: r.score for r in rows}
+    high, low = (np.array([score[r.doc_id] for r in rows if r.held_out and labels.get(r.doc_id) == k]) for k in (1, 0))
+    assert np.mean(high[:, None] > low) > 0.95
 
 
 def test_language_on_the_held_out_fold(spark):
     langs = dict(duckdb.sql(f"SELECT doc_id, lang FROM read_parquet('{SF}/documents.parquet')").fetchall())
     rows = [r for r in Q.op8_language(spark, SF).collect() if r.held_out]
-    assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows]) > 0.95
+    for lang in set(langs.values()):  # each language's own recall and precision
+        own = [r.lang_pred == lang for r in rows if langs[r.doc_id] == lang]
+        said = [langs[r.doc_id] == lang for r in rows if r.lang_pred == lang]
+        assert np.mean(own) > 0.9 and np.mean(said) > 0.9, lang
 
 
 def test_secrets_of_the_documents(spark, texts):
@@ -127,22 +139,25 @@ def test_url_rules(spark):
     assert {v[3] for v in found.values()} <= {"allow", "block"}
 
 
-def test_url_model_on_unseen_urls(spark):
-    urls = ["http://www.casino-bonus.example.net/en/5", "https://mega-jackpot-win.example.com/spin", "https://news.example.net/2024/06/report", "http://blog.thernd.example.com/en/42"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    assert [r.verdict for r in U.judge_urls(pages).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+def test_url_model_on_words_in_no_list(spark):
+    """Plain words that aren't among the labelled ones stay; words that unwanted ones are made into go."""
+    plain = "lantern orchard velvet compass thistle marble cathedral umbrella penguin saddle lighthouse almanac beekeeper granite meadow violin teapot carpenter glacier ferry".split()
+    bad = "casinos casinoclub pokerroom pokers bettingshop jackpots lotteries viagras pornos xxxvideos webcamgirls keygens warezforum torrentsite roulettes sportsbooks".split()
+    assert not set(plain + bad) & {*U.UNWANTED, *U.PLAIN}
+    shapes = ["http://{}.example.net/en/5", "https://www.{}.example.com/", "http://blog.{}-net.example.com/en/42"]
+    pages = spark.createDataFrame([(w, u.format(w)) for w in plain + bad for u in shapes], "page_id string, url string")
+    blocked = {r.page_id: r.n for r in U.judge_urls(pages).groupBy("page_id").agg(F.count_if(F.col("verdict") == "block").alias("n")).collect()}
+    assert sum(blocked[w] for w in plain) <= 0.05 * 3 * len(plain) and sum(blocked[w] for w in bad) >= 0.8 * 3 * len(bad)
 
 
 def test_url_score_by_hand(spark):
-    """The score is the logistic of the mean weight of the n-grams."""
-    from pyspark.sql import functions as F
-
+    """The score is the logistic of the sum of the weights of the distinct n-grams' buckets."""
     pages = spark.createDataFrame([(1, "http://a.example.net/x/y")], "page_id long, url string")
     row = U.judge_urls(pages).withColumn("own", U.buckets(F.col("host"), F.col("path"))).first()
     text = f"^{row.host}${row.path}$"
     grams = [text[i : i + n] for n in U.SIZES for i in range(len(text) - n + 1)]
     hashed = spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(U.WIDTH)).cast("int")).collect()
-    assert sorted(row.own) == sorted(h[0] for h in hashed)
+    assert sorted(row.own) == sorted({h[0] for h in hashed})
     weights, intercept = U.train(spark)
-    z = intercept + sum(weights[b] for b in row.own) / len(row.own)
+    z = intercept + sum(weights[b] for b in row.own)
     assert abs(row.score - 1 / (1 + np.exp(-z))) < 1e-9
