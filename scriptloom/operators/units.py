@@ -177,13 +177,17 @@ def relink_scenes(parsed: DataFrame, previous: DataFrame) -> DataFrame:
 
     Pass 1: same position and same heading key. Pass 2: of the rest, the n-th of a key takes the
     n-th previous one of that key. Ids stay unique, also where a loop over scenes would let the
-    same id be claimed twice. Scenes without a match have a null id and pass.
+    same id be claimed twice. Scenes without a match have a null id and pass, as have those without a
+    heading. One join and one window find both passes. (script_id, scene_order) is unique on both sides.
     """
-    new = parsed.select("script_id", "scene_order", heading_key(F.col("heading")).alias("key"))
-    old = previous.select("script_id", "scene_order", "scene_id", heading_key(F.col("heading")).alias("key"))
-    first = new.join(old, ["script_id", "scene_order", "key"]).select("script_id", "scene_order", "scene_id", F.lit(1).alias("pass"))
-    nth = F.row_number().over(Window.partitionBy("script_id", "key").orderBy("scene_order"))
-    rest = new.join(first, ["script_id", "scene_order"], "left_anti").withColumn("nth", nth)
-    free = old.join(first, ["script_id", "scene_id"], "left_anti").withColumn("nth", nth).drop("scene_order")
-    second = rest.join(free, ["script_id", "key", "nth"]).select("script_id", "scene_order", "scene_id", F.lit(2).alias("pass"))
-    return new.select("script_id", "scene_order").join(first.unionByName(second), ["script_id", "scene_order"], "left")
+    new = parsed.select("script_id", "scene_order", heading_key(F.col("heading")).alias("key"), F.lit(True).alias("new"))
+    old = previous.select("script_id", "scene_order", heading_key(F.col("heading")).alias("key"), "scene_id", F.lit(True).alias("old"))
+    both = new.join(old, ["script_id", "scene_order", "key"], "full_outer").withColumn("same", F.coalesce(F.col("new") & F.col("old"), F.lit(False)))
+    both = both.where("new or key is not null")
+    so_far = Window.partitionBy("script_id", "key").orderBy("scene_order").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda side: F.sum(F.when(~F.col("same") & F.col(side), 1).otherwise(0)).over(so_far)
+    # the n-th new scene without an equal and the n-th old one are a group, as each equal pair is one
+    nth = F.when(F.col("same"), F.col("scene_order")).when(F.col("new") & F.col("key").isNull(), F.col("scene_order")).when(F.col("new"), count("new")).otherwise(count("old"))
+    groups = both.withColumn("nth", nth).groupBy("script_id", "key", "same", "nth").agg(F.max(F.when(F.col("new"), F.col("scene_order"))).alias("scene_order"), F.max("scene_id").alias("scene_id"))
+    passed = F.when(F.col("same"), 1).when(F.col("scene_id").isNotNull(), 2).alias("pass")
+    return groups.where("scene_order is not null").select("script_id", "scene_order", "scene_id", passed)

@@ -166,6 +166,17 @@ def style_pack_topk(spark, sf_dir):
     return S.style_pack_topk(view(spark, sf_dir, "fx_pack"), 7)
 
 
+@query("import_style_packs", "SELECT source_path AS pack, original_id AS id, original_id, prompt, category, 'title ' || ord AS title, 'cards' AS repository, 'c1' AS source_commit, 'MIT' AS license, true AS from_file FROM fx_pack")
+def import_style_packs(spark, sf_dir):
+    """Cards written as packs, a JSON array for each, and read with their provenance."""
+    path = new_path(spark, "packs")
+    rows = view(spark, sf_dir, "SELECT source_path AS pack, original_id AS id, prompt, category, 'title ' || ord AS title FROM fx_pack")
+    packs = rows.groupBy("pack").agg(F.to_json(F.collect_list(F.struct("id", "prompt", "category", "title"))).alias("value"))
+    packs.write.partitionBy("pack").text(path)
+    read = R.read_style_pack(spark, path, repository="cards", commit="c1", license="MIT")
+    return read.select("pack", "id", "original_id", "prompt", "category", "title", "repository", "source_commit", "license", F.contains("source_path", F.lit("/pack=")).alias("from_file"))
+
+
 @query("near_duplicate_signatures", """WITH d AS (SELECT a.vec_id, b.vec_id AS reuse_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS x FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id)
 SELECT vec_id, reuse_id, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, reuse_id) AS r FROM d WHERE x <= 1.05) WHERE r = 1""")
 def near_duplicate_signatures(spark, sf_dir):

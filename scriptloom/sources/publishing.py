@@ -115,7 +115,11 @@ class PublishWriter(DataSourceArrowWriter):
                 fs.delete_file(draft)
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Remove all files of this write, also those of tasks that never answered."""
+        """Remove all files of this write, also those of tasks that never answered.
+
+        A task that is still at work may write after that; its files belong to no version, so nobody
+        reads them, and ``remove_superseded`` takes them away.
+        """
         fs, root = _filesystem(self.path)
         if fs.get_file_info(f"{root}/{self.own}").type != pafs.FileType.NotFound:
             fs.delete_dir(f"{root}/{self.own}")
