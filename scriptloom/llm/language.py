@@ -151,7 +151,9 @@ def identify_language(
     each language by a hash of the id. score is the probability of lang_pred, calibrated by a
     temperature. ``und`` stands for texts that are null or have no letter (score 0), and for
     predictions with a score below ``reject_below``. Rows of ``training`` without a language
-    teach nothing; if none is left every text is ``und``. Null ids are never trained from.
+    teach nothing; if none is left every text is ``und``. Null ids are never trained from. Repeated
+    rows are judged each; where rows of one id name several languages, each of its texts teaches all of them. An
+    empty table gives an empty result; other columns are ignored.
     """
     training = docs if training is None else training
     pool = training.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y")).where(fold("id", parts) != held_part)

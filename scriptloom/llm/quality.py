@@ -197,6 +197,8 @@ def score_quality(
     the held-out fold (crc32 of the id modulo ``parts``). Null and empty texts are one empty
     passage. Null ids aren't held out (held_out is null). Labels other than 0 and 1 are ignored;
     of contradicting labels of an id 0 counts. Without both classes the score is a constant.
+    Repeated rows are scored each; a repeated id teaches with each of its texts. An empty table gives an
+    empty result; other columns are ignored.
     """
     model = _learn(docs, labels, id_col, text_col, label_col, parts, held_part, per_class)
     scored = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", model, "score")

@@ -263,7 +263,8 @@ def score_toxicity(
     Features are hashed byte n-grams of whole texts. Null and empty texts get the score of a text
     without n-grams. A null id is not held out (held_out is null) and never trained from.
     Labels other than 0 and 1 are ignored, and of contradicting labels of an id 1 counts. Without
-    positives every score is one small constant.
+    positives every score is one small constant. Repeated rows are scored each; a repeated id teaches with
+    each of its texts. An empty table gives an empty result; other columns are ignored.
     """
     learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)")
     learn = learn.where(fold("id", parts) != held_part).groupBy("id").agg(F.max("y").cast("int").alias("y"))
