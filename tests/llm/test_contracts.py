@@ -57,7 +57,7 @@ def test_simhash_groups(spark, texts):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_queries_with_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     expected = duck.sql(Q.oracle_sql()[name])
     found = Q.queries()[name](spark, SF).select(expected.columns)
