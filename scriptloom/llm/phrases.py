@@ -20,7 +20,7 @@ _CUT = byte_table(b".,;:!?\n\v\f\r")
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 4096
 #: Word numbers in the phrases that a shard counts at a time, and phrases of a range in memory before they are united.
-SHARD, RANGE = 1 << 22, 1 << 20
+SHARD, RANGE = 1 << 21, 1 << 20
 #: The commonest words, whose phrases are dealt to several ranges by their second word.
 HOT, SLOTS = 1000, 64
 #: Bits of the filter of frequent phrases, at most (8 MB).
