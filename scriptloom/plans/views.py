@@ -74,7 +74,8 @@ WHERE regexp_replace(text, '[\s\p{Z}]+', '', 'g') <> ''""",
 VIEWS["fx_candidates"] = """SELECT s.script_id, s.scene_id, s.scene_order, e.engine,
   CASE s.scene_order % 3 WHEN 0 THEN 'scene' WHEN 1 THEN 'character' ELSE 'prop' END AS kind,
   split_part(s.first_text, ' ', CASE WHEN (s.scene_order * 3 + 1) % 5 < 3 THEN 1 ELSE 1 + e.n END) AS name,
-  CASE WHEN (s.script_id + s.scene_order * 3 + 1) % 7 = 0 THEN '§' ELSE '' END || substr(s.first_text, 1, 12) AS evidence,
+  CASE WHEN (s.script_id + s.scene_order * 3 + 1) % 7 = 0 THEN '§' ELSE '' END
+    || CASE WHEN e.n = 1 THEN substr(s.scene_text, CAST(floor(length(s.scene_text) / 2.0) AS INT) + 1, 40) ELSE substr(s.first_text, 1, 12) END AS evidence,
   ((s.scene_order * 3 + 1 + s.script_id * 13 + e.n) % 100) / 100.0E0 AS model_confidence,
   CAST((s.scene_order + e.n) % 5 + 1 AS INT) AS schema_fields_present, 5 AS schema_fields_total,
   CASE WHEN s.scene_order % 4 = 3 THEN 'injured' ELSE '' END AS continuity_state,
