@@ -88,7 +88,7 @@ def prompt_plans_fallback(spark, sf_dir):
     return _digest(_plans(spark, sf_dir, strict=False))
 
 
-@query("layer_isolation", f"""WITH {PLANS} SELECT asset_id, true AS headers, NOT EXISTS (SELECT 1 FROM (SELECT unnest(regexp_split_to_array(style, '[，；]')) AS c) WHERE length(c) >= 2 AND contains(basic, c)) AS isolated FROM pl WHERE n >= 2 AND style <> ''""")
+@query("layer_isolation", f"""WITH {PLANS} SELECT asset_id, {" AND ".join(f"contains({_prompt_sql(OPERATION)}, '{h}')" for h in X.HEADERS[:3])} AS headers, NOT EXISTS (SELECT 1 FROM (SELECT unnest(regexp_split_to_array(style, '[，；]')) AS c) WHERE length(c) >= 2 AND contains(basic, c)) AS isolated FROM pl WHERE n >= 2 AND style <> ''""")
 def layer_isolation(spark, sf_dir):
     return X.layer_isolation(_plans(spark, sf_dir))
 

@@ -323,8 +323,7 @@ def dq_conservation(spark, sf_dir):
     lines = source.select("script_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     before = Window.partitionBy("script_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("bigint")
-    marks = lines.withColumn("start", start).withColumn("bare", F.regexp_extract("text", "^第([0-9]+)集\r$", 1))
-    marks = marks.where("bare <> ''").select("script_id", "start", F.struct(F.col("bare").cast("int").alias("number"), F.lit("").alias("title")).alias("marker"))
+    marks = U.mark_episodes(lines.withColumn("start", start))
     parts = U.split_episodes(source, marks)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "part"))), lambda p: p["part"])
     whole = parts.groupBy("script_id").agg(F.sha2(F.array_join(pieces, ""), 256).alias("fingerprint"), F.count_distinct("number").alias("n_numbers"))
