@@ -47,6 +47,12 @@ def test_long_files_are_decoded_in_pieces(codec):
     assert E.decode(text.encode(codec)[:-1] + b"\xff")[1] is None or codec == "utf-16-le"
 
 
+def test_broken_utf8_with_accents_is_not_utf16():
+    for text in ("é à ç ü ñ", "Çà été, là où ça gêne. ", "夜里的街道下着雨"):
+        for n in (40, 41):
+            assert E.decode(b"\xff\x00\xff" + (text * n).encode()) == (None, None, "not decodable")
+
+
 def test_fdx_round_trip(spark, tmp_path):
     rows = [(1, 0, "Scene Heading", "INT. A & B <day>"), (1, 1, "Action", "  spaced  "), (2, 0, "Character", "甲")]
     elements = spark.createDataFrame(rows, "script_id long, element_idx int, element string, text string")
