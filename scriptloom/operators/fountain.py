@@ -15,6 +15,10 @@ TRANSITION = (
 EXTENSIONS = r"(?:\s*[(（][^()（）]*[)）])*[：:]?\s*\^?$"
 #: A name in capitals with two letters at least, or one of two to ten Chinese characters (of one, if a colon follows).
 CUE = r"^(?=[^(（]*\p{Lu}[^(（]*\p{Lu})[\p{Lu}\p{N}][\p{Lu}\p{M}\p{N} .'’&/#_-]*" + EXTENSIONS + r"|^(?:[\p{IsHan}][\p{IsHan}·]{1,9}|[\p{IsHan}](?=[：:]))" + EXTENSIONS
+#: The same for plain lines, with ``.`` for any character and ``$`` for the end only.
+PLAIN_HEADING = r"(?d)^(?:(?i:INT|EXT|EST|I/E|INT\./EXT)[. ]|内景|外景|内[.．、 ]|外[.．、 ])|^\.[^.]"
+PLAIN_TRANSITION = r"(?d)^[A-Z ]+TO:\z|^>.*[^<]\z"
+PLAIN_CUE = r"(?d)^@.+|^[A-Z][A-Z0-9 .'-]{0,39}\z"
 TITLE_KEY = r"^(?i:title|credit|authors?|source|draft date|date|contact|copyright|notes|revision)\s*:"
 
 
@@ -89,3 +93,29 @@ def classify_elements(units: DataFrame) -> DataFrame:
     )
     found = rows.select("script_id", "unit_idx", element.alias("element"), "text", (F.col("cue_") & x.rlike(r"\^$")).alias("dual"))
     return found.unionByName(aside)
+
+
+def classify_plain_lines(units: DataFrame) -> DataFrame:
+    """``(script_id, unit_idx, element, text)`` of lines rendered without Fountain's marks and blank lines.
+
+    Scene Heading, Transition, Character, Parenthetical, Dialogue and Action only. Every line that begins with ``@`` and every
+    name in ASCII capitals, of one letter or more, is a Character if a line follows at once that is no name, heading or transition;
+    also within Dialogue, which no blank line has to end.
+    units: script_id, unit_idx, text and line_no, by which blank lines show.
+    """
+    order = Window.partitionBy("script_id").orderBy("unit_idx")
+    x = trim_unicode(F.col("text"))
+    heading, transition = x.rlike(PLAIN_HEADING), x.rlike(PLAIN_TRANSITION)
+    rows = units.select(
+        "script_id", "unit_idx", "text", F.coalesce(F.col("line_no") - F.lag("line_no").over(order) > 1, F.lit(True)).alias("gap_"),
+        F.when(heading, "Scene Heading").when(transition, "Transition").alias("kind_"), (~heading & ~transition & x.rlike(PLAIN_CUE)).alias("name_"),
+        x.rlike(r"(?d)^\(.*\)\z").alias("aside_"),
+    )
+    ends = F.col("gap_") | F.col("kind_").isNotNull()
+    rows = rows.withColumn("cue_", F.col("name_") & F.coalesce(~F.lead(ends | F.col("name_")).over(order), F.lit(False)))
+    spoken = F.last(F.when(ends | F.col("cue_"), F.col("cue_")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    element = (
+        F.when(F.col("kind_").isNotNull(), F.col("kind_")).when(F.col("cue_"), "Character").when(spoken & F.col("aside_"), "Parenthetical")
+        .when(spoken, "Dialogue").otherwise("Action")
+    )
+    return rows.select("script_id", "unit_idx", element.alias("element"), "text")

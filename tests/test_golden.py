@@ -10,7 +10,7 @@ from scriptloom.operators import profile as P
 from scriptloom.operators import score as S
 from scriptloom.operators import units as U
 from scriptloom.operators import verify as V
-from scriptloom.operators.fountain import classify_elements, cue_name
+from scriptloom.operators.fountain import classify_elements, classify_plain_lines, cue_name
 from scriptloom.operators.passages import find_passages
 from scriptloom.operators.styles import style_only
 from scriptloom.plans import compile as X
@@ -142,6 +142,13 @@ def test_dialogue_goes_on_to_a_blank_line(spark):
     assert found == ["Scene Heading", "Character", "Dialogue", "Parenthetical", "Dialogue", "Action", "Character", "Dialogue", "Transition", "Action", "Action"]
 
 
+def test_names_within_plain_dialogue_open_a_speech(spark):
+    lines = [(0, "USER"), (1, "Go on."), (2, "A."), (3, "Well, yes."), (4, "(beat)"), (5, "SS."), (8, "你好"), (9, "É"), (10, "[[x]]"), (11, "A" * 41), (12, "B" * 40), (13, "No."), (14, "CUT TO:"), (15, "end")]
+    units = spark.createDataFrame([(1, i, n, x) for i, (n, x) in enumerate(lines)], "script_id long, unit_idx int, line_no int, text string")
+    found = [r.element for r in classify_plain_lines(units).orderBy("unit_idx").collect()]
+    assert found == ["Character", "Dialogue", "Character", "Dialogue", "Parenthetical", "Dialogue", "Action", "Action", "Action", "Action", "Character", "Dialogue", "Transition", "Action"]
+
+
 @pytest.mark.parametrize("status, reason, content, outcome", [
     (200, "stop", "x", "accepted"), (200, None, "x", "bad_envelope"), (None, "stop", "x", "bad_envelope"), (None, None, "x", "bad_envelope"), (429, None, None, "resources"), (200, "stop", None, "empty"),
 ])
