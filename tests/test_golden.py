@@ -1,7 +1,10 @@
 """Small golden cases."""
 
+import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from scriptloom.operators import units as U
 from scriptloom.operators import verify as V
 from scriptloom.operators.fountain import classify_elements, classify_plain_lines, cue_name
 from scriptloom.operators.passages import find_passages
-from scriptloom.operators.styles import style_only
+from scriptloom.operators.styles import near_duplicate_signatures, style_only
 from scriptloom.plans import compile as X
 from scriptloom.sources import catalogs as C
 
@@ -122,6 +125,32 @@ def test_styles_keep_style_clauses_only(spark, prompt, style):
     assert one(spark, style_only(F.col("p")), p=prompt) == style
 
 
+def test_near_signatures_are_found_in_every_pair_of_blocks(spark):
+    draw = np.random.default_rng(1)
+    v = draw.normal(size=(300, 8)).round(1)
+    v[50:60], v[120] = v[3], v[7] + 0.1
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, [float("nan")] * 8), (302, [None] + [0.0] * 7), (303, [0.0] * 7), (303, [0.0] * 8)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = {}
+    for i in range(300):
+        near = [(math.sqrt(sum((a - b) ** 2 for a, b in zip(v[i], v[j]))), j) for j in range(i)]
+        if near and min(near)[0] <= 1.5:
+            expected[i] = (min(near)[1], round(min(near)[0], 6))
+    expected |= {303: (j, round(x, 6)) for x, j in [min((math.sqrt(sum(a * a for a in v[j])), j) for j in range(300))] if x <= 1.5}
+    found = near_duplicate_signatures(data, 1.5, block=40)
+    assert {r.vec_id: (r.reuse_id, r.distance) for r in found.collect()} == expected and len(expected) > 20
+
+
+def test_near_signatures_join_no_arrays_row_by_row(spark):
+    """Pairs of a large distance are met as products of blocks: 30 million of them in seconds, not minutes."""
+    draw = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(draw.normal(size=(8000, 64)))]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    begun = time.time()
+    assert near_duplicate_signatures(data, 5.0).count() == 0
+    assert time.time() - begun < 60
+
+
 @pytest.mark.parametrize("cue, name", [("ANNA (V.O.) (cont'd) ^", "ANNA"), ("@McAvoy", "McAvoy"), ("李雷（画外音）：", "李雷"), ("NARRATOR^", "NARRATOR"), ("R2-D2", "R2-D2"), ("甲:", "甲")])
 def test_speakers_of_cues(spark, cue, name):
     assert one(spark, cue_name(F.col("c")), c=cue) == name
