@@ -59,3 +59,15 @@ def test_passages_in_a_long_text_without_blanks(spark):
     quotes = [text[a:b] for a, b in cuts] + [text[a:b] + "没" for a, b in cuts]
     found = find_passages(spark.createDataFrame([(1, text), (2, text[:30]), (2, text[:30])], "script_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"))
     assert sorted(map(tuple, found.collect())) == [(1, i) for i in range(len(cuts))] + [(2, i) for i, q in enumerate(quotes) if q in text[:30]]
+
+
+def test_passages_are_not_shuffled_and_equal_quotes_are_searched_once(spark):
+    texts = spark.createDataFrame([(i, "天地人" * i + "x") for i in range(40)], "script_id long, text string")
+    quotes = spark.createDataFrame([(j, q) for j, q in enumerate(["天"] * 50 + ["天地人" * 12, "x", "人x", "山"])], "quote_id long, quote string")
+    found = find_passages(texts, quotes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+    expected = [(i, j) for i in range(40) for j in range(53) if j < 50 and i > 0 or j == 50 and i >= 12 or j == 51 or j == 52 and i > 0]
+    assert sorted(map(tuple, found.collect())) == expected
+    assert sorted(map(tuple, find_passages(texts, quotes, most_bytes=0).collect())) == expected
+    assert find_passages(texts, quotes.limit(0)).count() == 0
