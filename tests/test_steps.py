@@ -26,3 +26,9 @@ def test_views_are_made_once(spark, name):
 def test_plans_bring_details_only_if_asked(spark):
     assert "locked_facts" not in plan_queries._plans(spark, SF, strict=False).columns
     assert "locked_facts" in plan_queries._plans(spark, SF, detailed=True).columns
+
+
+def test_defaults_of_options_are_no_rows(spark):
+    found = QUERIES["compile_options"](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and found.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
