@@ -47,3 +47,8 @@ def test_values_of_groups_are_made_once(spark):
     found = P.fact_groups(spark.createDataFrame(rows, "asset_id string, kind string, fact_kind string, pos int, value string"), C.fact_kinds(spark))
     assert "Filter (size(" not in plan(found)
     assert [(r.fact_kind, r.group_values, r.evidence_count) for r in found.collect()] == [("material", ["Tin"], 2)]
+
+
+@pytest.mark.parametrize("name", ["score_base5", "score_v4"])
+def test_scores_come_from_gated_rows(spark, name):
+    assert tables(QUERIES[name](spark, SF)) == {"gated"}
