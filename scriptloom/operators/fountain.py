@@ -33,9 +33,10 @@ def _opened(c: Column, begin: str, end: str) -> Column:
 
 
 def _without(c: Column, inside: Column, begin: str, end: str) -> Column:
-    """A line without spans, of which one may be open before it and one after it."""
+    """A trimmed line without spans, of which one may be open before it and one after it, trimmed; most lines have none and one test shows it."""
     rest = F.when(inside & c.rlike(end), F.regexp_replace(c, f"^.*?{end}", "")).when(inside, "").otherwise(c)
-    return F.regexp_replace(F.regexp_replace(rest, f"{begin}.*?{end}", ""), f"{begin}.*$", "")
+    cut = F.regexp_replace(F.regexp_replace(rest, f"{begin}.*?{end}", ""), f"{begin}.*$", "")
+    return F.when(inside | c.rlike(begin), trim_unicode(cut)).otherwise(c)
 
 
 def classify_elements(units: DataFrame) -> DataFrame:
@@ -60,10 +61,10 @@ def classify_elements(units: DataFrame) -> DataFrame:
     rows = units.select("script_id", "unit_idx", "text", trim_unicode(F.col("text")).alias("t_"), (line - F.lag(line).over(order) > 1).alias("blank_"))
     rows = rows.withColumns({"gap_": F.coalesce("blank_", F.lit(True)), "cut_": _opened(F.col("t_"), r"/\*", r"\*/")})
     cut = F.coalesce(F.last("cut_", ignorenulls=True).over(before) == "in", F.lit(False))
-    rows = rows.withColumns({"block_": F.sum(F.col("gap_").cast("int")).over(running), "spaced_": F.coalesce(F.bool_or("blank_").over(script), F.lit(False)), "left_": trim_unicode(_without(F.col("t_"), cut, r"/\*", r"\*/"))})
+    rows = rows.withColumns({"block_": F.sum(F.col("gap_").cast("int")).over(running), "spaced_": F.coalesce(F.bool_or("blank_").over(script), F.lit(False)), "left_": _without(F.col("t_"), cut, r"/\*", r"\*/")})
     note = F.coalesce(_opened(F.col("left_"), r"\[\[", r"\]\]"), F.when(F.col("gap_"), "out"))
     inside = F.when(F.col("gap_"), False).otherwise(F.coalesce(F.last("note_", ignorenulls=True).over(before) == "in", F.lit(False)))
-    rows = rows.withColumn("note_", note).withColumn("x_", trim_unicode(_without(F.col("left_"), inside, r"\[\[", r"\]\]")))
+    rows = rows.withColumn("note_", note).withColumn("x_", _without(F.col("left_"), inside, r"\[\[", r"\]\]"))
     nothing = (F.col("x_") == "") & (F.col("t_") != "")
     aside = rows.where(nothing).select("script_id", "unit_idx", F.when(F.col("left_") == "", "Boneyard").otherwise("Note").alias("element"), "text", F.lit(False).alias("dual"))
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from scriptloom.operators import fountain as N
 from scriptloom.operators import profile as P
 from scriptloom.plans import plan_queries, profile_queries, unit_queries, verify_queries  # noqa: F401
 from scriptloom.plans.registry import QUERIES
@@ -52,3 +53,14 @@ def test_values_of_groups_are_made_once(spark):
 @pytest.mark.parametrize("name", ["score_base5", "score_v4"])
 def test_scores_come_from_gated_rows(spark, name):
     assert tables(QUERIES[name](spark, SF)) == {"gated"}
+
+
+def test_speakers_are_found_in_one_pass(spark):
+    found = plan(QUERIES["fountain_assets"](spark, SF))
+    assert "Union" not in found and found.count("hashpartitioning") == 2
+
+
+def test_lines_with_ends_of_spans_only(spark):
+    rows = [(1, i, t, i) for i, t in enumerate(["odd */ end", "odd ]] end", "a /* b */ c [[ d", "e ]] f", "/* g", " h ", "i */ j"])]
+    found = N.classify_elements(spark.createDataFrame(rows, "script_id int, unit_idx int, text string, line_no int")).orderBy("unit_idx")
+    assert [r.element for r in found.collect()] == ["Action", "Action", "Action", "Action", "Boneyard", "Boneyard", "Action"]
