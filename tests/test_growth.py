@@ -64,3 +64,9 @@ def test_lines_with_ends_of_spans_only(spark):
     rows = [(1, i, t, i) for i, t in enumerate(["odd */ end", "odd ]] end", "a /* b */ c [[ d", "e ]] f", "/* g", " h ", "i */ j"])]
     found = N.classify_elements(spark.createDataFrame(rows, "script_id int, unit_idx int, text string, line_no int")).orderBy("unit_idx")
     assert [r.element for r in found.collect()] == ["Action", "Action", "Action", "Action", "Boneyard", "Boneyard", "Action"]
+
+
+@pytest.mark.parametrize("name", ["scene_appearances", "profiles"])
+def test_appearances_read_stored_rows(spark, name):
+    read = tables(QUERIES[name](spark, SF))
+    assert {"verified", "fx_evidence", "fx_assets"} <= read and not read & {"fx_scene_rows", "fx_marked"}
