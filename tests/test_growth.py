@@ -66,7 +66,7 @@ def test_lines_with_ends_of_spans_only(spark):
     assert [r.element for r in found.collect()] == ["Action", "Action", "Action", "Action", "Boneyard", "Boneyard", "Action"]
 
 
-@pytest.mark.parametrize("name", ["scene_appearances", "profiles"])
+@pytest.mark.parametrize("name", ["scene_appearances", "profiles", "asset_scenes"])
 def test_appearances_read_stored_rows(spark, name):
     read = tables(QUERIES[name](spark, SF))
     assert {"verified", "fx_evidence", "fx_assets"} <= read and not read & {"fx_scene_rows", "fx_marked"}
