@@ -1,11 +1,15 @@
 """What grows with the texts is done once and where the texts are: no shuffle of lines, no stored copies of them."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from scriptloom.operators import fountain as N
 from scriptloom.operators import profile as P
+from scriptloom.operators import score as S
+from scriptloom.operators import verify as V
 from scriptloom.plans import plan_queries, profile_queries, unit_queries, verify_queries  # noqa: F401
-from scriptloom.plans.registry import QUERIES
+from scriptloom.plans.registry import ORACLES, QUERIES
 from scriptloom.plans.views import spark_view
 from scriptloom.sources import catalogs as C
 
@@ -55,6 +59,41 @@ def test_scores_come_from_gated_rows(spark, name):
     assert tables(QUERIES[name](spark, SF)) == {"gated"}
 
 
+@pytest.mark.parametrize(("name", "sorts"), [("score_base5", 1), ("score_v4", 2)])
+def test_scores_shuffle_rows_once(spark, name, sorts):
+    found = plan(QUERIES[name](spark, SF))
+    assert found.count("hashpartitioning") == 1 and "Join" not in found and found.count("Sort [") == sorts
+
+
+def test_candidates_are_gated_where_their_texts_are(spark, tmp_path):
+    found = V.gate_in_place(spark_view(spark, SF, "fx_candidates_in_scenes"))
+    joined = V.hard_gate(spark_view(spark, SF, "fx_candidates"), spark_view(spark, SF, "fx_scenes"))
+    assert "hashpartitioning" not in plan(found) and sorted(found.columns) == sorted(joined.columns)
+    assert found.count() == joined.count() and not found.exceptAll(joined.select(found.columns)).count()
+    # a null id, a null text and names that are blank in different ways; evidence of one character
+    rows = [(None, "a b c"), (1, None), (4, "\u3000 x\n y\n\t\n天\n \u00a0 z\n地\n"), (6, "天")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ["score_base5", "score_v4"]:
+        scores = QUERIES[name](spark, str(tmp_path))
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        wanted = duck.execute(ORACLES[name]).fetchall()
+        assert wanted and sorted(map(tuple, scores.collect())) == sorted(wanted)
+
+
+def test_agreement_is_what_joins_say(spark):
+    names = ["Li Na", "li  na", " LI NA", "LI NA", "li na", "Bo", "bo", "", "　", None]
+    rows = [(s if s < 3 else None, f"{s}:{i % 4}" if i % 7 != 6 else None, ["tagging", "general", "remote"][(i + i // 4) % 3], [None, "prop", "scene"][min(i % 5, 2)], names[(i * 3 + i // 8) % 10], ["", "hurt"][i % 11 == 2])
+            for s in range(4) for i in range(80)]
+    candidates = spark.createDataFrame(rows, "script_id int, scene_id string, engine string, kind string, name string, continuity_state string")
+    tagged = candidates.where("engine = 'tagging' AND name <> ''").select("scene_id", F.lower("name").alias("name_key"))
+    agreed = S.consensus(candidates).select("scene_id", "kind", "name_key", "consensus")
+    joined = S.entity_support(candidates.where("name <> ''"), tagged).join(agreed, ["scene_id", "kind", "name_key"]).join(S.stability(candidates), ["script_id", "kind", "name_key"])
+    found = S.agreement(candidates, "tagging")
+    got, wanted = (sorted(map(repr, df.select(found.columns).collect())) for df in (found, joined))
+    assert got == wanted and len({r.support for r in found.collect()}) == len({r.identity for r in found.collect()}) == 2
+
+
 def test_speakers_are_found_in_one_pass(spark):
     found = plan(QUERIES["fountain_assets"](spark, SF))
     assert "Union" not in found and found.count("hashpartitioning") == 2
