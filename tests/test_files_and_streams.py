@@ -53,6 +53,15 @@ def test_broken_utf8_with_accents_is_not_utf16():
             assert E.decode(b"\xff\x00\xff" + (text * n).encode()) == (None, None, "not decodable")
 
 
+def test_short_broken_utf8_is_not_utf16():
+    for text in ("This.", "Die tz.", "Ereaea.", "a", "0", "NGO", "for for f", "! STSHT", "\nAll righ"):
+        assert E.decode(b"\xff\x00\xff" + text.encode()) == (None, None, "not decodable")
+    text = "夜家传来传来道传里走道来他来他看家来雨家"  # of its UTF-16 bytes more than three quarters are printable
+    for codec in ("utf-16-le", "utf-16-be"):
+        charset, found, reason = E.decode(text.encode(codec))
+        assert (charset, bytes(found).decode(), reason) == ("UTF-16", text, None)
+
+
 def test_fdx_round_trip(spark, tmp_path):
     rows = [(1, 0, "Scene Heading", "INT. A & B <day>"), (1, 1, "Action", "  spaced  "), (2, 0, "Character", "甲")]
     elements = spark.createDataFrame(rows, "script_id long, element_idx int, element string, text string")
