@@ -167,7 +167,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = frequent_shingles(docs, shingle)
     sets = durable(shingle_sets(docs, shingle, rare_prefix(similarity, *known)), "sets")
     worded = sets.where("n > 0")
-    firsts = F.min(F.struct("doc_id", "n", "sketch")).alias("f")
+    firsts = F.min(F.struct("doc_id", "n", "sketch", "counts")).alias("f")
     firsts = durable(worded.groupBy("node").agg(firsts).select("node", "f.*"), "firsts")
     _, rows = short_lists(docs, worded, shingle, similarity, *known)
     rows = durable(rows, "short_lists")

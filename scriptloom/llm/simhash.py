@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -148,24 +148,24 @@ def _grouped(fps: DataFrame, radius: int) -> DataFrame:
 SAMPLE = 20_000
 #: Frequent shingles that the order of shingles knows.
 FREQUENT = 100_000
-#: Buckets of a set's sketch.
-BUCKETS = 1024
+#: Buckets of a set's sketch, and shingles from which on a set has counts as well.
+BUCKETS, COUNTED = 1024, 1024
 #: Bits of the table of document ids that is sent to all tasks: 2^24, 262,144 rows at most.
 ID_BITS = 24
 
 
 def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
-    """``(doc_id, node, fp, sketch, n, keys)`` of ``(doc_id, text)``, one row per row.
+    """``(doc_id, node, fp, sketch, counts, n, keys)`` of ``(doc_id, text)``, one row per row.
 
     A text's set are the XXH64 of its distinct shingles: node is a digest of the whole set, fp its
     SimHash, sketch has for each of ``BUCKETS`` hash buckets whether an odd number of shingles is in
-    it (as longs), n is the size and keys what ``take`` returns (all of it as unsigned integers).
+    it (as longs), counts are ``bucket_counts``, n is the size and keys what ``take`` returns (all of it as unsigned integers).
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            nodes, fps, sketches, sizes, keys = [], [], [], [], []
+            nodes, fps, sketches, counts, sizes, keys = [], [], [], [], [], []
             for chunk in chunks(batch.column(1)):
                 for _, words, starts, ends in _joined(chunk):
                     spans = zip(*(x.tolist() for x in _shingles(starts, ends, shingle)), strict=True)
@@ -174,6 +174,7 @@ def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
                     fps.append(_majority(own))
                     odd = np.bincount((own & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    counts.append(bucket_counts(own))
                     sizes.append(len(own))
                     keys.append(take(own).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
@@ -183,12 +184,31 @@ def shingle_sets(docs: DataFrame, shingle: int, take) -> DataFrame:
                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                 pa.array(fps, pa.int64()),
                 pa.array(sketches, pa.list_(pa.int64())),
+                pa.array(counts, pa.binary()),
                 pa.array(np.array(sizes, dtype=np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "sketch", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "sketch", "counts", "n", "keys"])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, fp bigint, sketch array<bigint>, n bigint, keys array<bigint>")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(one, "doc_id bigint, node bigint, fp bigint, sketch array<bigint>, counts binary, n bigint, keys array<bigint>")
+
+
+def bucket_counts(own: np.ndarray) -> bytes | None:
+    """How many shingles of a long set are in each hash bucket, 255 at most, a byte each; some 4 to 8 shingles are in one.
+
+    Short sets have none: their sketch of bits says enough.
+    """
+    if len(own) < COUNTED:
+        return None
+    buckets = 1 << (len(own) - 1).bit_length() - 3
+    counts = np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def counts_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles that only one of two sets has: the difference of their buckets, the finer ones folded."""
+    wide, narrow = sorted((np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in (a, b)), key=len, reverse=True)
+    return int(np.abs(wide.reshape(-1, len(narrow)).sum(axis=0) - narrow).sum())
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -235,28 +255,27 @@ def rare_prefix(similarity: float, frequent: np.ndarray, counts: np.ndarray):
 LONG_LIST = 1000
 
 
-def _shared_keys(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(key, node, place)`` of the prefix shingles that a node has in common with another, and ``(key, k, nodes)``.
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """``(key, node, place, k, nodes)`` of the prefix shingles that a node has in common with another.
 
-    k is on how many nodes' lists a shingle is, nodes a digest of these nodes.
+    k is on how many nodes' lists a shingle is, nodes a digest of these nodes. Copies are one node before
+    anything is taken apart; a shingle's rows meet once, so they are shuffled once.
     """
     place = F.shiftleft(F.col("n"), 32) + F.col("at")
-    keys = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", place.alias("place"))
-    often = keys.groupBy("key").count().where("count > 1").select("key")
-    rows = durable(keys.join(often, "key").distinct(), "shared")
-    digest = F.xxhash64("node")
-    nodes = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod(digest, F.lit(1 << 40))).alias("s"), F.bit_xor(digest).alias("x"))
-    return rows, durable(nodes.where("k > 1").select("key", "k", F.xxhash64("k", "s", "x").alias("nodes")), "lists")
+    keys = sets.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", place.alias("place")).repartition("key")
+    digest, own = F.xxhash64("node"), Window.partitionBy("key")
+    sums = {"k": F.count("*").over(own), "s": F.sum(F.pmod(digest, F.lit(1 << 40))).over(own), "x": F.bit_xor(digest).over(own)}
+    return durable(keys.withColumns(sums).where("k > 1").select("key", "node", "place", "k", F.xxhash64("k", "s", "x").alias("nodes")), "shared")
 
 
-def _places_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Rows and lists of ``_shared_keys`` -> ``(key, node, n, at)``.
+def _places_of(rows: DataFrame) -> DataFrame:
+    """Rows of ``_shared_keys`` -> ``(key, node, n, at)``.
 
     Shingles that the same nodes have are one key, at the place of the first of them: the order of
     shingles is the same in every node, so a pair's first common shingle is still there. That
     leaves one row for a passage instead of one for each of its shingles.
     """
-    first = rows.join(lists, "key").groupBy(F.col("nodes").alias("key"), "node").agg(F.min("place").alias("place"))
+    first = rows.groupBy(F.col("nodes").alias("key"), "node").agg(F.min("place").alias("place"))
     return first.select("key", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"))
 
 
@@ -268,13 +287,13 @@ def short_lists(docs: DataFrame, sets: DataFrame, shingle: int, similarity: floa
     behind the rare ones by their counts, and the prefixes of the texts that had them are taken anew;
     all other prefixes are the same in the new order. Any order finds every pair.
     """
-    rows, lists = _shared_keys(sets)
-    long = lists.where(F.col("k") > LONG_LIST)
+    rows = _shared_keys(sets)
+    long = rows.where(F.col("k") > LONG_LIST).select("key", "k").distinct()
     found = long.orderBy(F.desc("k"), "key").limit(FREQUENT).select("key", "k").toArrow()
     keys = found["key"].to_numpy().astype(np.int64).view(np.uint64)
     new = ~np.isin(keys, frequent)
     if not new.any():
-        return sets, _places_of(rows, lists)
+        return sets, _places_of(rows)
     every = np.concatenate([frequent, keys[new]])
     number = np.concatenate([counts, found["k"].to_numpy().astype(np.int64)[new]])
     order = np.argsort(every)
@@ -283,7 +302,7 @@ def short_lists(docs: DataFrame, sets: DataFrame, shingle: int, similarity: floa
     ids = durable(sets.join(nodes, "node", "left_semi").select("doc_id").distinct(), "ids")
     again = shingle_sets(_of_ids(docs, ids), shingle, rare_prefix(similarity, every[order], number[order]))
     sets = durable(sets.join(ids, "doc_id", "left_anti").unionByName(again), "sets")
-    return sets, _places_of(*_shared_keys(sets))
+    return sets, _places_of(_shared_keys(sets))
 
 
 def _may_be_alike(similarity: float, a: str, b: str):
@@ -333,15 +352,31 @@ def _other_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "key").where(apart).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
+def _counted_near(similarity: float):
+    share = (1 - similarity) / (1 + similarity)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, us, vs = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            near = [a is None or b is None or counts_apart(a, b) <= share * n + 1e-6 for n, a, b in zip(sizes, us, vs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return one
+
+
 def _near(pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose sketches differ in no more bits than alike sets may differ in shingles.
+    """Those of ``pairs`` whose sketches differ in no more bits, and their counts by no more, than alike sets may differ in shingles.
 
-    Each shingle that only one of two sets has changes one bit, so no alike pair is lost.
+    Each shingle that only one of two sets has changes one bit, and a count by one, so no alike pair is lost. Bits
+    of long sets are as good as random, so without the counts nearly all pairs of long texts would be compared whole.
     """
     of = lambda x: firsts.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
     apart = F.aggregate(F.zip_with("us", "vs", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("un") + F.col("vn")) + 1e-6).select("u", "v")
+    both = both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("un") + F.col("vn")) + 1e-6)
+    counts = lambda x: firsts.where("counts is not null").select(F.col("node").alias(x), F.col("counts").alias(f"{x}c"))
+    both = both.select("u", "v", (F.col("un") + F.col("vn")).alias("n")).join(counts("u"), "u", "left").join(counts("v"), "v", "left")
+    return bounded_batches(both.select("u", "v", "n", "uc", "vc")).mapInArrow(_counted_near(similarity), "u bigint, v bigint")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -386,7 +421,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     known = frequent_shingles(docs, shingle)
     sets = durable(shingle_sets(docs, shingle, rare_prefix(similarity, *known)), "sets")
-    firsts = F.min(F.struct("doc_id", "n", "sketch")).alias("f")
+    firsts = F.min(F.struct("doc_id", "n", "sketch", "counts")).alias("f")
     firsts = durable(sets.groupBy("node").agg(firsts).select("node", "f.*"), "firsts")
     sets, rows = short_lists(docs, sets, shingle, similarity, *known)
     rows = durable(rows, "rows")

@@ -73,3 +73,39 @@ def test_probing_equals_counting():
         b = b if rng.random() < 0.3 else np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], b[: rng.integers(0, 60)]]))
         common = len(np.intersect1d(a, b))
         assert overlap.overlap_reaches(a, b) == bool(len(a) and len(b) and 100 * common >= 80 * (len(a) + len(b) - common))
+
+
+def test_long_texts_that_share_a_passage_are_told_apart_by_counts(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(100)
+    rows = [(i, " ".join(passage + words(rng.choice([2400, 2500, 5000])))) for i in range(12)]
+    base = words(4000)
+    rows += [(20 + k, " ".join([*base[: 200 * k], *words(200), *base[200 * k + 200 :]])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    firsts = simhash.shingle_sets(docs, 5, lambda own: own).cache()
+    ids = firsts.select("doc_id", "node")
+    pairs = ids.toDF("a", "u").join(ids.toDF("b", "v")).where("a < b")
+    near = simhash._near(pairs.select("u", "v"), firsts, 0.8)
+    assert sorted(tuple(r) for r in near.join(pairs, ["u", "v"]).select("a", "b").collect()) == [(20 + i, 20 + j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def test_counts_are_a_lower_bound():
+    rng = np.random.default_rng(6)
+    for n in (1024, 1025, 2048, 2049, 70_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, rng.integers(n // 10, n // 4), dtype=np.uint64)]))
+        if len(b) >= simhash.COUNTED and len(a) >= simhash.COUNTED:
+            apart = simhash.counts_apart(simhash.bucket_counts(a), simhash.bucket_counts(b))
+            assert 0 < apart <= len(np.setxor1d(a, b)) and apart == simhash.counts_apart(simhash.bucket_counts(b), simhash.bucket_counts(a))
+        assert simhash.bucket_counts(a[:1000]) is None
+    same = np.arange(0, 1 << 20, 256, dtype=np.uint64)  # all in one bucket: counts stop at 255
+    assert simhash.counts_apart(simhash.bucket_counts(same), simhash.bucket_counts(same[:2000])) <= len(same) - 2000
+
+
+def test_copies_are_taken_apart_once(spark):
+    rows = [(i, i % 3, 4, [7, 8, 9 + i % 3]) for i in range(30)] + [(90, 5, 4, [70])]
+    sets = spark.createDataFrame(rows, "doc_id long, node long, n long, keys array<long>")
+    shared = simhash._shared_keys(sets)
+    assert sorted((r.key, r.node, r.k) for r in shared.collect()) == [(key, node, 3) for key in (7, 8) for node in range(3)]
+    assert shared.select("nodes").distinct().count() == 1
