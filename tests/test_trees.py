@@ -71,3 +71,20 @@ def test_passages_are_not_shuffled_and_equal_quotes_are_searched_once(spark):
     assert sorted(map(tuple, found.collect())) == expected
     assert sorted(map(tuple, find_passages(texts, quotes, most_bytes=0).collect())) == expected
     assert find_passages(texts, quotes.limit(0)).count() == 0
+
+
+def test_quotes_beyond_one_block_shuffle_no_pairs(spark):
+    texts = spark.createDataFrame([(i, "天地人" * i + "x") for i in range(40)], "script_id long, text string")
+    quotes = spark.createDataFrame([(j, q) for j, q in enumerate(["天"] * 5 + ["天地人" * 12, "x", "人x", "山"])], "quote_id long, quote string")
+    found = find_passages(texts, quotes, most_bytes=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, find_passages(texts, quotes).collect()))
+
+
+def test_passages_of_repeated_ids_count_once(spark):
+    texts = [(1, "天地"), (1, "天地"), (2, "天"), (2, "天人"), (3, "人"), (None, "天"), (None, "天地")]
+    quotes = [("a", "天"), ("a", "人"), ("a", "天"), ("b", "地"), ("c", "天"), (None, "地"), (None, "人")]
+    found = find_passages(spark.createDataFrame(texts, "script_id long, text string"), spark.createDataFrame(quotes, "quote_id string, quote string"))
+    expected = {(i, j) for i, t in texts for j, q in quotes if q in t}
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
