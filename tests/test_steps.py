@@ -1,5 +1,7 @@
 """Steps that queries share are done once: what plans read and join."""
 
+import json
+
 import pytest
 
 from scriptloom.operators import units as U
@@ -32,3 +34,17 @@ def test_defaults_of_options_are_no_rows(spark):
     found = QUERIES["compile_options"](spark, SF)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 1 and found.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_whole_profiles_are_exported(spark):
+    found = QUERIES["export_profiles"](spark, SF)
+    assets = {r.asset_id: r for r in profile_queries.assets(spark, SF).collect()}
+    texts = {r.asset_id: r.text for r in profile_queries.texts(spark, SF).collect()}
+    quotes = {(r.asset_id, r.scene_id): r.quotes for r in QUERIES["scene_appearances"](spark, SF).collect()}
+    profiles = {r.asset_id: json.loads(r.json) for r in found.collect()}
+    assert set(profiles) == {k for k, r in assets.items() if r.decision == "accepted"}
+    for key, p in profiles.items():
+        scenes = {s["scene_id"]: "|".join(s["quotes"]) for e in p["episodes"] for s in e["scenes"]}
+        assert p["text"] == texts[key] and list(p) == sorted(p) and p["scene_count"] == len(scenes)
+        assert scenes == {s: q for (a, s), q in quotes.items() if a == key}
+    assert max(len(p["fact_groups"]) for p in profiles.values()) > 1 and any("episode_title" in e for p in profiles.values() for e in p["episodes"])
